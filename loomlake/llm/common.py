@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,6 +55,23 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_key(column: str = "text"):
-    """A hash of a text with null as the empty text."""
-    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+#: Places of a bit set that stands for a set of keys, whatever their number.
+PLACES = 1 << 22
+
+
+def place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PLACES))
+
+
+def bit_set(keys: DataFrame, key: str) -> np.ndarray:
+    """PLACES bits, as bytes: those of the keys are set.  The driver sees PLACES / 32 rows at most."""
+    h = keys.select(place(key).alias("h")).selectExpr("h div 32 as w", "shiftleft(1L, cast(h % 32 as int)) as b")
+    rows = h.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = np.zeros(PLACES // 32, np.uint32)
+    words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    return words.view(np.uint8)
+
+
+def is_set(bits: np.ndarray, places: pa.Array) -> np.ndarray:
+    x = places.to_numpy(zero_copy_only=False).astype(np.int64)
+    return bits[x >> 3] >> (x & 7).astype(np.uint8) & 1

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.llm import decontaminate, licenses, packing, shards
+from loomlake.llm import attribution, balltree, decontaminate, jaccard, language, licenses, packing, preferences, shards, suffixes
 from loomlake.llm.common import ship_code, table
 
 
@@ -41,13 +41,48 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return attribution.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.format_pairs(preferences.swapped_replies(table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({c: preferences.mask_text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+@_query
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = balltree.quantised(table(spark, sf_dir, "embeddings"))
+    return balltree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@_query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), 8)
 
 
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_license_scan, op9_sharding)
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_decontamination, op3_license_scan, op4_token_counts, op5_preference_formatting, op6_exact_top_k, op7_jaccard_join, op8_language_id, op9_sharding, op10_suffix_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_preference_formatting": preferences.ORACLE}
