@@ -166,21 +166,21 @@ def fit(labelled: DataFrame, *, label: str = "lang", bits: int = 16, most_rows:
     return Model(labels, idf, weights, t, bits)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score, from the whole text only; 'und' and 0 if it is null or has no letter.
+def predict(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds a label and its probability, from the whole text only; 'und' and 0 if it is null or has no letter.
 
     Columns of the input with those names are replaced; repeated rows are predicted alike.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(label, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, label, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
         last = np.append(first[1:], len(rows)) - 1 if len(rows) else first
         return pd.DataFrame({"text": rows["text"][first], "s": rows["at"][first], "e": rows["at"][last] + length})
 
-    again = _among(long_enough.withColumnRenamed("text", "name"), todo.withColumnRenamed("text", "name")).withColumnRenamed("name", "text").join(todo, "text").select("text", "data", "windows")
+    again = _among(long_enough.withColumnRenamed("text", "_name"), todo.withColumnRenamed("text", "_name")).withColumnRenamed("_name", "text").join(todo, "text").select("text", "data", "windows")
     last = again.mapInArrow(names, "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "text long, s long, e long")
     return durable(done.unionAll(last))
 
@@ -227,7 +227,7 @@ def _among(named: DataFrame, texts: DataFrame, both: bool = False):
 
     With ``both``, also the rows whose name surely isn't.
     """
-    shared = named.sparkSession.sparkContext.broadcast(bit_set(texts, "name"))
+    shared = named.sparkSession.sparkContext.broadcast(bit_set(texts, "_name"))
 
     def rows_with(bit: int) -> DataFrame:
         def run(batches):
@@ -235,14 +235,14 @@ def _among(named: DataFrame, texts: DataFrame, both: bool = False):
                 take = pa.array(np.flatnonzero(is_set(shared.value, batch.column(batch.num_columns - 1)) == bit))
                 yield pa.RecordBatch.from_arrays([c.take(take) for c in batch.columns[:-1]], batch.schema.names[:-1])
 
-        return named.withColumn("_place", place("name")).mapInArrow(run, named.schema)
+        return named.withColumn("_place", place("_name")).mapInArrow(run, named.schema)
 
     return (rows_with(1), rows_with(0)) if both else rows_with(1)
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """Adds data (the UTF-8 bytes) and name (64 bits of hash) of each row's text."""
-    return docs.withColumn("data", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("name", F.xxhash64("data"))
+    """Adds _data (the UTF-8 bytes) and name (64 bits of hash) of each row's text."""
+    return docs.withColumn("_data", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("_name", F.xxhash64("_data"))
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -259,10 +259,10 @@ def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
 def _found(light: DataFrame, named: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Names of texts that are repeated in whole, and the spans (a list for each name) of other texts."""
     total = light.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    spans = repeated_spans(named.select(F.col("name").alias("text"), "data"), total, length, gram)
-    whole = durable(light.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("m"), F.first("name").alias("name")).where("m > 1").select("name").distinct())
-    part = spans.withColumnRenamed("text", "name").join(whole, "name", "left_anti")
-    return whole, durable(part.groupBy("name").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    spans = repeated_spans(named.select(F.col("_name").alias("text"), F.col("_data").alias("data")), total, length, gram)
+    whole = durable(light.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("m"), F.first("_name").alias("_name")).where("m > 1").select("_name").distinct())
+    part = spans.withColumnRenamed("text", "_name").join(whole, "_name", "left_anti")
+    return whole, durable(part.groupBy("_name").agg(F.collect_list(F.struct("s", "e")).alias("_spans")))
 
 
 def digest(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
@@ -272,9 +272,9 @@ def digest(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
     rows too) repeat each other, so all of them lose everything.  Other columns are dropped.
     """
     named = _named(docs.select("doc_id", "text"))
-    light = durable(named.select("doc_id", "name", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n_bytes")))
+    light = durable(named.select("doc_id", "_name", F.sha2("_data", 256).alias("sha"), F.octet_length("_data").cast("long").alias("n_bytes")))
     whole, spans = _found(light, named, length, gram)
-    sides = light.join(whole.withColumn("whole", F.lit(True)), "name", "left").join(spans.select("name", F.lit(True).alias("part")), "name", "left")
+    sides = light.join(whole.withColumn("whole", F.lit(True)), "_name", "left").join(spans.select("_name", F.lit(True).alias("part")), "_name", "left")
     w = F.coalesce("whole", F.lit(False))
     rest = sides.where("part is null").select(
         "doc_id",
@@ -293,7 +293,7 @@ def digest(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    changed = _among(named, spans).join(spans, "name").select("doc_id", "data", "spans")
+    changed = _among(named, spans).join(spans, "_name").select("doc_id", "_data", "_spans")
     return rest.unionAll(changed.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
@@ -304,18 +304,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFr
     repeats, and null texts, stay as they are.  An ``n_chars`` column follows the new text.
     """
     named = _named(docs)
-    light = durable(named.select("name", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n_bytes")))
+    light = durable(named.select("_name", F.sha2("_data", 256).alias("sha"), F.octet_length("_data").cast("long").alias("n_bytes")))
     whole, spans = _found(light, named, length, gram)
-    every = durable(spans.unionAll(whole.select("name", F.expr("array(named_struct('s', 0L, 'e', 1099511627776L))"))))
+    every = durable(spans.unionAll(whole.select("_name", F.expr("array(named_struct('s', 0L, 'e', 1099511627776L))"))))
     touched, plain = _among(named, every, both=True)
-    hit = touched.join(every, "name", "left").drop("data", "name")
+    hit = touched.join(every, "_name", "left").drop("_data", "_name")
+    columns = docs.columns
 
     def cut(batches):
         for batch in batches:
-            texts = [t if spans is None or t is None else kept(d := t.encode(), merged(spans, len(d))).decode(errors="ignore") for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], docs.columns)
+            texts = [t if spans is None or t is None else kept(d := t.encode(), merged(spans, len(d))).decode(errors="ignore") for t, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
-    out = plain.drop("data", "name").unionAll(hit.mapInArrow(cut, docs.schema))
+    out = plain.drop("_data", "_name").unionAll(hit.mapInArrow(cut, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
