@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import durable, partitions
+from loomlake.llm.common import durable, packs, partitions, utf8
 from loomlake.llm.tokens import word_ends
 
 ITEM, GAP, UPDATED, PLACED = 0, 1, 2, 3
@@ -122,12 +122,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0) -
     def cut(batches):
         encode = word_ends(tokenizer).ids
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + close
-                for k in range(0, len(ids), 4 * capacity):
-                    piece = ids[k : k + 4 * capacity]
-                    out.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
+            docs, texts, out = batch.column(0).to_pylist(), utf8(batch.column(1)), []
+            for lo, hi in packs(texts):
+                for doc, ids in zip(docs[lo:hi], encode([(t or b"").decode() for t in texts[lo:hi]])):
+                    ids += close
+                    for k in range(0, len(ids), 4 * capacity):
+                        piece = ids[k : k + 4 * capacity]
+                        out.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _KIND)], schema=_KIND)
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)

@@ -5,7 +5,10 @@ The vocabulary file's path is a parameter; it is loaded once per Python worker.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +19,7 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɀ‐-‧]*")
 
 @lru_cache(4)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -24,28 +28,45 @@ def _tokenizer(path: str):
 class WordEnds:
     """Ids of a tokenizer that lower-cases and never joins what white space parts.
 
-    The ids of a text are then those of its white-space-separated pieces, so each piece is encoded
-    once and kept.  Texts with characters for which that isn't plain, or with the string of a
-    special token, go to the tokenizer whole.  The store of pieces is emptied at ``most`` entries.
+    The ids of a text are then those of its white-space-separated pieces, and those of a word with one
+    punctuation mark behind it are the word's and the mark's; so each word is encoded once and kept.
+    Texts with characters for which that isn't plain, or with the string of a special token, go to the
+    tokenizer whole.  The store of words is emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer, self.most, self.kept = _tokenizer(path), most, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, without added tokens."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces, kept = text.lower().split(), self.kept
-        new = list({p for p in pieces if p not in kept})
-        if new:
-            if len(kept) > self.most:
-                kept.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                kept[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(kept.__getitem__, pieces))
+    def _learn(self, pieces: set[str]) -> None:
+        kept, split = self.kept, {}
+        for p in pieces:
+            if p[-1] in ".,;:!?" and p[:-1].isalpha():
+                split[p] = p[:-1]
+        new = list({split.get(p, p) for p in pieces} | {p[-1] for p in split})
+        new = [p for p in new if p not in kept]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            kept[p] = _bytes(e.ids)
+        for p, word in split.items():
+            kept[p] = kept[word] + kept[p[-1]]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without added tokens."""
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        pieces = [t.lower().split() if ok else None for t, ok in zip(texts, plain)]
+        new = set().union(*(x for x in pieces if x))
+        kept = self.kept
+        if len(kept) > self.most:
+            kept.clear()
+        self._learn(new.difference(kept))
+        return [b"".join(map(kept.__getitem__, x)) if x is not None else _bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, x in zip(texts, pieces)]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @lru_cache(4)
