@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.plans import chats, entitlements, retrieval, workflows
+from loomlake.plans import catalog, chats, entitlements, logs, maintenance, retrieval, workflows
 from loomlake.plans.tables import load
 
-__all__ = ["chats", "entitlements", "flagship", "load", "retrieval", "workflows"]
+__all__ = ["catalog", "chats", "entitlements", "flagship", "load", "logs", "maintenance", "retrieval", "workflows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
