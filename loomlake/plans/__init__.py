@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.plans import catalog, chats, entitlements, logs, maintenance, retrieval, workflows
+from loomlake.plans import catalog, chats, entitlements, logs, maintenance, retrieval, workflows  # isort: skip
+from loomlake.plans import streams
 from loomlake.plans.tables import load
 
-__all__ = ["catalog", "chats", "entitlements", "flagship", "load", "logs", "maintenance", "retrieval", "workflows"]
+__all__ = ["catalog", "chats", "entitlements", "flagship", "load", "logs", "maintenance", "retrieval", "streams", "workflows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1,26 @@
-"""sources of the library."""
+"""Sources: message envelopes and uploaded files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ENVELOPE = "type string, user_id string, kb_id string, agent_id string, document_id string, filename string, content string, trace map<string,string>"
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; the table may be one file or a folder, so the path is given as a pattern."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def messages(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Envelopes of JSON lines: ``m`` and whether the line is ``ok`` (an object that parses); bad ones are for quarantine."""
+    kind = f"{ENVELOPE}, _bad string"
+    m = F.from_json(column, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.withColumn("m", m).withColumn("ok", F.col("m").isNotNull() & F.col("m._bad").isNull())
+
+
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Files as (path, length, content)."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")

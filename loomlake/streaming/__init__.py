@@ -1 +1,33 @@
-"""streaming of the library."""
+"""Streams share the batch transformations; sinks are keyed, so a redelivered batch changes nothing."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's checkpoint and output, where all executors can reach it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlake-stream-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, at: str, mode: str = "append", write: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it wrote; a batch's rows carry ``batch_id``.
+
+    A batch is written to a folder of its own and overwrites it, so running it twice is the same as once.
+    """
+    from pyspark.sql import functions as F
+
+    spark = stream.sparkSession
+    out = f"{at}/out"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (write(batch, batch_id, out) if write else batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).withColumn("batch_id", F.col("batch_id").cast("long"))
