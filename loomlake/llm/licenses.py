@@ -102,13 +102,14 @@ class Scanner:
             first, end = int(doc.bounds[t]), int(doc.bounds[t + 1])
             done = first
             previous = None
+            band = min(self.band, len(template) // 2)  # a short template's neighbours aren't its variants
             for shift in sorted(all_shifts):
-                if previous is not None and shift - previous <= self.band:
+                if previous is not None and shift - previous <= band:
                     continue  # the same place: the band holds both diagonals
                 previous = shift
-                lo = max(first, shift - self.band)
-                region = doc.hashes[lo : min(end, shift + len(template) + self.band)]
-                same, a, b = align(template, region, shift - lo, self.band)
+                lo = max(first, shift - band)
+                region = doc.hashes[lo : min(end, shift + len(template) + band)]
+                same, a, b = align(template, region, shift - lo, band)
                 if same >= self.least * len(template) and lo + a >= done:
                     done = lo + b
                     yield t, n, same, len(template), lo + a - first, lo + b - first
