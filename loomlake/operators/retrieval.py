@@ -62,7 +62,7 @@ def top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int | str
     return scored.withColumn("rank", n).where(F.col("rank") <= limit)
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", tables: int = 12, planes: int = 5, seed: int = 7) -> DataFrame:
+def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", tables: int = 24, planes: int = 4, seed: int = 7) -> DataFrame:
     """As ``top_k``, but only items that share one of ``tables`` sign patterns with the query are scored."""
     import numpy as np
 
