@@ -3,16 +3,15 @@
 Records are ordered by (hash of the text, doc_id), so copies of a text are neighbours.  Keys are
 sampled with a chance in proportion to their size; quantiles of the sample are the splitters of
 many ranges, whose true bytes are then counted.  A range beyond its share is subdivided by the
-hash of doc_id, the only thing that parts copies of one text.  Shards are cut between units (ranges
-or their parts) where the running total of bytes comes nearest to an equal share.
+hash of doc_id, the only thing that parts copies of one text.  Shards are cut at equal
+shares of the running total of bytes over the units (ranges or their parts), and within a unit
+between texts, so that copies stay together unless there are too many of them.
 
 The driver sees the splitters and one row per unit: a number set by ``ranges``, not by the data.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +49,8 @@ def splitters(keyed: DataFrame, total: int, ranges: int, sample: int) -> list[in
 def shard(docs: DataFrame, shards: int = 8, *, ranges: int = 512, sample: int = 8192) -> DataFrame:
     """A row for each document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
-    Shards hold near equal bytes (text and one more for each record): the cuts miss an equal share by
-    half a unit at most.  Null texts count as empty.  Slots number a shard's rows from 0 in the order of
+    Shards hold near equal bytes (text and one more for each record): a cut misses an equal share by
+    half the bytes of one text's copies in a unit at most, and so by half a unit at most.  Null texts count as empty.  Slots number a shard's rows from 0 in the order of
     (text hash, doc_id), without gaps, so copies of a text are neighbours; repeated rows each get a slot.
     No rows give no rows.  Other columns are dropped.
     """
@@ -69,23 +68,19 @@ def shard(docs: DataFrame, shards: int = 8, *, ranges: int = 512, sample: int =
     else:
         ranged = ranged.withColumn("_part", F.lit(0))
     units = sorted((r["_range"], r["_part"], r["bytes"], r["rows"]) for r in ranged.groupBy("_range", "_part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
-    ends = [0]
-    for u in units:
-        ends.append(ends[-1] + u[2])
-    # The cut before shard s is the end of a unit that is nearest to s shares.
-    cut = [0]
-    for s in range(1, shards):
-        aim = total * s / shards
-        i = bisect_left(ends, aim)
-        cut.append(max(cut[-1], i - 1 if i and (i == len(ends) or aim - ends[i - 1] <= ends[i] - aim) else i))
-    cut.append(len(units))
-    placed = []
-    for s in range(shards):
-        slot = 0
-        for r, p, _, n in units[cut[s] : cut[s + 1]]:
-            placed.append((r, p, s, slot))
-            slot += n
-    where = spark.createDataFrame(placed, "_range int, _part int, shard int, _first long")
-    rank = F.row_number().over(Window.partitionBy("_range", "_part").orderBy("_key", "doc_id"))
-    numbered = ranged.withColumn("_row", rank).join(F.broadcast(where), ["_range", "_part"])  # a row for each unit: bounded by `ranges`
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_row") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # Where each unit begins, in bytes and in rows; one row for each unit: bounded by `ranges`.
+    placed, at, row = [], 0, 0
+    for r, p, n_bytes, n_rows in units:
+        placed.append((r, p, at, row))
+        at, row = at + n_bytes, row + n_rows
+    where = spark.createDataFrame(placed, "_range int, _part int, _bytes long, _first long")
+    unit = Window.partitionBy("_range", "_part")
+    numbered = ranged.withColumns({"_row": F.row_number().over(unit.orderBy("_key", "doc_id")), "_end": F.sum("size").over(unit.orderBy("_key")), "_group": F.sum("size").over(Window.partitionBy("_range", "_part", "_key"))})
+    numbered = numbered.join(F.broadcast(where), ["_range", "_part"])
+    # A text's copies in a unit go where the middle of their bytes lies.
+    middle = F.col("_bytes") + F.col("_end") - F.col("_group") / 2
+    numbered = numbered.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int")).withColumn("_index", F.col("_first") + F.col("_row") - 1)
+    numbered = durable(numbered.select("doc_id", "size", "text_crc32", "shard", "_index"))
+    first = numbered.groupBy("shard").agg(F.min("_index").alias("_shard_first"))
+    slotted = numbered.join(F.broadcast(first), "shard")  # a row for each shard
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_index") - F.col("_shard_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
