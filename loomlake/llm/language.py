@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 NONE = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))  # stops at the first
+
+
 def features(text: str, bits: int = 16, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of 1 .. longest characters of a text between blanks, and their counts."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,7 +63,7 @@ class Model:
         return x @ self.weights[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.labels or not text or not _LETTER.search(text):
+        if not self.labels or not text or not has_letter(text):
             return NONE, 0.0
         z = self.scores(text) / self.temperature
         p = np.exp(z - z.max())

@@ -143,7 +143,7 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_edges(spark):
     base = [(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)]
-    docs = spark.createDataFrame([(*r, "x") for r in base + [(100, None, "en"), (101, "", None), (102, "123 !?", "de"), (103, "the dog", None), (103, "the dog", None)]], "doc_id long, text string, lang string, score string")
+    docs = spark.createDataFrame([(*r, "x") for r in base + [(100, None, "en"), (101, "", None), (102, "123 !? ½²", "de"), (103, "the dog", None), (103, "the dog", None)]], "doc_id long, text string, lang string, score string")
     got = language.identify(docs).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == docs.count()
