@@ -58,10 +58,7 @@ def decide(asks: DataFrame, resources: DataFrame, memberships: DataFrame, member
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """One page and the exact total; page from 1, size 1 to 100, else the defaults 1 and 20."""
     number, size = max(number, 1), size if 1 <= size <= 100 else 20
-    # One task orders the rows that a listing pages through; the total is of them all.
-    total = df.agg(F.count("*").alias("total"))
-    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", F.lit(df.count()).cast("long"))
 
 
 def newest(df: DataFrame, parent: list[str], order: list, cap: int) -> DataFrame:

@@ -45,7 +45,8 @@ TABLES: dict[str, str] = {
         CASE o_orderkey % 5 WHEN 0 THEN 'revoked' WHEN 1 THEN NULL WHEN 2 THEN 'refresh_failed' ELSE 'active' END AS status, o_orderkey % 3 AS refresh_failures,
         CASE o_orderkey % 4 WHEN 0 THEN 'repo' WHEN 1 THEN 'repo,user' WHEN 2 THEN '' ELSE 'read:org,repo:status' END AS scopes,
         row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders JOIN customer ON o_custkey = c_custkey) x WHERE n = 1""",
-    "identity_providers": """SELECT n_nationkey AS organization_id, p AS name FROM nation CROSS JOIN (SELECT 'google' AS p UNION ALL SELECT 'github' UNION ALL SELECT 'jira') x WHERE NOT (p = 'jira' AND n_nationkey % 5 = 0)""",
+    "identity_providers": """SELECT n_nationkey AS organization_id, 'google' AS name FROM nation UNION ALL SELECT n_nationkey, 'github' FROM nation
+        UNION ALL SELECT n_nationkey, 'jira' FROM nation WHERE n_nationkey % 5 <> 0""",
     # A tool's requirements: the wildcard of each server, own entries of some tools.
     "tools": """SELECT s_nationkey AS organization_id, s_suppkey AS server_id, p_partkey AS tool_id, p_name || ' ' || cast(p_partkey % 7 AS varchar(20)) AS name, p_brand, p_type, p_size, p_retailprice FROM part JOIN supplier ON p_partkey % 100 = s_suppkey""",
     "users": """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '  User' || cast(c_custkey / 2 AS varchar(20)) || '@Mail.org ' ELSE 'user' || cast(c_custkey AS varchar(20)) || '@mail.org' END AS email, c_name AS display_name, c_custkey % 6 <> 0 AS email_verified FROM customer""",
