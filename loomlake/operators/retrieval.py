@@ -43,8 +43,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """A vector of length 1 in double; null for a zero or null vector."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+    # The norm is bound to a lambda's variable: written inside the inner lambda, it would be computed for each element.
+    both = F.array(F.struct(vector.alias("v"), F.sqrt(dot(vector, vector)).alias("norm")))
+    return F.get(F.transform(both, lambda s: F.when(s["norm"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["norm"]))), F.lit(0))
 
 
 def top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int | str = 5, key: str = "id", digits: int = 6) -> DataFrame:
@@ -62,19 +63,22 @@ def top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int | str
     return scored.withColumn("rank", n).where(F.col("rank") <= limit)
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", tables: int = 24, planes: int = 4, seed: int = 7) -> DataFrame:
-    """As ``top_k``, but only items that share one of ``tables`` sign patterns with the query are scored."""
-    import numpy as np
+def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", tables: int = 24, planes: int = 4, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """As ``top_k``, but only items that share one of ``tables`` sign patterns with the query are scored.
 
-    dim = items.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
-    rng = np.random.default_rng(seed)
+    Returns the ranked rows and the pairs that were scored.
+    """
+    import json
 
-    def pattern(t: int) -> Column:
-        bits = [F.when(dot(F.col("embedding"), F.array(*[F.lit(float(v)) for v in rng.normal(size=dim)])) > 0, 1 << p).otherwise(0) for p in range(planes)]
-        return F.lit(t << planes) + sum(bits[1:], bits[0])
+    import numpy as np
 
-    patterns = [pattern(t) for t in range(tables)]
-    side = lambda df, name: df.withColumn("_bucket", F.explode(F.array(*patterns))).select(name, *tenant, "_bucket")
+    dim = items.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
+    normals = np.random.default_rng(seed).normal(size=(tables, planes, dim)).tolist()
+    # One constant for all planes keeps the plan small.
+    constant = F.from_json(F.lit(json.dumps(normals)), "array<array<array<double>>>")
+    sign = lambda bits, p: bits * 2 + F.when(dot(F.col("embedding"), p) > 0, 1).otherwise(0)
+    patterns = F.transform(constant, lambda ps, t: t * (1 << planes) + F.aggregate(ps, F.lit(0), sign))
+    side = lambda df, name: df.withColumn("_bucket", F.explode(patterns)).select(name, *tenant, "_bucket")
     pairs = side(queries, "query_id").join(side(items, key), [*tenant, "_bucket"]).select("query_id", key, *tenant).distinct()
     return rank_pairs(pairs, queries, items, tenant, k, key), pairs
 
