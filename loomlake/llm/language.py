@@ -143,12 +143,21 @@ def fit(labelled: DataFrame, *, label: str = "lang", bits: int = 16, most_rows:
         else:
             df[r["feature"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    labels = sorted(r["_label"] for r in rows.select("_label").distinct().collect())
+    sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    labels = sorted(sizes)
     if not labels:
         return Model([], idf, np.zeros((dim, 0)), 1.0, bits)
     each = max(1, most_rows // len(labels))
-    order = F.xxhash64("doc_id")
-    sample = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy(order, "doc_id", "text"))).where(F.col("_n") <= each)
+    order = F.xxhash64("doc_id", "text")
+    # Of a label with many rows only those with a low hash, about twice as many as wanted, are shuffled.
+    share = F.lit(1.0)
+    for v in labels:
+        if sizes[v] > 4 * each:
+            share = F.when(F.col("_label") == v, F.lit(2 * each / sizes[v])).otherwise(share)
+    low = (order / F.lit(float(1 << 63)) + 1) / 2 < share
+    drawn = rows.where(low)
+    drawn = drawn if drawn.limit(1).count() else rows  # copies of one row only: all have one hash
+    sample = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy(order, "doc_id", "text"))).where(F.col("_n") <= each)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_n", "_label"], ignore_index=True)
