@@ -204,40 +204,44 @@ class Join:
         return differ <= na + nb - 2 * least_overlap(na + nb, self.t)
 
     def segments(self, nodes: DataFrame) -> DataFrame:
-        """(node, fragment, set members of that fragment) of the nodes, and perhaps of some others."""
+        """(node, fragment, set members of that fragment) of the nodes, perhaps of some others, perhaps twice."""
         wanted = self.context.broadcast(bit_set(nodes.join(self.classes.select("node", "rep"), "node"), "rep"))
         k, cut = self.k, U(64 - int(log(self.fragments, 2)))
         schema = pa.schema([("node", pa.int64()), ("fragment", pa.int64()), ("members", pa.binary())])
 
         def run(batches):
+            seen = set()
             for batch in batches:
                 take = np.flatnonzero(is_set(wanted.value, batch.column(1)))
                 rows = []
                 for _, s in sets(utf8(batch.column(0).take(pa.array(take))), k):
-                    name, part = digest(s), (s >> cut).astype(np.int64)
+                    if (name := digest(s)) in seen:
+                        continue
+                    seen.add(name)
+                    part = (s >> cut).astype(np.int64)
                     for f in np.unique(part).tolist():
                         rows.append((name, f, s[part == f].tobytes()))
                 yield _batches(rows, schema)
 
         docs = self.docs.where("doc_id is not null").select("text", place("doc_id").alias("place"))
-        return docs.mapInArrow(run, "node long, fragment long, members binary").join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"])
+        return docs.mapInArrow(run, "node long, fragment long, members binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that link, by partial overlaps of fragments summed for each pair."""
-        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        seg = durable(self.segments(nodes))
-        left = pairs.join(seg.select(F.col("node").alias("b"), "fragment", F.col("members").alias("mb")), "b")
-        both = left.join(seg.select(F.col("node").alias("a"), "fragment", F.col("members").alias("ma")), ["a", "fragment"])
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64())])
+        side = lambda end: self.segments(pairs.select(F.col(end).alias("node")).distinct()).select(F.col("node").alias(end), "fragment", F.col("members").alias(f"m{end}"))
+        both = pairs.join(side("b"), "b").join(side("a"), ["a", "fragment"])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("fragment", pa.int64()), ("common", pa.int64())])
 
         def overlap(batches):
             for batch in batches:
-                common = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(c.cast(pa.int64()) for c in batch.columns[:4]), pa.array(common, pa.int64())], schema=schema)
+                common = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(c.cast(pa.int64()) for c in batch.columns[:5]), pa.array(common, pa.int64())], schema=schema)
 
-        partial = both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(overlap, "a long, b long, na long, nb long, common long")
+        partial = both.select("a", "b", "na", "nb", "fragment", "ma", "mb").mapInArrow(overlap, "a long, b long, na long, nb long, fragment long, common long")
+        # A set that two tasks saw makes equal rows for a fragment: one of them counts.
+        once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
         o = F.col("common")
-        return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(100 * o >= self.t * (F.col("na") + F.col("nb") - o)).select("a", "b")
+        return once.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(100 * o >= self.t * (F.col("na") + F.col("nb") - o)).select("a", "b")
 
     def links(self) -> DataFrame:
         """Pairs of nodes that link, enough of them to give the components of all links."""
