@@ -52,7 +52,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship_code(spark)
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    # Workers that earlier stages have used keep fewer words in memory.
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, keep_words=300_000)
 
 
 STAGES = [

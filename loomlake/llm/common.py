@@ -16,8 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts in an Arrow batch: the default of 10,000 can be tens of MB in the JVM and again in Python.
+BATCH_ROWS = 1000
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it through ``sys.path`` only."""
+    """Prepares the session: workers can import this package, and Arrow batches of texts are small.
+
+    A batch size that is already smaller stays.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)

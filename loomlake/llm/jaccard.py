@@ -109,7 +109,7 @@ class Join:
                         seen.add(name)
                         parts.append(s >> U(64 - 32 - bits))
                         size += len(s)
-                        if size > 4_000_000:
+                        if size > 1_500_000:
                             yield packed(parts)
                             parts, size = [], 0
             if parts:
@@ -174,7 +174,7 @@ class Join:
                     # Frequent shingles need no search for partners; they are dealt evenly.
                     buckets.append(np.where(often[order] > 0, -turn, (rows["s"] >> U(64 - deal)).astype(np.int64)))
                     size += pl
-                    if size > 1_000_000:
+                    if size > 400_000:
                         yield packed(parts, buckets)
                         parts, buckets, size = [], [], 0
             if parts:

@@ -115,12 +115,15 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _KIND = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0) -> DataFrame:
-    """Pieces of at most ``capacity`` ids of each whole text (null: empty) and its end id: only longer documents are cut."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, keep_words: int = 1_000_000) -> DataFrame:
+    """Pieces of at most ``capacity`` ids of each whole text (null: empty) and its end id: only longer documents are cut.
+
+    A worker keeps the ids of up to ``keep_words`` words (about 200 bytes each).
+    """
     close = int(end).to_bytes(4, "little")
 
     def cut(batches):
-        encode = word_ends(tokenizer).ids
+        encode = word_ends(tokenizer, keep_words).ids
         for batch in batches:
             docs, texts, out = batch.column(0).to_pylist(), utf8(batch.column(1)), []
             for lo, hi in packs(texts):
@@ -134,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0) -
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_words: int = 1_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: see ``token_pieces`` and ``best_fit``."""
-    pieces = durable(token_pieces(docs, tokenizer, capacity, end).repartition(partitions(docs)))
+    pieces = durable(token_pieces(docs, tokenizer, capacity, end, keep_words).repartition(partitions(docs)))
     return best_fit(pieces, capacity)

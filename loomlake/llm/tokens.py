@@ -70,8 +70,8 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 @lru_cache(4)
-def word_ends(path: str) -> WordEnds:
-    return WordEnds(path)
+def word_ends(path: str, most: int) -> WordEnds:
+    return WordEnds(path, most)
 
 
 @lru_cache(4)
