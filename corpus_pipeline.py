@@ -17,6 +17,8 @@ from loomlake.llm.common import ship_code, table
 
 #: Documents whose language is predicted with less than this are rejected.
 LEAST_SCORE = 0.5
+#: Passages of so many words that occur more than once are cut, as strings of 400 bytes are.
+PASSAGE_WORDS = 51
 #: Documents with more than this fraction of words in benchmark windows are rejected.
 MOST_HIT = 0.0
 
@@ -36,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte of strings that occur more than once out of the texts."""
+    """Cuts strings of 400 bytes, and passages of over 50 words, that occur more than once out of the texts."""
     ship_code(spark)
-    return suffixes.remove_repeats(docs, length=400).select(docs.columns)
+    return suffixes.remove_repeats(docs, length=400, passage=PASSAGE_WORDS).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

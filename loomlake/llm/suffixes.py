@@ -18,6 +18,9 @@ name for each window; buckets with two or more places are repeated.
 
 Postings travel as packed arrays by hash range.  A copy of a text within a task is looked at once, and
 copies of whole texts are known from their hash; texts travel only if a repeated place is in them.
+
+Passages of so many words are found in the same way: the places of a text are then its words, named by
+their hashes, instead of its bytes.
 """
 
 from __future__ import annotations
@@ -32,25 +35,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import bit_set, durable, is_set, place
-from loomlake.llm.words import U, mix
+from loomlake.llm.words import U, Words, mix, words
 
 _POST = np.dtype([("core", "<u8"), ("reach", "<u8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 _NAME = np.dtype([("name", "<u8"), ("text", "<i8"), ("at", "<i8")])
 
 
+#: Words between ASCII white space, as they are written.
+_AS_WRITTEN = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+#: First words of a passage that name its initial bucket.
+_WORD_GRAM = 8
+
+
+def _words(data: bytes) -> Words:
+    return words([data], _AS_WRITTEN)
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The bucket name of a string from the names of its two parts."""
     return mix(a * U(0x9E3779B97F4A7C15) + b)
 
 
 class Ladder:
-    """Bucket names of strings of one text: of all places at depth ``gram`` (32), and deeper where asked."""
+    """Bucket names of strings of one text: of all places at depth ``gram`` (32), and deeper where asked.
+
+    With ``in_words`` places, depths and sizes are words instead of bytes.
+    """
 
-    def __init__(self, data: bytes, gram: int):
-        n = len(data)
-        h, d = np.zeros(max(n - 7, 0), U), 8
-        for o in range(min(8, len(h))):  # eight bytes are their own name
-            h[o::8] = np.frombuffer(data, "<u8", (n - o) // 8, o)
+    def __init__(self, data: bytes, gram: int, in_words: bool = False):
+        if in_words:
+            h, d = _words(data).hashes, 1
+        else:
+            n = len(data)
+            h, d = np.zeros(max(n - 7, 0), U), 8
+            for o in range(min(8, len(h))):  # eight bytes are their own name
+                h[o::8] = np.frombuffer(data, "<u8", (n - o) // 8, o)
         with np.errstate(over="ignore"):
             while d < gram:
                 h, d = _pair(h[: max(len(h) - d, 0)], h[d:]), d * 2
@@ -87,16 +106,18 @@ def chosen(h: np.ndarray, window: int) -> np.ndarray:
 
 
 class Refinement:
-    def __init__(self, length: int = 400, gram: int = 32):
+    def __init__(self, length: int = 400, gram: int = 32, in_words: bool = False):
         if gram < 8 or gram & (gram - 1) or length < 2 * gram:
             raise ValueError("gram must be a power of two from 8 and at most half the length")
-        self.length, self.gram, self.window = length, gram, length - gram + 1
+        self.length, self.gram, self.window, self.in_words = length, gram, length - gram + 1, in_words
         self.half = self.window // 2  # windows that begin up to so far before their suffix are its right family
 
     def families(self, data: bytes):
         """Core and reach names and first and last window of each family of a text's windows."""
-        ladder = Ladder(data, self.gram)
+        ladder = Ladder(data, self.gram, self.in_words)
         at = chosen(ladder.h, self.window)
+        if not len(at):
+            return np.zeros(0, U), np.zeros(0, U), at, at
         i = np.arange(len(at))
         left = at - i > self.half
         first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (left[1:] != left[:-1])))
@@ -129,12 +150,15 @@ def _spans(text, s, e, todo) -> pd.DataFrame:
     return pd.DataFrame({"text": text, "s": s, "e": e, "todo": todo})
 
 
-def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram: int = 32) -> DataFrame:
-    """(text, s, e): byte spans of repeated strings, of distinct texts; ``named`` has text (its name) and data."""
-    r = Refinement(length, gram)
+def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram: int = 32, in_words: bool = False) -> DataFrame:
+    """(text, s, e): byte spans of repeated strings, of distinct texts; ``named`` has text (its name) and data.
+
+    With ``in_words`` length, gram and spans are words.
+    """
+    r = Refinement(length, gram, in_words)
     # A bucket range is to hold about a million postings, whatever the corpus.
     bits = max(6, ceil(log(total_bytes / r.window * 4 / 1_000_000 + 1, 2)))
-    long_enough = named.where(F.octet_length("data") >= length)
+    long_enough = named.where(F.octet_length("data") >= (2 * length - 1 if in_words else length))
 
     def cores(batches):
         seen, parts, size = set(), [], 0
@@ -188,7 +212,7 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
                 if name in seen:
                     continue
                 seen.add(name)
-                ladder = Ladder(data, gram)
+                ladder = Ladder(data, gram, in_words)
                 at = np.unique(np.concatenate([np.arange(w["s"], w["e"] + 1) for w in windows]))
                 rows = np.zeros(len(at), _NAME)
                 with np.errstate(over="ignore"):
@@ -256,13 +280,22 @@ def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _found(light: DataFrame, named: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Names of texts that are repeated in whole, and the spans (a list for each name) of other texts."""
+def _found(light: DataFrame, named: DataFrame, length: int, gram: int, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Names of texts that are repeated in whole, and the spans (a list for each name) of other texts.
+
+    With ``passage``, also the spans of repeated passages of so many words; ``light`` has n_words then.
+    """
     total = light.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    spans = repeated_spans(named.select(F.col("_name").alias("text"), F.col("_data").alias("data")), total, length, gram)
-    whole = durable(light.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("m"), F.first("_name").alias("_name")).where("m > 1").select("_name").distinct())
+    texts = named.select(F.col("_name").alias("text"), F.col("_data").alias("data"))
+    spans = repeated_spans(texts, total, length, gram).withColumn("in_words", F.lit(False))
+    enough = F.col("n_bytes") >= length
+    if passage is not None:
+        # A word and its blank have about six bytes; that only sets the number of bucket ranges.
+        spans = spans.unionAll(repeated_spans(texts, total // 6, passage, _WORD_GRAM, in_words=True).withColumn("in_words", F.lit(True)))
+        enough = enough | (F.col("n_words") >= passage)
+    whole = durable(light.where(enough).groupBy("sha").agg(F.count("*").alias("m"), F.first("_name").alias("_name")).where("m > 1").select("_name").distinct())
     part = spans.withColumnRenamed("text", "_name").join(whole, "_name", "left_anti")
-    return whole, durable(part.groupBy("_name").agg(F.collect_list(F.struct("s", "e")).alias("_spans")))
+    return whole, durable(part.groupBy("_name").agg(F.collect_list(F.struct("s", "e", "in_words")).alias("_spans")))
 
 
 def digest(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
@@ -297,23 +330,38 @@ def digest(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
     return rest.unionAll(changed.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
+def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict]:
+    """Spans of bytes, from those of bytes and of words; the blanks between words of a span go with them."""
+    passages = [x for x in spans or [] if x["in_words"]]
+    if not passages:
+        return spans or []
+    w = _words(data)
+    found = [{"s": int(w.starts[s]), "e": int(w.ends[e - 1])} for s, e in merged(passages, len(w.starts))]
+    return [x for x in spans if not x["in_words"]] + found
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, passage: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, the text without the bytes of repeated strings.
 
+    With ``passage``, a run of so many words (between ASCII white space, whichever) that occurs more than
+    once goes too, however few bytes it has; a text of so many words that is repeated in whole loses all.
     Every occurrence goes, as in ``digest``; a character of which a byte goes is left out.  Rows without
     repeats, and null texts, stay as they are.  An ``n_chars`` column follows the new text.
     """
     named = _named(docs)
-    light = durable(named.select("_name", F.sha2("_data", 256).alias("sha"), F.octet_length("_data").cast("long").alias("n_bytes")))
-    whole, spans = _found(light, named, length, gram)
-    every = durable(spans.unionAll(whole.select("_name", F.expr("array(named_struct('s', 0L, 'e', 1099511627776L))"))))
+    size = F.octet_length("_data").cast("long")
+    # Only texts that are too short as bytes are asked for their words.
+    n_words = F.when(size < length, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0d]+"))).otherwise(F.lit(0)) if passage is not None else F.lit(0)
+    light = durable(named.select("_name", F.sha2("_data", 256).alias("sha"), size.alias("n_bytes"), n_words.alias("n_words")))
+    whole, spans = _found(light, named, length, gram, passage)
+    every = durable(spans.unionAll(whole.select("_name", F.expr("array(named_struct('s', 0L, 'e', 1099511627776L, 'in_words', false))"))))
     touched, plain = _among(named, every, both=True)
     hit = touched.join(every, "_name", "left").drop("_data", "_name")
     columns = docs.columns
 
     def cut(batches):
         for batch in batches:
-            texts = [t if spans is None or t is None else kept(d := t.encode(), merged(spans, len(d))).decode(errors="ignore") for t, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+            texts = [t if spans is None or t is None else kept(d := t.encode(), merged(in_bytes(d, spans), len(d))).decode(errors="ignore") for t, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
     out = plain.drop("_data", "_name").unionAll(hit.mapInArrow(cut, docs.schema))

@@ -320,9 +320,68 @@ def test_suffix_dedup_empty_and_bad(spark, docs):
         suffixes.Refinement(400, 30)
 
 
+def without_passages(rows, n=400, passage=51):
+    """Texts without strings of n bytes and without passages of so many words that occur twice, by brute force."""
+    split = re.compile(rb"[^\x20\x09-\x0d]+")
+    data = [(t or "").encode() for _, t in rows]
+    places = [[m.span() for m in split.finditer(b)] for b in data]
+    spell = [[b[s:e] for s, e in p] for b, p in zip(data, places)]
+    strings = Counter(hash(b[a : a + n]) for b in data for a in range(len(b) - n + 1))
+    passages = Counter(hash(tuple(w[a : a + passage])) for w in spell for a in range(len(w) - passage + 1))
+    copies, out = Counter(data), defaultdict(list)
+    for (i, _), b, p, w in zip(rows, data, places, spell):
+        gone = bytearray(len(b))
+        for a in range(len(b) - n + 1):
+            if strings[hash(b[a : a + n])] > 1:
+                gone[a : a + n] = b"\1" * n
+        hit = bytearray(len(w) + 1)
+        for a in range(len(w) - passage + 1):
+            if passages[hash(tuple(w[a : a + passage]))] > 1:
+                hit[a : a + passage] = b"\1" * passage
+        for a, (s, e) in enumerate(p):
+            if hit[a]:
+                e = p[a + 1][0] if hit[a + 1] else e
+                gone[s:e] = b"\1" * (e - s)
+        if copies[b] > 1 and (len(b) >= n or len(w) >= passage):
+            gone = b"\1" * len(b)
+        out[i].append(bytes(x for x, g in zip(b, gone) if not g).decode(errors="ignore"))
+    return out
+
+
+def test_passages_of_words(spark, docs):
+    r = random.Random(8)
+    fresh = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    short, less, tiny, wrapped = fresh(51), fresh(50), "a " * 20 + fresh(31), fresh(60)
+    plant = [(f"{fresh(40)} {p} {fresh(k)}", f"{fresh(k)}\n{q}\t{fresh(40)}") for k, (p, q) in enumerate([(short, short), (less, less), (tiny, tiny), (wrapped, wrapped.replace(" ", "\n"))], 30)]
+    assert len(short) < 450 and len(tiny) < 400
+    texts = [t for pair in plant for t in pair] + ["x y " * 60, " " + "a b c " * 17, " " + "a b c " * 17]
+    more = spark.createDataFrame([(20_000 + i, t, None) for i, t in enumerate(texts)], docs.schema)
+    every = docs.unionByName(more)
+    got = defaultdict(list)
+    for row in suffixes.remove_repeats(every, passage=51).collect():
+        got[row.doc_id].append(row.text or "")
+    want = without_passages(collected(every))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+    assert got[20_002] == [plant[1][0]] and got[20_003] == [plant[1][1]]
+
+
 # -- the pipeline
 
 
+def test_pipeline_cuts_short_passages(spark):
+    """51 words of under 400 bytes that two otherwise different documents share; 50 words stay."""
+    r = random.Random(9)
+    fresh = lambda n: " ".join("".join(r.choice("aeioulmnrst") for _ in range(5)) for _ in range(n))
+    passage, less = fresh(51), fresh(50)
+    assert len(passage.encode()) < 400
+    a, b, c, d = (fresh(200) for _ in range(4))
+    texts = [f"{a} {passage} {b}", f"{c} {passage} {d}", f"{d[:300]} {less} {a[:300]}", f"{b[:300]} {less} {c[:300]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got[0] == f"{a}  {b}" and got[1] == f"{c}  {d}"
+    assert less in got[2] and less in got[3]
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input against what brute force says of that input."""
     folder = f"{DATA}/sf0.001"
