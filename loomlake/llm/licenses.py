@@ -1,7 +1,7 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment reports them.
 
-The templates' winnowed word k-grams form an inverted index (hash -> template, place) whose size
-is fixed by the template list.  A document's fingerprints look candidates up; hits of one template
+The templates' winnowed word k-grams, and all word pairs of short templates, form an inverted index
+(hash -> template, place) whose size is fixed by the template list.  A document's fingerprints look candidates up; hits of one template
 on nearby diagonals make one candidate place, and a banded local alignment of the template with
 the document there gives the words in common, the coverage and the span.  Everything happens
 in one pass over the documents, without a shuffle.
@@ -9,14 +9,16 @@ in one pass over the documents, without a shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomlake.llm.common import packs, utf8
-from loomlake.llm.words import ALNUM, Words, grams, winnow, words
+from loomlake.llm.words import ALNUM, Words, found, grams, winnow, words
 
 # Public license notices.
 TEMPLATES = {
@@ -77,32 +79,41 @@ class Scanner:
     def __init__(self, templates: dict[str, str], gram: int, window: int, band: int, least: float):
         self.names, self.gram, self.window, self.band, self.least = sorted(templates), gram, window, band, least
         self.words = words([templates[n].encode() for n in self.names], ALNUM)
-        g = grams(self.words.hashes, gram)
-        self.index: dict[int, list[int]] = defaultdict(list)
-        at = winnow(g, self.words.text, gram, window)
-        for p in at.tolist():
-            self.index[int(g[p])].append(p)
-        self.keys = np.array(sorted(self.index), np.uint64)
+        sizes = np.diff(self.words.bounds)
+        # 0.8 of n words, in the runs that the others leave, hold a run of 4 if n is over 3 / (1 - 0.8).
+        self.short = sizes * (1 - least) <= gram + window - 2
+        # (words of a gram, window, its index, its keys): short templates by all their pairs, or their only word.
+        self.levels = []
+        for k, w, members in ((gram, window, ~self.short), (2, 1, self.short & (sizes > 1)), (1, 1, self.short & (sizes == 1))):
+            g = grams(self.words.hashes, k)
+            index: dict[int, list[int]] = defaultdict(list)
+            for p in winnow(g, self.words.text, k, w).tolist():
+                if members[self.words.text[p]]:
+                    index[int(g[p])].append(p)
+            if index:
+                self.levels.append((k, w, dict(index), np.array(sorted(index), np.uint64)))
 
     def scan(self, doc: Words):
         """(text of the slice, template, words in common, template words, first word, end) of each match."""
-        g = grams(doc.hashes, self.gram)
-        at = winnow(g, doc.text, self.gram, self.window)
-        if not len(at) or not len(self.keys):
-            return
-        places = np.searchsorted(self.keys, g[at])
-        hit = self.keys[np.minimum(places, len(self.keys) - 1)] == g[at]
         shifts: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for p in at[hit].tolist():
-            for q in self.index[int(g[p])]:
-                n = int(self.words.text[q])
-                shifts[int(doc.text[p]), n].add(p - q + int(self.words.bounds[n]))
+        for k, w, index, keys in self.levels:
+            g = grams(doc.hashes, k)
+            at = winnow(g, doc.text, k, w)
+            hit, _ = found(keys, g[at])
+            for p in at[hit].tolist():
+                for q in index[int(g[p])]:
+                    n = int(self.words.text[q])
+                    shifts[int(doc.text[p]), n].add(p - q + int(self.words.bounds[n]))
         for (t, n), all_shifts in sorted(shifts.items()):
             template = self.words.hashes[self.words.bounds[n] : self.words.bounds[n + 1]]
             first, end = int(doc.bounds[t]), int(doc.bounds[t + 1])
+            if self.short[n]:
+                for same, a, b in self.apart(template, doc.hashes, first, end, sorted(all_shifts)):
+                    yield t, n, same, len(template), a - first, b - first
+                continue
             done = first
             previous = None
-            band = min(self.band, len(template) // 2)  # a short template's neighbours aren't its variants
+            band = min(self.band, len(template) // 2)
             for shift in sorted(all_shifts):
                 if previous is not None and shift - previous <= band:
                     continue  # the same place: the band holds both diagonals
@@ -114,14 +125,49 @@ class Scanner:
                     done = lo + b
                     yield t, n, same, len(template), lo + a - first, lo + b - first
 
+    def apart(self, template: np.ndarray, doc: np.ndarray, first: int, end: int, shifts: list[int]) -> list[tuple[int, int, int]]:
+        """(words in common, first word, end) of a short template's places, best first, none within another.
+
+        The band is the template's length, so it holds neighbours too: a diagonal whose best place is taken
+        is aligned again in what is free beside it.
+        """
+        size, taken, waiting = len(template), [], []
+        band = max(self.band, size)
+
+        def wait(shift: int, lo: int, hi: int) -> None:
+            lo, hi = max(lo, shift - band), min(hi, shift + size + band)
+            if hi - lo < self.least * size:
+                return
+            same, a, b = align(template, doc[lo:hi], shift - lo, band)
+            if same >= self.least * size:
+                heappush(waiting, (-same, b - a, lo + a, lo + b, shift, lo, hi))
+
+        for shift in shifts:
+            wait(shift, first, end)
+        while waiting:
+            same, _, a, b, shift, lo, hi = heappop(waiting)
+            i = bisect(taken, (a, b))
+            # Taken spans are in order and disjoint; of those that meet this one, any splits what is left.
+            meets = next((x for x in taken[max(i - 1, 0) : i + 1] if x[0] < b and a < x[1]), None)
+            if meets is None:
+                taken.insert(i, (a, b, -same))
+            else:
+                wait(shift, lo, min(hi, meets[0]))
+                wait(shift, max(lo, meets[1]), hi)
+        return [(same, a, b) for a, b, same in taken]
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, gram: int = 3, window: int = 2, band: int = 8, least: float = 0.8) -> DataFrame:
     """A row for each place of a document that holds at least ``least`` of a template's words in order.
 
     Rows: doc_id, license, coverage, n_matched, n_words (of the template), and the span in words and
-    in bytes of the text.  Every shared run of ``gram + window - 1`` words is a candidate; so a match
-    without such a run (every third word changed) isn't looked at, and neither is a template shorter
-    than that.  Null and empty texts give no rows; repeated rows give their own; other columns are dropped.
+    in bytes of the text.  Candidates of a template of over ``(gram + window - 2) / (1 - least)`` (15) words
+    are all shared runs of ``gram + window - 1`` (4) words; a match has one unless words are put in between,
+    and those may shift it by ``band`` words.  Candidates of a shorter template are all shared pairs of
+    neighbouring words (of a single word, that word), and words put in between may shift the others by
+    ``band`` words or the template's length, whichever is more.  Places of one short template don't overlap;
+    the one with most words in common goes first.  Null and empty texts give no rows; repeated rows give
+    their own; other columns are dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, gram, window, band, least))
 

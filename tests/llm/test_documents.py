@@ -175,6 +175,28 @@ def test_licenses(spark):
     assert not licenses.scan_licenses(df.limit(0)).collect()
 
 
+def test_short_notices(spark):
+    """Wordings of notices with a word left out, changed or put in, and neighbours that stay apart."""
+    mit, cc = "MIT-notice", "CC-BY-NC-4.0-notice"
+    cases = [
+        ("It is released under MIT License, so there.", [(mit, 4, "released under MIT License")]),
+        ("x Released under the terms of the MIT License y", [(mit, 5, "Released under the terms of the MIT License")]),
+        ("Licensed under CC XX-NC 4.0", [(cc, 6, "Licensed under CC XX-NC 4.0")]),
+        ("Licensed under CC BY-NC 4.0 Licensed under CC BY-NC 4.0", [(cc, 7, "Licensed under CC BY-NC 4.0")] * 2),
+        ("Released under the MIT. Released under the MIT License", [(mit, 4, "Released under the MIT"), (mit, 5, "Released under the MIT License")]),
+        ("Released under MIT License " * 5, [(mit, 4, "Released under MIT License")] * 5),
+        ("Licensed under the terms of the Apache License 2.0", [("Apache-2.0-notice", 7, "Licensed under the terms of the Apache License 2.0")]),
+        ("Released the License", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(licenses.scan_licenses(df).collect(), key=lambda r: (r.doc_id, r.word_start)):
+        got[r.doc_id].append((r.license, r.n_matched, cases[r.doc_id][0].encode()[r.byte_start : r.byte_end].decode()))
+    assert {i: got[i] for i in range(len(cases))} == {i: want for i, (_, want) in enumerate(cases)}
+    one = licenses.scan_licenses(df, {"word": "terms"}).collect()
+    assert sorted((r.doc_id, r.n_matched) for r in one) == [(1, 1), (6, 1)]
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
