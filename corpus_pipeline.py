@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from loomlake.llm import decontaminate, jaccard, language, packing, suffixes
 from loomlake.llm.common import ship_code, table
 
-#: Documents whose language is predicted with less than this are rejected.
-LEAST_SCORE = 0.5
 #: Passages of so many words that occur more than once are cut, as strings of 400 bytes are.
 PASSAGE_WORDS = 51
 #: Documents with more than this fraction of words in benchmark windows are rejected.
@@ -24,11 +22,11 @@ MOST_HIT = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose language is in doubt."""
+    """Rejects documents without a letter; a low score alone doesn't, as clean short texts are in doubt too."""
     ship_code(spark)
     model = language.fit(docs.where(~language.held_out()))
     seen = language.predict(docs, model, "_lang", "_score")
-    return seen.where((F.col("_lang") != language.NONE) & (F.col("_score") >= LEAST_SCORE)).select(docs.columns)
+    return seen.where(F.col("_lang") != language.NONE).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

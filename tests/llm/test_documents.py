@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomlake.llm import decontaminate, jaccard, licenses, packing, queries, shards, suffixes
+from loomlake.llm import decontaminate, jaccard, language, licenses, packing, queries, shards, suffixes
 from tests.conftest import DATA
 
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -390,6 +390,15 @@ def test_passages_of_words(spark, docs):
 # -- the pipeline
 
 
+def test_pipeline_keeps_short_documents_in_doubt(spark, monkeypatch):
+    """A model that gives four languages 0.25 each rejects only what has no letter."""
+    model = language.Model(["de", "en", "es", "fr"], np.ones(1 << 16), np.zeros((1 << 16, 4)), 1.0, 16)
+    monkeypatch.setattr(language, "fit", lambda docs: model)
+    texts = ["Thtion.", "Re. Esea 4566095658496433 of at.", "é", "12 34", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [0, 1, 2]
+
+
 def test_pipeline_cuts_short_passages(spark):
     """51 words of under 400 bytes that two otherwise different documents share; 50 words stay."""
     r = random.Random(9)
