@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE = r"(?U)^\s+|\s+$"
+# A run of white space at the end is tried from its first character only, so long runs inside cost nothing.
+_EDGE = r"(?U)^\s++|(?<!\s)\s++$"
 
 
 def trimmed(text: Column) -> Column:
@@ -13,6 +16,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE, "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` (and its lambdas) name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chunk_settings(size: int = 1000, overlap: int = 150) -> tuple[int, int]:
     """Size and overlap as used: a bad size is 1000; a bad overlap is 150, or a quarter of a size that is no larger."""
     size = size if size > 0 else 1000
@@ -22,23 +30,54 @@ def chunk_settings(size: int = 1000, overlap: int = 150) -> tuple[int, int]:
 
 
 def chunks(text: Column, size: int = 1000, overlap: int = 150) -> Column:
-    """Overlapping windows of characters, trimmed, without blank ones."""
+    """Overlapping windows of characters, trimmed, without blank ones; null and blank texts have none.
+
+    The text is cut once into pieces of ``size - overlap`` characters, and a window is made of its piece and
+    the next ones, so the work is in proportion to the text.
+    """
     size, overlap = chunk_settings(size, overlap)
     step = size - overlap
+    reach = -(-size // step)
     t = trimmed(text)
-    n = F.length(t)
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(step))).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: trimmed(F.substr(t, i * step + 1, F.lit(size))))
-    return F.when(n > 0, F.filter(windows, lambda x: x != "")).otherwise(F.expr("cast(array() as array<string>)"))
 
+    def cut(s: Column) -> Column:
+        last = F.when(s["n"] <= size, F.lit(0)).otherwise(F.ceil((s["n"] - size) / F.lit(step))).cast("int")
+        window = lambda i: trimmed(F.substr(F.array_join(F.slice(s["pieces"], i + 1, F.lit(reach)), ""), F.lit(1), F.lit(size)))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda x: x != "")
+
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return F.when(F.length(t) > 0, bound(F.struct(pieces.alias("pieces"), F.length(t).alias("n")), cut)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+#: Bracketed runs that one step of the inner fold of ``strip_html`` goes through.
+_BLOCK = 256
+
+
+def strip_html(markup: Column) -> Column:
+    """Text outside of tags, white space collapsed.
+
+    Tags may nest to any depth: a ``<`` goes one deeper, a ``>`` one up (at depth 0 it is dropped), and text
+    counts at depth 0 only, so a tag that is never closed hides the rest.  Null stays null.
+    """
+    # Every run begins with a bracket; the first one with one that changes nothing.
+    runs = F.regexp_extract_all(F.concat(F.lit(">"), markup), F.lit("(?s)[<>][^<>]*"), F.lit(0))
+    state = lambda depth: F.struct(depth.alias("depth"), F.expr("cast(array() as array<string>)").alias("kept"))
+
+    def step(s: Column, run: Column) -> Column:
+        depth = F.when(F.substring(run, 1, 1) == "<", s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.array_append(s["kept"], F.substr(run, F.lit(2)))).otherwise(s["kept"]).alias("kept"))
+
+    def block(r: Column) -> Callable[[Column, Column], Column]:
+        # Kept texts are put together block by block, so that no array grows with every run.
+        def fold(s: Column, i: Column) -> Column:
+            inner = F.aggregate(F.slice(r, i * _BLOCK + 1, F.lit(_BLOCK)), state(s["depth"]), step)
+            return bound(inner, lambda x: F.struct(x["depth"].alias("depth"), F.array_append(s["kept"], F.array_join(x["kept"], "")).alias("kept")))
+
+        return fold
 
-def strip_html(markup: Column, depth: int = 3) -> Column:
-    """Text outside of tags, white space collapsed; tags may nest ``depth`` deep, an unclosed one hides the rest."""
-    t = markup
-    for _ in range(depth):
-        t = F.regexp_replace(t, "<[^<>]*>", "")
-    t = F.regexp_replace(F.regexp_replace(t, "(?s)<.*$", ""), ">", "")
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")
+    blocks = lambda r: F.sequence(F.lit(0), F.floor((F.size(r) - 1) / _BLOCK).cast("int"))
+    text = bound(runs, lambda r: F.aggregate(blocks(r), state(F.lit(0)), block(r), lambda s: F.array_join(s["kept"], "")))
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
 def title(content: Column, limit: int = 60) -> Column:
@@ -54,10 +93,15 @@ def is_json(text: Column) -> Column:
     return F.coalesce(wrapped.isNotNull() & inner.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.lit(False))
 
 
-def reply_kind(text: Column) -> Column:
-    """'json' for a trimmed reply that starts as an object or array and is strict JSON, else 'text'."""
+def normalized_reply(text: Column) -> Column:
+    """kind and value of a reply: JSON as it stands for a trimmed reply that starts as an object or array and is
+    strict JSON, else the trimmed text as a JSON string (``42`` is ``"42"``).  Null stays null."""
     t = trimmed(text)
-    return F.when(F.substring(t, 1, 1).isin("{", "[") & is_json(t), "json").otherwise("text")
+    json = F.substring(t, 1, 1).isin("{", "[") & is_json(t)
+    # A list of one string in JSON, without the list's brackets.
+    listed = F.to_json(F.array(t))
+    quoted = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(t.isNotNull(), F.struct(F.when(json, "json").otherwise("text").alias("kind"), F.when(json, t).otherwise(quoted).alias("value")))
 
 
 def file_format(filename: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.storage import durable
+
 
 def missing_references(links: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Links whose target isn't there."""
@@ -14,13 +16,28 @@ def missing_references(links: DataFrame, targets: DataFrame, key: str) -> DataFr
 def advertised_names(tools: DataFrame, group: str, server: str, name: str, limit: int = 64, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``advertised``: server__name with other characters as ``_``, at most ``limit`` long, unique in its group.
 
-    Of names that would be equal, the first (by server, name and ``order``) keeps it and the n-th ends in ``_n``, within the limit.
+    Of names that would be equal, the first (by server, name and ``order``) keeps it and the n-th ends in ``_n``,
+    within the limit.  Where that is some other tool's name, n goes on by the number of those that share the
+    name, until it is free; tools that want one free name at once get it in order.  Null servers and names
+    are empty.  ``order`` has to tell tools of one server and name apart.
     """
-    base = F.substring(F.regexp_replace(F.concat_ws("__", F.col(server).cast("string"), F.col(name)), "[^a-zA-Z0-9_-]", "_"), 1, limit)
-    n = F.row_number().over(Window.partitionBy(group, "_base").orderBy(server, name, *order))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    base = F.substring(F.regexp_replace(F.concat_ws("__", text(server), text(name)), "[^a-zA-Z0-9_-]", "_"), 1, limit)
+    places = [F.col(c).asc_nulls_first() for c in (server, name, *order)]
+    numbered = tools.withColumn("_base", base)
+    same = Window.partitionBy(group, "_base")
+    numbered = numbered.withColumns({"_n": F.row_number().over(same.orderBy(*places)), "_many": F.count("*").over(same)})
     suffix = F.concat(F.lit("_"), F.col("_n").cast("string"))
-    cut = F.concat(F.substr(F.col("_base"), F.lit(1), F.lit(limit) - F.length(suffix)), suffix)
-    return tools.withColumn("_base", base).withColumn("_n", n).withColumn("advertised", F.when(F.col("_n") > 1, cut).otherwise(F.col("_base"))).drop("_base", "_n")
+    candidate = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.substr("_base", F.lit(1), F.lit(limit) - F.length(suffix)), suffix))
+    state = numbered.withColumns({"advertised": candidate, "_round": F.lit(0)})
+    # First keepers of a name go before those that come to it by a number, and earlier rounds before later ones.
+    first = Window.partitionBy(group, "advertised").orderBy(F.when(F.col("_n") == 1, -1).otherwise(F.col("_round")), *places)
+    while True:
+        state = durable(state.withColumn("_lost", F.row_number().over(first) > 1))
+        if not state.where("_lost").limit(1).count():
+            return state.select(*tools.columns, "advertised")
+        state = state.withColumns({"_n": F.when(F.col("_lost"), F.col("_n") + F.col("_many")).otherwise(F.col("_n")), "_round": F.when(F.col("_lost"), F.col("_round") + 1).otherwise(F.col("_round"))})
+        state = state.withColumn("advertised", F.when(F.col("_lost"), candidate).otherwise(F.col("advertised")))
 
 
 def own_or_wildcard(wanted: DataFrame, entries: DataFrame, key: list[str], tool: str = "tool", value: str = "value") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +45,49 @@ def grounded(messages: DataFrame, key: str = "conv_id", order: str = "position")
     return messages.withColumn("grounded", F.coalesce(asked["a"], F.lit(False))).where("role = 'assistant'")
 
 
-def throttle(uses: DataFrame, key: str, at: str, seconds: int = 300) -> DataFrame:
-    """For each key the uses that are kept: at least so long after the last kept one (greedy, so a fold)."""
-    sorted_uses = F.array_sort(F.collect_list(at))
-    empty = F.expr("cast(array() as array<timestamp_ntz>)") if dict(uses.dtypes)[at] == "timestamp_ntz" else F.expr("cast(array() as array<timestamp>)")
-    gap = F.expr(f"interval {seconds} seconds")
-    keep = F.aggregate(sorted_uses, empty, lambda k, x: F.when((F.size(k) == 0) | (x >= F.element_at(k, -1) + gap), F.array_append(k, x)).otherwise(k))
-    return uses.groupBy(key).agg(keep.alias("_kept")).select(key, F.explode("_kept").alias(at))
+def throttle(uses: DataFrame, key: str, at: str, seconds: int = 300, block: int = 86_400) -> DataFrame:
+    """(key, at) of the uses that are kept of each key: at least so long after the last kept one.
+
+    A use that comes ``seconds`` or more after the one before it is kept in any case, so it begins a run that
+    doesn't depend on earlier ones.  The uses before are found in blocks of ``block`` seconds, and only one row a
+    block meets its key's others; each run is then walked through in order, with its last kept use alone in
+    memory.  Uses at one moment are one; rows with a null key or moment drop out.
+    """
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast({at} as timestamp_ntz))")
+    gap = seconds * 1_000_000
+    rows = uses.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at).withColumn("_us", micros).withColumn("_block", F.floor(F.col("_us") / (block * 1_000_000)))
+    own = Window.partitionBy(key, "_block").orderBy("_us")
+    rows = rows.withColumn("_far", F.col("_us") - F.lag("_us").over(own) >= gap)
+    blocks = rows.groupBy(key, "_block").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max(F.when(F.col("_far"), F.col("_us"))).alias("_inner"))
+    of_key = Window.partitionBy(key).orderBy("_block")
+    before = F.lag("_last").over(of_key)
+    blocks = blocks.withColumn("_opens", before.isNull() | (F.col("_first") - before >= gap))
+    # A run goes by its first use: the last that begins one in the block so far, or else in the blocks before.
+    start = F.coalesce("_inner", F.when(F.col("_opens"), F.col("_first")))
+    blocks = blocks.withColumn("_carried", F.last(start, ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.col("_far") | (F.col("_opens") & (F.col("_us") == F.col("_first")))
+    here = F.last(F.when(begins, F.col("_us")), ignorenulls=True).over(own)
+    runs = rows.join(blocks, [key, "_block"]).withColumn("_run", F.coalesce(here, "_carried"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = last = None
+        for batch in batches:
+            keys = pa.chunked_array([batch.column(0)]).combine_chunks()
+            us, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            n, keep = len(us), np.zeros(len(us), bool)
+            codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cut = np.append(np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (run[1:] != run[:-1]))), n) if n else []
+            for a, b in zip(cut[:-1], cut[1:]):
+                if (mine := (keys[int(a)].as_py(), int(run[a]))) != current:
+                    current, last = mine, None
+                i = int(a) if last is None else int(a + np.searchsorted(us[a:b], last + gap))
+                while i < b:
+                    keep[i], last = True, int(us[i])
+                    i = int(a + np.searchsorted(us[a:b], last + gap))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=[key, at])
+
+    dealt = runs.select(key, at, "_us", "_run").repartition(key, "_run").sortWithinPartitions(key, "_run", "_us")
+    return dealt.mapInArrow(walk, uses.select(key, at).schema)
 
 
 def replay(messages: DataFrame, calls: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loomlake.functions.text import chunks
 
-FILES = "You have access to the following files. Use their contents to answer the user's question when relevant, and do not fabricate information beyond them."
-CONTEXT = "You have access to the following retrieved context. Use it to answer the user's question when relevant, and do not fabricate information beyond it."
+FILES = "These are the files that belong to this assistant. Rely on them where the question is about them, and add nothing that they don't say."
+CONTEXT = "These passages were found for the question. Rely on them where they help, and add nothing that they don't say."
 
 
 def chunk_table(documents: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -21,20 +21,39 @@ def chunk_table(documents: DataFrame, size: int = 1000, overlap: int = 150) -> D
     return documents.select(*keep, F.posexplode(chunks(F.col("text"), size, overlap)).alias("chunk_index", "text"))
 
 
-def embed(texts: DataFrame, column: str = "text", dim: int = 256, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Adds ``embedding`` (array of double of length 1).  Another embedder may be plugged in.
+def documents_of_collection(documents: DataFrame, collection: str, document: str = "document_id", name: str = "filename", size: int = 1000, overlap: int = 150) -> DataFrame:
+    """The documents of each collection that have chunks, with their number of chunks and (first) name.
+
+    Chunks are counted row by row and never moved; a document that occurs twice has the chunks of both.
+    """
+    counted = documents.select(collection, document, name, F.size(chunks(F.col("text"), size, overlap)).cast("long").alias("chunks")).where("chunks > 0")
+    return counted.groupBy(collection, document).agg(F.sum("chunks").alias("chunks"), F.min(name).alias(name))
+
 
-    The default is offline: hashed word counts, weighted by inverse document frequency.  Rows without a
-    word have a zero vector, which ``top_k`` leaves out.
+def fit_embedder(texts: DataFrame, column: str = "text", dim: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """An offline embedder, fitted once: hashed word counts, weighted by inverse document frequency, of length 1.
+
+    It adds ``embedding`` (array of double) to any table with that column; tables that one embedder was applied
+    to, such as the batches of a stream, share one space.  Rows without a word have a zero vector.
     """
-    if embedder is not None:
-        return embedder(texts)
-    filled = texts.withColumn("_text", F.coalesce(column, F.lit("")))
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\W+").transform(filled)
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(words)
-    weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_weighted", outputCol="_unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit")).drop("_text", "_words", "_counts", "_weighted", "_unit")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        filled = rows.withColumn("_text", F.coalesce(column, F.lit("")))
+        words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\W+").transform(filled)
+        return HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(words)
+
+    weights = IDF(inputCol="_counts", outputCol="_weighted").fit(counted(texts.select(column)))
+
+    def embedder(rows: DataFrame) -> DataFrame:
+        unit = Normalizer(inputCol="_weighted", outputCol="_unit").transform(weights.transform(counted(rows)))
+        return unit.withColumn("embedding", vector_to_array("_unit")).drop("_text", "_words", "_counts", "_weighted", "_unit")
+
+    return embedder
+
+
+def embed(texts: DataFrame, column: str = "text", dim: int = 256, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds ``embedding``, by an embedder that is plugged in, or else by one that is fitted on these texts."""
+    return (embedder or fit_embedder(texts, column, dim))(texts)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,33 +82,54 @@ def top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int | str
     return scored.withColumn("rank", n).where(F.col("rank") <= limit)
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", tables: int = 24, planes: int = 4, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """As ``top_k``, but only items that share one of ``tables`` sign patterns with the query are scored.
+def sketch(vector: Column, dim: int, words: int = 4, seed: int = 7) -> list[Column]:
+    """``words`` longs of the signs of a vector's products with planes through the origin.
 
-    Returns the ranked rows and the pairs that were scored.
+    The planes are the same for all vectors of a dimension; each run of ``dim`` of them is orthogonal, which makes the
+    number of differing bits a better measure of the angle.
     """
     import json
 
     import numpy as np
 
-    dim = items.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
-    normals = np.random.default_rng(seed).normal(size=(tables, planes, dim)).tolist()
+    rng = np.random.default_rng(seed)
+    planes = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-64 * words // dim))])[: 64 * words]
     # One constant for all planes keeps the plan small.
-    constant = F.from_json(F.lit(json.dumps(normals)), "array<array<array<double>>>")
-    sign = lambda bits, p: bits * 2 + F.when(dot(F.col("embedding"), p) > 0, 1).otherwise(0)
-    patterns = F.transform(constant, lambda ps, t: t * (1 << planes) + F.aggregate(ps, F.lit(0), sign))
-    side = lambda df, name: df.withColumn("_bucket", F.explode(patterns)).select(name, *tenant, "_bucket")
-    pairs = side(queries, "query_id").join(side(items, key), [*tenant, "_bucket"]).select("query_id", key, *tenant).distinct()
-    return rank_pairs(pairs, queries, items, tenant, k, key), pairs
+    constant = F.from_json(F.lit(json.dumps(planes.reshape(words, 64, dim).round(6).tolist())), "array<array<array<double>>>")
+    sign = lambda bits, p: F.shiftleft(bits, 1).bitwiseOR(F.when(dot(vector, p) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    return [F.aggregate(F.get(constant, F.lit(w)), F.lit(0).cast("long"), sign) for w in range(words)]
+
+
+def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", share: float = 0.1, least: int = 64, words: int = 4) -> tuple[DataFrame, DataFrame]:
+    """As ``top_k``, but only the items whose sketch is nearest to the query's are scored exactly.
+
+    Every item has a sketch of ``64 * words`` signs.  A query compares sketches (a few machine words) with all items
+    of its tenant, and the nearest ``share`` of them, ``least`` at least, are ranked by their vectors.
+    Returns the ranked rows and the pairs that were scored.
+    """
+    dim = items.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
+    names = [f"_s{w}" for w in range(words)]
+    side = lambda df, name, to: df.where(F.size("embedding") == dim).select(name, *tenant, *[c.alias(to + n) for c, n in zip(sketch(F.col("embedding"), dim, words), names)])
+    sizes = items.groupBy(*tenant).agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share))).alias("_keep"))
+    apart = sum((F.bit_count(F.col("q" + n).bitwiseXOR(F.col("x" + n))) for n in names), F.lit(0))
+    near = side(queries, "query_id", "q").join(sizes, tenant).join(side(items, key, "x"), tenant).select("query_id", key, *tenant, "_keep", apart.alias("_apart"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("_apart", key))
+    pairs = near.withColumn("_n", nth).where(F.col("_n") <= F.col("_keep")).select("query_id", key, *tenant)
+    return rank_pairs(pairs, queries, items, k, key), pairs
 
 
-def rank_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, tenant: list[str], k: int, key: str) -> DataFrame:
+def rank_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, key: str) -> DataFrame:
     q = queries.select("query_id", unit(F.col("embedding")).alias("_q")).where("_q is not null")
     x = items.select(key, unit(F.col("embedding")).alias("_x")).where("_x is not null")
     scored = pairs.join(q, "query_id").join(x, key).withColumn("score", F.round((F.lit(1.0) + dot(F.col("_q"), F.col("_x"))) / 2, 6)).drop("_q", "_x")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds ``n``, from 1 within each group."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def listed(rows: DataFrame, group: list[str], block: Column, order: list[str], intro: str, out: str) -> DataFrame:
     """One text for each group: an introduction and the rows' blocks in order, parted by blank lines."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, block.alias("_block")))), lambda x: x["_block"])
@@ -110,6 +150,36 @@ def prompt(*blocks: Column) -> Column:
     return F.concat_ws("\n\n", *[F.nullif(b, F.lit("")) for b in blocks])
 
 
+def context_sizes(links: DataFrame, documents: DataFrame, parent: str, collection: str) -> DataFrame:
+    """Files, characters and bytes of each parent's (an agent's) collections, and of each collection: parent, collection, files, ...
+
+    Rows with a null collection are the parent's totals.  Texts are measured in place; parents join sums only.
+    """
+    of_one = documents.groupBy(collection).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("characters"), F.sum(F.octet_length("text")).alias("bytes"))
+    each = links.select(parent, collection).join(of_one, collection)
+    return each.rollup(parent, collection).agg(*[F.sum(c).alias(c) for c in ("files", "characters", "bytes")]).where(F.col(parent).isNotNull())
+
+
+def last_user_message(conversations: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The last user message of each conversation, or its last message if it has none."""
+    said = F.when(F.col("role") == "user", F.struct(order, "text"))
+    return conversations.groupBy(key).agg(F.coalesce(F.max(said)["text"], F.max_by("text", order)).alias("text"))
+
+
+def excerpt(text: Column, most: int) -> tuple[Column, Column]:
+    """'binary' (a NUL occurs) or 'text', and the first ``most`` bytes with a note of the size if there are more.
+
+    A character that the cut would split goes as a whole.  Null stays null.
+    """
+    data = F.encode(text, "UTF-8")
+    n = F.octet_length(text)
+    # Bytes 0x80 to 0xBF go on with a character: the cut moves back to where one begins (three bytes at most).
+    goes_on = lambda back: F.conv(F.hex(F.substring(data, most + 1 - back, 1)), 16, 10).cast("int").between(0x80, 0xBF)
+    cut = F.decode(F.substr(data, F.lit(1), F.when(~goes_on(0), F.lit(most)).when(~goes_on(1), F.lit(most - 1)).when(~goes_on(2), F.lit(most - 2)).otherwise(F.lit(most - 3))), "UTF-8")
+    note = F.concat(F.lit("\n(cut; "), n.cast("string"), F.lit(" bytes in all)"))
+    return F.when(F.instr(text, "\0") > 0, "binary").when(text.isNotNull(), "text"), F.when(n > most, F.concat(cut, note)).otherwise(text)
+
+
 def schema_errors(df: DataFrame, wanted: dict[str, str]) -> list[str]:
     """What a table lacks of its declared columns and types; more columns are fine."""
     have = dict(df.dtypes)

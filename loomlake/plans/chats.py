@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as tx
 from loomlake.operators import chats as op
-from loomlake.plans.retrieval import last_user_message
+from loomlake.operators.retrieval import last_user_message
 from loomlake.plans.tables import cte, load
 from loomlake.registry import query
 

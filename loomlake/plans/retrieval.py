@@ -43,9 +43,8 @@ def c1(spark, sf_dir):
 
 @query("a1_documents_of_collection", f"WITH {_CHUNKS} SELECT doc_id % 12 AS kb_id, doc_id, count(*) AS chunks, min(d.source || '.' || d.lang) AS filename FROM c JOIN documents d USING (doc_id) GROUP BY 1, 2")
 def a1(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.concat_ws(".", "source", "lang").alias("filename"), "text")
-    pieces = op.chunk_table(docs).select("doc_id", "filename", "chunk_index")
-    return pieces.groupBy((F.col("doc_id") % 12).alias("kb_id"), "doc_id").agg(F.count("*").alias("chunks"), F.min_by("filename", "chunk_index").alias("filename"))
+    docs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 12).alias("kb_id"), "doc_id", F.concat_ws(".", "source", "lang").alias("filename"), "text")
+    return op.documents_of_collection(docs, "kb_id", "doc_id")
 
 
 @query("v1_offline_embedding")
@@ -62,7 +61,7 @@ def v2(spark, sf_dir):
 
 @query("v3_approximate_top_k")
 def v3(spark, sf_dir):
-    """Recall against the exact result and the share of pairs that were scored, for each agent."""
+    """Recall against the exact result and the share of pairs whose vectors were read, for each agent."""
     queries, items = _vectors(spark, sf_dir)
     got, pairs = op.approximate_top_k(queries.drop("k"), items, ["agent_id"])
     exact = op.top_k(queries.drop("k"), items, ["agent_id"], 5).select("query_id", "id", "agent_id")
@@ -80,15 +79,22 @@ def v4(spark, sf_dir):
     return found.select("query_id", "results", "k").unionAll(queries.where(~good).select("query_id", F.lit(0).cast("long"), "k"))
 
 
-@query("a12_prompt_assembly", f"""WITH {_SCORED}, b AS (SELECT query_id, '{op.CONTEXT.replace("'", "''")}' || chr(10) || chr(10) || string_agg('[Context ' || rank || ']' || chr(10) || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 5 GROUP BY query_id)
-    SELECT query_id, block || CASE WHEN query_id % 2 = 0 THEN chr(10) || chr(10) || 'Agent prompt.' ELSE '' END AS prompt FROM b""")
+@query("a12_prompt_assembly", f"""{cte("kb_documents")}, {_SCORED}, c AS (SELECT query_id, 'These passages were found for the question. Rely on them where they help, and add nothing that they don''t say.' || chr(10) || chr(10)
+      || string_agg('[Context ' || rank || ']' || chr(10) || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 5 GROUP BY query_id),
+    n AS (SELECT kb_id, row_number() OVER (PARTITION BY kb_id ORDER BY uploaded_at, document_id) AS n, CASE WHEN document_id % 3 = 0 THEN '' ELSE filename END AS name, text FROM kb_documents),
+    f AS (SELECT kb_id, 'These are the files that belong to this assistant. Rely on them where the question is about them, and add nothing that they don''t say.' || chr(10) || chr(10)
+      || rtrim(string_agg('[File: ' || CASE WHEN name = '' THEN 'file-' || n ELSE name END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n), chr(10)) AS block FROM n WHERE n <= 3 GROUP BY kb_id)
+    SELECT query_id, concat_ws(chr(10) || chr(10), f.block, c.block, CASE WHEN query_id % 2 = 0 THEN 'Agent prompt.' END) AS prompt FROM c LEFT JOIN f ON f.kb_id = query_id % 17""")
 def a12(spark, sf_dir):
+    """Files of a collection (the first three; some without a name), passages found, and the agent's own prompt, each where there is any."""
     queries, items = _vectors(spark, sf_dir)
     hits = op.top_k(queries.drop("k"), items, ["agent_id"], 5)
-    block = op.context_block(F.col("rank"), F.concat(F.lit("vector "), F.col("id").cast("string")))
-    blocks = op.listed(hits, ["query_id"], block, ["rank"], op.CONTEXT, "block")
+    found = op.listed(hits, ["query_id"], op.context_block(F.col("rank"), F.concat(F.lit("vector "), F.col("id").cast("string"))), ["rank"], op.CONTEXT, "found")
+    docs = op.numbered(load(spark, sf_dir, "kb_documents"), ["kb_id"], ["uploaded_at", "document_id"]).where("n <= 3")
+    name = F.when(F.col("document_id") % 3 == 0, "").otherwise(F.col("filename"))
+    files = op.listed(docs, ["kb_id"], op.file_block(F.col("n"), name, F.col("text")), ["n"], op.FILES, "files")
     system = F.when(F.col("query_id") % 2 == 0, "Agent prompt.").otherwise("")
-    return blocks.select("query_id", op.prompt(F.lit(""), F.col("block"), system).alias("prompt"))
+    return found.withColumn("kb_id", F.col("query_id") % 17).join(files, "kb_id", "left").select("query_id", op.prompt(F.col("files"), F.col("found"), system).alias("prompt"))
 
 
 @query("f8_collections_with_chunks", cte("agents", "kb_documents") + "SELECT id FROM agents WHERE id % 15 IN (SELECT kb_id FROM kb_documents WHERE text <> '')")
@@ -104,36 +110,35 @@ def agent_files(spark, sf_dir):
 
 @query("j1_agent_files", cte("agent_kbs", "kb_documents") + "SELECT agent_id, position, d.kb_id, document_id, row_number() OVER (PARTITION BY agent_id ORDER BY position, uploaded_at, document_id)::INTEGER AS n FROM agent_kbs a JOIN kb_documents d ON d.kb_id = a.kb_id")
 def j1(spark, sf_dir):
-    from pyspark.sql import Window
+    return op.numbered(agent_files(spark, sf_dir), ["agent_id"], ["position", "uploaded_at", "document_id"]).select("agent_id", "position", "kb_id", "document_id", "n")
 
-    n = F.row_number().over(Window.partitionBy("agent_id").orderBy("position", "uploaded_at", "document_id"))
-    return agent_files(spark, sf_dir).withColumn("n", n).select("agent_id", "position", "kb_id", "document_id", "n")
 
-
-@query("a7_context_size", cte("agent_kbs", "kb_documents") + "SELECT agent_id, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM agent_kbs a JOIN kb_documents d ON d.kb_id = a.kb_id GROUP BY agent_id")
+@query("a7_context_size", cte("agent_kbs", "kb_documents") + """SELECT agent_id, a.kb_id, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM agent_kbs a JOIN kb_documents d ON d.kb_id = a.kb_id GROUP BY GROUPING SETS ((agent_id, a.kb_id), (agent_id))""")
 def a7(spark, sf_dir):
-    # Sizes are summed for each knowledge base first; agents then join totals, not texts.
-    of_kb = load(spark, sf_dir, "kb_documents").groupBy("kb_id").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
-    return load(spark, sf_dir, "agent_kbs").join(of_kb, "kb_id").groupBy("agent_id").agg(F.sum("files").alias("files"), F.sum("bytes").alias("total_bytes"))
+    return op.context_sizes(load(spark, sf_dir, "agent_kbs"), load(spark, sf_dir, "kb_documents"), "agent_id", "kb_id")
 
 
-@query("c2_html_to_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '(?s)<.*$', ''), '>', '', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM pages""")
+# The text outside of tags by sums over windows: the depth at a run is the running sum less its least value so far (0 at most).
+@query("c2_html_to_text", r"""WITH p AS (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN ' <<<<x>>>> after < b <c> never closed' WHEN page_id % 3 = 1 THEN ' 2 > 1 <<<<<y>>> deep >> tail' ELSE '' END AS html FROM pages),
+    r AS (SELECT page_id, unnest(regexp_extract_all('>' || html, '[<>][^<>]*')) AS run, unnest(range(1, 1 + len(regexp_extract_all('>' || html, '[<>][^<>]*')))) AS i FROM p),
+    s AS (SELECT *, sum(CASE WHEN run[1] = '<' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS total FROM r),
+    d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM s)
+    SELECT page_id, trim(regexp_replace(coalesce(string_agg(substring(run, 2), '' ORDER BY i) FILTER (WHERE depth = 0), ''), '\s+', ' ', 'g'), ' ') AS text FROM d GROUP BY page_id""")
 def c2(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    """Pages, some with tags in tags, stray ends and a tag that is never closed."""
+    k = F.col("page_id") % 3
+    more = F.when(k == 0, " <<<<x>>>> after < b <c> never closed").when(k == 1, " 2 > 1 <<<<<y>>> deep >> tail").otherwise("")
+    return load(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.concat("html", more)).alias("text"))
 
 
-@query("c3_excerpts", """SELECT page_id, CASE WHEN contains(html, chr(0)) THEN 'binary' ELSE 'text' END AS kind, CASE WHEN length(html) > 200 THEN substring(html, 1, 200) || ' [cut: ' || length(html) || ' characters]' ELSE html END AS excerpt FROM pages""")
+# DuckDB has no cut at bytes that keeps characters whole: the longest start of whole characters that fits is found by length.
+@query("c3_excerpts", """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN repeat('é', page_id % 7) || html WHEN page_id % 5 = 1 THEN chr(0) || html ELSE html END AS html FROM pages)
+    SELECT page_id, CASE WHEN contains(html, chr(0)) THEN 'binary' ELSE 'text' END AS kind, CASE WHEN strlen(html) > 200 THEN (SELECT max_by(substring(html, 1, m), m) FROM range(1, 201) t(m) WHERE strlen(substring(html, 1, m)) <= 200) || chr(10) || '(cut; ' || strlen(html) || ' bytes in all)' ELSE html END AS excerpt FROM p""")
 def c3(spark, sf_dir):
-    html, n = F.col("html"), F.length("html")
-    kind = F.when(F.instr(html, "\0") > 0, "binary").otherwise("text")
-    cut = F.concat(F.substring(html, 1, 200), F.lit(" [cut: "), n.cast("string"), F.lit(" characters]"))
-    return load(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), F.when(n > 200, cut).otherwise(html).alias("excerpt"))
-
-
-def last_user_message(conversations):
-    """The last user message of each conversation, or its last message if it has none."""
-    said = F.when(F.col("role") == "user", F.struct("turn", "text"))
-    return conversations.groupBy("conv_id").agg(F.coalesce(F.max(said)["text"], F.max_by("text", "turn")).alias("text"))
+    k = F.col("page_id")
+    html = F.when(k % 5 == 0, F.concat(F.expr("repeat('é', cast(page_id % 7 as int))"), "html")).when(k % 5 == 1, F.concat(F.lit("\0"), "html")).otherwise(F.col("html"))
+    kind, cut = op.excerpt(html, 200)
+    return load(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), cut.alias("excerpt"))
 
 
 @query("v5_retrieval_job")
@@ -141,7 +146,7 @@ def v5(spark, sf_dir):
     """For every conversation: its last user message, embedded, against the chunks of one collection, as a context block."""
     docs = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 12).alias("agent_id"), "text")
     pieces = op.chunk_table(docs).withColumn("id", F.concat_ws("-", "doc_id", "chunk_index"))
-    asked = last_user_message(load(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("query_id"), (F.col("conv_id") % 15).alias("agent_id"), "text")
+    asked = op.last_user_message(load(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("query_id"), (F.col("conv_id") % 15).alias("agent_id"), "text")
     asked = asked.where("text <> ''").join(pieces.select("agent_id").distinct(), "agent_id", "left_semi")
     # One embedding space: both sides are weighted together.
     both = op.embed(pieces.select("agent_id", "id", F.lit(None).cast("long").alias("query_id"), "text").unionByName(asked.select("agent_id", F.lit(None).cast("string").alias("id"), "query_id", "text")))

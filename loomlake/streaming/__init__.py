@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from loomlake.storage import new_folder as folder
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's checkpoint and output, where all executors can reach it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlake-stream-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+__all__ = ["drain", "folder"]
 
 
 def drain(stream: DataFrame, at: str, mode: str = "append", write: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
