@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -11,17 +11,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.storage import durable, new_folder
+
+__all__ = ["BitSet", "bit_set", "durable", "fresh", "new_folder", "packs", "partitions", "ship_code", "table", "tidy", "utf8"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Texts in an Arrow batch: the default of 10,000 can be tens of MB in the JVM and again in Python.
-BATCH_ROWS = 1000
+#: Texts in an Arrow batch: the default of 10,000 can be tens of MB in the JVM and again in Python, and large buffers
+#: that come and go leave holes in the memory of both.
+BATCH_ROWS = 256
+
+
+#: Settings of Python workers, which Spark uses again for task after task.  Arrays of 8 MB or more go back to the
+#: system when they are freed, and so does what is free at the end of the heap; by glibc's defaults workers keep most of it.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Prepares the session: workers can import this package, and Arrow batches of texts are small.
+    """Prepares the session: workers can import this package, give memory back, and Arrow batches of texts are small.
 
     A batch size that is already smaller stays.
     """
@@ -30,17 +40,26 @@ def ship_code(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives freed memory back to the system at the end of its task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
-    Only where the session names no folder (tests on one machine) a temporary one is used.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlake-"))
-    return df.checkpoint(eager=True)
+
+def give_back() -> None:
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -64,23 +83,44 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Places of a bit set that stands for a set of keys, whatever their number.
-PLACES = 1 << 22
+#: Fewest and most places of a bit set that stands for a set of keys: 8 MB when packed, 2 million rows on the driver.
+FEWEST_PLACES, MOST_PLACES = 1 << 16, 1 << 26
+
+
+@dataclass
+class BitSet:
+    """A set of keys as bits at hashed places: every key is in, and of others about the share of places that are set.
+
+    There are 16 places for each key or more, up to ``MOST_PLACES``; beyond about 10**7 keys the set lets more and more
+    of the others pass.  It only spares a shuffle what surely isn't wanted; the joins behind it decide.
+    """
+
+    bits: np.ndarray
+    places: int
 
+    def place(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.places))
 
-def place(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(PLACES))
+    def has(self, places: pa.Array) -> np.ndarray:
+        x = places.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.bits[x >> 3] >> (x & 7).astype(np.uint8) & 1
 
 
-def bit_set(keys: DataFrame, key: str) -> np.ndarray:
-    """PLACES bits, as bytes: those of the keys are set.  The driver sees PLACES / 32 rows at most."""
-    h = keys.select(place(key).alias("h")).selectExpr("h div 32 as w", "shiftleft(1L, cast(h % 32 as int)) as b")
+def bit_set(keys: DataFrame, key: str) -> BitSet:
+    wanted = 16 * keys.count()
+    places = FEWEST_PLACES
+    while places < min(wanted, MOST_PLACES):
+        places *= 2
+    h = keys.select(F.pmod(F.xxhash64(key), F.lit(places)).alias("h")).selectExpr("h div 32 as w", "shiftleft(1L, cast(h % 32 as int)) as b")
     rows = h.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    words = np.zeros(PLACES // 32, np.uint32)
+    words = np.zeros(places // 32, np.uint32)
     words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
-    return words.view(np.uint8)
+    return BitSet(words.view(np.uint8), places)
 
 
-def is_set(bits: np.ndarray, places: pa.Array) -> np.ndarray:
-    x = places.to_numpy(zero_copy_only=False).astype(np.int64)
-    return bits[x >> 3] >> (x & 7).astype(np.uint8) & 1
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

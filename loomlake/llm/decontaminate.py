@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import packs, utf8
+from loomlake.llm.common import durable, fresh, packs, tidy, utf8
 from loomlake.llm.words import ALNUM, Words, found, grams, winnow, within, words
 
-_HITS = "_hits struct<n_words:bigint,spans:array<struct<s:bigint,e:bigint>>,items:array<string>>"
+_HITS = "struct<n_words:bigint,spans:array<struct<s:bigint,e:bigint>>,items:array<string>>"
 
 
 class Index:
@@ -93,30 +93,30 @@ def _union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _scan(docs: DataFrame, index: Index, text: str) -> DataFrame:
-    """Adds ``hits``: the number of words, the hit word spans and the items, by row."""
+def _scan(docs: DataFrame, index: Index, text: str, name: str) -> DataFrame:
+    """Adds the column ``name``: the number of words, the hit word spans and the items, by row."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    at = docs.columns.index(text)
+    names = [*docs.columns, name]
 
     def scan(batches):
         ix = shared.value
         for batch in batches:
-            texts, rows = utf8(batch.column(text)), []
+            texts, rows = utf8(batch.column(at)), []
             for lo, hi in packs(texts):
                 w = words(texts[lo:hi], ALNUM)
                 hits = ix.spans(w)
                 for t in range(hi - lo):
                     first, mine = int(w.bounds[t]), hits.get(t, [])
                     rows.append({"n_words": int(w.bounds[t + 1]) - first, "spans": _union([(a - first, b - first) for a, b, _ in mine]), "items": sorted({ix.ids[i] for *_, i in mine})})
-            arrays = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows, kind)], [*keep, "_hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names)
 
-    keep = docs.columns
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *T._parse_datatype_string(_HITS).fields]))
+    return docs.mapInArrow(tidy(scan), T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(_HITS))]))
 
 
-def hit_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = 10, gram: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_hits(n_words, spans, items)``; a column ``_hits`` of the input is replaced.
+def hit_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = 10, gram: int = 5, block_bytes: int = 4 << 20, name: str = "_hits") -> DataFrame:
+    """All rows and columns of ``docs`` with a column ``name`` of (n_words, spans, items); one of the input with that name is replaced.
 
     Spans are word ranges, disjoint and in order.  A null or empty text has no words.  Repeated
     rows are judged alike, each on its own.  Items with a null id or text are left out, copies of
@@ -125,34 +125,36 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text if item_text is None else item_text).alias("t")).where("i is not null and t is not null").distinct()
     n = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]) // block_bytes
     block = lambda k: Index(sorted((r["i"], r["t"].encode()) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()), span, gram)
-    docs = docs.drop("_hits")
+    docs = docs.drop(name)
     if n == 1:
-        return _scan(docs, block(0), text)
-    # Several blocks: what each finds in the distinct texts is put together by text.
-    texts = docs.select(F.sha2(F.coalesce(text, F.lit("")), 256).alias("_id"), F.col(text).alias("_text")).distinct()
-    each = [_scan(texts, block(k), "_text").where("size(_hits.items) > 0") for k in range(n)]
+        return _scan(docs, block(0), text, name)
+    # Several blocks: what each finds in the distinct texts is put together by text.  Those are written once.
+    texts = durable(docs.select(F.sha2(F.coalesce(text, F.lit("")), 256).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"]))
+    each = [_scan(texts, block(k), "text", "hits").where("size(hits.items) > 0").select("id", "hits") for k in range(n)]
     all_hits = each[0]
     for more in each[1:]:
         all_hits = all_hits.unionAll(more)
-    merged = all_hits.groupBy("_id").agg(F.flatten(F.collect_list("_hits.spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits.items")))).alias("_items"))
-    base = _scan(docs, Index([], span, gram), text).withColumn("_id", F.sha2(F.coalesce(text, F.lit("")), 256))
+    key, spans, found_items = fresh("_id", docs), fresh("_spans", docs), fresh("_items", docs)
+    merged = all_hits.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("hits.spans"))).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits.items")))).alias(found_items))
+    base = _scan(docs, Index([], span, gram), text, name).withColumn(key, F.sha2(F.coalesce(text, F.lit("")), 256))
     disjoint = F.reduce(
-        F.array_sort("_spans"),
+        spans,
         F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
         lambda out, x: F.when((F.size(out) > 0) & (F.get(out, F.size(out) - 1)["e"] >= x["s"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.get(out, F.size(out) - 1)["s"].alias("s"), F.greatest(F.get(out, F.size(out) - 1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(out, F.array(x))),
     )
-    found_any = base.join(merged, "_id", "left").withColumn("_hits", F.when(F.col("_items").isNull(), F.col("_hits")).otherwise(F.struct(F.col("_hits.n_words").alias("n_words"), disjoint.alias("spans"), F.col("_items").alias("items"))))
-    return found_any.drop("_id", "_spans", "_items")
+    found_any = base.join(merged, key, "left").withColumn(name, F.when(F.col(found_items).isNull(), F.col(name)).otherwise(F.struct(F.col(f"{name}.n_words").alias("n_words"), disjoint.alias("spans"), F.col(found_items).alias("items"))))
+    return found_any.drop(key, spans, found_items)
 
 
-def hit_words() -> Column:
+def hit_words(name: str = "_hits") -> Column:
     """The number of words in a row's hit spans."""
-    return F.reduce("_hits.spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return F.reduce(F.col(name)["spans"], F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, most: float = 0.0, **how) -> DataFrame:
-    """The rows of ``docs``, whole, of whose words at most the fraction ``most`` is in hit spans."""
-    return hit_spans(docs, benchmark, **how).where(hit_words() <= F.lit(most) * F.col("_hits.n_words")).drop("_hits")
+    """The rows of ``docs``, whole, of whose words at most the fraction ``most`` is in hit spans; other columns may have any names."""
+    name = fresh("_hits", docs)
+    return hit_spans(docs, benchmark, name=name, **how).where(hit_words(name) <= F.lit(most) * F.col(name)["n_words"]).drop(name)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

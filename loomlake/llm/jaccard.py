@@ -6,10 +6,12 @@ class from the start; a class is known by a digest of its set.
 1. Shingles are counted over all classes in packed blocks (a hash range a block), which gives the global
    order: ordinary shingles by hash, then frequent ones by count.  Any total order is right; the
    frequent list is bounded because it is broadcast, and shingles beyond it merely sort as ordinary.
+   Blocks are many times the partitions, so that they spread evenly whatever the corpus.
 2. Candidates share a shingle of their prefixes in that order (a linked pair must).  Length, position and
    a parity signature (differing bits never exceed differing shingles) drop pairs that can't link.
-3. Verification cuts the order into fragments.  Each candidate pair's overlap is counted for each fragment
-   apart and summed for each pair; whole sets never meet in one row.
+3. Verification cuts that order at pivots into fragments: the ordinary shingles into equal hash ranges, and
+   the frequent ones, which are its end, into the last.  Each candidate pair's overlap is counted for each
+   fragment apart and summed for each pair; whole sets never meet in one row.
 4. As the result is components, pairs are verified in two rounds: first each member of a shared shingle
    with that group's least member, which joins up large groups of near copies with linearly many
    pairs; then all candidate pairs whose ends are still in different components.  No link between
@@ -29,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bit_set, durable, is_set, packs, place, utf8
+from loomlake.llm.common import bit_set, durable, packs, tidy, utf8
 from loomlake.llm.words import SPACED, U, grams, mix, words
 
 _SIGN = 512  # bits of a parity signature
+#: Entries in a packed part on its way to the shuffle: 2 to 4 MB, so that neither side holds large buffers.
+_PART = 500_000
+#: Entries of a block, on average; a corpus has 2**9 blocks or more.
+_BLOCK, _LEAST_BITS = 200_000, 9
 
 
 def sets(texts: list[bytes | None], k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,6 +60,15 @@ def digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))]))[0].astype(np.int64))
 
 
+def counted(s: np.ndarray, bits: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each shingle occurs if it is on the frequent list (sorted keys), else 0."""
+    if not len(keys):
+        return np.zeros(len(s), np.int64)
+    short = s >> U(32 - bits)
+    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+    return np.where(keys[at] == short, counts[at], 0)
+
+
 def least_overlap(n: Column, t: int) -> Column:
     """The least overlap of two sets with n members together that reach t percent."""
     return F.ceil(F.lit(t) * n / F.lit(100 + t))
@@ -72,6 +87,8 @@ class Join:
         self.sized = durable(self._sized())
         self.classes = durable(self.sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign")))
         self.total = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        self.bits, keys, counts = self._frequencies()
+        self.order = self.context.broadcast((keys, counts))
 
     def _sized(self) -> DataFrame:
         k = self.k
@@ -86,12 +103,12 @@ class Join:
                     rows[i] = (ids[i], len(s), digest(s), sign.tolist())
                 yield _batches(rows, schema)
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, node long, sign array<long>")
+        return self.docs.mapInArrow(tidy(run), "doc_id long, n long, node long, sign array<long>")
 
-    def frequencies(self) -> tuple[int, np.ndarray, np.ndarray]:
+    def _frequencies(self) -> tuple[int, np.ndarray, np.ndarray]:
         """Bits of a key, and the keys and counts of the most frequent shingles, sorted by key."""
         k, least = self.k, self.frequent
-        bits = max(6, ceil(log(max(self.total, 1) / 1_000_000 + 1, 2)))
+        bits = max(_LEAST_BITS, ceil(log(max(self.total, 1) / _BLOCK + 1, 2)))
         schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
         def packed(parts):
@@ -109,7 +126,7 @@ class Join:
                         seen.add(name)
                         parts.append(s >> U(64 - 32 - bits))
                         size += len(s)
-                        if size > 1_500_000:
+                        if size > _PART:
                             yield packed(parts)
                             parts, size = [], 0
             if parts:
@@ -124,7 +141,7 @@ class Join:
             n = np.add.reduceat(n, first)
             return pd.DataFrame({"key": (int(key[0]) << 32) + keys[first][n >= least].astype(np.int64), "n": n[n >= least]})
 
-        counted = durable(self.docs.select("text").mapInArrow(count, "bucket long, keys binary, counts binary").groupBy("bucket").applyInPandas(add, "key long, n long"))
+        counted = durable(self.docs.select("text").mapInArrow(tidy(count), "bucket long, keys binary, counts binary").groupBy("bucket").applyInPandas(add, "key long, n long"))
         # The list is broadcast, so its length is bounded: the least count is raised until it fits.
         hist = sorted(((r["e"], r["m"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count("*").alias("m")).collect()), reverse=True)
         room, floor = self.most, None
@@ -138,10 +155,8 @@ class Join:
 
     def postings(self) -> DataFrame:
         """(shingle, node, n, pos) of prefixes, of shingles that several nodes have there."""
-        k, t = self.k, self.t
-        bits, keys, counts = self.frequencies()
-        shared = self.context.broadcast((keys, counts))
-        deal = max(6, ceil(log(self.total * (100 - t) / 100 / 500_000 + 1, 2)))
+        k, t, bits, shared = self.k, self.t, self.bits, self.order
+        deal = max(_LEAST_BITS, ceil(log(self.total * (100 - t) / 100 / _BLOCK + 1, 2)))
         kind = np.dtype([("s", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
         schema = pa.schema([("bucket", pa.int64()), ("rows", pa.binary())])
 
@@ -160,21 +175,17 @@ class Join:
                     if (name := digest(s)) in seen:
                         continue
                     seen.add(name)
-                    n, often = len(s), np.zeros(len(s), np.int64)
-                    if len(keys):
-                        short = s >> U(32 - bits)
-                        at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-                        often = np.where(keys[at] == short, counts[at], 0)
+                    n, often = len(s), counted(s, bits, keys, counts)
                     pl = n - (t * n + 99) // 100 + 1
                     order = np.argsort(often, kind="stable")[:pl]  # s is sorted by hash
                     rows = np.zeros(pl, kind)
                     rows["s"], rows["node"], rows["n"], rows["pos"] = s[order], name, n, np.arange(pl)
-                    turn = turn % 64 + 1
+                    turn = turn % (1 << deal) + 1
                     parts.append(rows)
                     # Frequent shingles need no search for partners; they are dealt evenly.
                     buckets.append(np.where(often[order] > 0, -turn, (rows["s"] >> U(64 - deal)).astype(np.int64)))
                     size += pl
-                    if size > 400_000:
+                    if size > _PART // 5:
                         yield packed(parts, buckets)
                         parts, buckets, size = [], [], 0
             if parts:
@@ -190,7 +201,7 @@ class Join:
                 rows = rows[again | np.append(again[1:], False)]
             return pd.DataFrame({"shingle": rows["s"].astype(np.int64), "node": rows["node"], "n": rows["n"], "pos": rows["pos"]})
 
-        rows = self.docs.select("text").mapInArrow(prefixes, "bucket long, rows binary").groupBy("bucket").applyInPandas(several, "shingle long, node long, n int, pos int")
+        rows = self.docs.select("text").mapInArrow(tidy(prefixes), "bucket long, rows binary").groupBy("bucket").applyInPandas(several, "shingle long, node long, n int, pos int")
         return durable(rows.distinct())
 
     def could_link(self, a: str, b: str, place: bool = True) -> Column:
@@ -205,26 +216,28 @@ class Join:
 
     def segments(self, nodes: DataFrame) -> DataFrame:
         """(node, fragment, set members of that fragment) of the nodes, perhaps of some others, perhaps twice."""
-        wanted = self.context.broadcast(bit_set(nodes.join(self.classes.select("node", "rep"), "node"), "rep"))
-        k, cut = self.k, U(64 - int(log(self.fragments, 2)))
+        wanted = bit_set(nodes.join(self.classes.select("node", "rep"), "node"), "rep")
+        place, wanted = wanted.place("doc_id"), self.context.broadcast(wanted)
+        k, bits, last, shared = self.k, self.bits, self.fragments - 1, self.order
         schema = pa.schema([("node", pa.int64()), ("fragment", pa.int64()), ("members", pa.binary())])
 
         def run(batches):
-            seen = set()
+            seen, (keys, counts) = set(), shared.value
             for batch in batches:
-                take = np.flatnonzero(is_set(wanted.value, batch.column(1)))
+                take = np.flatnonzero(wanted.value.has(batch.column(1)))
                 rows = []
                 for _, s in sets(utf8(batch.column(0).take(pa.array(take))), k):
                     if (name := digest(s)) in seen:
                         continue
                     seen.add(name)
-                    part = (s >> cut).astype(np.int64)
+                    # Pivots: equal hash ranges of the ordinary shingles, then the frequent ones.
+                    part = np.where(counted(s, bits, keys, counts) > 0, last, ((s >> U(32)) * U(last) >> U(32)).astype(np.int64))
                     for f in np.unique(part).tolist():
                         rows.append((name, f, s[part == f].tobytes()))
                 yield _batches(rows, schema)
 
-        docs = self.docs.where("doc_id is not null").select("text", place("doc_id").alias("place"))
-        return docs.mapInArrow(run, "node long, fragment long, members binary")
+        docs = self.docs.where("doc_id is not null").select("text", place.alias("place"))
+        return docs.mapInArrow(tidy(run), "node long, fragment long, members binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that link, by partial overlaps of fragments summed for each pair."""
@@ -237,7 +250,7 @@ class Join:
                 common = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(c.cast(pa.int64()) for c in batch.columns[:5]), pa.array(common, pa.int64())], schema=schema)
 
-        partial = both.select("a", "b", "na", "nb", "fragment", "ma", "mb").mapInArrow(overlap, "a long, b long, na long, nb long, fragment long, common long")
+        partial = both.select("a", "b", "na", "nb", "fragment", "ma", "mb").mapInArrow(tidy(overlap), "a long, b long, na long, nb long, fragment long, common long")
         # A set that two tasks saw makes equal rows for a fragment: one of them counts.
         once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
         o = F.col("common")

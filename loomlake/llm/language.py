@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlake.llm.common import give_back, tidy
 
 _WORD_CHARACTER = re.compile(r"[^\W\d_]")
 NONE = "und"
@@ -44,10 +45,15 @@ def features(text: str, bits: int = 16, longest: int = 3) -> tuple[np.ndarray, n
     return at, counts[at]
 
 
+def weights_of(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of length 1."""
+    x = (1 + np.log(n)) * idf[at]
+    return x / max(float(np.sqrt((x**2).sum())), 1e-12)
+
+
 def weighted(text: str, idf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     at, n = features(text, bits)
-    x = (1 + np.log(n)) * idf[at]
-    return at, x / max(float(np.sqrt((x**2).sum())), 1e-12)
+    return at, weights_of(at, n, idf)
 
 
 @dataclass
@@ -72,15 +78,16 @@ class Model:
         return self.labels[k], float(p[k])
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, dim: int, *, alpha=1.0, beta=1.0, l1=0.02, l2=0.02, epochs=2) -> np.ndarray:
-    """FTRL-proximal with per-coordinate rates and L1 + L2 penalties, for softmax loss."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, dim: int, idf: np.ndarray, *, alpha=1.0, beta=1.0, l1=0.02, l2=0.02, epochs=2) -> np.ndarray:
+    """FTRL-proximal with per-coordinate rates and L1 + L2 penalties, for softmax loss; ``rows`` are n-grams and counts."""
     z, n = np.zeros((dim, k)), np.zeros((dim, k))
 
     def solved(z, n):
         return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
     for _ in range(epochs):
-        for (at, x), label in zip(rows, y):
+        for (at, count), label in zip(rows, y):
+            x = weights_of(at, count, idf)
             w = solved(z[at], n[at])
             p = x @ w
             p = np.exp(p - p.max())
@@ -135,7 +142,7 @@ def fit(labelled: DataFrame, *, label: str = "lang", bits: int = 16, most_rows:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["feature", "n"])
 
-    counts = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2**bits + 1 rows
+    counts = rows.select("text").mapInArrow(tidy(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2**bits + 1 rows
     df, total = np.zeros(dim), 0
     for r in counts:
         if r["feature"] < 0:
@@ -155,22 +162,29 @@ def fit(labelled: DataFrame, *, label: str = "lang", bits: int = 16, most_rows:
         if sizes[v] > 4 * each:
             share = F.when(F.col("_label") == v, F.lit(2 * each / sizes[v])).otherwise(share)
     low = (order / F.lit(float(1 << 63)) + 1) / 2 < share
-    drawn = rows.where(low)
-    drawn = drawn if drawn.limit(1).count() else rows  # copies of one row only: all have one hash
+    # Copies of one row have one hash; a label of which none is low is drawn from all of its rows.
+    seen = {r["_label"] for r in rows.where(low).select("_label").distinct().collect()}
+    drawn = rows.where(low | F.col("_label").isin([v for v in labels if v not in seen]))
     sample = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy(order, "doc_id", "text"))).where(F.col("_n") <= each)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_n", "_label"], ignore_index=True)
-        x = [weighted(t, idf, bits) for t in pdf["text"]]
+        # The rows' n-grams stay as small whole numbers; weights are made of them row by row.
+        x = [features(t, bits) for t in pdf["text"]]
+        x = [(at.astype(np.uint32), n.astype(np.uint32)) for at, n in x]
         y = np.array([labels.index(v) for v in pdf["_label"]])
         apart = (pdf["_n"].to_numpy() % 5) == 0  # calibrates
+        del pdf
         if not apart.any() or apart.all():
             apart[:] = False
-        w = ftrl([r for r, a in zip(x, apart) if not a], y[~apart], len(labels), dim)
-        scores = np.array([v @ w[at] for (at, v), a in zip(x, apart) if a]).reshape(-1, len(labels))
+        w = ftrl([r for r, a in zip(x, apart) if not a], y[~apart], len(labels), dim, idf)
+        scores = np.array([weights_of(*r, idf) @ w[r[0]] for r, a in zip(x, apart) if a]).reshape(-1, len(labels))
         t = temperature(scores, y[apart]) if apart.any() else 1.0
         at = np.flatnonzero(w.any(1))
-        return pd.DataFrame({"model": [pickle.dumps((at, w[at], t), 5)]})
+        model = pickle.dumps((at, w[at], t), 5)
+        del x, w
+        give_back()
+        return pd.DataFrame({"model": [model]})
 
     # The sample is bounded by most_rows, so one task fits the model.
     at, w, t = pickle.loads(sample.groupBy(F.lit(0).alias("_all")).applyInPandas(train, "model binary").first()["model"])
@@ -193,7 +207,7 @@ def predict(docs: DataFrame, model: Model, label: str = "lang_pred", score: str
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, label, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlake.llm.common import packs, utf8
+from loomlake.llm.common import packs, tidy, utf8
 from loomlake.llm.words import ALNUM, Words, found, grams, winnow, words
 
 # Public license notices.
@@ -182,4 +182,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, g
                     out.append((ids[lo + t], s.names[n], same / size, same, size, a, b, int(w.starts[first + a]) - base, int(w.ends[first + b - 1]) - base))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_KIND), _KIND)], schema=_KIND)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, _FOUND)
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), _FOUND)

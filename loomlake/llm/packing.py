@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import durable, packs, partitions, utf8
+from loomlake.llm.common import durable, packs, partitions, tidy, utf8
 from loomlake.llm.tokens import word_ends
 
 ITEM, GAP, UPDATED, PLACED = 0, 1, 2, 3
@@ -78,7 +78,8 @@ def plan_runs(counts: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
         state = state.where((F.col("kind") != GAP) | (F.col("size") >= left["least"]))
         if before in (None, left["n"]):  # nothing fits: open what the rest needs at least
             more = max(-(-left["tokens"] // capacity), left["large"])
-            state = state.unionAll(spark.createDataFrame([(GAP, capacity, opened, more, None, None, None)], _STATE))
+            gap = [F.lit(GAP), F.lit(capacity), F.lit(opened).cast("long"), F.lit(more).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("int")]
+            state = state.unionAll(spark.range(1).select(*[c.alias(n) for c, n in zip(gap, _NAMES)]))
             opened += more
         before = left["n"]
         local = _swept(state, F.floor(F.col("size") * ranges / (capacity + 1)), capacity)
@@ -134,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, k
                         out.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _KIND)], schema=_KIND)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), _PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_words: int = 1_000_000) -> DataFrame:

@@ -21,6 +21,8 @@ copies of whole texts are known from their hash; texts travel only if a repeated
 
 Passages of so many words are found in the same way: the places of a text are then its words, named by
 their hashes, instead of its bytes.
+
+Strings and texts are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -31,18 +33,22 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bit_set, durable, is_set, place
+from loomlake.llm.common import bit_set, durable, tidy
 from loomlake.llm.words import U, Words, mix, words
 
 _POST = np.dtype([("core", "<u8"), ("reach", "<u8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 _NAME = np.dtype([("name", "<u8"), ("text", "<i8"), ("at", "<i8")])
 
 
+#: Postings in a packed part on its way to the shuffle (4 MB at most), and in a bucket range on average.
+_PART, _RANGE = 100_000, 200_000
+
 #: Words between ASCII white space, as they are written.
 _AS_WRITTEN = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+_WORD = r"[^\x20\x09-\x0d]+"
 #: First words of a passage that name its initial bucket.
 _WORD_GRAM = 8
 
@@ -156,8 +162,8 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
     With ``in_words`` length, gram and spans are words.
     """
     r = Refinement(length, gram, in_words)
-    # A bucket range is to hold about a million postings, whatever the corpus.
-    bits = max(6, ceil(log(total_bytes / r.window * 4 / 1_000_000 + 1, 2)))
+    # Bucket ranges hold about so many postings, whatever the corpus, and are many times the partitions of a small one.
+    bits = max(9, ceil(log(total_bytes / r.window * 4 / _RANGE + 1, 2)))
     long_enough = named.where(F.octet_length("data") >= (2 * length - 1 if in_words else length))
 
     def cores(batches):
@@ -173,7 +179,7 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
                 rows["hi"] = last - first
                 parts.append(rows)
                 size += len(rows)
-                if size > 400_000:
+                if size > _PART:
                     yield _table(parts, "core", bits)
                     parts, size = [], 0
         if parts:
@@ -200,7 +206,7 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
         b = _spans(rows["text"][todo[keep]], s[todo[keep]], (s + rows["hi"])[todo[keep]], True)
         return pd.concat([a, b])
 
-    found = durable(long_enough.select("text", "data").mapInArrow(cores, "bucket long, rows binary").groupBy("bucket").applyInPandas(refine, _SPANS))
+    found = durable(long_enough.select("text", "data").mapInArrow(tidy(cores), "bucket long, rows binary").groupBy("bucket").applyInPandas(refine, _SPANS))
     done = found.where("not todo").select("text", "s", "e")
     todo = found.where("todo").groupBy("text").agg(F.collect_list(F.struct("s", "e")).alias("windows"))
     todo = durable(todo)
@@ -220,7 +226,7 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
                 rows["text"], rows["at"] = name, at
                 parts.append(rows)
                 size += len(rows)
-                if size > 400_000:
+                if size > _PART:
                     yield _table(parts, "name", bits)
                     parts, size = [], 0
         if parts:
@@ -242,24 +248,25 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
         return pd.DataFrame({"text": rows["text"][first], "s": rows["at"][first], "e": rows["at"][last] + length})
 
     again = _among(long_enough.withColumnRenamed("text", "_name"), todo.withColumnRenamed("text", "_name")).withColumnRenamed("_name", "text").join(todo, "text").select("text", "data", "windows")
-    last = again.mapInArrow(names, "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "text long, s long, e long")
+    last = again.mapInArrow(tidy(names), "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "text long, s long, e long")
     return durable(done.unionAll(last))
 
 
 def _among(named: DataFrame, texts: DataFrame, both: bool = False):
-    """The rows of ``named`` whose name may be in ``texts``, by a bit set of fixed size before any shuffle.
+    """The rows of ``named`` whose name may be in ``texts``, by a bit set before any shuffle.
 
     With ``both``, also the rows whose name surely isn't.
     """
-    shared = named.sparkSession.sparkContext.broadcast(bit_set(texts, "_name"))
+    bits = bit_set(texts, "_name")
+    place, shared = bits.place("_name"), named.sparkSession.sparkContext.broadcast(bits)
 
     def rows_with(bit: int) -> DataFrame:
         def run(batches):
             for batch in batches:
-                take = pa.array(np.flatnonzero(is_set(shared.value, batch.column(batch.num_columns - 1)) == bit))
+                take = pa.array(np.flatnonzero(shared.value.has(batch.column(batch.num_columns - 1)) == bit))
                 yield pa.RecordBatch.from_arrays([c.take(take) for c in batch.columns[:-1]], batch.schema.names[:-1])
 
-        return named.withColumn("_place", place("_name")).mapInArrow(run, named.schema)
+        return named.withColumn("_place", place).mapInArrow(tidy(run), named.schema)
 
     return (rows_with(1), rows_with(0)) if both else rows_with(1)
 
@@ -298,36 +305,53 @@ def _found(light: DataFrame, named: DataFrame, length: int, gram: int, passage:
     return whole, durable(part.groupBy("_name").agg(F.collect_list(F.struct("s", "e", "in_words")).alias("_spans")))
 
 
-def digest(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
+def _total(spans: Column) -> Column:
+    """The number of places that spans cover together."""
+    step = lambda x, y: F.struct(F.greatest(x["e"], y["e"]).alias("e"), (x["n"] + F.greatest(y["e"] - F.greatest(x["e"], y["s"]), F.lit(0).cast("long"))).alias("n"))
+    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("n")), step, lambda x: x["n"])
+
+
+def digest(docs: DataFrame, length: int = 400, gram: int = 32, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and with ``passage`` n_passage_words.
 
     A null text is empty; texts shorter than ``length`` bytes keep everything.  Copies of a text (repeated
     rows too) repeat each other, so all of them lose everything.  Other columns are dropped.
+    With ``passage``, n_passage_words counts the words (between ASCII white space) in runs of so many words that
+    start anywhere else too, however few bytes those have; it says nothing of what is removed.
     """
     named = _named(docs.select("doc_id", "text"))
-    light = durable(named.select("doc_id", "_name", F.sha2("_data", 256).alias("sha"), F.octet_length("_data").cast("long").alias("n_bytes")))
-    whole, spans = _found(light, named, length, gram)
-    sides = light.join(whole.withColumn("whole", F.lit(True)), "_name", "left").join(spans.select("_name", F.lit(True).alias("part")), "_name", "left")
-    w = F.coalesce("whole", F.lit(False))
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long") if passage is not None else F.lit(0).cast("long")
+    light = durable(named.select("doc_id", "_name", F.sha2("_data", 256).alias("sha"), F.octet_length("_data").cast("long").alias("n_bytes"), n_words.alias("n_words")))
+    whole, spans = _found(light, named, length, gram, passage)
+    of_bytes = durable(spans.withColumn("_spans", F.filter("_spans", lambda x: ~x["in_words"])).where(F.size("_spans") > 0))
+    of_words = spans.select("_name", _total(F.filter("_spans", lambda x: x["in_words"])).alias("_words"))
+    sides = light.join(whole.withColumn("whole", F.lit(True)), "_name", "left").join(of_words, "_name", "left")
+    copied = F.coalesce("whole", F.lit(False))
+    words = F.when(copied & (F.col("n_words") >= (passage or 0)), F.col("n_words")).otherwise(F.coalesce("_words", F.lit(0).cast("long")))
+    sides = sides.withColumns({"n_passage_words": words, "_gone": copied & (F.col("n_bytes") >= length)})
+    sides = sides.join(of_bytes.select("_name", F.lit(True).alias("part")), "_name", "left")
+    w = F.col("_gone")
     rest = sides.where("part is null").select(
         "doc_id",
         "n_bytes",
         F.when(w, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(w, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"),
         F.when(w, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
+        "n_passage_words",
     )
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for doc, data, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, data, spans, words in zip(*(c.to_pylist() for c in batch.columns)):
                 gone = merged(spans, len(data))
-                rows.append((doc, len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept(data, gone)).hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((doc, len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept(data, gone)).hexdigest(), words))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
-    changed = _among(named, spans).join(spans, "_name").select("doc_id", "_data", "_spans")
-    return rest.unionAll(changed.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    changed = _among(named, of_bytes).join(of_bytes, "_name").join(of_words, "_name", "left").select("doc_id", "_data", "_spans", F.coalesce("_words", F.lit(0).cast("long")).alias("_words"))
+    out = rest.unionAll(changed.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))
+    return out if passage is not None else out.drop("n_passage_words")
 
 
 def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict]:
@@ -346,26 +370,29 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, passage:
     With ``passage``, a run of so many words (between ASCII white space, whichever) that occurs more than
     once goes too, however few bytes it has; a text of so many words that is repeated in whole loses all.
     Every occurrence goes, as in ``digest``; a character of which a byte goes is left out.  Rows without
-    repeats, and null texts, stay as they are.  An ``n_chars`` column follows the new text.
+    repeats, and null texts, stay as they are.  An ``n_chars`` column follows the new text.  Other columns may
+    have any names.
     """
+    own = docs.columns
+    columns = ["text" if c == "text" else f"c{i}" for i, c in enumerate(own)]  # none that the helpers below use
+    docs = docs.toDF(*columns)
     named = _named(docs)
     size = F.octet_length("_data").cast("long")
     # Only texts that are too short as bytes are asked for their words.
-    n_words = F.when(size < length, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0d]+"))).otherwise(F.lit(0)) if passage is not None else F.lit(0)
+    n_words = F.when(size < length, F.regexp_count("text", F.lit(_WORD))).otherwise(F.lit(0)) if passage is not None else F.lit(0)
     light = durable(named.select("_name", F.sha2("_data", 256).alias("sha"), size.alias("n_bytes"), n_words.alias("n_words")))
     whole, spans = _found(light, named, length, gram, passage)
     every = durable(spans.unionAll(whole.select("_name", F.expr("array(named_struct('s', 0L, 'e', 1099511627776L, 'in_words', false))"))))
     touched, plain = _among(named, every, both=True)
     hit = touched.join(every, "_name", "left").drop("_data", "_name")
-    columns = docs.columns
 
     def cut(batches):
         for batch in batches:
             texts = [t if spans is None or t is None else kept(d := t.encode(), merged(in_bytes(d, spans), len(d))).decode(errors="ignore") for t, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
-    out = plain.drop("_data", "_name").unionAll(hit.mapInArrow(cut, docs.schema))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = plain.drop("_data", "_name").unionAll(hit.mapInArrow(tidy(cut), docs.schema)).toDF(*own)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 
 def kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
