@@ -6,14 +6,12 @@ again as the next one's docs.  All but the last return the columns of ``document
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import decontaminate, jaccard, language, packing, suffixes
-from loomlake.llm.common import ship_code, table
+from loomlake.llm.common import fresh, ship_code, table
+from loomlake.storage import discard, new_folder
 
 #: Passages of so many words that occur more than once are cut, as strings of 400 bytes are.
 PASSAGE_WORDS = 51
@@ -25,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter; a low score alone doesn't, as clean short texts are in doubt too."""
     ship_code(spark)
     model = language.fit(docs.where(~language.held_out()))
-    seen = language.predict(docs, model, "_lang", "_score")
-    return seen.where(F.col("_lang") != language.NONE).select(docs.columns)
+    label, score = fresh("_lang", docs), fresh("_score", docs)
+    return language.predict(docs, model, label, score).where(F.col(label) != language.NONE).drop(label, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 400 bytes, and passages of over 50 words, that occur more than once out of the texts."""
     ship_code(spark)
-    return suffixes.remove_repeats(docs, length=400, passage=PASSAGE_WORDS).select(docs.columns)
+    return suffixes.remove_repeats(docs, length=400, passage=PASSAGE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a window of a benchmark item."""
     ship_code(spark)
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), most=MOST_HIT).select(docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), most=MOST_HIT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +51,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     import public_tokenizers
 
     # Workers that earlier stages have used keep fewer words in memory.
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, keep_words=300_000)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, keep_words=150_000)
 
 
 STAGES = [
@@ -69,13 +67,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; between them tables are written to the cluster's shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; between them tables are written to the cluster's shared folder.
+
+    A table goes when the next one is written; the last one stays, as the result reads it.
+    """
+    folder = new_folder(spark, "corpus-pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{i}")
             docs = spark.read.parquet(path)
+            if before is not None:
+                discard(spark, before)
+            before = path
     return docs
