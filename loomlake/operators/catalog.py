@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions.text import is_json, trimmed
 from loomlake.storage import durable
 
 
@@ -100,3 +101,101 @@ def refreshed(work: DataFrame) -> DataFrame:
         "new_failures": F.when(o == "success", F.lit(0).cast("long")).when(o.isin("transient", "permanent"), more).otherwise(F.col("refresh_failures")),
         "still_refreshable": (o != "nothing") & F.col("refreshable"),
     })
+
+
+#: Headers that belong to the platform or to the connection, in lower case.
+RESERVED_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "host", "content-length", "content-type", "accept", "x-user-id")
+
+
+def credential_config_error(providers: Column, headers: Column, params: Column, reserved_prefix: str = "x-plat-") -> Column:
+    """The first thing wrong with what a tool effectively resolves to (own or inherited); null if nothing.
+
+    ``providers``: array of struct<provider, level> that it requires; ``headers`` and ``params``: arrays of names that
+    credentials are put into.  Nulls are empty arrays.  Names of headers are compared without case.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    named = F.transform(F.coalesce(providers, F.expr("cast(array() as array<struct<provider:string,level:string>>)")), lambda p: p["provider"])
+    headers, params = F.coalesce(headers, none), F.coalesce(params, none)
+    lower = F.transform(headers, lambda h: F.lower(h))
+
+    def header(h: Column, i: Column) -> Column:
+        low = F.lower(h)
+        return (
+            F.when(~h.rlike("^[A-Za-z0-9][A-Za-z0-9-]{0,63}$"), "bad header").when(low.isin(*RESERVED_HEADERS) | low.startswith(reserved_prefix), "reserved header")
+            .when(F.array_contains(F.slice(lower, 1, i), low), "header set twice")
+        )
+
+    def param(p: Column, i: Column) -> Column:
+        return F.when(~p.rlike("^[A-Za-z_][A-Za-z0-9_.-]{0,63}$"), "bad param").when(F.array_contains(F.slice(params, 1, i), p), "param set twice")
+
+    first = lambda names, check: F.get(F.filter(F.transform(names, check), lambda e: e.isNotNull()), F.lit(0))
+    some = (F.size(headers) > 0) | (F.size(params) > 0)
+    return F.coalesce(
+        F.when(F.size(F.array_distinct(named)) < F.size(named), "provider required twice"),
+        F.when(some & (F.size(named) == 0), "authorization without requirement"),
+        first(headers, header),
+        first(params, param),
+    )
+
+
+def provider_error(name: Column, level: Column, scopes: Column) -> Column:
+    """The first thing wrong with a provider's access level; null if nothing."""
+    return (
+        F.when(~F.coalesce(name, F.lit("")).rlike("^[a-z0-9][a-z0-9_-]{0,63}$"), "provider name").when(~F.coalesce(level, F.lit("")).rlike("^[a-z0-9][a-z0-9_-]{0,31}$"), "level name")
+        .when(F.coalesce(F.size(scopes), F.lit(0)) <= 0, "no scopes").when(F.exists(scopes, lambda s: trimmed(s) == ""), "empty scope")
+    )
+
+
+def agent_error(model: Column, name: Column, schema: Column, models: tuple[str, ...], most_bytes: int = 65_536) -> Column:
+    """The first thing wrong with an agent; its output schema, if not blank, has to be one JSON object."""
+    v = F.try_parse_json(schema)
+    is_object = is_json(schema) & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(~F.coalesce(model, F.lit("")).isin(*models), "unknown model").when(F.coalesce(trimmed(name), F.lit("")) == "", "no name").when((schema != "") & (~is_object | (F.octet_length(schema) > most_bytes)), "schema")
+
+
+def users_of_keys(shown: DataFrame, users: DataFrame, key: str = "key") -> DataFrame:
+    """Shown keys with the user whose stored hash they have; ``users``: user_id, api_keys (array of struct with key_hash), email_verified.
+
+    Keys of users without a verified address, and unknown ones, drop out.
+    """
+    hashes = users.where("email_verified").select("user_id", F.explode("api_keys.key_hash").alias("_hash"))
+    return shown.withColumn("_hash", F.sha2(F.col(key), 256)).join(hashes, "_hash").drop("_hash")
+
+
+def bound_tools(agents: DataFrame, tools: DataFrame) -> DataFrame:
+    """agent_id, server_id, tool_id of the tools of the servers that an agent names, within its organization."""
+    each = agents.select("agent_id", "organization_id", F.explode("servers").alias("server_id")).distinct()
+    return each.join(tools, ["organization_id", "server_id"]).select("agent_id", "server_id", "tool_id")
+
+
+def unadvertised(entries: DataFrame, offered: DataFrame, server: str = "server_id", tool: str = "tool") -> DataFrame:
+    """Configured tools that their server doesn't offer; wildcards and probe keys aren't tools."""
+    return entries.where((F.col(tool) != "*") & ~F.col(tool).startswith("/")).select(server, tool).distinct().join(offered, [server, tool], "left_anti")
+
+
+def granted_level(granted: Column, asked: Column, level: str) -> tuple[Column, Column]:
+    """The scopes that count as granted (what was asked, if the answer names none), and the level if they cover it."""
+    scopes = F.when(F.size(granted) > 0, granted).otherwise(asked)
+    return scopes, F.when(F.size(missing_access(asked, scopes)) == 0, level)
+
+
+def credential_fields(answer: Column, now: Column) -> tuple[Column, Column]:
+    """Scopes (parted by blanks) and expiry (epoch seconds) of a credential's JSON, a variant.
+
+    Scopes come as a string or a list; the expiry as RFC 3339, epoch seconds or seconds from ``now``.
+    """
+    listed = F.array_join(F.try_variant_get(answer, "$.scope", "array<string>"), " ")
+    scopes = F.coalesce(listed, F.try_variant_get(answer, "$.scope", "string"), F.lit(""))
+    at = F.try_to_timestamp(F.try_variant_get(answer, "$.expires_at", "string"))
+    return scopes, F.coalesce(F.try_variant_get(answer, "$.expires_at", "bigint"), F.unix_timestamp(at), now + F.try_variant_get(answer, "$.expires_in", "bigint"))
+
+
+def counted(rows: DataFrame, kind: str, name: str) -> DataFrame:
+    """kind, name, n: how many rows have each value of a column."""
+    return rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+
+
+def revocation_tally(outcomes: DataFrame, key: str = "provider") -> DataFrame:
+    """Of each provider: how many credentials were revoked, can't be, or failed to be, and how many are deleted in all."""
+    o = F.col("outcome")
+    return outcomes.groupBy(key).agg(*[F.count_if(o == x).alias(x) for x in ("revoked", "unsupported", "failed")], F.count("*").alias("deleted"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions.text import file_format, trimmed
+
 
 def rounds(calls: DataFrame, key: list[str], order: list[str], turn: str = "turn") -> DataFrame:
     """Adds ``round``: runs of consecutive calls with equal turn (islands), from 1; a missing turn is 0."""
@@ -121,3 +123,39 @@ def summaries(messages: DataFrame, title: Column) -> DataFrame:
     """Messages of each conversation, and a title from its first user message."""
     first = F.min(F.when(F.col("role") == "user", F.struct("position", "content")))["content"]
     return messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), first.alias("_first")).withColumn("title", title).drop("_first")
+
+
+def counts(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Messages of each conversation and its last turn."""
+    return messages.groupBy(key).agg(F.count("*").alias("message_count"), F.max(order).alias("last_turn"))
+
+
+def usage(replies: DataFrame, key: str = "request_id", order: str = "seq") -> DataFrame:
+    """Tokens of each request over all of its replies, and why the last one stopped."""
+    return replies.groupBy(key).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.max_by("stop_reason", order).alias("stop_reason"))
+
+
+def refused_attachments(files: DataFrame, messages: DataFrame, key: str = "conv_id", order: str = "position", most: int = 5, most_bytes: int = 4_500_000) -> DataFrame:
+    """Conversations with files, and the first reason against them (null: admitted).
+
+    ``files``: key, order, filename, data (base64).  Reasons: too many files, no user message, and of each file in
+    order an unsupported type, data that isn't base64, is empty or too large.
+    """
+    users = messages.groupBy(key).agg(F.bool_or(F.col("role") == "user").alias("_user"))
+    numbers = files.groupBy(key).agg(F.count("*").alias("_files"))
+    raw = F.try_to_binary("data", F.lit("base64"))
+    reason = (
+        F.when(F.col("_files") > most, "0 too many files").when(~F.coalesce("_user", F.lit(False)), "1 no user message").when(file_format(F.col("filename")).isNull(), "2 unsupported type")
+        .when(raw.isNull(), "3 not base64").when(F.octet_length(raw) == 0, "4 empty").when(F.octet_length(raw) > most_bytes, "5 too large")
+    )
+    judged = files.join(numbers, key).join(users, key, "left").withColumn("reason", reason)
+    return judged.groupBy(key).agg(F.min(F.when(F.col("reason").isNotNull(), F.struct(order, "reason")))["reason"].alias("reason"))
+
+
+def request_verdict(requests: DataFrame, most_bytes: int = 262_144, most_files: int = 5) -> Column:
+    """'ok' or the first thing wrong with a request: role, content, agent, model (blank or null: none) and number of files."""
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return (
+        F.when(F.coalesce(trimmed(F.col("content")), F.lit("")) == "", "blank content").when(~F.coalesce("role", F.lit("")).isin("user", "assistant"), "role").when(F.octet_length("content") > most_bytes, "too large")
+        .when(~have("agent") & ~have("model"), "no agent or model").when(have("agent") & have("model"), "agent and model").when(F.coalesce("files", F.lit(0)) > most_files, "too many files").otherwise("ok")
+    )

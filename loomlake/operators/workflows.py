@@ -16,18 +16,24 @@ def propagate_skips(runs: DataFrame, key: str = "execution_id", order: str = "po
     return runs.withColumn("_skip", skipped).withColumns({"status": F.when(F.col("_skip"), "skipped").otherwise(F.col("status")), "output": F.when(F.col("_skip"), None).otherwise(F.col("output"))}).drop("_skip")
 
 
-def contexts(runs: DataFrame, key: str = "execution_id", order: str = "position") -> DataFrame:
-    """Adds what a step sees: ``previous``, the last output that succeeded before it, and ``earlier``, how many did."""
+def contexts(runs: DataFrame, key: str = "execution_id", order: str = "position", name: str = "name") -> DataFrame:
+    """Adds what a step sees: ``previous``, the last output that succeeded before it, and ``earlier``, a map of name to output of all that did.
+
+    Of two earlier steps with one name the later counts.
+    """
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    good = F.when(F.col("status") == "succeeded", F.col("output"))
-    return runs.withColumns({"previous": F.last(good, ignorenulls=True).over(before), "earlier": F.map_from_entries(F.collect_list(F.when(F.col("status") == "succeeded", F.struct(F.col(order).cast("string"), "output"))).over(before))})
+    good = F.col("status") == "succeeded"
+    pairs = F.collect_list(F.when(good, F.struct(F.col(order).alias("p"), F.col(name).alias("k"), F.col("output").alias("v")))).over(before)
+    last = F.transform(F.array_distinct(F.transform("_pairs", lambda x: x["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter("_pairs", lambda x: x["k"] == k), -1)["v"].alias("v")))
+    return runs.withColumns({"previous": F.last(F.when(good, F.col("output")), ignorenulls=True).over(before), "_pairs": pairs}).withColumn("earlier", F.map_from_entries(last)).drop("_pairs")
 
 
-def roll_up(runs: DataFrame, key: str = "execution_id", order: str = "position") -> DataFrame:
-    """Status, output and error of each execution from its step runs."""
+def roll_up(runs: DataFrame, key: str = "execution_id", order: str = "position", name: str = "name") -> DataFrame:
+    """Status, output and error of each execution from its step runs; the error names the first step that failed, and why."""
     failed = F.col("status") == "failed"
-    g = runs.groupBy(key).agg(F.bool_or(failed).alias("_failed"), F.max_by("output", order).alias("_last"), F.min(F.when(failed, F.col(order))).alias("_at"), F.count("*").alias("steps"))
-    return g.select(key, "steps", F.when(F.col("_failed"), "failed").otherwise("succeeded").alias("status"), F.when(~F.col("_failed"), F.col("_last")).alias("output"), F.when(F.col("_failed"), F.concat(F.lit("step "), F.col("_at").cast("string"), F.lit(" failed"))).alias("error"))
+    g = runs.groupBy(key).agg(F.bool_or(failed).alias("_failed"), F.max_by("output", order).alias("_last"), F.min(F.when(failed, F.struct(order, name, "error"))).alias("_at"), F.count("*").alias("steps"))
+    error = F.concat(F.lit('step "'), F.col("_at")[name], F.lit('" failed: '), F.coalesce(F.col("_at")["error"], F.lit("")))
+    return g.select(key, "steps", F.when(F.col("_failed"), "failed").otherwise("succeeded").alias("status"), F.when(~F.col("_failed"), F.col("_last")).alias("output"), F.when(F.col("_failed"), error).alias("error"))
 
 
 def admit(messages: DataFrame, records: DataFrame) -> DataFrame:

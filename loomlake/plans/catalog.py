@@ -15,33 +15,35 @@ MODELS = ("small", "medium", "large")
 
 @query("j2_reference_integrity", cte("agent_kbs", "kb_documents", "agents") + """SELECT 'agent_kb' AS relation, CAST(agent_id AS BIGINT) AS id, CAST(kb_id AS VARCHAR) AS missing FROM agent_kbs WHERE kb_id NOT IN (SELECT kb_id FROM kb_documents)
     UNION ALL SELECT 'agent_model', id, model FROM agents WHERE model NOT IN ('small', 'medium', 'large')
+    UNION ALL SELECT 'agent_server', a.id, CAST(t.server AS VARCHAR) FROM agents a JOIN (SELECT id AS agent, unnest([id, id + 1, id + 25]) AS server FROM agents) t ON t.agent = a.id WHERE t.server NOT IN (SELECT s_suppkey FROM supplier)
     UNION ALL SELECT DISTINCT 'step_agent', l_orderkey, CAST(l_suppkey + 5 AS VARCHAR) FROM lineitem WHERE l_suppkey + 5 NOT IN (SELECT id FROM agents)""")
 def j2(spark, sf_dir):
     kbs, agents = load(spark, sf_dir, "agent_kbs"), load(spark, sf_dir, "agents")
     models = spark.createDataFrame([(m,) for m in MODELS], "model string")
     steps = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("step_of"), (F.col("l_suppkey") + 5).alias("id")).distinct()
+    servers = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("server_id"))
+    named = agents.select("id", F.explode(F.array(F.col("id"), F.col("id") + 1, F.col("id") + 25)).alias("server_id"))
     say = lambda df, relation, key, missing: df.select(F.lit(relation).alias("relation"), F.col(key).cast("long").alias("id"), F.col(missing).cast("string").alias("missing"))
     return (
         say(op.missing_references(kbs, load(spark, sf_dir, "kb_documents"), "kb_id"), "agent_kb", "agent_id", "kb_id")
         .unionAll(say(op.missing_references(agents, models, "model"), "agent_model", "id", "model"))
+        .unionAll(say(op.missing_references(named, servers, "server_id"), "agent_server", "id", "server_id"))
         .unionAll(say(op.missing_references(steps, agents, "id"), "step_agent", "step_of", "id"))
     )
 
 
 @query("j7_key_lookup", cte("users") + "SELECT e.event_id, u.id AS user_id FROM events e JOIN users u ON sha256('sk_' || CAST(u.id AS VARCHAR)) = sha256('sk_' || CAST(e.event_id % 3000 AS VARCHAR)) WHERE u.email_verified")
 def j7(spark, sf_dir):
-    users = load(spark, sf_dir, "users").where("email_verified")
     key = F.sha2(F.concat(F.lit("sk_"), F.col("id").cast("string")), 256)
-    keys = users.select(F.col("id").alias("user_id"), F.array(F.struct(key.alias("key_hash"))).alias("api_keys")).select("user_id", F.explode("api_keys.key_hash").alias("key_hash"))
-    shown = load(spark, sf_dir, "events").select("event_id", F.sha2(F.concat(F.lit("sk_"), (F.col("event_id") % 3000).cast("string")), 256).alias("key_hash"))
-    return shown.join(keys, "key_hash").select("event_id", "user_id")
+    users = load(spark, sf_dir, "users").select(F.col("id").alias("user_id"), "email_verified", F.array(F.struct(key.alias("key_hash"))).alias("api_keys"))
+    shown = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("sk_"), (F.col("event_id") % 3000).cast("string")).alias("key"))
+    return op.users_of_keys(shown, users).select("event_id", "user_id")
 
 
 @query("j8_tool_binding", cte("agents", "tools") + "SELECT a.id AS agent_id, t.server_id, t.tool_id FROM agents a JOIN tools t ON t.organization_id = a.organization_id AND t.server_id IN (a.id, a.id + 1, a.id + 25)")
 def j8(spark, sf_dir):
-    agents = load(spark, sf_dir, "agents").select(F.col("id").alias("agent_id"), "organization_id", F.array(F.col("id"), F.col("id") + 1, F.col("id") + 25).alias("tools"))
-    each = agents.select("agent_id", "organization_id", F.explode("tools").alias("server_id"))
-    return each.join(load(spark, sf_dir, "tools"), ["organization_id", "server_id"]).select("agent_id", "server_id", "tool_id")
+    agents = load(spark, sf_dir, "agents").select(F.col("id").alias("agent_id"), "organization_id", F.array(F.col("id"), F.col("id") + 1, F.col("id") + 25).alias("servers"))
+    return op.bound_tools(agents, load(spark, sf_dir, "tools"))
 
 
 @query("w13_advertised_names", cte("tools") + """, b AS (SELECT organization_id, server_id, tool_id, name, substring(regexp_replace(CAST(server_id AS VARCHAR) || '__' || name, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 64) AS base FROM tools),
@@ -97,9 +99,7 @@ def x3(spark, sf_dir):
 
 @query("x4_granted_reconciliation", cte("identities") + "SELECT user_id, provider, CASE WHEN scopes <> '' THEN scopes ELSE 'repo' END AS granted, CASE WHEN scopes = '' OR list_contains(string_split(scopes, ','), 'repo') THEN 'read' END AS level FROM identities")
 def x4(spark, sf_dir):
-    asked = F.array(F.lit("repo"))
-    granted = F.when(F.size("granted") > 0, F.col("granted")).otherwise(asked)
-    level = F.when(F.size(op.missing_access(asked, granted)) == 0, "read")
+    granted, level = op.granted_level(F.col("granted"), F.array(F.lit("repo")), "read")
     return _identities(spark, sf_dir).select("user_id", "provider", F.array_join(granted, ",").alias("granted"), level.alias("level"))
 
 
@@ -129,23 +129,26 @@ def x6(spark, sf_dir):
 @query("x7_configured_not_advertised", f"WITH e AS ({_ENTRIES}) SELECT server_id, tool FROM e WHERE tool <> '*' AND NOT starts_with(tool, '/') AND (server_id, tool) NOT IN (SELECT p_partkey % 100, 'tool' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 <> 0)")
 def x7(spark, sf_dir):
     _, entries = _entries(spark, sf_dir)
-    # The configuration as it is stored: a map of each server.
-    stored = entries.groupBy("server_id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "value"))).alias("config"))
     offered = load(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select((F.col("p_partkey") % 100).alias("server_id"), F.concat(F.lit("tool"), F.col("p_partkey").cast("string")).alias("tool"))
-    keys = stored.select("server_id", F.explode(F.map_keys("config")).alias("tool")).where("tool <> '*' and not startswith(tool, '/')")
-    return keys.join(offered, ["server_id", "tool"], "left_anti")
+    return op.unadvertised(entries, offered)
 
 
-@query("q3_tool_credential_checks", _RESOLVED + """SELECT server_id, tool, CASE WHEN coalesce(value, '') = '' THEN 'authorization without requirement' WHEN NOT regexp_full_match(h, '[A-Za-z0-9-]{1,64}') THEN 'bad header' WHEN lower(h) IN ('host', 'cookie') THEN 'reserved header' END AS error
-    FROM (SELECT *, CASE length(tool) % 4 WHEN 0 THEN 'X-Key' WHEN 1 THEN 'Bad Header' WHEN 2 THEN 'Host' ELSE 'Authorization' END AS h FROM x) y""")
+@query("q3_tool_credential_checks", _RESOLVED + """, h AS (SELECT *, (server_id * 7 + length(tool)) % 11 AS h, (server_id + length(tool) * 3) % 5 AS p FROM x), c AS (SELECT *, coalesce(value, '') = '' AS nothing FROM h)
+    SELECT server_id, tool, CASE WHEN NOT nothing AND server_id % 13 = 5 THEN 'provider required twice' WHEN nothing AND (h <> 10 OR p <> 4) THEN 'authorization without requirement'
+      WHEN h IN (1, 2) THEN 'bad header' WHEN h IN (3, 4, 5) THEN 'reserved header' WHEN h = 6 THEN 'header set twice' WHEN p = 1 THEN 'bad param' WHEN p = 2 THEN 'param set twice' END AS error FROM c""")
 def q3(spark, sf_dir):
-    """Headers are checked on what each tool effectively resolves to."""
+    """Requirements, headers and params are checked on what each tool effectively resolves to."""
     wanted, entries = _entries(spark, sf_dir)
     x = op.own_or_wildcard(wanted, entries, ["server_id"])
-    n = F.length("tool") % 4
-    header = F.when(n == 0, "X-Key").when(n == 1, "Bad Header").when(n == 2, "Host").otherwise("Authorization")
-    error = F.when(F.coalesce("value", F.lit("")) == "", "authorization without requirement").when(~header.rlike("^[A-Za-z0-9-]{1,64}$"), "bad header").when(F.lower(header).isin("host", "cookie"), "reserved header")
-    return x.select("server_id", "tool", error.alias("error"))
+    n, m = F.pmod(F.col("server_id") * 7 + F.length("tool"), F.lit(11)), F.pmod(F.col("server_id") + F.length("tool") * 3, F.lit(5))
+    names = lambda *a: F.array(*[F.lit(y) for y in a]) if a else F.expr("cast(array() as array<string>)")
+    pick = lambda at, cases: F.coalesce(*[F.when(at == i, names(*c)) for i, c in enumerate(cases)])
+    headers = pick(n, [("X-Key",), ("Bad Header",), ("-dash",), ("Host",), ("X-One", "te"), ("X-Plat-Own",), ("X-Key", "x-key"), ("A", "B"), ("Authorization",), ("Z9",), ()])
+    params = pick(m, [("token",), ("9bad",), ("a", "b", "a"), ("a", "A"), ()])
+    need = F.filter(F.array(F.col("value")), lambda v: F.coalesce(v, F.lit("")) != "")
+    need = F.when(F.col("server_id") % 13 == 5, F.concat(need, need)).otherwise(need)
+    providers = F.transform(need, lambda v: F.struct(F.split(v, ":")[0].alias("provider"), F.split(v, ":")[1].alias("level")))
+    return x.select("server_id", "tool", op.credential_config_error(providers, headers, params).alias("error"))
 
 
 @query("q4_provider_checks", """SELECT p_partkey, CASE WHEN NOT regexp_full_match(n, '[a-z0-9][a-z0-9_-]{0,63}') THEN 'provider name' WHEN NOT regexp_full_match(l, '[a-z0-9][a-z0-9_-]{0,31}') THEN 'level name' WHEN s = '' THEN 'no scopes' WHEN list_contains(string_split(s, ','), ' ') THEN 'empty scope' END AS error FROM
@@ -156,21 +159,13 @@ def q4(spark, sf_dir):
     name = F.when(k % 2 == 0, F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))).otherwise(F.col("p_brand"))
     level = F.when(k % 3 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
     scopes = F.filter(F.split(F.when(k % 5 == 0, "").when(k % 5 == 1, "a, ").otherwise("a,b"), ","), lambda s: s != "")
-    error = (
-        F.when(~name.rlike("^[a-z0-9][a-z0-9_-]{0,63}$"), "provider name").when(~level.rlike("^[a-z0-9][a-z0-9_-]{0,31}$"), "level name")
-        .when(F.size(scopes) == 0, "no scopes").when(F.exists(scopes, lambda s: tx.trimmed(s) == ""), "empty scope")
-    )
-    return p.select("p_partkey", error.alias("error"))
+    return p.select("p_partkey", op.provider_error(name, level, scopes).alias("error"))
 
 
 @query("q5_agent_checks", cte("agents") + "SELECT id, CASE WHEN model NOT IN ('small', 'medium', 'large') THEN 'unknown model' WHEN name = '' THEN 'no name' WHEN id % 6 IN (3, 4) THEN 'schema' END AS error, id % 6 NOT IN (0, 1) AS has_schema FROM agents")
 def q5(spark, sf_dir):
     schema = F.col("output_schema")
-    v = F.try_parse_json(schema)
-    is_object = tx.is_json(schema) & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    blank = schema.isin("", "{}")
-    error = F.when(~F.col("model").isin(*MODELS), "unknown model").when(tx.trimmed(F.col("name")) == "", "no name").when((schema != "") & (~is_object | (F.octet_length(schema) > 65_536)), "schema")
-    return load(spark, sf_dir, "agents").select("id", error.alias("error"), (~blank).alias("has_schema"))
+    return load(spark, sf_dir, "agents").select("id", op.agent_error(F.col("model"), F.col("name"), schema, MODELS).alias("error"), (~schema.isin("", "{}")).alias("has_schema"))
 
 
 @query("c9_account_normalization", cte("users") + "SELECT email, id FROM (SELECT lower(trim(email)) AS email, id, row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY id DESC) AS n FROM users) x WHERE n = 1")
@@ -187,10 +182,8 @@ def c10(spark, sf_dir):
     scopes = F.when(k % 3 == 0, '"scope":"repo user",').when(k % 3 == 1, '"scope":["repo"],').otherwise("")
     expiry = F.when(k % 4 == 0, F.concat(F.lit('"expires_at":"'), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit('"'))).when(k % 4 == 1, F.concat(F.lit('"expires_at":'), at.cast("string"))).when(k % 4 == 2, '"expires_in":3600').otherwise('"none":0')
     raw = load(spark, sf_dir, "orders").select(k.alias("id"), F.parse_json(F.concat(F.lit("{"), scopes, expiry, F.lit("}"))).alias("v"))
-    listed = F.array_join(F.try_variant_get("v", "$.scope", "array<string>"), " ")
-    text = F.try_variant_get("v", "$.expires_at", "string")
-    when = F.coalesce(F.try_variant_get("v", "$.expires_at", "bigint"), F.unix_timestamp(F.try_to_timestamp(text)), F.lit(1000) + F.try_variant_get("v", "$.expires_in", "bigint"))
-    return raw.select("id", F.coalesce(listed, F.try_variant_get("v", "$.scope", "string"), F.lit("")).alias("scopes"), when.alias("expires_epoch"))
+    found, when = op.credential_fields(F.col("v"), F.lit(1000))
+    return raw.select("id", found.alias("scopes"), when.alias("expires_epoch"))
 
 
 _HORIZON = "1999-01-01"
@@ -213,11 +206,10 @@ def t6(spark, sf_dir):
 
 @query("a5_entity_counts", cte("resources", "identities") + "SELECT 'resource' AS kind, resource AS name, count(*) AS n FROM resources GROUP BY resource UNION ALL SELECT 'identity', provider, count(*) FROM identities GROUP BY provider")
 def a5(spark, sf_dir):
-    count = lambda t, kind, c: load(spark, sf_dir, t).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    return count("resources", "resource", "resource").unionAll(count("identities", "identity", "provider"))
+    return op.counted(load(spark, sf_dir, "resources"), "resource", "resource").unionAll(op.counted(load(spark, sf_dir, "identities"), "identity", "provider"))
 
 
 @query("a8_revocation_tally", cte("identities") + "SELECT provider, count(*) FILTER (WHERE (user_id % 3) = 0) AS revoked, count(*) FILTER (WHERE (user_id % 3) = 1) AS unsupported, count(*) FILTER (WHERE (user_id % 3) = 2) AS failed, count(*) AS deleted FROM identities GROUP BY provider")
 def a8(spark, sf_dir):
     o = F.col("user_id") % 3
-    return load(spark, sf_dir, "identities").groupBy("provider").agg(F.count_if(o == 0).alias("revoked"), F.count_if(o == 1).alias("unsupported"), F.count_if(o == 2).alias("failed"), F.count("*").alias("deleted"))
+    return op.revocation_tally(load(spark, sf_dir, "identities").withColumn("outcome", F.when(o == 0, "revoked").when(o == 1, "unsupported").otherwise("failed")))

@@ -48,7 +48,7 @@ def j11(spark, sf_dir):
 @query("a6_token_usage", cte("chat_events") + "SELECT request_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(CAST(floor(value * 2) AS BIGINT)) AS BIGINT) AS output_tokens, max_by(event, seq) AS stop_reason FROM chat_events GROUP BY request_id")
 def a6(spark, sf_dir):
     e = load(spark, sf_dir, "chat_events")
-    return e.groupBy("request_id").agg(F.sum(F.floor("value")).alias("input_tokens"), F.sum(F.floor(F.col("value") * 2)).alias("output_tokens"), F.max_by("event", "seq").alias("stop_reason"))
+    return op.usage(e.select("request_id", "seq", F.floor("value").alias("input_tokens"), F.floor(F.col("value") * 2).alias("output_tokens"), F.col("event").alias("stop_reason")))
 
 
 @query("w9_grounding_audit", cte("chat_messages") + """, m AS (SELECT *, last_value(CASE WHEN role = 'user' THEN CASE WHEN attachment IS NULL THEN 0 ELSE 1 END END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM chat_messages)
@@ -66,7 +66,7 @@ def w10(spark, sf_dir):
 
 @query("w11_conversation_counts", "SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def w11(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"))
+    return op.counts(load(spark, sf_dir, "conversations"))
 
 
 @query("w12_titles", r"""WITH f AS (SELECT conv_id, count(*) AS message_count, trim(regexp_replace(min_by(text, turn) FILTER (WHERE role = 'user'), '\s+', ' ', 'g'), ' ') AS t FROM conversations GROUP BY conv_id)
@@ -107,27 +107,21 @@ def c4(spark, sf_dir):
     m = load(spark, sf_dir, "chat_messages")
     extra = m.where("role = 'assistant'").select("conv_id", "position", F.when(F.col("position") == 1, "x.exe").when(F.col("conv_id") % 3 == 0, "y.TXT").otherwise("z.md").alias("filename"), F.base64(F.encode(F.when(F.col("position") == 3, "").otherwise(F.col("content")), "UTF-8")).alias("data"))
     files = m.where("attachment is not null").select("conv_id", "position", F.col("attachment").alias("filename"), F.base64(F.encode("content", "UTF-8")).alias("data")).unionAll(extra)
-    users = m.groupBy("conv_id").agg(F.bool_or(F.col("role") == "user").alias("has_user"))
-    counts = files.groupBy("conv_id").agg(F.count("*").alias("files"))
-    raw = F.try_to_binary("data", F.lit("base64"))
-    reason = (
-        F.when(F.col("files") > 5, "0 too many files").when(~F.col("has_user"), "1 no user message").when(tx.file_format(F.col("filename")).isNull(), "2 unsupported type")
-        .when(raw.isNull(), "3 not base64").when(F.octet_length(raw) == 0, "4 empty").when(F.octet_length(raw) > 4_500_000, "5 too large")
-    )
-    judged = files.join(counts, "conv_id").join(users, "conv_id").withColumn("reason", reason)
-    return judged.groupBy("conv_id").agg(F.min(F.when(F.col("reason").isNotNull(), F.struct("position", "reason")))["reason"].alias("reason"))
+    return op.refused_attachments(files, m)
 
 
-@query("c5_reply_normalization", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'json' ELSE 'text' END AS kind FROM events")
+@query("c5_reply_normalization", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'json' ELSE 'text' END AS kind, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '"' || user_id || '"' WHEN 2 THEN '"' || replace(props, '"', '\\"') || ' x"' WHEN 3 THEN '"[' || event_type || '"' ELSE '"' || event_type || '."' END AS value FROM events""")
 def c5(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     n = F.col("event_id") % 5
     reply = F.when(n == 0, F.concat(F.lit("  "), F.col("props"), F.lit(" "))).when(n == 1, F.col("user_id").cast("string")).when(n == 2, F.concat(F.col("props"), F.lit(" x"))).when(n == 3, F.concat(F.lit("["), F.col("event_type"))).otherwise(F.concat(F.col("event_type"), F.lit(".")))
-    return e.select("event_id", tx.reply_kind(reply).alias("kind"))
+    return e.select("event_id", tx.normalized_reply(reply).alias("r")).select("event_id", "r.kind", "r.value")
 
 
-@query("q6_message_checks", """SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'blank content' WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN strlen(text) > 262144 THEN 'too large' ELSE 'ok' END AS verdict FROM conversations""")
+@query("q6_message_checks", """SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'blank content' WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN strlen(text) > 262144 THEN 'too large'
+    WHEN (conv_id + turn) % 4 = 3 THEN 'no agent or model' WHEN (conv_id + turn) % 4 = 0 THEN 'agent and model' WHEN (conv_id * 3 + turn) % 8 > 5 THEN 'too many files' ELSE 'ok' END AS verdict FROM conversations""")
 def q6(spark, sf_dir):
-    text = F.col("text")
-    verdict = F.when(tx.trimmed(text) == "", "blank content").when(~F.col("role").isin("user", "assistant"), "role").when(F.octet_length(text) > 262_144, "too large").otherwise("ok")
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", verdict.alias("verdict"))
+    """Requests with an agent, a model, both or neither, and up to seven files."""
+    n = (F.col("conv_id") + F.col("turn")) % 4
+    asked = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), F.when(n.isin(0, 1), "a1").otherwise("").alias("agent"), F.when(n.isin(0, 2), "small").alias("model"), ((F.col("conv_id") * 3 + F.col("turn")) % 8).alias("files"))
+    return asked.select("conv_id", "turn", op.request_verdict(asked).alias("verdict"))

@@ -9,9 +9,9 @@ from loomlake.plans.tables import cte, load
 from loomlake.registry import query
 
 
-@query("a10_request_metrics", cte("request_log") + "SELECT route, status, count(*) AS requests, count(*) FILTER (WHERE status >= 500) AS errors, " + ", ".join(f"count(*) FILTER (WHERE duration_s <= {b}) AS le_{str(b).replace('.', '_')}" for b in op.BOUNDS) + " FROM request_log GROUP BY route, status")
+@query("a10_request_metrics", cte("request_log") + "SELECT method, route, status, count(*) AS requests, count(*) FILTER (WHERE status >= 500) AS errors, " + ", ".join(f"count(*) FILTER (WHERE duration_s <= {b}) AS le_{str(b).replace('.', '_')}" for b in op.BOUNDS) + " FROM request_log GROUP BY method, route, status")
 def a10(spark, sf_dir):
-    return op.request_metrics(load(spark, sf_dir, "request_log"), ["route", "status"])
+    return op.request_metrics(load(spark, sf_dir, "request_log"), ["method", "route", "status"])
 
 
 _NOW = "2024-01-30 12:00:00"

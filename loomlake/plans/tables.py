@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 TABLES: dict[str, str] = {
-    "memberships": "SELECT c_custkey AS user_id, c_nationkey AS organization_id, c_custkey % 50 = 0 AS owner FROM customer WHERE c_custkey % 97 <> 0",
+    "memberships": "SELECT c_custkey AS user_id, c_nationkey AS organization_id, c_custkey % 50 = 0 AS owner, c_custkey * 10 AS created_at FROM customer WHERE c_custkey % 97 <> 0",
     # Roles: one for each nation and segment; what its members may do. Every customer has a hidden one for what they own.
     "role_members": """SELECT c_nationkey AS organization_id, 'seg ' || lower(c_mktsegment) AS name, c_custkey AS user_id FROM customer
         UNION ALL SELECT (c_nationkey + 1) % 25, 'seg ' || lower(c_mktsegment), c_custkey FROM customer WHERE c_custkey % 40 = 0
@@ -38,7 +38,8 @@ TABLES: dict[str, str] = {
     "delivery_log": "SELECT event_id % 2500 AS message_id, ts AS attempt_ts, event_type = 'signup' AS acked FROM events UNION ALL SELECT event_id % 2500, ts, false FROM events WHERE event_id % 2500 % 50 = 0",
     "executions": "SELECT o_orderkey AS id, o_orderkey % 200 AS workflow_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status, o_orderdate AS queued_at FROM orders",
     "step_runs": """SELECT l_orderkey AS execution_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS position,
-        CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'failed' ELSE 'succeeded' END AS status, 'out-' || cast(l_partkey AS varchar(20)) AS output FROM lineitem""",
+        CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'failed' ELSE 'succeeded' END AS status, 'out-' || cast(l_partkey AS varchar(20)) AS output,
+        CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'part ' || cast(l_partkey AS varchar(20)) || ' returned' END AS error FROM lineitem""",
     "identities": """SELECT user_id, provider, organization_id, expires_at, refreshable, status, refresh_failures, scopes FROM (SELECT o_custkey AS user_id,
         CASE o_orderkey % 3 WHEN 0 THEN 'google' WHEN 1 THEN 'github' ELSE 'jira' END AS provider, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE c_nationkey END AS organization_id,
         CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS expires_at, o_orderstatus <> 'P' AS refreshable,
@@ -50,7 +51,7 @@ TABLES: dict[str, str] = {
     # A tool's requirements: the wildcard of each server, own entries of some tools.
     "tools": """SELECT s_nationkey AS organization_id, s_suppkey AS server_id, p_partkey AS tool_id, p_name || ' ' || cast(p_partkey % 7 AS varchar(20)) AS name, p_brand, p_type, p_size, p_retailprice FROM part JOIN supplier ON p_partkey % 100 = s_suppkey""",
     "users": """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '  User' || cast(c_custkey / 2 AS varchar(20)) || '@Mail.org ' ELSE 'user' || cast(c_custkey AS varchar(20)) || '@mail.org' END AS email, c_name AS display_name, c_custkey % 6 <> 0 AS email_verified FROM customer""",
-    "request_log": "SELECT event_id, ts, event_type AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, user_id AS trace_id FROM events",
+    "request_log": "SELECT event_id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' WHEN event_id % 5 = 0 THEN 'HEAD' ELSE 'GET' END AS method, event_type AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, user_id AS trace_id FROM events",
 }
 TABLES["users"] = TABLES["users"].replace("c_custkey / 2", "(c_custkey - c_custkey % 2)")
 TABLES["chat_events"] = TABLES["chat_events"].replace("event_id / 500 AS turn_raw, ", "")

@@ -9,27 +9,31 @@ from loomlake.plans.tables import cte, load
 from loomlake.registry import query
 
 _SKIPPED = """s AS (SELECT *, coalesce(max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS skip FROM step_runs),
-    k AS (SELECT execution_id, position, CASE WHEN skip THEN 'skipped' ELSE status END AS status, CASE WHEN skip THEN NULL ELSE output END AS output FROM s)"""
+    k AS (SELECT execution_id, position, 'step_' || CAST(position AS VARCHAR) AS name, CASE WHEN skip THEN 'skipped' ELSE status END AS status, CASE WHEN skip THEN NULL ELSE output END AS output, error FROM s)"""
 
 
 def _runs(spark, sf_dir):
-    return op.propagate_skips(load(spark, sf_dir, "step_runs"))
+    runs = load(spark, sf_dir, "step_runs").withColumn("name", F.concat(F.lit("step_"), F.col("position").cast("string")))
+    return op.propagate_skips(runs)
 
 
 @query("w7_skip_propagation", cte("step_runs") + f", {_SKIPPED} SELECT execution_id, CAST(position AS INTEGER) AS position, status, output FROM k")
 def w7(spark, sf_dir):
-    return _runs(spark, sf_dir)
+    return _runs(spark, sf_dir).select("execution_id", "position", "status", "output")
 
 
 @query("w8_step_context", cte("step_runs") + f""", {_SKIPPED} SELECT execution_id, CAST(position AS INTEGER) AS position,
-    last_value(CASE WHEN status = 'succeeded' THEN output END IGNORE NULLS) OVER w AS previous, CAST(coalesce(sum(CASE WHEN status = 'succeeded' THEN 1 ELSE 0 END) OVER w, 0) AS INTEGER) AS n_earlier
+    last_value(CASE WHEN status = 'succeeded' THEN output END IGNORE NULLS) OVER w AS previous, coalesce(array_to_string(list_sort(list(name || '=' || output) FILTER (WHERE status = 'succeeded') OVER w), ','), '') AS earlier
     FROM k WINDOW w AS (PARTITION BY execution_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def w8(spark, sf_dir):
-    return op.contexts(_runs(spark, sf_dir)).select("execution_id", "position", "previous", F.size("earlier").alias("n_earlier"))
+    seen = op.contexts(_runs(spark, sf_dir))
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("earlier"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return seen.select("execution_id", "position", "previous", said.alias("earlier"))
 
 
-@query("a11_execution_roll_up", cte("step_runs") + f""", {_SKIPPED} SELECT execution_id, count(*) AS steps, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'succeeded' END AS status,
-    CASE WHEN NOT bool_or(status = 'failed') THEN max_by(output, position) END AS output, CASE WHEN bool_or(status = 'failed') THEN 'step ' || min(position) FILTER (WHERE status = 'failed') || ' failed' END AS error FROM k GROUP BY execution_id""")
+@query("a11_execution_roll_up", cte("step_runs") + f""", {_SKIPPED}, f AS (SELECT execution_id, min(position) AS p FROM k WHERE status = 'failed' GROUP BY 1)
+    SELECT k.execution_id, count(*) AS steps, CASE WHEN p IS NOT NULL THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN p IS NULL THEN max_by(output, position) END AS output,
+    CASE WHEN p IS NOT NULL THEN 'step "' || max(name) FILTER (WHERE position = p) || '" failed: ' || max(error) FILTER (WHERE position = p) END AS error FROM k LEFT JOIN f ON f.execution_id = k.execution_id GROUP BY k.execution_id, p""")
 def a11(spark, sf_dir):
     return op.roll_up(_runs(spark, sf_dir))
 
