@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlake.llm.common import utf8
+from loomlake.llm.common import tidy, utf8
 from loomlake.llm.tokens import byte_ranks
 
 RULES = ("start", "majority", "split")
@@ -35,7 +35,7 @@ def line_starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def attribute(token_ends: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section, and how many of its bytes' tokens begin there and end beyond it.
 
-    Sections are disjoint and sorted; bytes between them belong to none.  Tokens cover the text.
+    Sections are disjoint, sorted and not empty; bytes between them belong to none.  Tokens cover the text.
     """
     token_starts = np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
     n = len(starts)
@@ -71,9 +71,10 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "start",
     """A row for each section of each document: its place, its tokens and how many tokens cross its end.
 
     ``sections`` names a column of ``array<struct<start,end>>`` in bytes of the UTF-8 text, disjoint and
-    sorted; without one, sections are lines.  Sections are numbered from 0.  A null or empty text has no
-    lines and so no rows; with given sections those count 0 tokens.  A null section list gives no rows.
-    Repeated documents give repeated rows; other columns are dropped.
+    sorted; without one, sections are lines.  Sections are numbered by their places in the list, from 0.  A null or
+    empty text has no lines and so no rows; with given sections those count 0 tokens.  A null section list gives no
+    rows, nor does a section that is null or has a null end; an empty section counts 0 tokens, and what lies beyond the
+    text's end holds nothing.  Repeated documents give repeated rows; other columns are dropped.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -87,19 +88,23 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "start",
             for k, data in enumerate(texts):
                 data = data or b""
                 if given is not None:
-                    spans = [(s["start"], s["end"]) for s in given[k] or []]
-                    starts, ends = (np.array([x[j] for x in spans], np.int64) for j in (0, 1))
+                    spans = [(n, s["start"], s["end"]) for n, s in enumerate(given[k] or []) if s is not None and s["start"] is not None and s["end"] is not None]
+                    numbers, starts, ends = (np.array([x[j] for x in spans], np.int64) for j in range(3))
                 elif data:
                     starts, ends = line_starts(data)
+                    numbers = np.arange(len(starts))
                 else:
                     continue
                 if not len(starts):
                     continue
                 token_ends = np.cumsum(sizes[np.array(encoding.encode_ordinary(data.decode()), np.int64)]) if data else np.zeros(0, np.int64)
-                tokens, crossing = attribute(token_ends, starts, ends, rule) if len(token_ends) else (np.zeros(len(starts)), np.zeros(len(starts), np.int64))
-                chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-                at = lambda x: chars[np.clip(x, 0, len(data))]
-                parts.append((np.full(len(starts), ids[k]) if ids[k] is not None else None, np.arange(len(starts)), starts, ends, at(starts), at(ends), tokens, crossing))
+                tokens, crossing = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
+                full = starts < ends
+                if len(token_ends) and full.any():
+                    tokens[full], crossing[full] = attribute(token_ends, starts[full], ends[full], rule)
+                goes_on = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)  # bytes that begin no character
+                at = lambda x: (y := np.clip(x, 0, len(data))) - np.searchsorted(goes_on, y)
+                parts.append((np.full(len(starts), ids[k]) if ids[k] is not None else None, numbers, starts, ends, at(starts), at(ends), tokens, crossing))
             columns = []
             for j, f in enumerate(_KIND):
                 pieces = [pa.array(p[j]).cast(f.type) if p[j] is not None else pa.nulls(len(p[1]), f.type) for p in parts]
@@ -107,4 +112,4 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "start",
             yield pa.RecordBatch.from_arrays(columns, schema=_KIND)
 
     columns = ["doc_id", "text", sections] if sections else ["doc_id", "text"]
-    return docs.select(*columns).mapInArrow(count, _ROWS)
+    return docs.select(*columns).mapInArrow(tidy(count), _ROWS)

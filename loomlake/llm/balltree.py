@@ -1,10 +1,16 @@
 """Exact top-k inner-product search by ball trees.
 
-Vectors are dealt into shards of bounded size by a hash of their id, and one task builds a ball tree
-for each shard.  The stated queries are dealt into blocks, and every (block, shard) pair is searched by
-branch and bound: a node is opened only while its upper bound q.c + |q| r reaches the query's current
-k-th score, best bound first.  A first wave searches one shard for each block; the k-th scores it finds are
-shared with the second wave, which searches all other shards with them as the bar from the start.
+Vectors are dealt into shards by locality: each goes to the nearest of a bounded number of centres, which come
+from a bounded sample, and a centre's vectors are dealt by a hash of their ids into shards of bounded size.
+One task builds a ball tree for each shard.  The stated queries are dealt into blocks in the same way.
+
+A block and a shard can meet at most in the inner product that their balls allow, so each block's shards are
+ordered by that bound and searched in waves, the most promising first.  Each wave begins with the k-th scores that
+all waves before it have found: (block, shard) pairs whose bound is below the least k-th score of the block
+are dropped before a tree moves, and within a tree a node is opened only while its upper bound q.c + |q| r reaches the
+query's current k-th score, best bound first.
+
+Of equal vectors only the k + 1 with the smallest ids can be in a result, so only they are indexed.
 """
 
 from __future__ import annotations
@@ -13,10 +19,12 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import durable
+from loomlake.llm.common import durable, tidy
+from loomlake.operators.retrieval import dot
 
 _EXACT = 1 << 53
 
@@ -60,11 +68,15 @@ def build(ids: np.ndarray, v: np.ndarray, leaf: int) -> dict:
     return {"ids": ids[order], "v": v[order], "c": np.array(centre), "r": np.array(radius), "left": left, "lo": np.array(lo), "hi": np.array(hi)}
 
 
+#: Scores are cut to this range; the lowest number of 64 bits stands for "none".
+_LAST = (1 << 63) - 1
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < _EXACT:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    fa, fb = a.astype(float), b.astype(float)
+    if float(np.abs(fa).max(initial=0)) * float(np.abs(fb).max(initial=0)) * a.shape[1] < _EXACT:
+        return (fa @ fb.T).astype(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, -_LAST, _LAST).astype(np.int64)
 
 
 _NONE = np.iinfo(np.int64).min
@@ -126,63 +138,145 @@ def _descending(x: np.ndarray) -> np.ndarray:
     return ~x  # order-reversing on int64, without overflow
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int = 8192, block_rows: int = 1024, leaf: int = 128) -> DataFrame:
+def centres(sample: np.ndarray, most: int) -> np.ndarray:
+    """About ``most`` centres of balls that hold equally many rows of a sample."""
+    tree = build(np.arange(len(sample)), sample, max(1, -(-len(sample) // most)))
+    return tree["c"][tree["left"] < 0]
+
+
+def nearest(v: np.ndarray, middles: np.ndarray) -> np.ndarray:
+    """The index of each vector's nearest centre, the first of several."""
+    return ((middles**2).sum(1)[None, :] - 2 * v.astype(float) @ middles.T).argmin(1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The lists of one length of an Arrow column as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _located(rows: DataFrame, middles: dict[int, np.ndarray]) -> DataFrame:
+    """Adds ``cell``, the nearest centre of the row's dimension; 0 where the dimension has no centres."""
+    shared = rows.sparkSession.sparkContext.broadcast(middles)
+    names = [*rows.columns, "cell"]
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            cell = np.zeros(len(dims), np.int32)
+            for d, c in shared.value.items():
+                at = np.flatnonzero(dims == d)
+                if len(at):
+                    cell[at] = nearest(_matrix(batch.column(2).take(pa.array(at))), c)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names)
+
+    return rows.mapInArrow(tidy(run), "vec_id long, dim int, v array<long>, cell int")
+
+
+def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Adds ``name``: the rows of a cell in parts of about ``size``, by a hash of their ids."""
+    parts = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(size)).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.col("parts"))
+    return rows.join(parts, ["dim", "cell"]).withColumn(name, F.shiftleft(F.col("cell").cast("long"), 40) + part).drop("cell", "parts")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int = 8192, block_rows: int = 1024, leaf: int = 128, sample_rows: int = 16_384, most_cells: int = 1024, bundle: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with other rows.
 
     Both inputs come from ``quantised``.  A query never meets a row with its own id; ties go to the smaller
     vec_id; a query with fewer than k other rows of its dimension gets all of them; rows of other
-    dimensions have no inner product with it.  No rows or no queries give no rows.
+    dimensions have no inner product with it.  No rows or no queries give no rows.  Repeated rows (of one id and one
+    vector) are one row; rows of one id with different vectors are candidates each, and as a query the id asks
+    once, with the least of them.  Scores beyond 64 bits count as the highest or lowest such number.
+
+    ``sample_rows`` bounds the rows from which centres are made, ``most_cells`` the centres of a dimension;
+    neither bounds what is indexed or searched.
     """
-    schema = vectors.schema
-    assert set(schema.names) >= {"vec_id", "dim", "v"}
-    n_rows, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // block_rows))
-    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    kept = vectors.where("dim > 0 and vec_id is not null").select("vec_id", "dim", "v")
+    same = Window.partitionBy("dim", "v").orderBy("vec_id")
+    kept = kept.withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1).drop("_n").dropDuplicates(["dim", "v", "vec_id"])
+    kept = durable(kept.select("vec_id", "dim", "v"))
+    asked = durable(queries.where("dim > 0 and vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v"))
+    n_rows, n_queries = kept.count(), asked.count()
+
+    # A row is in the sample if its hash is low, about sample_rows in all.
+    low = F.xxhash64("vec_id", F.lit("sample")) / F.lit(float(1 << 64)) + 0.5 < F.lit(sample_rows / max(n_rows, 1))
+    cells = min(most_cells, -(-n_rows // shard_rows))
+    sample: dict[int, list] = {}
+    if cells > 1:
+        for r in kept.where(low).select("dim", "v").limit(2 * sample_rows).collect():
+            sample.setdefault(r["dim"], []).append(r["v"])
+    middles = {d: centres(np.array(v, np.int64), cells) for d, v in sample.items()}
+
+    def ball(v: np.ndarray) -> tuple[list[float], float]:
+        c = v.astype(float).mean(0)
+        return c.tolist(), float(np.sqrt(((v - c) ** 2).sum(1)).max())
+
+    def small(v: np.ndarray) -> np.ndarray:
+        return v.astype(np.int32) if np.abs(v.astype(float)).max(initial=0) < 1 << 31 else v
 
     def grow(key, pdf):
         pdf = pdf.sort_values("vec_id", ignore_index=True)
-        tree = build(pdf["vec_id"].to_numpy(np.int64), np.stack([np.asarray(x, np.int64) for x in pdf["v"]]), leaf)
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree, 5)]})
+        v = np.stack([np.asarray(x, np.int64) for x in pdf["v"]])
+        tree = build(pdf["vec_id"].to_numpy(np.int64), v, leaf)
+        c, r = ball(v)
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree | {"v": small(tree["v"])}, 5)], "c": [c], "r": [r]})
 
     def gather(key, pdf):
-        data = pdf["vec_id"].to_numpy(np.int64), np.stack([np.asarray(x, np.int64) for x in pdf["v"]])
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [pickle.dumps(data, 5)]})
-
-    trees = durable(vectors.where("dim > 0").groupBy("dim", part(shards, "shard").alias("shard")).applyInPandas(grow, "dim int, shard int, tree binary"))
-    asked = durable(queries.where("dim > 0").groupBy("dim", part(blocks, "block").alias("block")).applyInPandas(gather, "dim int, block int, queries binary"))
-    found = "dim int, block int, query_id long, vec_id long, score long"
+        v = np.stack([np.asarray(x, np.int64) for x in pdf["v"]])
+        c, r = ball(v)
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(np.int64), small(v)), 5)], "qc": [c], "qr": [r], "asking": [len(v)]})
+
+    trees = durable(_dealt(_located(kept, middles), shard_rows, "shard").groupBy("dim", "shard").applyInPandas(grow, "dim int, shard long, tree binary, c array<double>, r double"))
+    blocks = durable(_dealt(_located(asked, middles), block_rows, "block").groupBy("dim", "block").applyInPandas(gather, "dim int, block long, queries binary, qc array<double>, qr double, asking long"))
+    found = "dim int, block long, query_id long, vec_id long, score long"
+
+    # The highest inner product of a point in one ball with one in the other; the last term is for rounding.
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    reach = dot(F.col("qc"), F.col("c")) + norm("qc") * F.col("r") + norm("c") * F.col("qr") + F.col("qr") * F.col("r")
+    bound = reach + F.lit(1e-9) * (1 + (norm("qc") + F.col("qr")) * (norm("c") + F.col("r")))
+    pairs = blocks.select("dim", "block", "qc", "qr").join(trees.select("dim", "shard", "c", "r"), "dim").select("dim", "block", "shard", bound.alias("bound"))
+    pairs = durable(pairs.withColumn("n", F.row_number().over(Window.partitionBy("dim", "block").orderBy(F.desc("bound"), "shard"))))
+    most = pairs.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    bundles = max(1, -(-blocks.count() // bundle))
 
     def meet(tree_side, block_side):
-        if not len(tree_side) or not len(block_side):
-            return pd.DataFrame({"dim": [], "block": [], "query_id": [], "vec_id": [], "score": []})
-        tree, (qid, q) = pickle.loads(tree_side["tree"].iloc[0]), pickle.loads(block_side["queries"].iloc[0])
-        bars = block_side["bars"].iloc[0]
-        bar = np.full(len(qid), -np.inf) if bars is None else np.array([dict(zip(*pickle.loads(bars))).get(i, -np.inf) for i in qid.tolist()])
-        score, ids = search(tree, qid, q, bar, k)
-        i, j = np.nonzero(score > _NONE)
-        return pd.DataFrame({"dim": int(block_side["d"].iloc[0]), "block": int(block_side["b"].iloc[0]), "query_id": qid[i], "vec_id": ids[i, j], "score": score[i, j]})
-
-    def wave(pairs: DataFrame) -> DataFrame:
-        """Searches (dim, block, shard) pairs; each group is one tree and one block of queries."""
-        right = pairs.select(F.col("dim").alias("d"), F.col("shard").alias("s"), F.col("block").alias("b"), "queries", "bars")
-        target = pairs.select(F.col("dim").alias("td"), F.col("shard").alias("ts"), F.col("block").alias("tb"))
-        left = trees.join(target, (F.col("dim") == F.col("td")) & (F.col("shard") == F.col("ts"))).select("td", "ts", "tb", "tree")
-        return left.groupBy("td", "ts", "tb").cogroup(right.groupBy("d", "s", "b")).applyInPandas(meet, found)
-
-    home = F.pmod("block", F.lit(shards))
-    pairs = asked.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "bars": F.lit(None).cast("binary")})
-    first = durable(wave(pairs.where(F.col("shard") == home)))
-    if shards == 1:
-        every = first
-    else:
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-        def bar(key, pdf):
-            return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "bars": [pickle.dumps((pdf["query_id"].tolist(), pdf["score"].tolist()), 5)]})
-
-        kth = first.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == k)
-        bars = kth.groupBy("dim", "block").applyInPandas(bar, "dim int, block int, bars binary")
-        rest = pairs.where(F.col("shard") != home).drop("bars").join(bars, ["dim", "block"], "left")
-        every = first.unionAll(wave(rest))
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        parts = []
+        if len(tree_side) and len(block_side):
+            tree = pickle.loads(tree_side["tree"].iloc[0])
+            for d, b, asked_, bars in zip(block_side["d"], block_side["b"], block_side["queries"], block_side["bars"]):
+                qid, q = pickle.loads(asked_)
+                kth = {} if bars is None else dict(zip(*pickle.loads(bars)))
+                bar = np.array([kth.get(i, -np.inf) for i in qid.tolist()], float)
+                score, ids = search(tree, qid, q.astype(np.int64), bar, k)
+                i, j = np.nonzero(score > _NONE)
+                parts.append(pd.DataFrame({"dim": int(d), "block": int(b), "query_id": qid[i], "vec_id": ids[i, j], "score": score[i, j]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"dim": [], "block": [], "query_id": [], "vec_id": [], "score": []})
+
+    def wave(now: DataFrame, bars: DataFrame | None) -> DataFrame:
+        """Searches (dim, block, shard) pairs; a group is one tree and a bundle of blocks, so queries move and trees hardly do."""
+        now = now.withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(bundles)))
+        right = now.join(blocks.select("dim", "block", "queries"), ["dim", "block"])
+        right = right.join(bars, ["dim", "block"], "left") if bars is not None else right.withColumn("bars", F.lit(None).cast("binary"))
+        right = right.select(F.col("dim").alias("d"), F.col("shard").alias("s"), F.col("bundle").alias("u"), F.col("block").alias("b"), "queries", "bars")
+        left = now.select("dim", "shard", "bundle").distinct().join(trees.select("dim", "shard", "tree"), ["dim", "shard"])
+        return left.groupBy("dim", "shard", "bundle").cogroup(right.groupBy("d", "s", "u")).applyInPandas(meet, found)
+
+    def bar(key, pdf):
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "bars": [pickle.dumps((pdf["query_id"].tolist(), pdf["score"].tolist()), 5)]})
+
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best, bars, at, step = None, None, 0, 1
+    while best is None or at < most:
+        now = pairs.where((F.col("n") > at) & (F.col("n") <= at + step))
+        if best is not None:
+            kth = best.where(F.col("rank") == k)
+            bars = durable(kth.groupBy("dim", "block").applyInPandas(bar, "dim int, block long, bars binary"))
+            # Only a block whose queries all have k scores can pass over a shard.
+            least = kth.groupBy("dim", "block").agg(F.count("*").alias("full"), F.min("score").alias("least")).join(blocks.select("dim", "block", "asking"), ["dim", "block"]).where("full = asking")
+            now = now.join(least.select("dim", "block", "least"), ["dim", "block"], "left").where("least is null or bound >= least").drop("least")
+        every = wave(now.select("dim", "block", "shard"), bars)
+        every = every if best is None else every.unionByName(best.drop("rank"))
+        best = durable(every.withColumn("rank", ranked).where(F.col("rank") <= k))
+        at, step = at + step, step * 4
+    return best.select("query_id", "rank", "vec_id", "score")

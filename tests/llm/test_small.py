@@ -63,6 +63,62 @@ def test_token_counts_with_given_sections(spark, vocabulary):
         attribution.count_tokens(docs, "", "", "none")
 
 
+def attributed(sizes, sections, rule):
+    """Tokens of each section, byte by byte."""
+    want, at = [0.0] * len(sections), 0
+    for size in sizes:
+        inside = [sum(a <= x < b for x in range(at, at + size)) for a, b in sections]
+        if rule == "start":
+            for k, (a, b) in enumerate(sections):
+                want[k] += a <= at < b
+        elif rule == "majority":
+            if inside and max(inside) > 0 and max(inside) >= size - sum(inside):
+                want[inside.index(max(inside))] += 1
+        else:
+            for k, n in enumerate(inside):
+                want[k] += n / size
+        at += size
+    return want
+
+
+def test_token_counts_of_odd_sections(spark, vocabulary):
+    """Empty sections, at a gap and within a token, null ones and null ends, ends beyond the text, very long unbroken text."""
+    text = "internationalization of été — counterrevolutionaries"
+    lists = [
+        [(0, 5), (5, 5), (8, 8), (9, 30)], [(3, 3)], [(0, 0), (0, 7), (7, 7), (7, 200)], [None, (0, 4)], [(None, 4), (5, None), (6, 9)], [], None, [(60, 70)], [(1, 2), (2, 3), (3, 4), (10, 11)],
+    ]
+    rows = [(i, text, None if x is None else [None if s is None else {"start": s[0], "end": s[1]} for s in x]) for i, x in enumerate(lists)]
+    rows.append((99, "x" * 200_000, [{"start": 0, "end": 100_000}, {"start": 100_000, "end": 200_000}]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens array<struct<start:long,end:long>>")
+    path, pattern = vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN
+    encoding, sizes = attribution.byte_ranks(path, pattern)
+    of_text = [int(sizes[t]) for t in encoding.encode_ordinary(text)]
+    for rule in attribution.RULES:
+        got = attribution.count_tokens(docs, path, pattern, rule, "tokens").collect()
+        for i, x in enumerate(lists):
+            known = [(k, s) for k, s in enumerate(x or []) if s is not None and None not in s]
+            mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)
+            assert [(r.section, (r.byte_start, r.byte_end)) for r in mine] == known
+            assert np.allclose([r.tokens for r in mine], attributed(of_text, [s for _, s in known], rule)), (rule, i)
+        assert len([r for r in got if r.doc_id == 99]) == 2
+
+
+def test_token_counts_query_against_brute_force(spark, vocabulary):
+    """The registered query over the whole small table: its lines, their characters and the tokens that begin there."""
+    encoding, sizes = attribution.byte_ranks(vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)
+    want = set()
+    for d in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect():
+        ends = np.cumsum([sizes[t] for t in encoding.encode_ordinary(d.text)])
+        begins = np.append(0, ends[:-1])
+        at = chars = 0
+        for k, line in enumerate(d.text.splitlines(keepends=True) if not re.search("[\x0b\x0c\x1c-\x1e\x85\u2028\u2029\r]", d.text) else re.findall("[^\n]*\n|[^\n]+", d.text)):
+            n = len(line.encode())
+            want.add((d.doc_id, k, at, at + n, chars, chars + len(line), float(((begins >= at) & (begins < at + n)).sum())))
+            at, chars = at + n, chars + len(line)
+    got = queries.op4_token_counts(spark, f"{DATA}/sf0.001").collect()
+    assert {(r.doc_id, r.section, r.byte_start, r.byte_end, r.char_start, r.char_end, r.tokens) for r in got} == want and len(got) == len(want)
+
+
 def test_preferences_oracle(spark):
     a, b = compare(spark, "op5_preference_formatting")
     assert a == b and a
@@ -117,7 +173,7 @@ def test_top_k_against_brute_force(spark):
     for i, x in data[:50]:
         assert exact[i] == [math.floor(256 * float(np.float32(y))) for y in x]
     queries_ = [i for i in exact if i % 10 == 0 and exact[i]] + [2004, 2005]
-    for how in ({}, {"shard_rows": 100, "block_rows": 40, "leaf": 8}):
+    for how in ({}, {"shard_rows": 100, "block_rows": 40, "leaf": 8}, {"shard_rows": 50, "block_rows": 20, "leaf": 8, "most_cells": 6, "bundle": 2}):
         got = balltree.top_k(v, v.where("vec_id % 10 = 0 or vec_id in (2004, 2005)"), 5, **how)
         assert {tuple(r) for r in got.collect()} == brute_top(list(exact), exact, set(queries_), 5)
     assert not balltree.top_k(v.limit(0), v.limit(0)).collect()
@@ -131,6 +187,39 @@ def test_top_k_of_large_integers(spark):
     assert {tuple(r) for r in got.collect()} == brute_top(list(exact), exact, range(5), 5)
 
 
+def test_top_k_beyond_64_bits(spark):
+    """Scores are cut to the ends of the range; cut ones tie."""
+    df = spark.createDataFrame([(i, [1e17 * (-1) ** i, 1.0]) for i in range(8)], "vec_id long, embedding array<double>")
+    v = balltree.quantised(df)
+    got = balltree.top_k(v, v.where("vec_id = 2"), 5).collect()
+    most = (1 << 63) - 1
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 0, most), (2, 4, most), (3, 6, most), (4, 1, -most), (5, 3, -most)]
+
+
+def test_top_k_of_repeated_rows(spark):
+    """A row that occurs twice is one; a third of all vectors are one, some of them queries."""
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)] + [(300 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(120)]
+    df = spark.createDataFrame(data + data[::3] + data[-9:], "vec_id long, embedding array<float>")
+    v = balltree.quantised(df)
+    exact = {r.vec_id: r.v for r in v.collect()}
+    want = brute_top(list(exact), exact, [i for i in exact if i % 10 == 0], 5)
+    for how in ({}, {"shard_rows": 20, "block_rows": 5, "leaf": 4, "sample_rows": 64, "most_cells": 8, "bundle": 2}):
+        got = [tuple(r) for r in balltree.top_k(v, v.where("vec_id % 10 = 0"), 5, **how).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # One id with two vectors: each is a candidate, neither its own partner.
+    two = balltree.quantised(spark.createDataFrame([(1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>"))
+    got = sorted(tuple(r) for r in balltree.top_k(two, two, 5).collect())
+    assert got == [(1, 1, 2, 65536), (2, 1, 1, 327680), (2, 2, 1, 65536)]
+
+
+def test_top_k_query_against_brute_force(spark):
+    """The registered query over the whole small table."""
+    got = {tuple(r) for r in queries.op6_exact_top_k(spark, f"{DATA}/sf0.001").select("query_id", "rank", "vec_id", "score").collect()}
+    exact = {r.vec_id: r.v for r in balltree.quantised(spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet")).collect()}
+    assert got == brute_top(list(exact), exact, [i for i in exact if i % 50 == 0], 5)
+
+
 def test_language_held_out_accuracy(spark):
     got = queries.op8_language_id(spark, f"{DATA}/sf0.01").collect()
     docs = rows(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
