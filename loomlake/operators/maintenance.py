@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions.rules import rule_error
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
@@ -57,6 +58,114 @@ def cascade(gone: DataFrame, children: list[tuple[str, DataFrame, str, str]]) ->
     return out
 
 
+def upload_gate(batches: DataFrame, files: DataFrame, batch: str, content: str, most_bytes: int = 50 << 20) -> DataFrame:
+    """Every batch with its files, their bytes and a verdict: ok / no files / empty file / too large.
+
+    One bad file refuses its whole batch; a null content is empty.  ``batches`` may name batches without files.
+    """
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    held = files.groupBy(batch).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.bool_or(size == 0).alias("_empty"))
+    n = F.coalesce("files", F.lit(0).cast("long"))
+    verdict = F.when(n == 0, "no files").when(F.col("_empty"), "empty file").when(F.col("total") > most_bytes, "too large").otherwise("ok")
+    return batches.select(batch).distinct().join(held, batch, "left").select(batch, n.alias("files"), F.coalesce("total", F.lit(0).cast("long")).alias("total"), verdict.alias("verdict"))
+
+
+def accepted(files: DataFrame, gate: DataFrame, batch: str) -> DataFrame:
+    """The files of the batches that ``upload_gate`` lets through."""
+    return files.join(gate.where("verdict = 'ok'").select(batch), batch, "left_semi")
+
+
+def change_elements(elements: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements of records after a log of changes, and each changed record's ``updated_at``.
+
+    ``elements``: record, element, touched_at.  ``changes``: record, element, at, op; ``add`` appends an element if
+    it is absent, ``remove`` takes it out, ``touch`` stamps ``touched_at`` of one that is there and otherwise does nothing.
+    All changes of a record are folded at once, so none is lost.  The stamp is the record's last change.
+    Changes of one element at one moment have to be apart in ``at``.
+    """
+    key = ["record", "element"]
+    gone = changes.groupBy(*key).agg(F.max(F.when(F.col("op") == "remove", F.col("at"))).alias("_gone"))
+    later = changes.join(gone, key).where(F.col("_gone").isNull() | (F.col("at") > F.col("_gone")))
+    folded = later.groupBy(*key).agg(F.min(F.when(F.col("op") == "add", F.col("at"))).alias("_added"), F.max(F.when(F.col("op") == "touch", F.col("at"))).alias("_touched"))
+    here = elements.withColumn("_here", F.lit(True)).join(gone, key, "full_outer").join(folded, key, "left")
+    stays = F.col("_here").isNotNull() & F.col("_gone").isNull()
+    touched = F.when(stays, F.greatest("touched_at", "_touched")).when(F.col("_touched") > F.col("_added"), F.col("_touched"))
+    after = here.where(stays | F.col("_added").isNotNull()).select(*key, touched.alias("touched_at"))
+    return after, changes.groupBy("record").agg(F.max("at").alias("updated_at"))
+
+
+def orphan_rules(rules: DataFrame, resources: DataFrame, rule: str = "rule") -> DataFrame:
+    """Rules that name one resource (type and id, no wildcard) that isn't there; ``resources``: resource, id."""
+    parts = F.split(rule, ":")
+    named = rules.withColumns({"_type": F.get(parts, F.lit(1)), "_id": F.get(parts, F.lit(3))}).where("_type <> '*' and _id <> '*'")
+    there = resources.select(F.col("resource").alias("_type"), F.col("id").cast("string").alias("_id")).distinct()
+    return named.join(there, ["_type", "_id"], "left_anti").drop("_type", "_id")
+
+
+def split_grants(changes: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grant changes that may be applied, and refused ones: only a hidden role, or one that isn't there yet, takes them.
+
+    ``changes``: organization_id, role, ...; ``roles``: organization_id, name, hidden.
+    """
+    visible = roles.where("not hidden").select("organization_id", F.col("name").alias("role")).distinct()
+    return changes.join(visible, ["organization_id", "role"], "left_anti"), changes.join(visible, ["organization_id", "role"], "left_semi")
+
+
+def change_memberships(asked: DataFrame, current: DataFrame) -> DataFrame:
+    """Each asked membership with a verdict and what holds after it: user_id, verdict, organization_id, created_at.
+
+    Nobody moves between organizations: a user without one is accepted, as of now; asking for one's own
+    changes nothing and keeps ``created_at``; asking for another is a conflict, and the old one stays.
+    ``asked``: user_id, wanted, asked_at.  ``current``: user_id, organization_id, created_at.
+    """
+    both = asked.join(current, "user_id", "left")
+    new = F.col("organization_id").isNull()
+    verdict = F.when(new, "accept").when(F.col("organization_id") == F.col("wanted"), "no-op").otherwise("conflict")
+    return both.select("user_id", verdict.alias("verdict"), F.coalesce("organization_id", "wanted").alias("organization_id"), F.when(new, F.col("asked_at")).otherwise(F.col("created_at")).alias("created_at"))
+
+
+def founded(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Organizations that approvals bring about, each with its first member, who owns it: organization_id, name, user_id, owner.
+
+    ``before``: id, status, name, requested_by; ``after``: id, status.  Only requests that were pending count.
+    """
+    newly = before.where("status = 'pending'").select("id", "name", "requested_by").join(after.where("status = 'approved'").select("id"), "id", "left_semi")
+    return newly.select(F.concat(F.lit("org-"), F.col("id").cast("string")).alias("organization_id"), "name", F.col("requested_by").alias("user_id"), F.lit(True).alias("owner"))
+
+
+def left_owners(memberships: DataFrame, removed: DataFrame) -> DataFrame:
+    """Owners of each organization, how many a batch of removals leaves, and whether it is refused because none is left."""
+    gone = removed.select("user_id").distinct().withColumn("_gone", F.lit(True))
+    left = F.col("owner") & F.col("_gone").isNull()
+    return memberships.join(gone, "user_id", "left").groupBy("organization_id").agg(F.count_if("owner").alias("owners"), F.count_if(left).alias("left_over"), (F.count_if(left) == 0).alias("refused"))
+
+
+def keep_last_good(old: DataFrame, new: DataFrame, probed: DataFrame, key: str) -> DataFrame:
+    """Rows after a refresh: groups that were probed are as found now, even if empty; others keep their old rows."""
+    return new.join(probed.select(key).distinct(), key, "left_semi").unionByName(old.join(probed.select(key).distinct(), key, "left_anti"))
+
+
+def role_errors(roles: DataFrame, memberships: DataFrame, namespace: str) -> DataFrame:
+    """What is wrong with roles: organization_id, name, what, detail.
+
+    ``roles``: organization_id, name, rules (array), members (array of user ids).  Checked are the name's
+    characters, that it is no user's id, each rule, and that each member belongs to the organization.
+    """
+    key = ["organization_id", "name"]
+    say = lambda df, what, detail: df.select(*key, F.lit(what).alias("what"), detail.cast("string").alias("detail"))
+    users = memberships.select(F.col("user_id").cast("string").alias("name")).distinct()
+    rules = roles.select(*key, F.explode("rules").alias("rule")).withColumn("wrong", rule_error(F.col("rule"), namespace)).where("wrong is not null")
+    members = roles.select(*key, F.explode("members").alias("user_id")).distinct()
+    outside = members.join(memberships.select("user_id", "organization_id"), ["user_id", "organization_id"], "left_anti")
+    bad = ~F.coalesce("name", F.lit("")).rlike("^[a-zA-Z0-9][a-zA-Z0-9 _-]{0,63}$")
+    return (
+        say(roles.where(bad), "name", F.col("name"))
+        .unionAll(say(roles.join(users, "name", "left_semi"), "name is a user id", F.col("name")))
+        .unionAll(say(rules, "rule", F.concat_ws(" ", "wrong", "rule")))
+        .unionAll(say(outside, "member of another organization", F.col("user_id")))
+    )
+
+
 def fold_grants(changes: DataFrame, current: DataFrame) -> DataFrame:
     """Each user's rules after a log of grants and revokes, in order: user_id, rules.
 

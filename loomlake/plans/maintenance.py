@@ -28,11 +28,15 @@ def s3(spark, sf_dir):
     return df.select("doc_id", verdict.alias("verdict"), F.when(verdict == "ok", F.octet_length("raw").cast("long")).alias("n_bytes"))
 
 
-@query("s4_upload_gate", "SELECT doc_id // 10 AS batch_id, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS total FROM documents GROUP BY 1 HAVING min(strlen(text)) > 200 AND sum(strlen(text)) <= 52428800")
+@query("s4_upload_gate", """WITH b AS (SELECT DISTINCT doc_id // 10 AS batch_id FROM documents UNION SELECT -1 - n_nationkey FROM nation), f AS (SELECT doc_id // 10 AS batch_id, CASE WHEN doc_id % 47 = 0 THEN '' ELSE text END AS text FROM documents),
+    g AS (SELECT batch_id, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS total, min(strlen(text)) AS least FROM f GROUP BY 1)
+    SELECT b.batch_id, coalesce(files, 0) AS files, coalesce(total, 0) AS total, CASE WHEN files IS NULL THEN 'no files' WHEN least = 0 THEN 'empty file' WHEN total > 52428800 THEN 'too large' ELSE 'ok' END AS verdict FROM b LEFT JOIN g USING (batch_id)""")
 def s4(spark, sf_dir):
-    size = F.octet_length("text")
-    batches = load(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("batch_id")).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.bool_and(size > 200).alias("ok"))
-    return batches.where("ok and total <= 52428800").drop("ok")
+    """Batches of ten documents, some with an empty file, and batches that name no file."""
+    k = F.col("doc_id")
+    files = load(spark, sf_dir, "documents").select(F.floor(k / 10).alias("batch_id"), F.when(k % 47 == 0, "").otherwise(F.col("text")).alias("text"))
+    batches = files.select("batch_id").unionAll(load(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long")))
+    return op.upload_gate(batches, files, "batch_id", "text")
 
 
 _CHANGES = "SELECT doc_id % 300 AS document_id, doc_id AS version, 'new-' || source AS filename FROM documents WHERE doc_id % 3 = 0"
@@ -70,21 +74,30 @@ def s9(spark, sf_dir):
     """Servers whose probe failed (here every third) keep their old tools."""
     old = load(spark, sf_dir, "tools").select("server_id", "tool_id")
     probed = old.select("server_id").distinct().where("server_id % 3 <> 0")
-    new = old.where("server_id % 3 <> 0 and tool_id % 2 = 0")
-    now = new.unionByName(old.join(probed, "server_id", "left_anti"))
+    now = op.keep_last_good(old, old.where("server_id % 3 <> 0 and tool_id % 2 = 0"), probed, "server_id")
     counts = old.groupBy("server_id").agg(F.count("*").alias("before")).join(now.groupBy("server_id").agg(F.count("*").alias("n")), "server_id", "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     return counts.select("server_id", n.alias("tool_count"), (n != F.col("before")).alias("changed"))
 
 
-@query("s10_array_updates", """WITH e AS (SELECT user_id, 'k' || CAST(event_id % 9 AS VARCHAR) AS k, max_by(event_type <> 'error', event_id) AS add FROM events GROUP BY 1, 2)
-    SELECT c_custkey AS id, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM e WHERE user_id = c_custkey AND add UNION SELECT 'k0' WHERE NOT EXISTS (SELECT 1 FROM e WHERE user_id = c_custkey AND k = 'k0' AND NOT add)) x), '') AS keys FROM customer""")
+# In SQL the state of each element after each change is a recursion over its changes in order.
+@query("s10_array_updates", """WITH RECURSIVE c AS (SELECT user_id, 'k' || CAST(event_id % 9 AS VARCHAR) AS k, event_id AS moment, CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'add' ELSE 'touch' END AS op FROM events WHERE user_id IN (SELECT c_custkey FROM customer)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY moment) AS i FROM c),
+    s AS (SELECT user_id, k, 0::BIGINT AS i, k = 'k0' AS here, CAST(NULL AS BIGINT) AS touched FROM (SELECT DISTINCT user_id, k FROM c)
+      UNION ALL SELECT n.user_id, n.k, n.i, CASE op WHEN 'add' THEN true WHEN 'remove' THEN false ELSE here END, CASE WHEN op = 'touch' AND here THEN n.moment WHEN op = 'remove' THEN NULL ELSE touched END FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k AND n.i = s.i + 1),
+    l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY i DESC) = 1),
+    e AS (SELECT user_id, k, touched FROM l WHERE here UNION ALL SELECT c_custkey, 'k0', NULL FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM l WHERE k = 'k0'))
+    SELECT c_custkey AS id, coalesce((SELECT string_agg(k || '@' || coalesce(CAST(touched AS VARCHAR), '-'), ',' ORDER BY k) FROM e WHERE e.user_id = c_custkey), '') AS keys, (SELECT max(moment) FROM c WHERE c.user_id = c_custkey) AS updated_at FROM customer""")
 def s10(spark, sf_dir):
-    """Keys added and removed; all changes of an account are folded before it is touched."""
-    e = load(spark, sf_dir, "events").select("user_id", F.concat(F.lit("k"), (F.col("event_id") % 9).cast("string")).alias("rule"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("grant"))
-    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.array(F.lit("k0")).alias("rules"))
-    known = e.join(users.select("user_id"), "user_id", "left_semi")
-    return op.fold_grants(known, users).select(F.col("user_id").alias("id"), F.array_join("rules", ",").alias("keys"))
+    """Keys added, removed and touched; all changes of an account are folded before it is touched."""
+    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record"))
+    e = load(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "add").otherwise("touch")
+    changes = e.select(F.col("user_id").alias("record"), F.concat(F.lit("k"), (F.col("event_id") % 9).cast("string")).alias("element"), F.col("event_id").alias("at"), kind.alias("op")).join(users, "record", "left_semi")
+    after, stamps = op.change_elements(users.select("record", F.lit("k0").alias("element"), F.lit(None).cast("long").alias("touched_at")), changes)
+    said = F.concat_ws("@", "element", F.coalesce(F.col("touched_at").cast("string"), F.lit("-")))
+    keys = after.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(said)), ",").alias("keys"))
+    return users.join(keys, "record", "left").join(stamps, "record", "left").select(F.col("record").alias("id"), F.coalesce("keys", F.lit("")).alias("keys"), "updated_at")
 
 
 def _backfilled(spark, sf_dir):
@@ -118,27 +131,39 @@ def m4(spark, sf_dir):
     return op.cascade(gone, [("customer", of("customer"), "c_nationkey", "c_custkey"), ("orders", of("orders"), "o_custkey", "o_orderkey"), ("lineitem", of("lineitem"), "l_orderkey", "l_partkey")])
 
 
-@query("m5_orphans", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("m5_orphans", cte("role_rules", "resources") + """SELECT 'order' AS relation, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT 'rule', name || ' ' || rule FROM role_rules WHERE resource_id IN (SELECT id FROM resources WHERE id % 7 = 0)""")
 def m5(spark, sf_dir):
-    return load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+    """Orders without items, and rules of resources that were deleted (here every seventh)."""
+    childless = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    rules = op.orphan_rules(load(spark, sf_dir, "role_rules"), load(spark, sf_dir, "resources").where("id % 7 <> 0"))
+    return childless.select(F.lit("order").alias("relation"), F.col("o_orderkey").cast("string").alias("key")).unionAll(rules.select(F.lit("rule"), F.concat_ws(" ", "name", "rule")))
 
 
-@query("m6_grant_fold", cte("memberships") + """, g AS (SELECT user_id, 'plat:kb:view:' || CAST(event_id % 11 AS VARCHAR) AS rule, max_by(event_type <> 'error', event_id) AS g FROM events GROUP BY 1, 2)
-    SELECT m.user_id, m.organization_id, coalesce((SELECT string_agg(rule, ',' ORDER BY rule) FROM g WHERE g.user_id = m.user_id AND g.g), '') AS rules FROM memberships m""")
+@query("m6_grant_fold", cte("memberships") + """, g AS (SELECT user_id, 'plat:kb:view:' || CAST(event_id % 11 AS VARCHAR) AS rule, max_by(event_type <> 'error', event_id) AS g FROM events JOIN customer ON c_custkey = user_id WHERE NOT (event_id % 6 = 1 AND c_mktsegment = 'BUILDING') GROUP BY 1, 2),
+    r AS (SELECT user_id, count(*) AS n FROM events JOIN customer ON c_custkey = user_id WHERE event_id % 6 = 1 AND c_mktsegment = 'BUILDING' GROUP BY 1)
+    SELECT m.user_id, m.organization_id, coalesce((SELECT string_agg(rule, ',' ORDER BY rule) FROM g WHERE g.user_id = m.user_id AND g.g), '') AS rules, coalesce(r.n, 0) AS refused FROM memberships m LEFT JOIN r ON r.user_id = m.user_id""")
 def m6(spark, sf_dir):
+    """Changes of the users' hidden roles; some name a visible one and are refused.  The organization is the membership's."""
     members = load(spark, sf_dir, "memberships").select("user_id", "organization_id")
+    segments = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("segment"))
     log = load(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("grant"), F.concat(F.lit("plat:kb:view:"), (F.col("event_id") % 11).cast("string")).alias("rule"))
+    log = log.join(members, "user_id").join(segments, "user_id")
+    other = (F.col("at") % 6 == 1) & (F.col("segment") == "building")
+    log = log.withColumn("role", F.when(other, F.concat(F.lit("seg "), F.col("segment"))).otherwise(F.concat(F.lit("own "), F.col("user_id").cast("string"))))
+    good, refused = op.split_grants(log, load(spark, sf_dir, "role_rules"))
     current = members.select("user_id", F.expr("cast(array() as array<string>)").alias("rules"))
-    folded = op.fold_grants(log.join(members, "user_id", "left_semi"), current)
-    return members.join(folded, "user_id").select("user_id", "organization_id", F.array_join("rules", ",").alias("rules"))
+    folded = op.fold_grants(good.select("user_id", "at", "grant", "rule"), current)
+    out = members.join(folded, "user_id").join(refused.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
+    return out.select("user_id", "organization_id", F.array_join("rules", ",").alias("rules"), F.coalesce("n", F.lit(0).cast("long")).alias("refused"))
 
 
-@query("m7_membership_changes", cte("memberships") + "SELECT c.c_custkey AS user_id, CASE WHEN m.user_id IS NULL THEN 'accept' WHEN m.organization_id = (c.c_nationkey + CASE WHEN c.c_custkey % 5 = 0 THEN 1 ELSE 0 END) THEN 'no-op' ELSE 'conflict' END AS verdict FROM customer c LEFT JOIN memberships m ON m.user_id = c.c_custkey")
+@query("m7_membership_changes", cte("memberships") + """, a AS (SELECT c_custkey AS user_id, c_nationkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS wanted, 1000000 + c_custkey AS asked_at FROM customer)
+    SELECT a.user_id, CASE WHEN m.user_id IS NULL THEN 'accept' WHEN m.organization_id = wanted THEN 'no-op' ELSE 'conflict' END AS verdict, CASE WHEN m.user_id IS NULL THEN wanted ELSE m.organization_id END AS organization_id, CASE WHEN m.user_id IS NULL THEN asked_at ELSE m.created_at END AS created_at
+    FROM a LEFT JOIN memberships m ON m.user_id = a.user_id""")
 def m7(spark, sf_dir):
-    asked = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("wanted"))
-    have = load(spark, sf_dir, "memberships").select("user_id", "organization_id")
-    verdict = F.when(F.col("organization_id").isNull(), "accept").when(F.col("organization_id") == F.col("wanted"), "no-op").otherwise("conflict")
-    return asked.join(have, "user_id", "left").select("user_id", verdict.alias("verdict"))
+    asked = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("wanted"), (F.lit(1_000_000) + F.col("c_custkey")).alias("asked_at"))
+    return op.change_memberships(asked, load(spark, sf_dir, "memberships").select("user_id", "organization_id", "created_at"))
 
 
 _DECISIONS = "SELECT l_orderkey AS id, l_linenumber AS moment, CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END AS decision FROM lineitem"
@@ -147,18 +172,29 @@ _DECISIONS = "SELECT l_orderkey AS id, l_linenumber AS moment, CASE WHEN l_retur
 @query("m8_request_decisions", f"""WITH d AS (SELECT id, decision FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY moment, decision) AS n FROM ({_DECISIONS}) x) y WHERE n = 1)
     SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND d.id IS NOT NULL THEN d.decision WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'approved' END AS status FROM orders LEFT JOIN d ON d.id = o_orderkey""")
 def m8(spark, sf_dir):
+    return op.decide_first(*_requests(spark, sf_dir))
+
+
+@query("m8_new_organizations", f"""WITH d AS (SELECT id, decision FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY moment, decision) AS n FROM ({_DECISIONS}) x) y WHERE n = 1)
+    SELECT 'org-' || o_orderkey AS organization_id, o_orderpriority AS name, o_custkey AS user_id, true AS owner FROM orders JOIN d ON d.id = o_orderkey WHERE o_orderstatus = 'P' AND d.decision = 'approved'""")
+def m8_founded(spark, sf_dir):
+    """Organizations and their owners that come of approved requests."""
+    requests, decisions = _requests(spark, sf_dir)
+    asked = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("requested_by"))
+    return op.founded(requests.join(asked, "id"), op.decide_first(requests, decisions))
+
+
+def _requests(spark, sf_dir):
     requests = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("approved").alias("status"))
     decisions = spark.sql(_DECISIONS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, sf_dir, "lineitem")).withColumnRenamed("moment", "at")
-    return op.decide_first(requests, decisions)
+    return requests, decisions
 
 
 @query("a9_last_owner_guard", cte("memberships") + "SELECT organization_id, count(*) FILTER (WHERE owner) AS owners, count(*) FILTER (WHERE owner AND user_id % 100 <> 0) AS left_over, count(*) FILTER (WHERE owner AND user_id % 100 <> 0) = 0 AS refused FROM memberships GROUP BY organization_id")
 def a9(spark, sf_dir):
     """All removals of a batch count together (here of every hundredth user)."""
     m = load(spark, sf_dir, "memberships")
-    removed = m.where("user_id % 100 = 0").select("user_id", F.lit(True).alias("gone"))
-    left = F.col("owner") & F.col("gone").isNull()
-    return m.join(removed, "user_id", "left").groupBy("organization_id").agg(F.count_if("owner").alias("owners"), F.count_if(left).alias("left_over"), (F.count_if(left) == 0).alias("refused"))
+    return op.left_owners(m, m.where("user_id % 100 = 0"))
 
 
 @query("q2_rule_checks", """SELECT p_partkey, CASE WHEN NOT regexp_full_match(r, '[a-zA-Z0-9:_*.-]+') THEN 'characters' WHEN len(string_split(r, ':')) > 4 THEN 'segments' WHEN string_split(r, ':')[1] NOT IN ('plat', '*') THEN 'namespace' END AS error FROM
@@ -167,3 +203,18 @@ def q2(spark, sf_dir):
     k = F.col("p_partkey") % 5
     rule = F.when(k == 0, F.concat(F.lit("plat:kb:view:"), F.col("p_brand"))).when(k == 1, "plat:kb:view:1:2").when(k == 2, "kb:*").when(k == 3, "*").otherwise(F.concat(F.lit("plat:agent:use:"), F.col("p_size").cast("string")))
     return load(spark, sf_dir, "part").select("p_partkey", rule_error(rule, "plat").alias("error"))
+
+
+@query("q2_role_checks", cte("memberships") + """, r AS (SELECT (c_nationkey + CASE WHEN c_custkey % 40 = 0 THEN 1 ELSE 0 END) % 25 AS organization_id, CASE WHEN c_custkey % 17 = 0 THEN '-dash' WHEN c_custkey % 19 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'seg ' || lower(c_mktsegment) END AS name, c_custkey AS member, CASE WHEN c_custkey % 23 = 0 THEN 'kb:*' ELSE 'plat:kb' END AS rule FROM customer),
+    n AS (SELECT DISTINCT organization_id, name FROM r)
+    SELECT organization_id, name, 'name' AS what, name AS detail FROM n WHERE name = '-dash' UNION ALL SELECT organization_id, name, 'name is a user id', name FROM n WHERE name IN (SELECT CAST(user_id AS VARCHAR) FROM memberships)
+    UNION ALL SELECT DISTINCT organization_id, name, 'rule', 'namespace kb:*' FROM r WHERE rule = 'kb:*'
+    UNION ALL SELECT DISTINCT organization_id, name, 'member of another organization', CAST(member AS VARCHAR) FROM r WHERE NOT EXISTS (SELECT 1 FROM memberships m WHERE m.user_id = r.member AND m.organization_id = r.organization_id)""")
+def q2_roles(spark, sf_dir):
+    """Roles by organization and segment; some have bad names, users' ids as names, bad rules or members from elsewhere."""
+    k = F.col("c_custkey")
+    name = F.when(k % 17 == 0, "-dash").when(k % 19 == 0, k.cast("string")).otherwise(F.concat(F.lit("seg "), F.lower("c_mktsegment")))
+    organization = ((F.col("c_nationkey") + F.when(k % 40 == 0, 1).otherwise(0)) % 25).alias("organization_id")
+    rows = load(spark, sf_dir, "customer").select(organization, name.alias("name"), k.alias("member"), F.when(k % 23 == 0, "kb:*").otherwise("plat:kb").alias("rule"))
+    roles = rows.groupBy("organization_id", "name").agg(F.collect_set("rule").alias("rules"), F.collect_set("member").alias("members"))
+    return op.role_errors(roles, load(spark, sf_dir, "memberships"), "plat")

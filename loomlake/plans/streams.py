@@ -17,12 +17,16 @@ from loomlake.streaming.folds import fold_chat, throttle
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """Documents as message lines, with broken ones, blank texts, bad payloads, unknown types and repeated ids among them."""
+    """Documents as message lines, numbered in the order they were sent, with broken ones, blank texts, bad payloads, unknown types and deletes among them.
+
+    A delete names the document sent just before it, or the one that is sent right after it.
+    """
     k = F.col("doc_id")
     content = F.when(k % 19 == 0, "%%%").when(k % 23 == 0, F.base64(F.encode(F.lit(" "), "UTF-8"))).otherwise(F.base64(F.encode("text", "UTF-8")))
     kind = F.when(k % 11 == 0, "").when(k % 13 == 0, "other").when(k % 29 == 0, "delete_kb_document").otherwise("kb_context")
-    body = F.to_json(F.struct(kind.alias("type"), (k % 5).cast("string").alias("user_id"), (k % 12).cast("string").alias("kb_id"), k.cast("string").alias("document_id"), F.col("source").alias("filename"), content.alias("content")))
-    return documents.select(F.when(k % 17 == 0, F.substring(body, 1, 30)).otherwise(body).alias("value"))
+    about = F.when(kind != "delete_kb_document", k).when(k % 2 == 0, k - 1).otherwise(k + 1)
+    body = F.to_json(F.struct(kind.alias("type"), (k % 5).cast("string").alias("user_id"), (k % 12).cast("string").alias("kb_id"), about.cast("string").alias("document_id"), F.col("source").alias("filename"), content.alias("content")))
+    return documents.select(k.alias("message_id"), F.when(k % 17 == 0, F.substring(body, 1, 30)).otherwise(body).alias("value"))
 
 
 @query("s1_message_source", "SELECT doc_id % 17 <> 0 AS ok, count(*) AS n FROM documents GROUP BY 1")
@@ -31,21 +35,39 @@ def s1(spark, sf_dir):
     return drain(parsed, folder(spark, "s1")).groupBy("ok").agg(F.count("*").alias("n"))
 
 
-@query("t1_ingest_stream", """SELECT doc_id AS document_id, CASE WHEN length(t) <= 1000 THEN 1 ELSE CAST(ceil((length(t) - 1000) / 850.0) AS BIGINT) + 1 END AS chunks FROM
-    (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0 AND doc_id % 23 <> 0 AND NOT (doc_id % 13 = 0 AND doc_id % 11 <> 0) AND NOT (doc_id % 29 = 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0)) x""")
+@query("t1_ingest_stream", """WITH m AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'put' WHEN doc_id % 13 = 0 THEN 'other' WHEN doc_id % 29 = 0 THEN 'delete' ELSE 'put' END AS kind, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE doc_id % 17 <> 0),
+    p AS (SELECT doc_id, t FROM m WHERE kind = 'put' AND doc_id % 19 <> 0 AND doc_id % 23 <> 0 AND t <> '' AND NOT (doc_id + 1) IN (SELECT doc_id FROM m WHERE kind = 'delete' AND doc_id % 2 = 0)),
+    w AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1000 THEN 1 ELSE CAST(ceil((length(t) - 1000) / 850.0) AS BIGINT) + 1 END)) AS i FROM p),
+    c AS (SELECT doc_id, i, regexp_replace(substring(t, i * 850 + 1, 1000), '^\\s+|\\s+$', '', 'g') AS text FROM w)
+    SELECT doc_id AS document_id, count(*) AS chunks, md5(string_agg(text, '|' ORDER BY i)) AS texts_md5 FROM c WHERE text <> '' GROUP BY doc_id""")
 def t1(spark, sf_dir):
-    """Messages to chunks with embeddings; of a document that comes again, only the last batch's chunks count."""
-    parsed = messages(_lines(table_stream(spark, sf_dir, "documents"))).where("ok").select("m.*")
+    """Messages to chunks with embeddings, and the chunks of the documents that are there at the end, by document."""
+    return ingest(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("chunks"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "|")).alias("texts_md5"))
+
+
+def ingest(spark, sf_dir) -> DataFrame:
+    """Chunks with embeddings of all documents that messages put and didn't delete later: document_id, chunk_index, text, embedding.
+
+    One embedder, fitted once on the corpus, serves every batch, so all vectors share a space.  A batch writes its chunks and
+    its operations; of each document the last operation counts, so a redelivered batch, a document that comes again
+    and a delete of one that isn't there all do no harm.
+    """
+    corpus = load(spark, sf_dir, "documents").select("text")
+    embedder = rt.fit_embedder(rt.chunk_table(corpus), dim=64)
+    at = folder(spark, "t1")
+    parsed = messages(_lines(table_stream(spark, sf_dir, "documents"))).where("ok").select("message_id", "m.*")
     raw = parsed.withColumn("raw", F.try_to_binary("content", F.lit("base64"))).withColumn("route", route(F.col("type")))
-    texts = raw.where("route = 'kb_context' and raw is not null").select(F.col("document_id").cast("long").alias("document_id"), F.decode("raw", "UTF-8").alias("text")).where(trimmed(F.col("text")) != "")
-    pieces = rt.chunk_table(texts)
+    wanted = raw.select("message_id", F.col("document_id").cast("long").alias("document_id"), "route", F.decode("raw", "UTF-8").alias("text"))
+    wanted = wanted.where("route = 'delete_kb_document'").unionAll(wanted.where("route = 'kb_context' and text is not null").where(trimmed(F.col("text")) != ""))
 
     def write(batch: DataFrame, batch_id: int, out: str) -> None:
-        rt.embed(batch, dim=64).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.drop("text").write.mode("overwrite").parquet(f"{at}/operations/batch_id={batch_id}")
+        put = batch.where("route = 'kb_context'").drop("route")
+        embedder(rt.chunk_table(put)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    rows = drain(pieces, folder(spark, "t1"), write=write)
-    newest = rows.groupBy("document_id").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, ["document_id", "batch_id"]).groupBy("document_id").agg(F.count("*").alias("chunks"))
+    chunks = drain(wanted, at, write=write)
+    last = spark.read.parquet(f"{at}/operations").groupBy("document_id").agg(F.max_by("route", "message_id").alias("route"), F.max("message_id").alias("message_id")).where("route = 'kb_context'")
+    return chunks.join(last.select("document_id", "message_id"), ["document_id", "message_id"]).select("document_id", "chunk_index", "text", "embedding")
 
 
 @query("t3_chat_fold_stream", cte("chat_events") + """, l AS (SELECT request_id, max(seq) FILTER (WHERE event = 'toolCall') AS last_call FROM chat_events GROUP BY 1)
@@ -78,7 +100,8 @@ def t5(spark, sf_dir):
 
 @query("t7_admission_stream", ORACLES["f9_admission"])
 def t7(spark, sf_dir):
+    """Requests to run, once each.  What is remembered to suppress repeats is freed after 30 days; later repeats meet the keyed sink."""
     sent = table_stream(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 3).alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"))
-    once = sent.withWatermark("at", "20000 days").dropDuplicatesWithinWatermark(["id"])
+    once = sent.withWatermark("at", "30 days").dropDuplicatesWithinWatermark(["id"])
     queued = load(spark, sf_dir, "executions").where("status = 'queued'").select("id", "workflow_id")
-    return drain(once.join(queued, "id").select("id", "workflow_id"), folder(spark, "t7")).drop("batch_id")
+    return drain(once.join(queued, "id").select("id", "workflow_id"), folder(spark, "t7")).select("id", "workflow_id").dropDuplicates(["id"])

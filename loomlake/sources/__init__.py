@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files of a table that one micro-batch reads at most.
+FILES_PER_BATCH = 256
+
 ENVELOPE = "type string, user_id string, kb_id string, agent_id string, document_id string, filename string, content string, trace map<string,string>"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream; the table may be one file or a folder, so the path is given as a pattern."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def messages(lines: DataFrame, column: str = "value") -> DataFrame:
