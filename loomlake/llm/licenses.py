@@ -15,7 +15,8 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomlake.llm.common import packs, tidy, utf8
 from loomlake.llm.words import ALNUM, Words, found, grams, winnow, words
@@ -30,11 +31,44 @@ TEMPLATES = {
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "ISC-disclaimer": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-no-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
 
+#: Bytes of templates that one index may hold; it is broadcast.
+MOST_BYTES = 64 << 20
+
+
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of text files (whole licences, say), each named by its file without the extension.
+
+    A folder of more than ``MOST_BYTES`` is refused, as the index is broadcast.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    if size > MOST_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {MOST_BYTES} can be broadcast")
+    name = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    return {r["name"]: r["text"] for r in files.select(name.alias("name"), F.decode("content", "UTF-8").alias("text")).collect()}
+
 _FOUND = "doc_id bigint, license string, coverage double, n_matched int, n_words int, word_start int, word_end int, byte_start bigint, byte_end bigint"
 _KIND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int32()), ("n_words", pa.int32()), ("word_start", pa.int32()), ("word_end", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
 
@@ -63,7 +97,7 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int) -> tuple
         fresh = best <= 0
         take = np.where(same, np.where(fresh, 0, best) + gain - 1, low)
         take_from = np.where(fresh, at, begin)
-        use = take >= skip
+        use = same & (take >= skip)
         best, begin = np.where(use, take, skip), np.where(use, take_from, skip_from)
         for c in range(1, width):  # a document word without a partner
             if best[c - 1] > 0 and best[c - 1] - 1 > best[c] and not use[c]:
@@ -104,26 +138,39 @@ class Scanner:
                 for q in index[int(g[p])]:
                     n = int(self.words.text[q])
                     shifts[int(doc.text[p]), n].add(p - q + int(self.words.bounds[n]))
+        found_in: dict[int, list[tuple]] = defaultdict(list)
         for (t, n), all_shifts in sorted(shifts.items()):
             template = self.words.hashes[self.words.bounds[n] : self.words.bounds[n + 1]]
             first, end = int(doc.bounds[t]), int(doc.bounds[t + 1])
-            if self.short[n]:
-                for same, a, b in self.apart(template, doc.hashes, first, end, sorted(all_shifts)):
-                    yield t, n, same, len(template), a - first, b - first
+            find = self.apart if self.short[n] else self.spread
+            for same, a, b in find(template, doc.hashes, first, end, sorted(all_shifts)):
+                found_in[t].append((same, len(template), a - first, b - first, n))
+        for t, places in sorted(found_in.items()):
+            for same, size, a, b, n in self.outermost(places):
+                yield t, n, same, size, a, b
+
+    def outermost(self, places: list[tuple]) -> list[tuple]:
+        """Without those that lie within the place of another template that has more words in common there."""
+        return [x for x in places if not any(y[0] > x[0] and y[4] != x[4] and y[2] <= x[2] and x[3] <= y[3] for y in places)]
+
+    def spread(self, template: np.ndarray, doc: np.ndarray, first: int, end: int, shifts: list[int]) -> list[tuple[int, int, int]]:
+        """(words in common, first word, end) of a long template's places, best first, none overlapping another."""
+        band, size, tried, previous = min(self.band, len(template) // 2), len(template), [], None
+        for shift in shifts:
+            # Diagonals within half a band of one that was aligned are in its band, with room to both sides.
+            if previous is not None and shift - previous <= band // 2:
                 continue
-            done = first
-            previous = None
-            band = min(self.band, len(template) // 2)
-            for shift in sorted(all_shifts):
-                if previous is not None and shift - previous <= band:
-                    continue  # the same place: the band holds both diagonals
-                previous = shift
-                lo = max(first, shift - band)
-                region = doc.hashes[lo : min(end, shift + len(template) + band)]
-                same, a, b = align(template, region, shift - lo, band)
-                if same >= self.least * len(template) and lo + a >= done:
-                    done = lo + b
-                    yield t, n, same, len(template), lo + a - first, lo + b - first
+            previous = shift
+            lo = max(first, shift - band)
+            same, a, b = align(template, doc[lo : min(end, shift + size + band)], shift - lo, band)
+            if same >= self.least * size:
+                tried.append((-same, b - a, lo + a, lo + b))
+        taken: list[tuple[int, int, int]] = []
+        for same, _, a, b in sorted(tried):
+            i = bisect(taken, (a, b))
+            if not any(x[0] < b and a < x[1] for x in taken[max(i - 1, 0) : i + 1]):
+                taken.insert(i, (a, b, -same))
+        return [(same, a, b) for a, b, same in taken]
 
     def apart(self, template: np.ndarray, doc: np.ndarray, first: int, end: int, shifts: list[int]) -> list[tuple[int, int, int]]:
         """(words in common, first word, end) of a short template's places, best first, none within another.
@@ -165,8 +212,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, g
     are all shared runs of ``gram + window - 1`` (4) words; a match has one unless words are put in between,
     and those may shift it by ``band`` words.  Candidates of a shorter template are all shared pairs of
     neighbouring words (of a single word, that word), and words put in between may shift the others by
-    ``band`` words or the template's length, whichever is more.  Places of one short template don't overlap;
-    the one with most words in common goes first.  Null and empty texts give no rows; repeated rows give
+    ``band`` words or the template's length, whichever is more.  Places of one template don't overlap; the one
+    with most words in common goes first.  A place within that of another template with more words in common there
+    (a notice that is part of a licence) isn't reported.  Null and empty texts give no rows; repeated rows give
     their own; other columns are dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, gram, window, band, least))
