@@ -8,7 +8,9 @@ class from the start; a class is known by a digest of its set.
    frequent list is bounded because it is broadcast, and shingles beyond it merely sort as ordinary.
    Blocks are many times the partitions, so that they spread evenly whatever the corpus.
 2. Candidates share a shingle of their prefixes in that order (a linked pair must).  Length, position and
-   a parity signature (differing bits never exceed differing shingles) drop pairs that can't link.
+   a parity signature (differing bits never exceed differing shingles) drop pairs that can't link.  Linked
+   sets of two or more share even two shingles of prefixes that are longer by one, the first of them in the plain
+   prefixes; a shingle with many members is split by that second one wherever that makes fewer rows.
 3. Verification cuts that order at pivots into fragments: the ordinary shingles into equal hash ranges, and
    the frequent ones, which are its end, into the last.  Each candidate pair's overlap is counted for each
    fragment apart and summed for each pair; whole sets never meet in one row.
@@ -154,7 +156,7 @@ class Join:
         return bits, rows["key"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
 
     def postings(self) -> DataFrame:
-        """(shingle, node, n, pos) of prefixes, of shingles that several nodes have there."""
+        """(shingle, node, n, pos) of prefixes longer by one, of shingles that several nodes have there."""
         k, t, bits, shared = self.k, self.t, self.bits, self.order
         deal = max(_LEAST_BITS, ceil(log(self.total * (100 - t) / 100 / _BLOCK + 1, 2)))
         kind = np.dtype([("s", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -176,7 +178,7 @@ class Join:
                         continue
                     seen.add(name)
                     n, often = len(s), counted(s, bits, keys, counts)
-                    pl = n - (t * n + 99) // 100 + 1
+                    pl = min(n, n - (t * n + 99) // 100 + 2)  # the prefix, and one more
                     order = np.argsort(often, kind="stable")[:pl]  # s is sorted by hash
                     rows = np.zeros(pl, kind)
                     rows["s"], rows["node"], rows["n"], rows["pos"] = s[order], name, n, np.arange(pl)
@@ -204,6 +206,10 @@ class Join:
         rows = self.docs.select("text").mapInArrow(tidy(prefixes), "bucket long, rows binary").groupBy("bucket").applyInPandas(several, "shingle long, node long, n int, pos int")
         return durable(rows.distinct())
 
+    def in_prefix(self) -> Column:
+        """Whether a posting is in its set's plain prefix."""
+        return F.col("pos") < F.col("n") - F.ceil(F.lit(self.t) * F.col("n") / F.lit(100)) + 1
+
     def could_link(self, a: str, b: str, place: bool = True) -> Column:
         """Length and, for a shared prefix shingle, position."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -260,22 +266,42 @@ class Join:
         """Pairs of nodes that link, enough of them to give the components of all links."""
         posts = self.postings()
         band = F.floor(F.log(F.col("n")) / F.lit(log(100 / self.t)))
-        posts = posts.withColumn("band", band)
+        banded = posts.where(self.in_prefix()).withColumn("band", band)
         # Round 1: everyone with one of its shingle and length band, that with the fewest rarer shingles,
         # which is nearest to what the group has in common.
-        heads = durable(posts.groupBy("shingle", "band").agg(F.min(F.struct("pos", "node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").select("shingle", "band", "head.*"))
-        star = posts.alias("y").join(heads.alias("x"), ["shingle", "band"]).where(F.col("x.node") != F.col("y.node")).where(self.could_link("x", "y"))
+        heads = durable(banded.groupBy("shingle", "band").agg(F.min(F.struct("pos", "node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").select("shingle", "band", "head.*"))
+        star = banded.alias("y").join(heads.alias("x"), ["shingle", "band"]).where(F.col("x.node") != F.col("y.node")).where(self.could_link("x", "y"))
         first = durable(self.plausible(star.select(*self.ends("x", "y"))))
         edges = durable(self.verify(first))
         label = components(edges)
         # Round 2: across the components that are left.
+        second = durable(self.across(posts, label).join(first, ["a", "b"], "left_anti"))
+        return durable(edges.unionAll(self.verify(second)))
+
+    def across(self, posts: DataFrame, label: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b, na, nb) whose ends are in different components."""
         posts = durable(posts.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = posts.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-        posts = posts.join(mixed, "shingle", "left_semi").join(self.classes.select("node", "sign"), "node")
-        posts = durable(posts)
-        across = posts.alias("x").join(posts.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & self.could_link("x", "y") & self.signs_allow("x.sign", "y.sign", F.col("x.n"), F.col("y.n")))
-        second = durable(across.select(*self.ends("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
-        return durable(edges.unionAll(self.verify(second)))
+        posts = durable(posts.join(mixed, "shingle", "left_semi").join(self.classes.select("node", "sign"), "node"))
+        # Rows that a shingle makes: pairs of its members, or else its members' other shingles.
+        plain = posts.where(self.in_prefix())
+        of_node = posts.groupBy("node").agg(F.count("*").alias("others"))
+        cost = plain.select("shingle", "node").join(of_node, "node").groupBy("shingle").agg(F.count("*").alias("m"), F.sum("others").alias("others"))
+        split = durable(cost.where((F.col("m") * F.col("m") / 2 > F.col("others")) & F.lit(self.t > 50)).select("shingle"))
+
+        def pairs(rows: DataFrame, key: list[str]) -> DataFrame:
+            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key]
+            apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+            on = apart & self.could_link("x", "y") & self.signs_allow("x.sign", "y.sign", F.col("x.n"), F.col("y.n"))
+            for c in same:
+                on = c & on
+            return rows.alias("x").join(rows.alias("y"), on).select(*self.ends("x", "y"))
+
+        later = posts.select("node", F.col("shingle").alias("then"), F.col("pos").alias("at"))
+        deep = plain.join(split, "shingle", "left_semi").join(later, "node").where("at > pos").drop("at")
+        both = deep.groupBy("shingle", "then").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "then")
+        deep = deep.join(both, ["shingle", "then"], "left_semi")
+        return pairs(plain.join(split, "shingle", "left_anti"), ["shingle"]).unionAll(pairs(deep, ["shingle", "then"])).distinct()
 
     def ends(self, x: str, y: str) -> list[Column]:
         """Both ends in order, with their sizes."""
