@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bit_set, durable, tidy
+from loomlake.llm.common import bit_set, durable, packs, tidy
 from loomlake.llm.words import U, Words, mix, words
 
 _POST = np.dtype([("core", "<u8"), ("reach", "<u8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
@@ -53,8 +53,12 @@ _WORD = r"[^\x20\x09-\x0d]+"
 _WORD_GRAM = 8
 
 
-def _words(data: bytes) -> Words:
-    return words([data], _AS_WRITTEN)
+def _words(texts: list[bytes]) -> Words:
+    return words(texts, _AS_WRITTEN)
+
+
+#: Bytes of texts that are looked at together, so that arrays made for them stay in the processor's caches.
+_SLICE = 1 << 16
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,15 +67,19 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Ladder:
-    """Bucket names of strings of one text: of all places at depth ``gram`` (32), and deeper where asked.
+    """Bucket names of strings of a slice of texts: of all places at depth ``gram`` (32), and deeper where asked.
 
-    With ``in_words`` places, depths and sizes are words instead of bytes.
+    Places count through the slice; names that go over a text's end mean nothing.  With ``in_words`` places,
+    depths and sizes are words instead of bytes.
     """
 
-    def __init__(self, data: bytes, gram: int, in_words: bool = False):
+    def __init__(self, texts: list[bytes], gram: int, in_words: bool = False):
         if in_words:
-            h, d = _words(data).hashes, 1
+            w = _words(texts)
+            h, d, self.bounds = w.hashes, 1, w.bounds.astype(np.int64)
         else:
+            data = b"".join(texts)
+            self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             n = len(data)
             h, d = np.zeros(max(n - 7, 0), U), 8
             for o in range(min(8, len(h))):  # eight bytes are their own name
@@ -118,17 +126,19 @@ class Refinement:
         self.length, self.gram, self.window, self.in_words = length, gram, length - gram + 1, in_words
         self.half = self.window // 2  # windows that begin up to so far before their suffix are its right family
 
-    def families(self, data: bytes):
-        """Core and reach names and first and last window of each family of a text's windows."""
-        ladder = Ladder(data, self.gram, self.in_words)
-        at = chosen(ladder.h, self.window)
-        if not len(at):
-            return np.zeros(0, U), np.zeros(0, U), at, at
-        i = np.arange(len(at))
+    def families(self, texts: list[bytes]):
+        """The text (index), core and reach names, and first and last window (within it) of each family of the texts' windows."""
+        ladder = Ladder(texts, self.gram, self.in_words)
+        at, bounds = chosen(ladder.h, self.window), ladder.bounds
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        i = np.flatnonzero(text[: len(at)] == text[self.length - 1 :][: len(at)])  # windows within one text
+        if not len(i):
+            return i, np.zeros(0, U), np.zeros(0, U), i, i
+        at = at[i]
         left = at - i > self.half
-        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (left[1:] != left[:-1])))
-        last = np.append(first[1:], len(at)) - 1
-        p, left = at[first], left[first]
+        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (left[1:] != left[:-1]) | (i[1:] != i[:-1] + 1)))
+        first, last = i[new], i[np.append(new[1:], len(i)) - 1]
+        p, left, text = at[new], left[new], text[first]
         with np.errstate(over="ignore"):
             # Right cores begin at the suffix, left cores end with its gram.
             core = np.zeros(len(p), U)
@@ -136,7 +146,17 @@ class Refinement:
             core[left] = ladder.names(p[left] - self.half - 1, self.half + 1 + self.gram) + U(1)
             # The reach: all windows of the family, and where they lie around the suffix.
             reach = _pair(_pair(ladder.names(first, self.length), ladder.names(last, self.length)), _pair((p - first).astype(U), (p - last).astype(U)))
-        return core, reach, first, last
+        return text, core, reach, first - bounds[text], last - bounds[text]
+
+
+def _unseen(batch: pa.RecordBatch, seen: set[int]) -> list[int]:
+    """Rows of a batch whose names (its first column) are new to the task."""
+    new = []
+    for k, name in enumerate(batch.column(0).to_pylist()):
+        if name not in seen:
+            seen.add(name)
+            new.append(k)
+    return new
 
 
 def _table(parts: list[np.ndarray], key: str, bits: int) -> pa.RecordBatch:
@@ -169,13 +189,12 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
     def cores(batches):
         seen, parts, size = set(), [], 0
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if name in seen:
-                    continue
-                seen.add(name)
-                core, reach, first, last = r.families(data)
+            new = pa.array(_unseen(batch, seen), pa.int64())
+            names, texts = batch.column(0).take(new).to_numpy(), batch.column(1).take(new).to_pylist()
+            for lo, hi in packs(texts, _SLICE):
+                text, core, reach, first, last = r.families(texts[lo:hi])
                 rows = np.zeros(len(core), _POST)
-                rows["core"], rows["reach"], rows["text"], rows["at"] = core, reach, name, first
+                rows["core"], rows["reach"], rows["text"], rows["at"] = core, reach, names[lo:hi][text], first
                 rows["hi"] = last - first
                 parts.append(rows)
                 size += len(rows)
@@ -214,16 +233,17 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
     def names(batches):
         seen, parts, size = set(), [], 0
         for batch in batches:
-            for name, data, windows in zip(*(c.to_pylist() for c in batch.columns)):
-                if name in seen:
-                    continue
-                seen.add(name)
-                ladder = Ladder(data, gram, in_words)
-                at = np.unique(np.concatenate([np.arange(w["s"], w["e"] + 1) for w in windows]))
+            new = pa.array(_unseen(batch, seen), pa.int64())
+            ids, texts, windows = batch.column(0).take(new).to_numpy(), batch.column(1).take(new).to_pylist(), batch.column(2).take(new).to_pylist()
+            for lo, hi in packs(texts, _SLICE):
+                ladder = Ladder(texts[lo:hi], gram, in_words)
+                places = [np.unique(np.concatenate([np.arange(w["s"], w["e"] + 1) for w in x])) for x in windows[lo:hi]]
+                text = np.repeat(np.arange(hi - lo), [len(x) for x in places])
+                at = np.concatenate(places)
                 rows = np.zeros(len(at), _NAME)
                 with np.errstate(over="ignore"):
-                    rows["name"] = ladder.names(at, length)
-                rows["text"], rows["at"] = name, at
+                    rows["name"] = ladder.names(at + ladder.bounds[text], length)
+                rows["text"], rows["at"] = ids[lo:hi][text], at
                 parts.append(rows)
                 size += len(rows)
                 if size > _PART:
@@ -359,7 +379,7 @@ def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict]:
     passages = [x for x in spans or [] if x["in_words"]]
     if not passages:
         return spans or []
-    w = _words(data)
+    w = _words([data])
     found = [{"s": int(w.starts[s]), "e": int(w.ends[e - 1])} for s, e in merged(passages, len(w.starts))]
     return [x for x in spans if not x["in_words"]] + found
 
