@@ -6,12 +6,12 @@ documents have is one run, and the state is at most a few thousand rows per roun
 corpus.  In a round every range of sizes is swept by a task of its own: each gap meets its
 predecessor, the largest free document that fits (so each document meets the smallest gap that is
 its successor).  Where several documents want the gaps of one run, the k-th of them by rank gets the
-k-th gap.  What a range leaves over meets in a last sweep over the ranges' remainders.  Then gaps are
-updated and the next round starts; when nothing fits any more, as many sequences open as the
-remaining tokens need at least.  Each round is a Spark job whose result is checkpointed.
+k-th gap; then the range's gaps are updated and it is swept again, until nothing in it fits any more.  What
+the ranges leave over is swept in the same way together.  When nothing fits at all, as many sequences open as
+the remaining tokens need at least, and the next round starts.  Each round's result is checkpointed.
 
-Documents themselves are ranked within their length (salted, so a common length is many window
-groups) and joined with the runs by (length, block of ranks).
+Documents themselves are ranked within their length (salted by their number, so a common length is many
+window groups of bounded size) and joined with the runs by (length, block of ranks).
 """
 
 from __future__ import annotations
@@ -57,10 +57,22 @@ def sweep(rows: list[tuple], capacity: int) -> list[tuple]:
     return out + [(ITEM, *r, None, None, None) for r in free]
 
 
+def settled(rows: list[tuple], capacity: int) -> list[tuple]:
+    """Sweeps until no gap takes an item any more; an updated gap takes part in the next sweep."""
+    out: list[tuple] = []
+    while True:
+        swept = sweep(rows, capacity)
+        placed = [r for r in swept if r[0] == PLACED]
+        out += placed
+        rows = [(GAP, *r[1:]) if r[0] == UPDATED else r for r in swept if r[0] != PLACED]
+        if not placed:
+            return out + rows
+
+
 def _swept(state: DataFrame, key, capacity: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(*(pdf[c].tolist() for c in ("kind", "size", "lo", "n"))))
-        return pd.DataFrame(sweep(rows, capacity), columns=_NAMES).astype({"copies": "Int32", "seq": "Int64", "offset": "Int32"})
+        return pd.DataFrame(settled(rows, capacity), columns=_NAMES).astype({"copies": "Int32", "seq": "Int64", "offset": "Int32"})
 
     todo = state.where(F.col("kind") <= GAP)
     return todo.groupBy(key.alias("_range")).applyInPandas(run, _STATE).unionAll(state.where(F.col("kind") > GAP))
@@ -84,10 +96,10 @@ def plan_runs(counts: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
         before = left["n"]
         local = _swept(state, F.floor(F.col("size") * ranges / (capacity + 1)), capacity)
         whole = _swept(local, F.lit(0), capacity)
-        state = durable(whole.withColumn("kind", F.when(F.col("kind") == UPDATED, GAP).otherwise(F.col("kind"))).coalesce(1))
+        state = durable(whole.coalesce(1))
 
 
-def best_fit(pieces: DataFrame, capacity: int, *, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), salts: int = 32, block: int = 4096) -> DataFrame:
+def best_fit(pieces: DataFrame, capacity: int, *, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), group_rows: int = 1_000_000, block: int = 4096) -> DataFrame:
     """Adds sequence_id and offset: pieces of lengths 1 .. capacity in as few sequences as found, each gapless from 0.
 
     Sequence ids are 0, 1, ... without gaps, but for sequences opened and never used (none in practice).
@@ -96,6 +108,8 @@ def best_fit(pieces: DataFrame, capacity: int, *, length: str = "length", order:
     """
     pieces = pieces.drop("sequence_id", "offset")
     ok = F.col(length).between(1, capacity)
+    # Were all pieces of one length, a group would hold about group_rows of them.
+    salts = max(32, -(-pieces.count() // group_rows))
     salted = pieces.withColumn("_salt", F.pmod(F.hash(*order), F.lit(salts)))
     by_salt = salted.where(ok).groupBy(F.col(length).alias("_len"), "_salt").agg(F.count("*").alias("_n"))
     by_salt = durable(by_salt)
@@ -139,6 +153,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, k
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_words: int = 1_000_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: see ``token_pieces`` and ``best_fit``."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: see ``token_pieces`` and ``best_fit``.  Other columns are dropped."""
     pieces = durable(token_pieces(docs, tokenizer, capacity, end, keep_words).repartition(partitions(docs)))
     return best_fit(pieces, capacity)
