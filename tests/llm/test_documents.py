@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomlake.llm import decontaminate, jaccard, language, licenses, packing, queries, shards, suffixes
@@ -197,6 +198,83 @@ def test_short_notices(spark):
     assert sorted((r.doc_id, r.n_matched) for r in one) == [(1, 1), (6, 1)]
 
 
+def test_whole_licences_before_their_parts(spark, tmp_path):
+    """A licence is reported, not the notice that is part of it; the best of places that overlap goes first."""
+    t = licenses.TEMPLATES
+    weak = " ".join(w for i, w in enumerate(t["MIT"].split()) if i % 7)  # 6 of 7 words
+    texts = [t["BSD-3-Clause"], t["BSD-2-Clause"], f"{t['BSD-opening']} nothing else", f"{t['ISC']} {t['ISC-disclaimer']}", t["GPL-3.0-or-later"] + " " + t["GPL-no-warranty"], weak + " " + t["MIT"], t["LGPL-2.1-or-later"], t["AGPL-3.0-or-later"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(df).collect():
+        got[r.doc_id].append((r.license, r.coverage))
+    names = {i: sorted(n for n, _ in v) for i, v in got.items()}
+    assert names[0] == ["BSD-3-Clause"] and names[1] == ["BSD-2-Clause"] and names[2] == ["BSD-opening"] and names[3] == ["ISC", "ISC-disclaimer"]
+    assert names[5] == ["MIT", "MIT"] and max(c for _, c in got[5]) == 1.0
+    assert "GPL-3.0-or-later" in names[4] and "GPL-no-warranty" in names[4]
+    assert max(got[6], key=lambda x: x[1])[0] == "LGPL-2.1-or-later" and max(got[7], key=lambda x: x[1])[0] == "AGPL-3.0-or-later"
+    (tmp_path / "own.txt").write_text("These words are a template of mine, é")
+    own = licenses.read_templates(spark, str(tmp_path))
+    assert own == {"own": "These words are a template of mine, é"}
+    assert [r.license for r in licenses.scan_licenses(spark.createDataFrame([(1, "x these words are a template of mine é y")], "doc_id long, text string"), own).collect()] == ["own"]
+
+
+def best_place(template, words, more):
+    """The most template words that a run of document words, ``more`` than the template's, has in order, over all runs."""
+    return max((longest_common(template, words[a : a + len(template) + more]) for a in range(len(words))), default=0)
+
+
+def test_license_scan_against_brute_force(spark):
+    """Which templates a document holds, against alignments everywhere; words are left out, changed and put in."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    templates = {f"t{n}": " ".join(r.choice(vocabulary) for _ in range(n)) for n in (3, 5, 8, 12, 15, 20, 40)}
+    texts = []
+    for _ in range(120):
+        fill = lambda: [r.choice(vocabulary) for _ in range(r.randrange(5, 30))]
+        words = fill()
+        for name in r.sample(sorted(templates), 2):
+            edited = templates[name].split()
+            for _ in range(r.randrange(0, 3)):
+                at = r.randrange(len(edited))
+                edited[at : at + 1] = r.choice([[], ["changed"], [edited[at], "more"]])
+            words += edited + fill()
+        texts.append(" ".join(words))
+    texts += [None, "", "w1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(x.doc_id, x.license) for x in licenses.scan_licenses(df, templates).collect()}
+    near, far = defaultdict(dict), set()
+    for i, t in enumerate(texts):
+        for name, template in templates.items():
+            words, least = template.split(), 0.8 * len(template.split())
+            if (most := best_place(words, (t or "").split(), 8)) >= least:
+                near[i][name] = most
+            if best_place(words, (t or "").split(), 2 * max(8, len(words))) >= least:
+                far.add((i, name))
+    # A short template's place may lie in that of another with more words.
+    missed = {(i, name) for i, v in near.items() for name in v if (i, name) not in found and not (len(templates[name].split()) <= 15 and any(m > v[name] for m in v.values()))}
+    assert found <= far and not missed
+    assert len(found) > 100
+
+
+def test_license_query_against_brute_force(spark):
+    """The registered query over the whole small table: each place has the words it says, and texts with a template's words whole are found."""
+    rows = queries.op3_license_scan(spark, f"{DATA}/sf0.001").collect()
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    plain = {n: ALNUM.findall(lower(t)) for n, t in licenses.TEMPLATES.items()}
+    found = defaultdict(set)
+    for r in rows:
+        words = ALNUM.findall(lower(docs[r.doc_id]))[r.word_start : r.word_end]
+        assert ALNUM.findall(lower(docs[r.doc_id].encode()[r.byte_start : r.byte_end].decode())) == words
+        assert longest_common(plain[r.license], words) == r.n_matched >= 0.8 * r.n_words and r.n_words == len(plain[r.license])
+        found[r.doc_id].add(r.license)
+    for i, text in docs.items():
+        said = " " + " ".join(ALNUM.findall(lower(text))) + " "
+        whole = {n for n, w in plain.items() if f" {' '.join(w)} " in said}
+        inner = {n for n in whole if any(m != n and f" {' '.join(plain[n])} " in f" {' '.join(plain[m])} " for m in whole)}
+        assert whole - inner <= found[i]
+    assert sum(map(len, found.values())) > 0
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -215,6 +293,12 @@ def test_banded_alignment_against_common_subsequence():
             doc.insert(r.randrange(len(doc)), 9)
         same, a, b = licenses.align(template, np.array(doc, np.uint64), 0, 40)
         assert same == longest_common(template.tolist(), doc) == longest_common(template.tolist(), doc[a:b])
+    # A narrow band, and words put in after more words than it is wide.
+    template = np.arange(60, dtype=np.uint64)
+    for at in range(1, 60, 7):
+        doc = np.insert(template, at, [99, 99, 99])
+        assert licenses.align(template, doc, 0, 4) == (60, 0, 63)
+        assert licenses.align(template, np.delete(template, [at, 59 - at // 2]), 0, 4)[0] == 58
 
 
 # -- near copies
@@ -252,6 +336,26 @@ def test_jaccard_components(spark, docs, how):
     assert want[10_008][1] == want[10_006][1] == 10_006 and want[10_005][1] == 10_004
 
 
+@pytest.mark.parametrize("how", [{}, {"k": 5, "percent": 80}])
+def test_jaccard_hot_shingles(spark, how):
+    """Many documents share shingles that sort as ordinary ones; a few of them link."""
+    r = random.Random(6)
+    k = how.get("k", 4)
+    common = [f"c{i}" for i in range(80)]
+    texts = []
+    for i in range(150):
+        words = common[:]
+        for _ in range(r.choice([0, 1, 2, 3, 5])):
+            words[r.randrange(80)] = f"own{r.randrange(10**6)}"
+        texts.append(" ".join(words + [f"tail{i}x{j}" for j in range(r.randrange(12))]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(rows, k, how.get("percent", 85))
+    got = jaccard.jaccard_components(df, **how, most_frequent=3).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, *v) for i, v in want.items()}
+    assert len({v[1] for v in want.values()}) > 3
+
+
 def test_jaccard_chain_and_empty(spark):
     r = random.Random(4)
     words = [f"w{r.randrange(10**6)}" for _ in range(200)]
@@ -387,6 +491,66 @@ def test_passages_of_words(spark, docs):
     assert got[20_002] == [plant[1][0]] and got[20_003] == [plant[1][1]]
 
 
+def passage_words(rows, passage=51):
+    """Words of each text in runs of so many that occur twice, by brute force."""
+    spell = [re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode()) for _, t in rows]
+    count = Counter(hash(tuple(w[a : a + passage])) for w in spell for a in range(len(w) - passage + 1))
+    out = defaultdict(list)
+    for (i, _), w in zip(rows, spell):
+        hit = bytearray(len(w))
+        for a in range(len(w) - passage + 1):
+            if count[hash(tuple(w[a : a + passage]))] > 1:
+                hit[a : a + passage] = b"\1" * passage
+        out[i].append(sum(hit))
+    return out
+
+
+def test_suffix_query_reports_passages(spark, docs):
+    """Removal goes by bytes, and passages of over 50 words are counted besides."""
+    r = random.Random(12)
+    fresh = lambda n: " ".join("".join(r.choice("aeioulmnrst") for _ in range(5)) for _ in range(n))
+    short, less, copied = fresh(51), fresh(50), fresh(60)[:390]
+    texts = [f"{fresh(90)} {short} {fresh(20)}", f"{fresh(3)} {short}", f"{less} {fresh(9)}", f"{fresh(9)} {less}", copied, copied, short + " " + fresh(80), ""]
+    every = docs.unionByName(spark.createDataFrame([(30_000 + i, t, None) for i, t in enumerate(texts)], docs.schema))
+    rows = collected(every)
+    want, words = repeats(rows), passage_words(rows)
+    got = by_id(suffixes.digest(every, passage=51))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted((*x[:4], n) for x, n in zip(v, words[i])) for i, v in want.items()}
+    assert got[30_000][0][1:3] == (0, 0) and got[30_000][0][4] == 51 and got[30_002][0][4] == 0 and got[30_004][0][4] == len(copied.split())
+
+
+def test_columns_of_any_name(spark, docs):
+    """Helpers' own column names among the input's."""
+    names = ["_name", "_data", "_place", "_spans", "_hits", "_id", "_items", "_lang", "_score", "_label", "text_", "_words"]
+    wide = docs.limit(40).unionByName(docs.where("doc_id >= 10000"))
+    for n in names:
+        wide = wide.withColumn(n, F.lit(n))
+    wide = wide.withColumn("lang", F.lit("en")).cache()
+    bench = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    outs = [suffixes.remove_repeats(wide, passage=51), decontaminate.clean(wide, bench), decontaminate.clean(wide, bench, block_bytes=1500), corpus_pipeline.language_id(spark, wide, ""), corpus_pipeline.repeated_passages(spark, wide, ""), corpus_pipeline.decontamination(spark, wide, f"{DATA}/sf0.001"), jaccard.keep_one(wide, k=5, percent=80)]
+    for out in outs:
+        assert out.columns == wide.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_shards_of_repeated_rows(spark):
+    """A row that occurs thousands of times is parted too."""
+    rows = [(1, "the same row")] * 4000 + [(2, None)] * 10
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    total = check_shards(got, rows)
+    assert len(total) == 8 and max(total.values()) < 1.05 * min(total.values())
+    few = shards.shard(spark.createDataFrame([(i, f"text {i}") for i in range(7)], "doc_id long, text string"), range_rows=2).collect()
+    check_shards(few, [(i, f"text {i}") for i in range(7)])
+
+
+def test_ranges_in_proportion(spark):
+    """Many ranges give the same kind of result."""
+    texts = [(i, f"own {i} " * (1 + i % 20)) for i in range(3000)]
+    got = shards.shard(spark.createDataFrame(texts, "doc_id long, text string"), range_rows=1).collect()
+    total = check_shards(got, texts)
+    assert max(total.values()) < 1.02 * min(total.values())
+
+
 # -- the pipeline
 
 
@@ -433,8 +597,9 @@ def test_pipeline_stages(spark):
             want = components([(r.doc_id, r.text) for r in before], 5, 80)
             assert ids == {v[1] for v in want.values()}
         elif i == 2:
-            want = repeats([(r.doc_id, r.text) for r in before])
-            assert {r.doc_id: r.text for r in after} == {k: v[0][4].decode(errors="ignore") for k, v in want.items()}
+            want = without_passages([(r.doc_id, r.text) for r in before])
+            assert {r.doc_id: r.text for r in after} == {k: v[0] for k, v in want.items()}
+            assert all(r.n_chars == len(r.text) for r in after)
         elif i == 3:
             win = windows(bench)
             assert ids == {r.doc_id for r in before if not hits(r.text, win)[4]}
