@@ -52,6 +52,14 @@ def format_pairs(pairs: DataFrame, *, chosen: str = "chosen", rejected: str = "r
     return df.withColumns({"prompt": _render(F.slice(a, 1, F.col("n_common"))), "chosen_completion": _render(rest(a)), "rejected_completion": _render(rest(b)), "chosen_mask": _mask(rest(a), learn), "rejected_mask": _mask(rest(b), learn)}).drop("_chosen", "_rejected")
 
 
+def _until_reply(conversations: DataFrame, learn: str) -> DataFrame:
+    """conv_id and chosen, the turns up to the last one of the role ``learn``; conversations without one drop out."""
+    turns = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    size = F.size("turns")
+    from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), learn)
+    return turns.where(from_end > 0).select("conv_id", F.transform(F.slice("turns", F.lit(1), (size - from_end + 1).cast("int")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
+
+
 def swapped_replies(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
     """Pairs from single conversations: each up to its last assistant turn, and the same with another's reply.
 
@@ -59,31 +67,44 @@ def swapped_replies(conversations: DataFrame, learn: str = "assistant") -> DataF
     one, the rejected conversation ends before the reply.  Conversations without an assistant turn, and rows
     with a null conv_id, make no pair.  Turns are in the order of (turn, role, text), nulls first.
     """
-    turns = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-    size = F.size("turns")
-    from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), learn)
-    kept = turns.where(from_end > 0).select("conv_id", F.transform(F.slice("turns", F.lit(1), (size - from_end + 1).cast("int")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
+    kept = _until_reply(conversations, learn)
     reply = kept.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.element_at("chosen", -1).alias("_reply"))
     before = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
     return kept.join(reply, "conv_id", "left").select("conv_id", "chosen", F.when(F.col("_reply").isNull(), before).otherwise(F.concat(before, F.array("_reply"))).alias("rejected"))
 
 
+def swapped_endings(conversations: DataFrame, keep: int = 2, learn: str = "assistant") -> DataFrame:
+    """Pairs that part early: each conversation as above, and its first ``keep`` turns with the later turns of the other.
+
+    Without the other, the rejected conversation is the first turns alone.
+    """
+    kept = _until_reply(conversations, learn)
+    other = kept.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.slice("chosen", keep + 1, F.greatest(F.size("chosen") - keep, F.lit(0))).alias("_later"))
+    none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
+    return kept.join(other, "conv_id", "left").select("conv_id", "chosen", F.concat(F.slice("chosen", 1, keep), F.coalesce("_later", none)).alias("rejected"))
+
+
 def mask_text(column: str) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Both kinds of pairs; the common prefix is counted turn by turn.
 ORACLE = """
 WITH latest AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-kept AS (SELECT c.conv_id, c.turn, c.text, c.turn = l.turn AS reply, '<|im_start|>' || c.role || chr(10) || c.text || '<|im_end|>' || chr(10) AS said
-         FROM conversations c JOIN latest l ON c.conv_id = l.conv_id AND c.turn <= l.turn),
-replies AS (SELECT a.conv_id, a.text AS good, a.said AS good_said, b.text AS bad, b.said AS bad_said
-            FROM kept a LEFT JOIN kept b ON b.conv_id = xor(a.conv_id, 1) AND b.reply WHERE a.reply),
-heads AS (SELECT conv_id, count(*) FILTER (NOT reply) AS n, coalesce(string_agg(said, '' ORDER BY turn) FILTER (NOT reply), '') AS said FROM kept GROUP BY conv_id)
-SELECT r.conv_id, CAST(h.n + CASE WHEN good = bad THEN 1 ELSE 0 END AS INTEGER) AS n_common,
-       h.said || CASE WHEN good = bad THEN good_said ELSE '' END AS prompt,
-       CASE WHEN good = bad THEN '' ELSE good_said END AS chosen_completion,
-       CASE WHEN good = bad THEN '' ELSE coalesce(bad_said, '') END AS rejected_completion,
-       CASE WHEN good = bad THEN '' ELSE '22:' || (32 + length(good)) END AS chosen_mask,
-       CASE WHEN good = bad OR bad IS NULL THEN '' ELSE '22:' || (32 + length(bad)) END AS rejected_mask
-FROM replies r JOIN heads h USING (conv_id)
+k AS (SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS i, c.role, c.text FROM conversations c JOIN latest l ON c.conv_id = l.conv_id AND c.turn <= l.turn),
+n AS (SELECT conv_id, max(i) AS n FROM k GROUP BY conv_id),
+rejected AS (SELECT 'reply' AS pair, k.conv_id, k.i, k.role, k.text FROM k JOIN n USING (conv_id) WHERE i < n
+   UNION ALL SELECT 'reply', n.conv_id, n.n, o.role, o.text FROM n JOIN n m ON m.conv_id = xor(n.conv_id, 1) JOIN k o ON o.conv_id = m.conv_id AND o.i = m.n
+   UNION ALL SELECT 'ending', conv_id, i, role, text FROM k WHERE i <= 2
+   UNION ALL SELECT 'ending', xor(conv_id, 1), i, role, text FROM k WHERE i > 2 AND xor(conv_id, 1) IN (SELECT conv_id FROM n)),
+numbered AS (SELECT pair, conv_id, row_number() OVER (PARTITION BY pair, conv_id ORDER BY i) AS i, role, text FROM rejected),
+chosen AS (SELECT p.pair, k.* FROM k, (VALUES ('reply'), ('ending')) p(pair)),
+part AS (SELECT c.pair, c.conv_id, min(c.i) - 1 AS common FROM chosen c LEFT JOIN numbered r ON r.pair = c.pair AND r.conv_id = c.conv_id AND r.i = c.i WHERE r.i IS NULL OR r.role <> c.role OR r.text <> c.text GROUP BY 1, 2),
+p AS (SELECT q.pair, n.conv_id, coalesce(part.common, n.n) AS common FROM n CROSS JOIN (VALUES ('reply'), ('ending')) q(pair) LEFT JOIN part ON part.pair = q.pair AND part.conv_id = n.conv_id),
+said AS (SELECT 'c' AS side, pair, conv_id, i, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS said FROM chosen UNION ALL SELECT 'r', pair, conv_id, i, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) FROM numbered),
+late AS (SELECT side, s.pair, s.conv_id, i, role, text, said, sum(length(said)) OVER (PARTITION BY side, s.pair, s.conv_id ORDER BY i) - length(said) + 13 + length(role) AS start FROM said s JOIN p ON p.pair = s.pair AND p.conv_id = s.conv_id WHERE i > common),
+done AS (SELECT side, pair, conv_id, string_agg(said, '' ORDER BY i) AS text, string_agg(start || ':' || (start + length(text) + 10), ',' ORDER BY i) FILTER (WHERE role = 'assistant') AS mask FROM late GROUP BY 1, 2, 3)
+SELECT p.pair, p.conv_id, CAST(common AS INTEGER) AS n_common, coalesce((SELECT string_agg(said, '' ORDER BY i) FROM said s WHERE s.side = 'c' AND s.pair = p.pair AND s.conv_id = p.conv_id AND s.i <= common), '') AS prompt,
+   coalesce(c.text, '') AS chosen_completion, coalesce(r.text, '') AS rejected_completion, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM p LEFT JOIN done c ON c.side = 'c' AND c.pair = p.pair AND c.conv_id = p.conv_id LEFT JOIN done r ON r.side = 'r' AND r.pair = p.pair AND r.conv_id = p.conv_id
 """

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomlake.llm import attribution, balltree, decontaminate, jaccard, language, licenses, packing, preferences, shards, suffixes
 from loomlake.llm.common import ship_code, table
@@ -50,7 +51,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preferences.format_pairs(preferences.swapped_replies(table(spark, sf_dir, "conversations")))
+    turns = table(spark, sf_dir, "conversations")
+    replies = preferences.swapped_replies(turns).withColumn("pair", F.lit("reply"))
+    pairs = preferences.format_pairs(replies.unionByName(preferences.swapped_endings(turns).withColumn("pair", F.lit("ending"))))
     return pairs.withColumns({c: preferences.mask_text(c) for c in ("chosen_mask", "rejected_mask")})
 
 

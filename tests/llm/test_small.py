@@ -3,6 +3,7 @@
 import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,14 @@ def test_preferences_prefix_and_masks(spark):
     assert got[3].prompt == "" and got[3].rejected_completion.count("<|im_start|>user\n") == 2
 
 
+def test_pairs_that_part_early(spark):
+    c = spark.createDataFrame([(0, i, "user" if i % 2 == 0 else "assistant", f"a{i}") for i in range(6)] + [(1, i, "user" if i % 2 == 0 else "assistant", f"b{i}") for i in range(4)] + [(4, 0, "user", "x"), (4, 1, "assistant", "y"), (4, 2, "user", "z"), (4, 3, "assistant", "w")], "conv_id long, turn long, role string, text string")
+    got = rows(preferences.format_pairs(preferences.swapped_endings(c)), "conv_id")
+    assert [got[i].n_common for i in (0, 1, 4)] == [2, 2, 2]
+    assert got[0].rejected_completion.count("<|im_start|>") == 2 and "b3" in got[0].rejected_completion and got[4].rejected_completion == ""
+    assert [got[1].rejected_completion[s.start : s.end] for s in got[1].rejected_mask] == ["a3<|im_end|>", "a5<|im_end|>"]
+
+
 def test_swapped_replies_nulls_and_repeats(spark):
     c = spark.createDataFrame([(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "later"), (1, 0, "user", "p"), (1, 0, "user", "p"), (1, None, None, None), (2, 0, "assistant", "alone"), (None, 0, "assistant", "lost")], "conv_id long, turn long, role string, text string")
     got = rows(preferences.swapped_replies(c), "conv_id")
@@ -243,6 +252,71 @@ def test_language_edges(spark):
     assert all(r.lang_pred == "und" for r in language.identify(docs.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect())
 
 
+def plain_ftrl(rows, y, labels, *, alpha=1.0, beta=1.0, l1=0.02, l2=0.02, epochs=2):
+    """Follow the regularised leader on dictionaries, number by number."""
+    import math
+
+    z, n = [{} for _ in range(labels)], [{} for _ in range(labels)]
+
+    def weight(k, f):
+        a, s = z[k].get(f, 0.0), n[k].get(f, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(s)) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, label in zip(rows, y):
+            scores = [sum(weight(k, f) * v for f, v in x.items()) for k in range(labels)]
+            top = max(scores)
+            p = [math.exp(s - top) for s in scores]
+            for k in range(labels):
+                error = p[k] / sum(p) - (k == label)
+                for f, v in x.items():
+                    w, g, before = weight(k, f), error * v, n[k].get(f, 0.0)
+                    n[k][f] = before + g * g
+                    z[k][f] = z[k].get(f, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w
+    return lambda k, f: weight(k, f)
+
+
+def test_language_query_steps_against_brute_force(spark):
+    """Counts over all training rows, the learner and the scores, each against plain Python on a small fixture."""
+    import math
+
+    said = {"en": ["the cat and the dog", "a dog and a cat ran", "when the rain is over"], "de": ["der hund und die katze", "ein hund lief weg", "wenn der regen vorbei ist"], "fr": ["le chat et le chien", "un chien est parti", "quand la pluie est finie"]}
+    docs = [(3 * i + j, t, l) for i in range(3) for j, (l, ts) in enumerate(said.items()) for t in [ts[i]]]
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    grams = {i: Counter(zip(*(x.tolist() for x in language.features(t)))) for i, t, _ in docs}
+    grams = {i: {f: n for f, n in c} for i, c in grams.items()}
+    df = Counter(f for g in grams.values() for f in g)
+    idf = {f: math.log((1 + len(docs)) / (1 + n)) + 1 for f, n in df.items()}
+    assert all(abs(model.idf[f] - v) < 1e-12 for f, v in idf.items())
+
+    def x(text):
+        at, n = language.features(text)
+        raw = {f: (1 + math.log(c)) * idf.get(f, math.log(1 + len(docs)) + 1) for f, c in zip(at.tolist(), n.tolist())}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        return {f: v / norm for f, v in raw.items()}
+
+    # The rows in the order that the fit draws them in; every fifth of a label calibrates (here none).
+    order = {r.doc_id: r.h for r in spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr("doc_id", "xxhash64(doc_id, text) as h").collect()}
+    place = {}
+    for l in said:
+        for n, (i, _, _) in enumerate(sorted((d for d in docs if d[2] == l), key=lambda d: order[d[0]]), 1):
+            place[i] = n
+    drawn = sorted(docs, key=lambda d: (place[d[0]], d[2]))
+    weight = plain_ftrl([x(t) for _, t, _ in drawn], [model.labels.index(l) for *_, l in drawn], 3)
+    for text in ("the dog", "die katze und", "un chat", "xyz"):
+        want = [sum(weight(k, f) * v for f, v in x(text).items()) for k in range(3)]
+        assert np.allclose(model.scores(text), want)
+        p = np.exp(np.array(want) / model.temperature)
+        assert model.predict(text) == (model.labels[int(np.argmax(p))], pytest.approx(float(p.max() / p.sum())))
+
+
+def test_language_of_copies(spark):
+    """All rows of a label are copies with one hash: it is learned all the same."""
+    docs = [(i, f"the cat and the dog {i}", "en") for i in range(50)] + [(7, "der hund und die katze", "de")] * 60
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most_rows=4)
+    assert model.labels == ["de", "en"] and model.predict("der hund")[0] == "de"
+
+
 def test_language_pieces():
     at, n = language.features("ab", 16, 2)
     assert n.sum() == 4 + 3  # " ab " has 4 single characters and 3 pairs
