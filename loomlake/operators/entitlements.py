@@ -74,3 +74,36 @@ def ordered_union(*lists: Column) -> Column:
 
 def drop_prefixed(rules: Column, prefix: str) -> Column:
     return F.filter(rules, lambda r: ~r.startswith(prefix))
+
+
+def with_filters(df: DataFrame, **wanted) -> DataFrame:
+    """Rows that pass every filter that isn't blank."""
+    for column, value in wanted.items():
+        if value not in (None, ""):
+            df = df.where(F.col(column) == value)
+    return df
+
+
+def light(df: DataFrame, heavy: tuple[str, ...] = ("text", "content", "embedding")) -> DataFrame:
+    """A listing without the heavy columns, which then aren't read."""
+    return df.drop(*heavy)
+
+
+def decorated(rows: DataFrame, details: DataFrame, key: str, detail_key: str, columns: list[str]) -> DataFrame:
+    """Every row with the columns of its one detail; nulls where there is none, and of several details any one."""
+    one = details.select(F.col(detail_key).alias(key), *columns).dropDuplicates([key])
+    return rows.join(one, key, "left")
+
+
+def roles_of_users(members: DataFrame, memberships: DataFrame) -> DataFrame:
+    """user_id, organization_id, name of the roles that hold a user within the user's own organization.
+
+    ``members``: a row for each role and member; explode a stored array first.
+    """
+    return members.select("user_id", "organization_id", "name").join(memberships.select("user_id", "organization_id"), ["user_id", "organization_id"])
+
+
+def ownership(owned: DataFrame, namespace: str, owner: str = "user_id") -> DataFrame:
+    """What each owner owns: owner_id, n and the rules (one for each resource, sorted).  ``owned``: owner, resource, id."""
+    rule = F.concat(F.lit(f"{namespace}:"), "resource", F.lit(":*:"), F.col("id").cast("string"))
+    return owned.select(F.col(owner).alias("owner_id"), rule.alias("rule")).groupBy("owner_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("rule")).alias("rules"))

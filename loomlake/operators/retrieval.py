@@ -190,3 +190,8 @@ def require_schema(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     if errors := schema_errors(df, wanted):
         raise ValueError("; ".join(errors))
     return df
+
+
+def dimensions(vectors: DataFrame, wanted: int, column: str = "embedding") -> DataFrame:
+    """How many vectors have each dimension, and how many of them not the wanted one."""
+    return vectors.groupBy(F.size(column).alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.size(column) != wanted).alias("bad"))

@@ -75,9 +75,6 @@ def w12(spark, sf_dir):
     return op.summaries(load(spark, sf_dir, "chat_messages"), tx.title(F.col("_first")))
 
 
-_CALLS = """SELECT conv_id, position, ordinal, 's' || CAST(ordinal % 2 AS VARCHAR) AS server_id, CASE WHEN (conv_id + ordinal) % 3 = 0 THEN 'gone' ELSE 'find' END AS tool"""
-
-
 def _calls(spark, sf_dir):
     """Up to three tool calls for each assistant message, in turns 1, 2, 1."""
     replies = load(spark, sf_dir, "chat_messages").where("role = 'assistant'")
@@ -91,7 +88,12 @@ def _calls(spark, sf_dir):
     )
 
 
-@query("w6_history_replay")
+# Turns 1, 2, 1 are three rounds of one call each; calls of the tool that is gone drop out.
+@query("w6_history_replay", cte("chat_messages") + """, c AS (SELECT conv_id, position, o FROM chat_messages, range(1, 4) t(o) WHERE role = 'assistant' AND o <= conv_id % 4 AND (conv_id + o) % 3 <> 0),
+    j AS (SELECT *, '[{"ordinal":' || o || ',"tool_use_id":"t-' || conv_id || '-' || position || '-' || o || '","name":"' AS head FROM c)
+    SELECT conv_id, position, CAST(o AS INTEGER) AS round, 0 AS part, 'assistant' AS role, '' AS content, head || 's' || (o % 2) || '__find","arguments":"' || CASE WHEN o = 2 THEN '{}' ELSE '{\\"q\\":1}' END || '"}]' AS tools FROM j
+    UNION ALL SELECT conv_id, position, CAST(o AS INTEGER), 1, 'user', '', head || 'result","arguments":"' || CASE WHEN o = 3 THEN 'true' ELSE 'false' END || '"}]' FROM j
+    UNION ALL SELECT conv_id, position, 1073741824, 0, role, content, NULL FROM chat_messages m WHERE content <> '' OR NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = m.conv_id AND c.position = m.position)""")
 def w6(spark, sf_dir):
     bindings = spark.createDataFrame([("s0", "find", "s0__find"), ("s1", "find", "s1__find")], "server_id string, tool string, advertised string")
     return op.replay(load(spark, sf_dir, "chat_messages"), _calls(spark, sf_dir), bindings)

@@ -56,20 +56,12 @@ def f3(spark, sf_dir):
 
 @query("f4_heavy_columns_left_out", cte("kb_documents") + "SELECT document_id, kb_id, filename, uploaded_at FROM kb_documents")
 def f4(spark, sf_dir):
-    return load(spark, sf_dir, "kb_documents").select("document_id", "kb_id", "filename", "uploaded_at")
-
-
-def with_filters(df: DataFrame, **wanted) -> DataFrame:
-    """Rows that pass every filter that isn't blank."""
-    for column, value in wanted.items():
-        if value not in (None, ""):
-            df = df.where(F.col(column) == value)
-    return df
+    return op.light(load(spark, sf_dir, "kb_documents").select("document_id", "kb_id", "filename", "uploaded_at", "text"))
 
 
 @query("f5_optional_filters", cte("executions") + "SELECT id, workflow_id, status FROM executions WHERE status = 'queued'")
 def f5(spark, sf_dir):
-    return with_filters(load(spark, sf_dir, "executions"), status="queued", workflow_id=None, user_id="").select("id", "workflow_id", "status")
+    return op.with_filters(load(spark, sf_dir, "executions"), status="queued", workflow_id=None, user_id="").select("id", "workflow_id", "status")
 
 
 @query("f7_hidden_roles_left_out", cte("role_rules") + "SELECT organization_id, name, rule FROM role_rules WHERE NOT hidden")
@@ -79,16 +71,13 @@ def f7(spark, sf_dir):
 
 @query("j3_decoration", cte("users") + "SELECT o_orderkey, o_custkey, u.display_name, u.email_verified FROM orders LEFT JOIN users u ON u.id = o_custkey + 5")
 def j3(spark, sf_dir):
-    users = load(spark, sf_dir, "users").select((F.col("id") - 5).alias("o_custkey"), "display_name", "email_verified")
-    return load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(users, "o_custkey", "left")
+    users = load(spark, sf_dir, "users").withColumn("id", F.col("id") - 5)
+    return op.decorated(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), users, "o_custkey", "id", ["display_name", "email_verified"])
 
 
 @query("j4_roles_of_user", cte("memberships", "role_members") + "SELECT m.user_id, m.organization_id, rm.name FROM memberships m JOIN role_members rm ON rm.user_id = m.user_id AND rm.organization_id = m.organization_id")
 def j4(spark, sf_dir):
-    # Roles as they are stored, with their members in an array.
-    stored = load(spark, sf_dir, "role_members").groupBy("organization_id", "name").agg(F.collect_list("user_id").alias("members"))
-    each = stored.select("organization_id", "name", F.explode("members").alias("user_id"))
-    return each.join(load(spark, sf_dir, "memberships"), ["user_id", "organization_id"]).select("user_id", "organization_id", "name")
+    return op.roles_of_users(load(spark, sf_dir, "role_members"), load(spark, sf_dir, "memberships"))
 
 
 @query(
@@ -170,7 +159,6 @@ def x8(spark, sf_dir):
 @query("a15_ownership_inventory", cte("resources", "agents") + """SELECT owner_id, count(*) AS n, string_agg(rule, ',' ORDER BY rule) AS rules FROM
     (SELECT user_id AS owner_id, 'plat:' || resource || ':*:' || CAST(id AS VARCHAR) AS rule FROM resources UNION ALL SELECT id % 10, 'plat:agent:*:a' || CAST(id AS VARCHAR) FROM agents) x GROUP BY owner_id""")
 def a15(spark, sf_dir):
-    of = lambda df, owner, kind, key: df.select(owner.alias("owner_id"), F.concat(F.lit("plat:"), kind, F.lit(":*:"), key).alias("rule"))
     resources, agents = load(spark, sf_dir, "resources"), load(spark, sf_dir, "agents")
-    every = of(resources, F.col("user_id"), F.col("resource"), F.col("id").cast("string")).unionByName(of(agents, F.col("id") % 10, F.lit("agent"), F.concat(F.lit("a"), F.col("id").cast("string"))))
-    return every.groupBy("owner_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
+    owned = resources.select("user_id", "resource", F.col("id").cast("string").alias("id")).unionByName(agents.select((F.col("id") % 10).alias("user_id"), F.lit("agent").alias("resource"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("id")))
+    return op.ownership(owned, "plat").withColumn("rules", F.array_join("rules", ","))

@@ -27,7 +27,7 @@ _SCORED = """s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, q.label AS agent
 @query("s11_schema_and_dimension", "SELECT len(embedding) AS dim, count(*) AS n, count(*) FILTER (WHERE len(embedding) <> 64) AS bad FROM embeddings GROUP BY 1")
 def s11(spark, sf_dir):
     _, items = _vectors(spark, sf_dir)
-    return items.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("bad"))
+    return op.dimensions(items, 64)
 
 
 _CHUNKS = """t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
@@ -47,7 +47,8 @@ def a1(spark, sf_dir):
     return op.documents_of_collection(docs, "kb_id", "doc_id")
 
 
-@query("v1_offline_embedding")
+# What SQL can say of the vectors: their dimension, and that those of texts with a word have length 1.
+@query("v1_offline_embedding", f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, 256 AS dim, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM c")
 def v1(spark, sf_dir):
     pieces = op.chunk_table(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return op.embed(pieces).select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(F.sqrt(op.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
