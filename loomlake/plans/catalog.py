@@ -53,6 +53,15 @@ def w13(spark, sf_dir):
     return op.advertised_names(load(spark, sf_dir, "tools"), "organization_id", "server_id", "name", order=("tool_id",)).select("organization_id", "tool_id", "advertised")
 
 
+@query("w13_names_are_unique", cte("tools") + "SELECT organization_id, count(*) AS tools, count(*) AS names, true AS short FROM tools GROUP BY organization_id")
+def w13_unique(spark, sf_dir):
+    """Names that a number could make twice, or that are alike once they are cut: there are as many as tools."""
+    k = F.col("tool_id")
+    name = F.when(k % 3 == 0, "find it").when(k % 3 == 1, F.concat(F.lit("find_it_"), (k % 5).cast("string"))).otherwise(F.concat(F.repeat(F.lit("long"), F.lit(20)), (k % 4).cast("string")))
+    named = op.advertised_names(load(spark, sf_dir, "tools").withColumns({"server_id": F.lit(1), "name": name}), "organization_id", "server_id", "name", order=("tool_id",))
+    return named.groupBy("organization_id").agg(F.count("*").alias("tools"), F.count_distinct("advertised").alias("names"), (F.max(F.length("advertised")) <= 64).alias("short"))
+
+
 def _identities(spark, sf_dir):
     i = load(spark, sf_dir, "identities")
     return i.withColumn("granted", F.filter(F.split("scopes", ","), lambda s: s != ""))
