@@ -16,7 +16,10 @@ dropped.  In a bucket, families whose whole reach (all their windows together) i
 throughout, and one of them goes on for all.  Those that go on are refined down to ``length`` bytes, one
 name for each window; buckets with two or more places are repeated.
 
-Postings travel as packed arrays by hash range.  A copy of a text within a task is looked at once, and
+Postings travel as packed arrays by hash range.  Before they do, a task puts together the places of a part (100,000
+postings) that have one core or one name: what is settled by places within the part needs no meeting, and two
+places of a core or one of a name, at most, go to meet those of other parts.  So a string that a third of all
+documents share meets in one group with a place or two for each part, not for each document.  A copy of a text within a task is looked at once, and
 copies of whole texts are known from their hash; texts travel only if a repeated place is in them.
 
 Passages of so many words are found in the same way: the places of a text are then its words, named by
@@ -39,8 +42,11 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import bit_set, durable, packs, tidy
 from loomlake.llm.words import U, Words, mix, words
 
-_POST = np.dtype([("core", "<u8"), ("reach", "<u8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+_POST = np.dtype([("core", "<u8"), ("reach", "<u8"), ("text", "<i8"), ("at", "<i8"), ("kind", "<i4"), ("hi", "<i4")])
 _NAME = np.dtype([("name", "<u8"), ("text", "<i8"), ("at", "<i8")])
+#: A place by itself; one for several of its part; one that shows that its core has gone on already; and places that
+#: are settled: repeated, or to go on.
+PLAIN, SEVERAL, SHOWN, DONE, TODO = range(5)
 
 
 #: Postings in a packed part on its way to the shuffle (4 MB at most), and in a bucket range on average.
@@ -159,14 +165,68 @@ def _unseen(batch: pa.RecordBatch, seen: set[int]) -> list[int]:
     return new
 
 
-def _table(parts: list[np.ndarray], key: str, bits: int) -> pa.RecordBatch:
-    rows = np.concatenate(parts)
-    bucket = (rows[key] >> U(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
+def _table(rows: np.ndarray, key: str, bits: int, kind: int = PLAIN) -> pa.RecordBatch:
+    """Rows by hash range of a key; settled ones, which meet no others, all in one of as many ranges below 0."""
+    if kind < DONE:
+        bucket = (rows[key] >> U(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+    else:
+        bucket = np.full(len(rows), -1 - (int(rows["text"][0]) & ((1 << bits) - 1)) if len(rows) else 0)
     cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(rows)) if len(rows) else np.zeros(1, np.int64)
     pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-    return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in pairs], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in pairs], pa.binary())], ["bucket", "rows"])
+    columns = [pa.array([int(bucket[a]) for a, _ in pairs], pa.int64()), pa.array([kind] * len(pairs), pa.int32()), pa.array([rows[a:b].tobytes() for a, b in pairs], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "rows"])
+
+
+_PACKED = "bucket long, kind int, rows binary"
+
+
+def _firsts(rows: np.ndarray, *keys: str) -> np.ndarray:
+    """Which sorted rows are the first with their values of the keys."""
+    new = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        new[1:] = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in keys])
+    return new
+
+
+def _part_of_cores(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of a part that have to meet others, and settled ones."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows["at"], rows["text"], rows["reach"], rows["core"]))]
+    new_core, new_reach = _firsts(rows, "core"), _firsts(rows, "core", "reach")
+    core, reach = np.cumsum(new_core) - 1, np.cumsum(new_reach) - 1
+    in_reach = np.bincount(reach)[reach] if len(rows) else reach
+    reaches = np.bincount(core[new_reach])[core] if len(rows) else core
+    done, one = rows[in_reach > 1].copy(), rows[new_reach].copy()
+    done["kind"] = DONE
+    # A core with three reaches or more goes on in all of them, and one place shows that to the other parts.
+    many = reaches[new_reach] > 2
+    one["kind"] = np.where(in_reach[new_reach] > 1, SEVERAL, PLAIN)
+    todo, shown = one[many].copy(), rows[new_core & (reaches > 2)].copy()
+    todo["kind"], shown["kind"] = TODO, SHOWN
+    return np.concatenate([one[~many], shown]), np.concatenate([done, todo])
+
+
+def _windows(rows: np.ndarray, length: int) -> np.ndarray:
+    """Spans (text, at, and the end as name) of windows; neighbouring ones of a text are one."""
+    rows = rows[np.lexsort((rows["at"], rows["text"]))]
+    new = _firsts(rows, "text")
+    new[1:] |= rows["at"][1:] > rows["at"][:-1] + length
+    first = np.flatnonzero(new)
+    out = rows[first].copy()
+    out["name"] = (rows["at"][np.append(first[1:], len(rows)) - 1] + length).astype(U) if len(rows) else 0
+    return out
+
+
+def _part_of_names(parts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the names of a part: those with one place, one place of those with several, and the spans of the latter."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows["at"], rows["text"], rows["name"]))]
+    new = _firsts(rows, "name")
+    name = np.cumsum(new) - 1
+    several = np.bincount(name)[name] > 1 if len(rows) else new
+    return rows[~several], rows[new & several], _windows(rows[several], length)
 
 
 _SPANS = "text long, s long, e long, todo boolean"
@@ -187,6 +247,11 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
     long_enough = named.where(F.octet_length("data") >= (2 * length - 1 if in_words else length))
 
     def cores(batches):
+        def packed():
+            open_, settled = _part_of_cores(parts)
+            yield _table(open_, "core", bits)
+            yield _table(settled, "core", bits, DONE)
+
         seen, parts, size = set(), [], 0
         for batch in batches:
             new = pa.array(_unseen(batch, seen), pa.int64())
@@ -199,38 +264,40 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
                 parts.append(rows)
                 size += len(rows)
                 if size > _PART:
-                    yield _table(parts, "core", bits)
+                    yield from packed()
                     parts, size = [], 0
         if parts:
-            yield _table(parts, "core", bits)
+            yield from packed()
 
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(x, _POST) for x in pdf["rows"]])
-        rows = rows[np.lexsort((rows["at"], rows["text"], rows["reach"], rows["core"]))]
-        new_core = np.append(True, rows["core"][1:] != rows["core"][:-1])
-        new_reach = new_core | np.append(True, rows["reach"][1:] != rows["reach"][:-1])
+        settled, shown, rows = rows[rows["kind"] >= DONE], rows["core"][rows["kind"] == SHOWN], rows[rows["kind"] < SHOWN]
+        rows = rows[np.lexsort((-rows["kind"], rows["at"], rows["text"], rows["reach"], rows["core"]))]
         # A text that two tasks saw is one place here: its copies are known from the text's name.
-        same = ~new_reach & np.append(False, (rows["text"][1:] == rows["text"][:-1]) & (rows["at"][1:] == rows["at"][:-1]))
-        rows, new_core, new_reach = rows[~same], new_core[~same], new_reach[~same]
+        rows = rows[_firsts(rows, "core", "reach", "text", "at")]
+        new_core, new_reach = _firsts(rows, "core"), _firsts(rows, "core", "reach")
         core, reach = np.cumsum(new_core) - 1, np.cumsum(new_reach) - 1
-        in_reach = np.bincount(reach)[reach] if len(rows) else reach
-        reaches = np.bincount(core[new_reach])[core] if len(rows) else core
+        in_reach = (np.bincount(reach) + np.bincount(reach, rows["kind"] == SEVERAL))[reach] if len(rows) else reach
+        reaches = np.bincount(core[new_reach])[core] + np.isin(rows["core"], shown) if len(rows) else core
         done = in_reach > 1
         todo = new_reach & (reaches > 1)
-        keep = done | todo
-        rows = rows[keep]
-        s = rows["at"]
         # Families that go on are flagged; their span is of windows' first bytes.
-        a = _spans(rows["text"][done[keep]], s[done[keep]], (s + rows["hi"] + length)[done[keep]], False)
-        b = _spans(rows["text"][todo[keep]], s[todo[keep]], (s + rows["hi"])[todo[keep]], True)
-        return pd.concat([a, b])
+        a = np.concatenate([rows[done], settled[settled["kind"] == DONE]])
+        b = np.concatenate([rows[todo], settled[settled["kind"] == TODO]])
+        return pd.concat([_spans(a["text"], a["at"], a["at"] + a["hi"] + length, False), _spans(b["text"], b["at"], b["at"] + b["hi"], True)])
 
-    found = durable(long_enough.select("text", "data").mapInArrow(tidy(cores), "bucket long, rows binary").groupBy("bucket").applyInPandas(refine, _SPANS))
+    found = durable(long_enough.select("text", "data").mapInArrow(tidy(cores), _PACKED).groupBy("bucket").applyInPandas(refine, _SPANS))
     done = found.where("not todo").select("text", "s", "e")
     todo = found.where("todo").groupBy("text").agg(F.collect_list(F.struct("s", "e")).alias("windows"))
     todo = durable(todo)
 
     def names(batches):
+        def packed():
+            single, several, spans = _part_of_names(parts, length)
+            yield _table(single, "name", bits)
+            yield _table(several, "name", bits, SEVERAL)
+            yield _table(spans, "name", bits, DONE)
+
         seen, parts, size = set(), [], 0
         for batch in batches:
             new = pa.array(_unseen(batch, seen), pa.int64())
@@ -247,28 +314,26 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
                 parts.append(rows)
                 size += len(rows)
                 if size > _PART:
-                    yield _table(parts, "name", bits)
+                    yield from packed()
                     parts, size = [], 0
         if parts:
-            yield _table(parts, "name", bits)
+            yield from packed()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([np.frombuffer(x, _NAME) for x in pdf["rows"]])
-        rows = rows[np.lexsort((rows["at"], rows["text"], rows["name"]))]
-        new = np.append(True, rows["name"][1:] != rows["name"][:-1])
-        same = ~new & np.append(False, (rows["text"][1:] == rows["text"][:-1]) & (rows["at"][1:] == rows["at"][:-1]))
-        rows, new = rows[~same], new[~same]
-        group = np.cumsum(new) - 1
-        rows = rows[np.bincount(group)[group] > 1] if len(rows) else rows
-        rows = rows[np.lexsort((rows["at"], rows["text"]))]
-        # Neighbouring windows of a text become one span.
-        cut = np.append(True, (rows["text"][1:] != rows["text"][:-1]) | (rows["at"][1:] > rows["at"][:-1] + length)) if len(rows) else np.zeros(0, bool)
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(rows)) - 1 if len(rows) else first
-        return pd.DataFrame({"text": rows["text"][first], "s": rows["at"][first], "e": rows["at"][last] + length})
+        every = [np.concatenate([np.zeros(0, _NAME), *(np.frombuffer(x, _NAME) for x in pdf["rows"][pdf["kind"] == k])]) for k in (PLAIN, SEVERAL, DONE)]
+        rows, several = np.concatenate(every[:2]), np.repeat([False, True], [len(every[0]), len(every[1])])
+        order = np.lexsort((~several, rows["at"], rows["text"], rows["name"]))
+        rows, several = rows[order], several[order]
+        once = _firsts(rows, "name", "text", "at")
+        rows, several = rows[once], several[once]
+        group = np.cumsum(_firsts(rows, "name")) - 1
+        if len(rows):
+            rows = rows[(np.bincount(group) + np.bincount(group, several))[group] > 1]
+        spans = np.concatenate([_windows(rows, length), every[2]])
+        return pd.DataFrame({"text": spans["text"], "s": spans["at"], "e": spans["name"].astype(np.int64)})
 
     again = _among(long_enough.withColumnRenamed("text", "_name"), todo.withColumnRenamed("text", "_name")).withColumnRenamed("_name", "text").join(todo, "text").select("text", "data", "windows")
-    last = again.mapInArrow(tidy(names), "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "text long, s long, e long")
+    last = again.mapInArrow(tidy(names), _PACKED).groupBy("bucket").applyInPandas(meet, "text long, s long, e long")
     return durable(done.unionAll(last))
 
 

@@ -440,6 +440,22 @@ def test_suffix_dedup(spark, docs, length, gram):
     assert kept[10_000] == [None]
 
 
+@pytest.mark.parametrize("part", [2, 7, 40])
+def test_suffix_dedup_in_small_parts(spark, monkeypatch, part):
+    """Strings that many texts share, in one surrounding, in two and in many, whose places are put together part by part."""
+    monkeypatch.setattr(suffixes, "_PART", part)
+    r = random.Random(part)
+    fresh = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    hot, framed, pair = fresh(150), [fresh(40) + fresh(90) + fresh(40) for _ in range(2)], fresh(120)
+    texts = [fresh(r.randrange(60)) + hot[r.randrange(30) :] + fresh(r.randrange(60)) for _ in range(60)]
+    texts += [fresh(5) + r.choice(framed) + fresh(5) for _ in range(20)] + [pair + fresh(70), fresh(70) + pair] + [fresh(300) for _ in range(5)] + texts[:4]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = by_id(suffixes.digest(df, 64, 16))
+    assert got == {i: [x[:4] for x in v] for i, v in repeats(rows, 64).items()}
+
+
 def test_suffix_dedup_empty_and_bad(spark, docs):
     assert not suffixes.digest(docs.limit(0)).collect()
     with pytest.raises(ValueError):
