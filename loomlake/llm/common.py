@@ -30,18 +30,20 @@ BATCH_ROWS = 256
 MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Prepares the session: workers can import this package, give memory back, and Arrow batches of texts are small.
+def ship_code(spark: SparkSession, lean: bool = False) -> None:
+    """Prepares the session: workers can import this package, and Arrow batches of texts are small.
 
-    A batch size that is already smaller stays.
+    A batch size that is already smaller stays.  ``lean`` workers start with ``MEMORY``, which costs up to a quarter
+    more CPU time where many small objects come and go (as in tokenizing).
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    for name, value in MEMORY.items():
-        env.setdefault(name, value)
+    if lean:
+        for name, value in MEMORY.items():
+            env.setdefault(name, value)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -12,10 +12,14 @@ from loomlake.llm import attribution, balltree, decontaminate, jaccard, language
 from loomlake.llm.common import ship_code, table
 
 
+#: Queries whose workers hold packed arrays beside a JVM that fills its heap.
+_LEAN = {"op7_jaccard_join", "op10_suffix_dedup"}
+
+
 def _query(f):
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_code(spark)
+        ship_code(spark, lean=f.__name__ in _LEAN)
         return f(spark, sf_dir)
 
     return run
