@@ -21,7 +21,7 @@ MOST_HIT = 0.0
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter; a low score alone doesn't, as clean short texts are in doubt too."""
-    ship_code(spark)
+    ship_code(spark, lean=True)
     model = language.fit(docs.where(~language.held_out()))
     label, score = fresh("_lang", docs), fresh("_score", docs)
     return language.predict(docs, model, label, score).where(F.col(label) != language.NONE).drop(label, score)
@@ -29,25 +29,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    ship_code(spark)
+    ship_code(spark, lean=True)
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 400 bytes, and passages of over 50 words, that occur more than once out of the texts."""
-    ship_code(spark)
+    ship_code(spark, lean=True)
     return suffixes.remove_repeats(docs, length=400, passage=PASSAGE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a window of a benchmark item."""
-    ship_code(spark)
+    ship_code(spark, lean=True)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), most=MOST_HIT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents, each with its sequence and place."""
-    ship_code(spark)
+    ship_code(spark, lean=True)
     import public_tokenizers
 
     # Workers that earlier stages have used keep fewer words in memory.
