@@ -8,12 +8,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.storage import durable, new_folder
 
-__all__ = ["BitSet", "bit_set", "durable", "fresh", "new_folder", "packs", "partitions", "ship_code", "table", "tidy", "utf8"]
+__all__ = ["BitSet", "bit_set", "bounded", "durable", "fresh", "new_folder", "packs", "partitions", "ranked", "ship_code", "stored", "table", "tidy", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,3 +126,34 @@ def fresh(name: str, *tables: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table, written as Parquet to the shared folder and read again: its lineage is cut and columns are read as needed."""
+    spark = df.sparkSession
+    df.write.parquet(path := new_folder(spark, name))
+    return spark.read.parquet(path)
+
+
+#: Rows of a table that is broadcast at most, where nothing else bounds it.
+MOST_BROADCAST = 4096
+
+
+def bounded(df: DataFrame, rows: int, most: int = MOST_BROADCAST) -> DataFrame:
+    """A table with so many (short) rows, marked for broadcast if they are few; otherwise its joins shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
+    """Adds the rows' places (from 0) in an order over the whole table, which no single task has to see.
+
+    Rows are range-partitioned and sorted within parts; a part's rows go on where those before it end.  Of equal rows any
+    may come first, but the table is written once, so places don't change.
+    """
+    # The id has the part in its upper bits and the place within the part in the lower 33.
+    dealt = stored(df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).withColumn(rank, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(rank, 33).alias("_part")
+    # One row for each part.
+    ends = dealt.groupBy(part).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    placed = dealt.withColumn("_part", F.shiftright(rank, 33)).join(F.broadcast(ends), "_part")
+    return placed.withColumn(rank, F.col("_before") + F.col(rank).bitwiseAND((1 << 33) - 1)).drop("_part", "_before")

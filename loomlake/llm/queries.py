@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import attribution, balltree, decontaminate, jaccard, language, licenses, packing, preferences, shards, suffixes
+from loomlake.llm import attribution, balltree, decontaminate, jaccard, language, licenses, mixing, packing, preferences, shards, suffixes
 from loomlake.llm.common import ship_code, table
 
 
@@ -88,9 +88,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"), passage=51)
 
 
+@_query
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_decontamination, op3_license_scan, op4_token_counts, op5_preference_formatting, op6_exact_top_k, op7_jaccard_join, op8_language_id, op9_sharding, op10_suffix_dedup)
+    for f in (op1_best_fit_packing, op2_decontamination, op3_license_scan, op4_token_counts, op5_preference_formatting, op6_exact_top_k, op7_jaccard_join, op8_language_id, op9_sharding, op10_suffix_dedup, op11_source_mixing)
 }
 
-ORACLES: dict[str, str] = {"op5_preference_formatting": preferences.ORACLE}
+ORACLES: dict[str, str] = {"op5_preference_formatting": preferences.ORACLE, "op11_source_mixing": mixing.ORACLE}
