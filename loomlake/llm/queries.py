@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import attribution, balltree, decontaminate, jaccard, language, licenses, mixing, packing, preferences, shards, suffixes
+from loomlake.llm import attribution, balltree, decontaminate, jaccard, language, licenses, merkle, mixing, packing, preferences, shards, suffixes, whitening
 from loomlake.llm.common import ship_code, table
 
 
@@ -93,9 +93,19 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), {"text": merkle.tampered()})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_decontamination, op3_license_scan, op4_token_counts, op5_preference_formatting, op6_exact_top_k, op7_jaccard_join, op8_language_id, op9_sharding, op10_suffix_dedup, op11_source_mixing)
+    for f in (op1_best_fit_packing, op2_decontamination, op3_license_scan, op4_token_counts, op5_preference_formatting, op6_exact_top_k, op7_jaccard_join, op8_language_id, op9_sharding, op10_suffix_dedup, op11_source_mixing, op12_embedding_whitening, op13_merkle_manifest)
 }
 
-ORACLES: dict[str, str] = {"op5_preference_formatting": preferences.ORACLE, "op11_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_preference_formatting": preferences.ORACLE, "op11_source_mixing": mixing.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
