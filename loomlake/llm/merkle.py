@@ -160,7 +160,7 @@ def verify(docs: DataFrame, changed: dict[str, Column] | None = None, *, key: st
     hexed = lambda c: F.lower(F.hex(c))
     start = leaves.select("_key", "_leaf", "tree", "up_tree", "up_node", "up_place", "folded")
     proofs = climb(start, nodes, counts, ["_key", "_leaf", "tree", hexed("folded").alias("_folded"), F.sha2(hexed("siblings"), 256).alias("_proof")], most_broadcast)
-    last = (roots if seen["trees"] == 1 else nodes.where("up_node is null").select(F.unhex(F.sha2(hex_of(F.col("run")), 256)).alias("digest"))).select(hexed("digest").alias("d")).first()
+    last = (roots if nodes is None else nodes.where("up_node is null").select(F.unhex(F.sha2(hex_of(F.col("run")), 256)).alias("digest"))).select(hexed("digest").alias("d")).first()
     root = F.lit(last["d"] if last else None).cast("string")
     out = proofs.join(bounded(roots, seen["trees"]), "tree")
     return out.select(F.col("_key").alias(key), hexed("_leaf").alias("leaf"), hexed("digest").alias("subroot"), root.alias("root"), F.col("_proof").alias("proof_sha256"), F.col("_folded").alias("folded_root"), (F.col("_folded") == root).alias("verified"))
