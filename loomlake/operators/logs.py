@@ -17,6 +17,31 @@ def request_metrics(log: DataFrame, key: list[str]) -> DataFrame:
     return log.groupBy(*key).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), *[F.count_if(d <= b).alias(f"le_{str(b).replace('.', '_')}") for b in BOUNDS])
 
 
+#: Columns of sketched metrics, and how two rows of one key become one.
+SKETCHED = "requests long, errors long, sketch binary"
+MERGED = {"requests": "sum", "errors": "sum", "sketch": "kll_merge_agg_double"}
+
+
+def duration_sketches(log: DataFrame, key: list[str]) -> DataFrame:
+    """Requests, errors, and a quantile sketch of the durations of each key; such rows can be put together again and again.
+
+    A sketch has some KB at most however many requests it stands for; quantiles drawn from it are off by less than 2 % of the ranks
+    (none, up to about 200 requests).  Null durations aren't in it.
+    """
+    return log.groupBy(*key).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.kll_sketch_agg_double(F.col("duration_s").cast("double")).alias("sketch"))
+
+
+def merge_sketches(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Sketched metrics of a coarser key."""
+    return rows.groupBy(*key).agg(*[F.expr(f"{f}({c})").alias(c) for c, f in MERGED.items()])
+
+
+def quantiles(rows: DataFrame, of: dict[str, float]) -> DataFrame:
+    """Adds quantiles by name (null where there is no duration)."""
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    return rows.withColumns({name: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q))) for name, q in of.items()}).drop("sketch")
+
+
 def deliveries(log: DataFrame, now: Column, idle_seconds: int = 120, most: int = 5) -> DataFrame:
     """State of each message: done / dropped (attempts used up) / reclaimable (idle long enough) / pending."""
     g = log.groupBy("message_id").agg(F.count("*").alias("attempts"), F.max("attempt_ts").alias("last_attempt"), F.bool_or("acked").alias("_acked"))

@@ -9,6 +9,8 @@ from loomlake.functions.text import trimmed
 from loomlake.operators import maintenance as op
 from loomlake.plans.tables import cte, load
 from loomlake.registry import query
+from loomlake.sinks import KeyedTable, newest
+from loomlake.storage import new_folder
 
 _KIND = "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'agent_rag' WHEN 2 THEN 'delete_kb_document' WHEN 3 THEN 'other' WHEN 4 THEN NULL ELSE 'kb_context' END"
 
@@ -44,8 +46,13 @@ _CHANGES = "SELECT doc_id % 300 AS document_id, doc_id AS version, 'new-' || sou
 
 @query("s5_upsert", cte("kb_documents") + f", c AS ({_CHANGES}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY version DESC) AS n FROM c) x WHERE n = 1) SELECT coalesce(l.document_id, k.document_id) AS document_id, CASE WHEN l.document_id IS NULL THEN k.filename ELSE l.filename END AS filename FROM kb_documents k FULL OUTER JOIN l ON l.document_id = k.document_id")
 def s5(spark, sf_dir):
+    """A table by document, and a batch of changes that is sent twice."""
     changes = spark.sql(_CHANGES.replace("FROM documents", "FROM {documents}"), documents=load(spark, sf_dir, "documents"))
-    return op.upsert(load(spark, sf_dir, "kb_documents").select("document_id", "filename"), changes, ["document_id"], "version")
+    docs = KeyedTable(spark, new_folder(spark, "s5"), "document_id long, filename string, version long", ["document_id"], 16)
+    docs.insert(0, load(spark, sf_dir, "kb_documents").select("document_id", "filename", F.lit(-1).cast("long").alias("version")))
+    for _ in range(2):
+        docs.upsert(1, changes, newest(["document_id"], ["version"]))
+    return docs.rows().drop("version")
 
 
 @query("s6_tombstones", cte("kb_documents") + "SELECT document_id, kb_id FROM kb_documents WHERE NOT (document_id % 13 = 0 AND kb_id = document_id % 4)")
@@ -64,9 +71,13 @@ def s7(spark, sf_dir):
 
 @query("s8_replace_sets", cte("tools") + "SELECT server_id, tool_id FROM tools WHERE server_id % 4 <> 0 UNION ALL SELECT server_id, tool_id + 1000000 FROM tools WHERE server_id % 4 = 0 AND p_size > 10 UNION ALL SELECT server_id, tool_id FROM tools WHERE server_id % 4 = 0 AND server_id NOT IN (SELECT server_id FROM tools WHERE p_size > 10)")
 def s8(spark, sf_dir):
+    """Servers' whole tool sets, kept by server; a batch brings new ones of some."""
     tools = load(spark, sf_dir, "tools").select("server_id", "tool_id", "p_size")
+    kept = KeyedTable(spark, new_folder(spark, "s8"), "server_id long, tool_id long", ["server_id"], 16)
+    kept.upsert(0, tools.drop("p_size"), lambda old, new: op.replace_sets(old, new, ["server_id"]))
     fresh = tools.where("server_id % 4 = 0 and p_size > 10").select("server_id", (F.col("tool_id") + 1_000_000).alias("tool_id"))
-    return op.replace_sets(tools.drop("p_size"), fresh, ["server_id"])
+    kept.upsert(1, fresh, lambda old, new: op.replace_sets(old, new, ["server_id"]))
+    return kept.rows()
 
 
 @query("s9_keep_last_good", cte("tools") + "SELECT server_id, count(*) FILTER (WHERE server_id % 3 = 0 OR tool_id % 2 = 0) AS tool_count, count(*) FILTER (WHERE server_id % 3 = 0 OR tool_id % 2 = 0) <> count(*) AS changed FROM tools GROUP BY server_id")

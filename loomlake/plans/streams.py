@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.functions.text import trimmed
+from loomlake.operators import logs as lg
 from loomlake.operators import retrieval as rt
-from loomlake.operators.maintenance import route
 from loomlake.plans.tables import cte, load
 from loomlake.registry import ORACLES, query
+from loomlake.sinks import KeyedTable, summed
 from loomlake.sources import messages, table_stream
-from loomlake.streaming import drain, folder
+from loomlake.streaming import drain, folder, run_batches
 from loomlake.streaming.folds import fold_chat, throttle
+from loomlake.streaming.ingest import Ingest
 
 
+_KIND = """CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN 'other' WHEN doc_id % 29 = 0 THEN 'delete_agent_document' WHEN doc_id % 31 = 0 THEN 'delete_kb_document' WHEN doc_id % 3 = 0 THEN 'kb_context' ELSE 'agent_rag' END"""
+
 
 def _lines(documents: DataFrame) -> DataFrame:
     """Documents as message lines, numbered in the order they were sent, with broken ones, blank texts, bad payloads, unknown types and deletes among them.
@@ -23,9 +26,10 @@ def _lines(documents: DataFrame) -> DataFrame:
     """
     k = F.col("doc_id")
     content = F.when(k % 19 == 0, "%%%").when(k % 23 == 0, F.base64(F.encode(F.lit(" "), "UTF-8"))).otherwise(F.base64(F.encode("text", "UTF-8")))
-    kind = F.when(k % 11 == 0, "").when(k % 13 == 0, "other").when(k % 29 == 0, "delete_kb_document").otherwise("kb_context")
-    about = F.when(kind != "delete_kb_document", k).when(k % 2 == 0, k - 1).otherwise(k + 1)
-    body = F.to_json(F.struct(kind.alias("type"), (k % 5).cast("string").alias("user_id"), (k % 12).cast("string").alias("kb_id"), about.cast("string").alias("document_id"), F.col("source").alias("filename"), content.alias("content")))
+    kind = F.expr(_KIND)
+    about = F.when(~kind.startswith("delete"), k).when(k % 2 == 0, k - 1).otherwise(k + 1)
+    fields = F.struct(kind.alias("type"), (k % 5).cast("string").alias("user_id"), (about % 12).cast("string").alias("kb_id"), (about % 10).cast("string").alias("agent_id"), about.cast("string").alias("document_id"), F.col("source").alias("filename"), content.alias("content"))
+    body = F.to_json(fields)
     return documents.select(k.alias("message_id"), F.when(k % 17 == 0, F.substring(body, 1, 30)).otherwise(body).alias("value"))
 
 
@@ -35,39 +39,39 @@ def s1(spark, sf_dir):
     return drain(parsed, folder(spark, "s1")).groupBy("ok").agg(F.count("*").alias("n"))
 
 
-@query("t1_ingest_stream", """WITH m AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'put' WHEN doc_id % 13 = 0 THEN 'other' WHEN doc_id % 29 = 0 THEN 'delete' ELSE 'put' END AS kind, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE doc_id % 17 <> 0),
-    p AS (SELECT doc_id, t FROM m WHERE kind = 'put' AND doc_id % 19 <> 0 AND doc_id % 23 <> 0 AND t <> '' AND NOT (doc_id + 1) IN (SELECT doc_id FROM m WHERE kind = 'delete' AND doc_id % 2 = 0)),
-    w AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1000 THEN 1 ELSE CAST(ceil((length(t) - 1000) / 850.0) AS BIGINT) + 1 END)) AS i FROM p),
-    c AS (SELECT doc_id, i, regexp_replace(substring(t, i * 850 + 1, 1000), '^\\s+|\\s+$', '', 'g') AS text FROM w)
-    SELECT doc_id AS document_id, count(*) AS chunks, md5(string_agg(text, '|' ORDER BY i)) AS texts_md5 FROM c WHERE text <> '' GROUP BY doc_id""")
-def t1(spark, sf_dir):
-    """Messages to chunks with embeddings, and the chunks of the documents that are there at the end, by document."""
-    return ingest(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("chunks"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "|")).alias("texts_md5"))
+# The messages as SQL sees them: what each is, and whether a later one deletes it.
+_SENT = f"""m AS (SELECT *, {_KIND} AS kind, doc_id % 17 = 0 AS broken, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+    x AS (SELECT doc_id - 1 AS gone, kind FROM m WHERE kind LIKE 'delete%' AND doc_id % 2 = 0 AND NOT broken),
+    j AS (SELECT *, CASE WHEN broken THEN 'broken line' WHEN kind = 'other' THEN 'unknown type' WHEN kind LIKE 'delete%' THEN NULL WHEN doc_id % 19 = 0 THEN 'not base64' WHEN doc_id % 23 = 0 OR t = '' THEN 'blank text' END AS reason FROM m),
+    g AS (SELECT * FROM j WHERE reason IS NULL AND kind IN ('agent_rag', 'kb_context', '')),
+    w AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1000 THEN 1 ELSE CAST(ceil((length(t) - 1000) / 850.0) AS BIGINT) + 1 END)) AS i FROM g WHERE kind = 'agent_rag' AND doc_id NOT IN (SELECT gone FROM x WHERE kind = 'delete_agent_document')),
+    c AS (SELECT doc_id, i, regexp_replace(substring(t, i * 850 + 1, 1000), '^\\s+|\\s+$', '', 'g') AS text FROM w)"""
 
 
-def ingest(spark, sf_dir) -> DataFrame:
-    """Chunks with embeddings of all documents that messages put and didn't delete later: document_id, chunk_index, text, embedding.
+@query("t1_ingest_stream", f"WITH {_SENT} SELECT doc_id AS document_id, count(*) AS chunks, md5(string_agg(text, '|' ORDER BY i)) AS texts_md5 FROM c WHERE text <> '' GROUP BY doc_id")
+def t1(spark, sf_dir):
+    """Messages to chunks with embeddings, and the chunks of the agents' documents that are there at the end, by document."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "|")
+    return ingest(spark, sf_dir).chunks.groupBy(F.col("document_id").cast("long").alias("document_id")).agg(F.count("*").alias("chunks"), F.md5(texts).alias("texts_md5"))
 
-    One embedder, fitted once on the corpus, serves every batch, so all vectors share a space.  A batch writes its chunks and
-    its operations; of each document the last operation counts, so a redelivered batch, a document that comes again
-    and a delete of one that isn't there all do no harm.
-    """
-    corpus = load(spark, sf_dir, "documents").select("text")
-    embedder = rt.fit_embedder(rt.chunk_table(corpus), dim=64)
-    at = folder(spark, "t1")
-    parsed = messages(_lines(table_stream(spark, sf_dir, "documents"))).where("ok").select("message_id", "m.*")
-    raw = parsed.withColumn("raw", F.try_to_binary("content", F.lit("base64"))).withColumn("route", route(F.col("type")))
-    wanted = raw.select("message_id", F.col("document_id").cast("long").alias("document_id"), "route", F.decode("raw", "UTF-8").alias("text"))
-    wanted = wanted.where("route = 'delete_kb_document'").unionAll(wanted.where("route = 'kb_context' and text is not null").where(trimmed(F.col("text")) != ""))
 
-    def write(batch: DataFrame, batch_id: int, out: str) -> None:
-        batch.drop("text").write.mode("overwrite").parquet(f"{at}/operations/batch_id={batch_id}")
-        put = batch.where("route = 'kb_context'").drop("route")
-        embedder(rt.chunk_table(put)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+@query("s2_routed_sinks", f"""WITH {_SENT} SELECT 'rag_chunks' AS written, doc_id AS id, CAST(count(*) AS VARCHAR) AS detail FROM c WHERE text <> '' GROUP BY doc_id
+    UNION ALL SELECT 'kb_documents', doc_id, md5(text) FROM g WHERE kind IN ('kb_context', '') AND doc_id NOT IN (SELECT gone FROM x WHERE kind = 'delete_kb_document')
+    UNION ALL SELECT 'quarantine', doc_id, reason FROM j WHERE reason IS NOT NULL""")
+def s2_sinks(spark, sf_dir):
+    """What one stream of messages leaves in each of the tables that its batches are written to."""
+    done = ingest(spark, sf_dir)
+    chunks = done.chunks.groupBy("document_id").agg(F.count("*").cast("string").alias("detail")).select(F.lit("rag_chunks").alias("written"), F.col("document_id").cast("long").alias("id"), "detail")
+    kept = done.documents.select(F.lit("kb_documents"), F.col("document_id").cast("long"), F.md5("text"))
+    return chunks.unionAll(kept).unionAll(done.quarantine.select(F.lit("quarantine"), "message_id", "reason"))
+
 
-    chunks = drain(wanted, at, write=write)
-    last = spark.read.parquet(f"{at}/operations").groupBy("document_id").agg(F.max_by("route", "message_id").alias("route"), F.max("message_id").alias("message_id")).where("route = 'kb_context'")
-    return chunks.join(last.select("document_id", "message_id"), ["document_id", "message_id"]).select("document_id", "chunk_index", "text", "embedding")
+def ingest(spark, sf_dir) -> Ingest:
+    """The tables after all messages; one embedder, fitted once on the corpus, serves every batch, so all vectors share a space."""
+    corpus = load(spark, sf_dir, "documents").select("text")
+    done = Ingest(spark, folder(spark, "ingest"), rt.fit_embedder(rt.chunk_table(corpus), dim=64))
+    done.run(_lines(table_stream(spark, sf_dir, "documents")))
+    return done
 
 
 @query("t3_chat_fold_stream", cte("chat_events") + """, l AS (SELECT request_id, max(seq) FILTER (WHERE event = 'toolCall') AS last_call FROM chat_events GROUP BY 1)
@@ -89,19 +93,27 @@ def t4(spark, sf_dir):
     return drain(throttle(uses), folder(spark, "t4")).drop("batch_id")
 
 
-@query("t5_windowed_metrics", "SELECT epoch_us(time_bucket(INTERVAL 15 SECOND, ts)) // 1000000 AS window_start, event_type AS route, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1, 2")
+@query("t5_windowed_metrics", cte("request_log") + """SELECT epoch_us(time_bucket(INTERVAL 15 SECOND, ts)) // 1000000 AS window_start, method, route, status, count(*) AS requests, count(*) FILTER (WHERE status >= 500) AS errors,
+    quantile_disc(duration_s, 0.5) AS p50, quantile_disc(duration_s, 0.95) AS p95 FROM request_log GROUP BY 1, 2, 3, 4""")
 def t5(spark, sf_dir):
-    e = table_stream(spark, sf_dir, "events").withColumn("at", F.expr("timestamp_seconds(timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast(ts as timestamp_ntz)) / 1000000d)")).withWatermark("at", "10 minutes")
-    counts = e.groupBy(F.window("at", "15 seconds"), F.col("event_type").alias("route")).agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    rows = drain(counts.select(F.unix_seconds("window.start").alias("window_start"), "route", "requests", "errors"), folder(spark, "t5"), "update")
-    n = F.row_number().over(Window.partitionBy("window_start", "route").orderBy(F.desc("batch_id")))
-    return rows.withColumn("_n", n).where("_n = 1").drop("_n", "batch_id")
+    """Metrics of 15-second windows, kept in a table by window: a batch adds to the windows that its rows belong to, however late they are."""
+    e = table_stream(spark, sf_dir, "events")
+    start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 15000000 * 15")
+    method = F.when(F.col("event_type").isin("purchase", "signup"), "POST").when(F.col("event_id") % 5 == 0, "HEAD").otherwise("GET")
+    log = e.select(start.alias("window_start"), method.alias("method"), F.col("event_type").alias("route"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), (F.col("value") / 100).alias("duration_s"))
+    key = ["window_start", "method", "route", "status"]
+    at = folder(spark, "t5")
+    kept = KeyedTable(spark, f"{at}/metrics", f"window_start long, method string, route string, status int, {lg.SKETCHED}", key, 16)
+    run_batches(log, at, lambda batch, batch_id: kept.upsert(batch_id, lg.duration_sketches(batch, key), summed(key, lg.MERGED)))
+    return lg.quantiles(kept.rows(), {"p50": 0.5, "p95": 0.95}).select(*key, "requests", "errors", "p50", "p95")
 
 
 @query("t7_admission_stream", ORACLES["f9_admission"])
 def t7(spark, sf_dir):
-    """Requests to run, once each.  What is remembered to suppress repeats is freed after 30 days; later repeats meet the keyed sink."""
-    sent = table_stream(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 3).alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"))
-    once = sent.withWatermark("at", "30 days").dropDuplicatesWithinWatermark(["id"])
+    """Requests to run, once each, in whatever order and however often they come: what was admitted stays in a table by id."""
+    sent = table_stream(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 3).alias("id"))
     queued = load(spark, sf_dir, "executions").where("status = 'queued'").select("id", "workflow_id")
-    return drain(once.join(queued, "id").select("id", "workflow_id"), folder(spark, "t7")).select("id", "workflow_id").dropDuplicates(["id"])
+    at = folder(spark, "t7")
+    admitted = KeyedTable(spark, f"{at}/admitted", "id long, workflow_id long", ["id"], 16)
+    run_batches(sent.join(queued, "id").select("id", "workflow_id"), at, lambda batch, batch_id: admitted.insert(batch_id, batch))
+    return admitted.rows()

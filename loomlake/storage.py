@@ -28,10 +28,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system that a path belongs to, and the path, as Hadoop names them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder, wherever it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it isn't there."""
+    files, where = _at(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, where = _at(spark, path)
+    files.mkdirs(where)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder to another that isn't there yet."""
+    files, where = _at(spark, path)
+    _, target = _at(spark, to)
+    files.mkdirs(target.getParent())
+    if not files.rename(where, target):
+        raise OSError(f"{path} can't be moved to {to}")
 
 
 def durable(df: DataFrame) -> DataFrame:

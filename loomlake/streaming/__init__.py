@@ -5,25 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomlake.storage import new_folder as folder
 
-__all__ = ["drain", "folder"]
+__all__ = ["drain", "folder", "run_batches"]
 
 
-def drain(stream: DataFrame, at: str, mode: str = "append", write: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
+def run_batches(stream: DataFrame, at: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Runs a stream over all that is there now; each micro-batch is computed once and kept while ``sink`` reads it."""
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            sink(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(once).start()
+    query.awaitTermination()
+
+
+def drain(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote; a batch's rows carry ``batch_id``.
 
     A batch is written to a folder of its own and overwrites it, so running it twice is the same as once.
     """
-    from pyspark.sql import functions as F
-
-    spark = stream.sparkSession
     out = f"{at}/out"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        (write(batch, batch_id, out) if write else batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
-    return spark.read.parquet(out).withColumn("batch_id", F.col("batch_id").cast("long"))
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    query.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")).start().awaitTermination()
+    return stream.sparkSession.read.parquet(out).withColumn("batch_id", F.col("batch_id").cast("long"))
