@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -30,17 +32,33 @@ BATCH_ROWS = 256
 MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
+
+
+def archive() -> str:
+    """The package's modules in a zip file in a folder of the driver's own."""
+    package = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='loomlake-')}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, str(module.relative_to(package.parent)))
+    return path
+
+
 def ship_code(spark: SparkSession, lean: bool = False) -> None:
-    """Prepares the session: workers can import this package, and Arrow batches of texts are small.
+    """Prepares the session: workers get this package, and Arrow batches of texts are small.
 
-    A batch size that is already smaller stays.  ``lean`` workers start with ``MEMORY``, which costs up to a quarter
+    The package goes to the executors as an archive that the driver serves, so they need no copy of this folder.  A batch size
+    that is already smaller stays.  ``lean`` workers start with ``MEMORY``, which costs up to a quarter
     more CPU time where many small objects come and go (as in tokenizing).
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    context, env = spark.sparkContext, spark.sparkContext.environment
+    if context.applicationId not in _SHIPPED:
+        context.addPyFile(archive())
+        _SHIPPED.add(context.applicationId)
     if lean:
         for name, value in MEMORY.items():
             env.setdefault(name, value)

@@ -50,16 +50,20 @@ def _node(level: Column | int, place: Column) -> Column:
     return F.shiftleft(level.cast("long"), _LEVEL).bitwiseOR(place)
 
 
-def grow(now: DataFrame, level: int, trees: int, depth: int, fan: int) -> DataFrame:
-    """The nodes of the next level, for the trees that have more than one node: tree, place, n, digest, node, run and links up."""
-    runs = now.where("n > 1").groupBy("tree", F.expr(f"place div {fan}").alias("place"), F.expr(f"(n + {fan - 1}) div {fan}").alias("n"))
-    made = runs.agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("_run")).withColumn("run", F.transform("_run", lambda x: x["digest"])).drop("_run")
-    made = made.withColumns({"digest": F.unhex(F.sha2(hex_of(F.col("run")), 256)), "node": _node(level, F.col("place")), **up(level, trees, depth, fan)})
+def finished(runs: DataFrame, level: int, trees: int, depth: int, fan: int) -> DataFrame:
+    """Nodes of a level from their runs (tree, place, n, run): these and digest, node, and links up; written to the shared folder."""
+    made = runs.withColumns({"digest": F.unhex(F.sha2(hex_of(F.col("run")), 256)), "node": _node(level, F.col("place")), **up(level, trees, depth, fan)})
     return stored(made, f"merkle-level-{level}")
 
 
+def grouped(now: DataFrame, fan: int) -> DataFrame:
+    """Runs of the trees that have more than one node: tree, place, n, run."""
+    runs = now.where("n > 1").groupBy("tree", F.expr(f"place div {fan}").alias("place"), F.expr(f"(n + {fan - 1}) div {fan}").alias("n"))
+    return runs.agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("_run")).withColumn("run", F.transform("_run", lambda x: x["digest"])).drop("_run")
+
+
 def up(level: int, trees: int, depth: int, fan: int) -> dict[str, Column]:
-    """up_tree, up_node, up_place: the parent of a node at a level, and its place there; null for the root."""
+    """up_tree, up_node, up_place: the parent of a node (tree, place, n) at a level, and its place there; null for the root."""
     tree, place = F.col("tree"), F.col("place")
     own, top = F.col("n") > 1, (tree != TOP) & F.lit(trees > 1)
     return {
@@ -69,20 +73,22 @@ def up(level: int, trees: int, depth: int, fan: int) -> dict[str, Column]:
     }
 
 
-def build(leaves: DataFrame, trees: int, depth: int, fan: int = FAN) -> tuple[DataFrame | None, DataFrame, list[int]]:
+def build(runs: DataFrame, trees: int, depth: int, fan: int = FAN) -> tuple[DataFrame | None, DataFrame, list[int]]:
     """Node rows (tree, node, run, up_tree, up_node, up_place), the trees' roots (tree, digest), and how many nodes each level has.
 
-    ``leaves``: tree (from 0), place (from 0), n (leaves of the tree), digest.  ``depth`` is the number of levels above
-    the leaves of the largest tree.  The levels of the top tree go on from there; its root is the last node.
+    ``runs``: tree and place (from 0) of each run of leaves, n (leaves of the tree), members (array of structs with ``leaf``).
+    ``depth`` is the number of levels above the leaves of the largest tree.  The levels of the top tree go on from
+    there; its root is the last node.
     """
-    now, roots, levels = leaves, leaves.where("n = 1").select("tree", "digest"), []
+    roots, levels = runs.where("n = 1").select("tree", F.get("members", F.lit(0))["leaf"].alias("digest")), []
     for level in range(1, depth + 1):
-        levels.append(now := grow(now, level, trees, depth, fan))
+        first = runs.where("n > 1").select("tree", "place", F.expr(f"(n + {fan - 1}) div {fan}").alias("n"), F.transform("members", lambda m: m["leaf"]).alias("run")) if level == 1 else grouped(now, fan)
+        levels.append(now := finished(first, level, trees, depth, fan))
         roots = roots.unionAll(now.where("n = 1").select("tree", "digest"))
     roots = stored(roots, "merkle-roots")
     now, left = roots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(trees).cast("long").alias("n"), "digest"), trees
     while left > 1:
-        levels.append(now := grow(now, len(levels) + 1, trees, depth, fan))
+        levels.append(now := finished(grouped(now, fan), len(levels) + 1, trees, depth, fan))
         left = -(-left // fan)
     nodes = None
     for made in levels:
@@ -91,44 +97,49 @@ def build(leaves: DataFrame, trees: int, depth: int, fan: int = FAN) -> tuple[Da
     return nodes, roots, [made.count() for made in levels]
 
 
-_CLIMB = """
-WITH RECURSIVE climb ({kept}, tree, up_tree, up_node, up_place, folded, siblings) AS (
-  SELECT {kept}, tree, up_tree, up_node, up_place, folded, siblings FROM {{start}}
+def _folded(run: str, place: str, digest: str) -> str:
+    """The digest of a run in which one child has another digest, in SQL."""
+    return f"unhex(sha2(lower(array_join(transform({run}, (d, i) -> hex(if(i = {place}, {digest}, d))), '')), 256))"
+
+
+# Every round of the recursion is dealt out anew by Spark, so a row holds little: the leaves of a run have their siblings above in
+# common and go up together, each with a fold of its own.
+_CLIMB = f"""
+WITH RECURSIVE climb (tree, place, up_tree, up_node, up_place, folds, siblings) AS (
+  SELECT tree, place, up_tree, up_node, up_place, folds, siblings FROM {{start}}
   UNION ALL
-  SELECT {of_c}, c.tree, n.up_tree, n.up_node, n.up_place,
-    unhex(sha2(lower(array_join(transform(n.run, (d, i) -> hex(if(i = c.up_place, c.folded, d))), '')), 256)),
+  SELECT c.tree, c.place, n.up_tree, n.up_node, n.up_place,
+    transform(c.folds, f -> {_folded("n.run", "c.up_place", "f")}),
     unhex(concat(hex(c.siblings), array_join(transform(filter(n.run, (d, i) -> i <> c.up_place), d -> hex(d)), '')))
   FROM climb c JOIN {{nodes}} n ON n.tree = c.up_tree AND n.node = c.up_node
 )
-SELECT * FROM climb WHERE up_node IS NULL OR shiftright(up_node, {level}) >= {{end}}"""
+SELECT tree, place, up_tree, up_node, up_place, folds, siblings FROM climb WHERE up_node IS NULL OR shiftright(up_node, {_LEVEL}) >= {{end}}"""
 
 #: Settings that would stop a recursive query: the climb ends at the root by itself.
 _LIMITS = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
 
 
-def climb(leaves: DataFrame, nodes: DataFrame | None, counts: list[int], result: list[Column], most: int = MOST_BROADCAST) -> DataFrame:
-    """``result`` of each leaf at the root, where ``folded`` is what it folds to and ``siblings`` are the digests met, put together.
+def climb(start: DataFrame, nodes: DataFrame | None, counts: list[int], most: int = MOST_BROADCAST) -> DataFrame:
+    """tree, place, folds, siblings at the root: what each leaf of a run folds to, and the digests met on the way, put together.
 
-    ``leaves``: tree, up_tree, up_node, up_place, folded (the digest to start with) and any other columns, which stay.
+    ``start``: tree, place, up_tree, up_node, up_place, folds (digests to start with).
     """
-    spark = leaves.sparkSession
-    kept = [c for c in leaves.columns if c not in ("tree", "up_tree", "up_node", "up_place", "folded")]
-    query = _CLIMB.format(kept=", ".join(kept), of_c=", ".join(f"c.{c}" for c in kept), level=_LEVEL)
+    spark = start.sparkSession
     # The levels from `high` on have so few nodes in all that they are broadcast.
     high = len(counts) + 1
     while high > 1 and sum(counts[high - 2 :]) <= most:
         high -= 1
     at = F.shiftright("node", _LEVEL)
-    now = leaves.withColumn("siblings", F.lit(b""))
+    now = start.withColumn("siblings", F.lit(b""))
     before = {k: spark.conf.get(k) for k in _LIMITS}
     for k in _LIMITS:
         spark.conf.set(k, "-1")
     try:
-        if high > 1:
-            now = stored(spark.sql(query, start=now, nodes=nodes.where(at < high), end=high), "merkle-low")
+        if high > 2:  # the leaves' own runs, the first level, are behind them already
+            now = stored(spark.sql(_CLIMB, start=now, nodes=nodes.where(at < high), end=high), "merkle-low")
         if high <= len(counts):
-            now = spark.sql(query, start=now, nodes=F.broadcast(nodes.where(at >= high)), end=len(counts) + 1)
-        return stored(now.select(*result), "merkle-proofs")
+            now = stored(spark.sql(_CLIMB, start=now, nodes=F.broadcast(nodes.where(at >= high)), end=len(counts) + 1), "merkle-high")
+        return now
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -144,26 +155,32 @@ def verify(docs: DataFrame, changed: dict[str, Column] | None = None, *, key: st
     """
     then = {f: F.col(f) for f in fields}
     now = leaf_hash({**then, **(changed or {})})
-    hashed = docs.select(F.col(key).alias("_key"), F.col(group).alias("_group"), F.unhex(leaf_hash(then)).alias("_leaf"), F.unhex(now).alias("folded"), F.monotonically_increasing_id().alias("_tie"))
+    hashed = docs.select(F.col(key).alias("key"), F.col(group).alias("group"), F.unhex(leaf_hash(then)).alias("leaf"), F.unhex(now).alias("fold"), F.monotonically_increasing_id().alias("tie"))
     hashed = stored(hashed, "merkle-leaves")
     # Equal rows have a number each, so that they can lie in several parts.
-    placed = ranked(hashed, [F.asc_nulls_first("_group"), F.asc_nulls_first("_key"), F.col("_leaf"), F.col("_tie")], "_rank")
-    trees = stored(placed.groupBy("_group").agg(F.min("_rank").alias("_first"), F.count("*").alias("n")), "merkle-trees")
-    trees = stored(ranked(trees, [F.asc_nulls_first("_group")], "tree").withColumnRenamed("_group", "_of"), "merkle-trees")
+    placed = ranked(hashed, [F.asc_nulls_first("group"), F.asc_nulls_first("key"), F.col("leaf"), F.col("tie")], "rank")
+    trees = stored(placed.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("n")), "merkle-trees")
+    trees = stored(ranked(trees, [F.asc_nulls_first("group")], "tree").withColumnRenamed("group", "of"), "merkle-trees")
     seen = trees.agg(F.count("*").alias("trees"), F.max("n").alias("n")).first()
     depth, n = 0, seen["n"] or 0
     while n > 1:
         depth, n = depth + 1, -(-n // fan)
-    leaves = placed.join(bounded(trees, seen["trees"]), F.col("_group").eqNullSafe(F.col("_of"))).withColumn("place", F.col("_rank") - F.col("_first"))
-    leaves = stored(leaves.select("_key", "_leaf", "folded", "tree", "place", "n"), "merkle-leaves").withColumns(up(0, seen["trees"], depth, fan))
-    nodes, roots, counts = build(leaves.select("tree", "place", "n", F.col("_leaf").alias("digest")), seen["trees"], depth, fan)
+    leaves = placed.join(bounded(trees, seen["trees"]), F.col("group").eqNullSafe(F.col("of"))).withColumn("at", F.col("rank") - F.col("first"))
+    runs = leaves.groupBy("tree", F.expr(f"at div {fan}").alias("place"), "n").agg(F.array_sort(F.collect_list(F.struct("at", "key", "leaf", "fold"))).alias("members"))
+    runs = stored(runs, "merkle-runs")
+    nodes, roots, counts = build(runs, seen["trees"], depth, fan)
+    # The first step up is within a run; a lone leaf makes none.
+    own = F.expr(f"if(n > 1, transform(members, (m, j) -> {_folded('transform(members, x -> x.leaf)', 'j', 'm.fold')}), transform(members, m -> m.fold))")
+    start = runs.withColumns({"folds": own, "n": F.expr(f"(n + {fan - 1}) div {fan}")}).withColumns(up(1, seen["trees"], depth, fan))
+    met = climb(start.select("tree", "place", "up_tree", "up_node", "up_place", "folds"), nodes, counts, most_broadcast)
     hexed = lambda c: F.lower(F.hex(c))
-    start = leaves.select("_key", "_leaf", "tree", "up_tree", "up_node", "up_place", "folded")
-    proofs = climb(start, nodes, counts, ["_key", "_leaf", "tree", hexed("folded").alias("_folded"), F.sha2(hexed("siblings"), 256).alias("_proof")], most_broadcast)
+    each = met.join(runs, ["tree", "place"]).select("tree", "folds", "siblings", F.transform("members", lambda m: m["leaf"]).alias("run"), F.posexplode("members").alias("i", "m"))
+    beside = F.when(F.size("run") > 1, hex_of(F.filter("run", lambda d, j: j != F.col("i")))).otherwise("")
+    fold = hexed(F.get("folds", F.col("i")))
     last = (roots if nodes is None else nodes.where("up_node is null").select(F.unhex(F.sha2(hex_of(F.col("run")), 256)).alias("digest"))).select(hexed("digest").alias("d")).first()
     root = F.lit(last["d"] if last else None).cast("string")
-    out = proofs.join(bounded(roots, seen["trees"]), "tree")
-    return out.select(F.col("_key").alias(key), hexed("_leaf").alias("leaf"), hexed("digest").alias("subroot"), root.alias("root"), F.col("_proof").alias("proof_sha256"), F.col("_folded").alias("folded_root"), (F.col("_folded") == root).alias("verified"))
+    out = each.join(bounded(roots, seen["trees"]), "tree")
+    return out.select(F.col("m.key").alias(key), hexed("m.leaf").alias("leaf"), hexed("digest").alias("subroot"), root.alias("root"), F.sha2(F.concat(beside, hexed("siblings")), 256).alias("proof_sha256"), fold.alias("folded_root"), (fold == root).alias("verified"))
 
 
 def tampered(key: str = "doc_id", text: str = "text", every: int = 3) -> Column:
