@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.operators import logs as lg
 from loomlake.operators import retrieval as rt
 from loomlake.plans.tables import cte, load
 from loomlake.registry import ORACLES, query
-from loomlake.sinks import KeyedTable, summed
+from loomlake.sinks import KeyedTable, newest, summed
 from loomlake.sources import messages, table_stream
 from loomlake.streaming import drain, folder, run_batches
-from loomlake.streaming.folds import fold_chat, throttle
+from loomlake.streaming.folds import DELIVERY, fold_chat, fold_deliveries, throttle, with_rocksdb
 from loomlake.streaming.ingest import Ingest
 
 
@@ -74,16 +74,49 @@ def ingest(spark, sf_dir) -> Ingest:
     return done
 
 
-@query("t3_chat_fold_stream", cte("chat_events") + """, l AS (SELECT request_id, max(seq) FILTER (WHERE event = 'toolCall') AS last_call FROM chat_events GROUP BY 1)
-    SELECT request_id, coalesce(string_agg(data, '' ORDER BY seq) FILTER (WHERE event = 'message' AND seq > coalesce(last_call, -1)), '') AS answer, count(*) FILTER (WHERE event = 'toolCall') AS calls,
-    count(*) FILTER (WHERE event = 'toolCallResult') AS results, count(*) FILTER (WHERE event = 'error') AS errors FROM chat_events JOIN l USING (request_id) GROUP BY request_id""")
+# A request's part ends with an error, or with the last event; parts and turns in SQL by running sums.
+@query("t3_chat_fold_stream", cte("chat_events") + """, e AS (SELECT *, coalesce(sum(CASE WHEN event = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM chat_events),
+    l AS (SELECT *, max(CASE WHEN event = 'toolCall' THEN seq END) OVER p AS last_call, CASE WHEN event = 'message' AND lag(event) OVER o = 'toolCall' THEN 1 ELSE 0 END AS opens FROM (SELECT * FROM e WHERE event IN ('message', 'toolCall')) x WINDOW p AS (PARTITION BY request_id, part), o AS (PARTITION BY request_id, part ORDER BY seq)),
+    t AS (SELECT *, 1 + sum(opens) OVER (PARTITION BY request_id, part ORDER BY seq) AS turn FROM l),
+    a AS (SELECT request_id, part, string_agg(data, '' ORDER BY seq) AS answer FROM t WHERE event = 'message' AND seq > coalesce(last_call, -1) GROUP BY 1, 2),
+    c AS (SELECT request_id, part, tool_use_id, max(turn) AS turn, max_by(data, seq) AS called FROM t WHERE event = 'toolCall' GROUP BY 1, 2, 3),
+    r AS (SELECT request_id, part, tool_use_id, max_by(data, seq) AS result FROM e WHERE event = 'toolCallResult' GROUP BY 1, 2, 3),
+    k AS (SELECT request_id, part, tool_use_id || ':' || coalesce(CAST(turn AS BIGINT)::VARCHAR, '-') || ':' || coalesce(called, '-') || ':' || coalesce(result, '-') AS said FROM c FULL OUTER JOIN r USING (request_id, part, tool_use_id)),
+    b AS (SELECT request_id, part, string_agg(said, ',' ORDER BY said) AS calls FROM k GROUP BY 1, 2)
+    SELECT g.request_id, g.first_seq, g.last_seq + CASE WHEN g.failed THEN 0 ELSE 1 END AS last_seq, CASE WHEN g.failed THEN 'error' ELSE 'done' END AS ended, coalesce(a.answer, '') AS answer, coalesce(b.calls, '') AS calls
+    FROM (SELECT request_id, part, min(seq) AS first_seq, max(seq) AS last_seq, bool_or(event = 'error') AS failed FROM e GROUP BY 1, 2) g LEFT JOIN a USING (request_id, part) LEFT JOIN b USING (request_id, part)""")
 def t3(spark, sf_dir):
+    """Answers and calls of each request up to an error, or to the end (a ``done`` event after the last one)."""
     e = table_stream(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("click", "view"), "message").when(F.col("event_type") == "purchase", "toolCall").when(F.col("event_type") == "signup", "toolCallResult").otherwise("error")
-    events = e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.concat_ws("-", "event_type", "event_id").alias("data"))
-    rows = drain(fold_chat(events), folder(spark, "t3"), "update")
-    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("batch_id")))).where("_n = 1")
-    return last.drop("_n", "batch_id")
+    events = e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.concat_ws("-", "event_type", "event_id").alias("data"), F.concat(F.lit("u"), (F.col("event_id") % 20).cast("string")).alias("tool_use_id"))
+    last = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("request_id")).agg(F.max("event_id").alias("_end"))
+    here = events.join(last, "request_id").where(F.col("event").isNotNull())
+    ends = (F.col("seq") == F.col("_end")) & (F.col("event") != "error")
+    more = F.when(ends, F.array("event", F.lit("done"))).otherwise(F.array("event"))
+    rows = drain(fold_chat(with_rocksdb(here.withColumn("event", F.explode(more)).withColumn("seq", F.col("seq") + F.when(F.col("event") == "done", 1).otherwise(0)).drop("_end"))), folder(spark, "t3"), "update", timers=True)
+    said = F.transform("calls", lambda c: F.concat_ws(":", c["tool_use_id"], *[F.coalesce(c[x].cast("string"), F.lit("-")) for x in ("turn", "call", "result")]))
+    return rows.select("request_id", "first_seq", "last_seq", "ended", "answer", F.array_join(F.array_sort(said), ",").alias("calls"))
+
+
+@query("t2_delivery_stream", cte("delivery_log") + """SELECT message_id, count(*) AS attempts, CASE WHEN bool_or(acked) THEN 'done' WHEN count(*) >= 5 THEN 'dropped' ELSE 'reclaimable' END AS state, NOT bool_or(acked) AND count(*) >= 5 AS dead_letter FROM delivery_log GROUP BY message_id""")
+def t2_stream(spark, sf_dir):
+    """States of messages, and the table of those given up, once all have been idle (their attempts are long ago)."""
+    e = table_stream(spark, sf_dir, "events")
+    times = F.when(F.col("event_id") % 2500 % 50 == 0, F.array(F.col("event_type") == "signup", F.lit(False))).otherwise(F.array(F.col("event_type") == "signup"))
+    log = e.select((F.col("event_id") % 2500).alias("message_id"), F.col("ts").cast("timestamp").alias("attempt_ts"), F.explode(times).alias("acked"))
+    at = folder(spark, "t2")
+    states = KeyedTable(spark, f"{at}/states", DELIVERY, ["message_id"], 16)
+    dead = KeyedTable(spark, f"{at}/dead", DELIVERY, ["message_id"], 16)
+    by_version = newest(["message_id"], ["version"])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        states.upsert(batch_id, batch, by_version)
+        dead.upsert(batch_id, batch.where("state = 'dropped'"), by_version)
+
+    run_batches(fold_deliveries(with_rocksdb(log)), at, sink, "update", timers=True)
+    letters = dead.rows().select("message_id", F.lit(True).alias("_dead"))
+    return states.rows().join(letters, "message_id", "left").select("message_id", "attempts", "state", F.coalesce("_dead", F.lit(False)).alias("dead_letter"))
 
 
 @query("t4_throttle_stream", ORACLES["w10_usage_throttle"].replace("SELECT user_id, ts FROM k WHERE keep", "SELECT user_id, epoch_us(ts) AS micros FROM k WHERE keep"))
