@@ -47,29 +47,21 @@ def grounded(messages: DataFrame, key: str = "conv_id", order: str = "position")
     return messages.withColumn("grounded", F.coalesce(asked["a"], F.lit(False))).where("role = 'assistant'")
 
 
-def throttle(uses: DataFrame, key: str, at: str, seconds: int = 300, block: int = 86_400) -> DataFrame:
+#: Uses of a key beyond which its walk is cut into runs.
+LONG_WALK = 1_000_000
+
+
+def throttle(uses: DataFrame, key: str, at: str, seconds: int = 300, long_walk: int = LONG_WALK) -> DataFrame:
     """(key, at) of the uses that are kept of each key: at least so long after the last kept one.
 
-    A use that comes ``seconds`` or more after the one before it is kept in any case, so it begins a run that
-    doesn't depend on earlier ones.  The uses before are found in blocks of ``block`` seconds, and only one row a
-    block meets its key's others; each run is then walked through in order, with its last kept use alone in
-    memory.  Uses at one moment are one; rows with a null key or moment drop out.
+    One shuffle brings a key's uses together in order, and a task walks through them with the last kept use alone in memory.
+    A key with more than ``long_walk`` uses is cut into runs first, which are walked through apart: a use that comes ``seconds`` or more after
+    the one before it is kept in any case, so it doesn't depend on earlier ones.  Uses at one moment are one; rows with a null
+    key or moment drop out.
     """
     micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast({at} as timestamp_ntz))")
     gap = seconds * 1_000_000
-    rows = uses.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at).withColumn("_us", micros).withColumn("_block", F.floor(F.col("_us") / (block * 1_000_000)))
-    own = Window.partitionBy(key, "_block").orderBy("_us")
-    rows = rows.withColumn("_far", F.col("_us") - F.lag("_us").over(own) >= gap)
-    blocks = rows.groupBy(key, "_block").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max(F.when(F.col("_far"), F.col("_us"))).alias("_inner"))
-    of_key = Window.partitionBy(key).orderBy("_block")
-    before = F.lag("_last").over(of_key)
-    blocks = blocks.withColumn("_opens", before.isNull() | (F.col("_first") - before >= gap))
-    # A run goes by its first use: the last that begins one in the block so far, or else in the blocks before.
-    start = F.coalesce("_inner", F.when(F.col("_opens"), F.col("_first")))
-    blocks = blocks.withColumn("_carried", F.last(start, ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)))
-    begins = F.col("_far") | (F.col("_opens") & (F.col("_us") == F.col("_first")))
-    here = F.last(F.when(begins, F.col("_us")), ignorenulls=True).over(own)
-    runs = rows.join(blocks, [key, "_block"]).withColumn("_run", F.coalesce(here, "_carried"))
+    rows = uses.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, micros.alias("_us"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = last = None
@@ -88,8 +80,35 @@ def throttle(uses: DataFrame, key: str, at: str, seconds: int = 300, block: int
                     i = int(a + np.searchsorted(us[a:b], last + gap))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=[key, at])
 
-    dealt = runs.select(key, at, "_us", "_run").repartition(key, "_run").sortWithinPartitions(key, "_run", "_us")
-    return dealt.mapInArrow(walk, uses.select(key, at).schema)
+    def walked(runs: DataFrame, *by: str) -> DataFrame:
+        return runs.select(key, at, "_us", "_run").repartition(key, *by).sortWithinPartitions(key, *by, "_us").mapInArrow(walk, uses.select(key, at).schema)
+
+    long = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > long_walk).select("_key")
+    if long.isEmpty():
+        return walked(rows.withColumn("_run", F.lit(0).cast("long")))
+    same = F.col(key) == F.col("_key")
+    short = walked(rows.join(long, same, "left_anti").withColumn("_run", F.lit(0).cast("long")))
+    return short.unionAll(walked(_runs(rows.join(long, same, "left_semi"), key, gap), "_run"))
+
+
+def _runs(rows: DataFrame, key: str, gap: int, block: int = 86_400) -> DataFrame:
+    """Adds ``_run``, the first use of the run that a use belongs to.
+
+    The uses before are found in blocks of ``block`` seconds, and only one row a block meets its key's others.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("_us") / (block * 1_000_000)))
+    own = Window.partitionBy(key, "_block").orderBy("_us")
+    rows = rows.withColumn("_far", F.col("_us") - F.lag("_us").over(own) >= gap)
+    blocks = rows.groupBy(key, "_block").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max(F.when(F.col("_far"), F.col("_us"))).alias("_inner"))
+    of_key = Window.partitionBy(key).orderBy("_block")
+    before = F.lag("_last").over(of_key)
+    blocks = blocks.withColumn("_opens", before.isNull() | (F.col("_first") - before >= gap))
+    # A run goes by its first use: the last that begins one in the block so far, or else in the blocks before.
+    start = F.coalesce("_inner", F.when(F.col("_opens"), F.col("_first")))
+    blocks = blocks.withColumn("_carried", F.last(start, ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.col("_far") | (F.col("_opens") & (F.col("_us") == F.col("_first")))
+    here = F.last(F.when(begins, F.col("_us")), ignorenulls=True).over(own)
+    return rows.join(blocks, [key, "_block"]).withColumn("_run", F.coalesce(here, "_carried"))
 
 
 def replay(messages: DataFrame, calls: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -152,6 +171,22 @@ def refused_attachments(files: DataFrame, messages: DataFrame, key: str = "conv_
     return judged.groupBy(key).agg(F.min(F.when(F.col("reason").isNotNull(), F.struct(order, "reason")))["reason"].alias("reason"))
 
 
+def document_name(filename: Column, place: Column) -> Column:
+    """The name that a file gets as a document of a request: its own without folder and extension, made of ASCII letters and digits, dashes, brackets
+    and single blanks (for blanks, dots and underscores), ``document-n`` by its place if nothing is left; other characters go.
+    """
+    stem = F.regexp_replace(F.regexp_replace(F.coalesce(filename, F.lit("")), "^.*/", ""), r"\.[^.]*$", "")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9\-()\[\] _.]", ""), "[ _.]+", " "))
+    return F.when(clean == "", F.concat(F.lit("document-"), place.cast("string"))).otherwise(clean)
+
+
+def admitted_documents(files: DataFrame, refusals: DataFrame, key: str = "conv_id", order: str = "position") -> DataFrame:
+    """The files of the conversations that ``refused_attachments`` has nothing against: key, order, name, format, bytes."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    good = files.join(refusals.where("reason is null").select(key), key, "left_semi").withColumn("_place", place)
+    return good.select(key, order, document_name(F.col("filename"), F.col("_place")).alias("name"), file_format(F.col("filename")).alias("format"), F.octet_length(F.unbase64("data")).cast("long").alias("bytes"))
+
+
 def request_verdict(requests: DataFrame, most_bytes: int = 262_144, most_files: int = 5) -> Column:
     """'ok' or the first thing wrong with a request: role, content, agent, model (blank or null: none) and number of files."""
     have = lambda c: F.coalesce(F.col(c), F.lit("")) != ""

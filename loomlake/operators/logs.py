@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of duration classes, in seconds.
 BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 #: Levels, most severe first.
 LEVELS = ("ERROR", "WARN", "INFO", "DEBUG")
 
 
 def request_metrics(log: DataFrame, key: list[str]) -> DataFrame:
-    """Requests, errors (status of 500 or more) and a histogram of durations (counts up to each bound)."""
+    """Requests, errors (status of 500 or more), percentiles of durations (off by a ten-thousandth of the ranks at most) and a histogram (counts up to each bound)."""
     d = F.col("duration_s")
-    return log.groupBy(*key).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), *[F.count_if(d <= b).alias(f"le_{str(b).replace('.', '_')}") for b in BOUNDS])
+    percentiles = [F.percentile_approx(d, q, 10_000).alias(name) for name, q in PERCENTILES.items()]
+    return log.groupBy(*key).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), *percentiles, *[F.count_if(d <= b).alias(f"le_{str(b).replace('.', '_')}") for b in BOUNDS])
 
 
 #: Columns of sketched metrics, and how two rows of one key become one.
@@ -57,5 +59,17 @@ def parse_line(line: Column) -> dict[str, Column]:
     return {"at": F.regexp_extract(line, r"^\[([^\]]*)\]", 1), "level": F.regexp_extract(line, r"\] \((\w+)\)", 1), "fields": F.map_from_entries(F.transform(pairs, entry))}
 
 
+def by_trace(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each trace with what was logged and asked under it: trace_id, lines, errors, requests, failed, slowest (null where there is no request).
+
+    ``lines``: trace_id, level.  ``requests``: trace_id, status, duration_s.  Either side is summed up before they meet, so a busy trace stays one
+    row; traces of one side alone are there, lines and requests without a trace aren't.
+    """
+    said = lines.where("trace_id <> ''").groupBy("trace_id").agg(F.count("*").alias("lines"), F.count_if(F.col("level") == "ERROR").alias("errors"))
+    asked = requests.where("trace_id <> ''").groupBy("trace_id").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("failed"), F.max("duration_s").alias("slowest"))
+    none = F.lit(0).cast("long")
+    return said.join(asked, "trace_id", "full_outer").select("trace_id", *[F.coalesce(c, none).alias(c) for c in ("lines", "errors", "requests", "failed")], "slowest")
+
+
 def at_least(level: Column, least: str) -> Column:
     return level.isin(*LEVELS[: LEVELS.index(least) + 1])

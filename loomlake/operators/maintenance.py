@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions.rules import rule_error
+from loomlake.sinks import KeyedTable
+
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
@@ -40,6 +42,19 @@ def backfill(records: DataFrame, memberships: DataFrame, user: str, column: str)
     return joined.withColumn(column, F.coalesce(column, "_org")).drop("_org", "_what"), joined.groupBy(F.col("_what").alias("what")).agg(F.count("*").alias("n"))
 
 
+def apply_rows(table: KeyedTable, batch: int, rows: DataFrame, columns: list[str], source: str = "maintenance") -> bool:
+    """Writes what a job has made of a table's rows: only rows that differ in ``columns`` from what is there are written, by their key.
+
+    Making rows and writing them are two calls, so a dry run is the first one alone.  False if the batch had been applied before.
+    """
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    now = table.rows().select(*table.key, *[F.col(c).alias(f"_{c}") for c in columns])
+    changed = rows.join(now, table.key).where(~same).select(*table.schema.names)
+    return table.upsert(batch, changed, lambda old, new: old.join(new.select(*table.key), table.key, "left_anti").unionByName(new), source)
+
+
 def rekey(records: DataFrame, column: str, organization: str) -> DataFrame:
     """Ids scoped to their organization; scoped ones and those without an organization stay."""
     k, o = F.col(column), F.col(organization).cast("string")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from loomlake.functions.text import chunks
 
 FILES = "These are the files that belong to this assistant. Rely on them where the question is about them, and add nothing that they don't say."
 CONTEXT = "These passages were found for the question. Rely on them where they help, and add nothing that they don't say."
 
+#: Results that a query may ask for.
+MOST_RESULTS = 50
+
 
 def chunk_table(documents: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     """A row for each chunk, numbered among a document's kept chunks; null and blank texts have none."""
@@ -26,8 +31,9 @@ def documents_of_collection(documents: DataFrame, collection: str, document: str
 
     Chunks are counted row by row and never moved; a document that occurs twice has the chunks of both.
     """
-    counted = documents.select(collection, document, name, F.size(chunks(F.col("text"), size, overlap)).cast("long").alias("chunks")).where("chunks > 0")
-    return counted.groupBy(collection, document).agg(F.sum("chunks").alias("chunks"), F.min(name).alias(name))
+    n = F.size(chunks(F.col("text"), size, overlap)).cast("long")
+    # The filter stands behind the sum: pushed below it, it would cut every text a second time.
+    return documents.groupBy(collection, document).agg(F.sum(n).alias("chunks"), F.min(name).alias(name)).where("chunks > 0")
 
 
 def fit_embedder(texts: DataFrame, column: str = "text", dim: int = 256) -> Callable[[DataFrame], DataFrame]:
@@ -51,6 +57,57 @@ def fit_embedder(texts: DataFrame, column: str = "text", dim: int = 256) -> Call
     return embedder
 
 
+def batch_embedder(model: Callable[[list[str]], list[list[float]]], column: str = "text", batch: int = 64, tries: int = 3, wait_seconds: float = 0.5) -> Callable[[DataFrame], DataFrame]:
+    """An embedder that asks a model, a batch of texts at a time: adds ``embedding`` (array of double) and ``embedding_error``.
+
+    ``model`` is called in tasks with a list of texts and gives a vector for each; it has to be picklable and may call a remote service.
+    A batch that fails is tried ``tries`` times in all, with a longer wait each time; then its texts are asked for one by one,
+    so that one bad text fails alone.  An empty vector is an error, as is a number of vectors that isn't the texts'.  Rows with an error have a
+    null embedding.  Null texts aren't asked for and have neither.
+    """
+    import time
+
+    def ask(texts: list[str], left: int) -> list[list[float]]:
+        for n in range(left):
+            try:
+                vectors = model(texts)
+                if len(vectors) != len(texts):
+                    raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+                return vectors
+            except Exception:
+                if n == left - 1:
+                    raise
+                time.sleep(wait_seconds * 2**n)
+        return []
+
+    def each(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            vectors = ask(texts, tries)
+        except Exception as error:
+            if len(texts) > 1:
+                return [x for t in texts for x in each([t])]
+            return [(None, f"{type(error).__name__}: {error}"[:500])]
+        return [([float(x) for x in v], None) if len(v) else (None, "empty vector") for v in vectors]
+
+    def embedder(rows: DataFrame) -> DataFrame:
+        schema = StructType([f for f in rows.schema if f.name not in ("embedding", "embedding_error")]).add("embedding", ArrayType(DoubleType())).add("embedding_error", StringType())
+        place = schema.names.index(column)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, batch):
+                    part = whole.slice(start, batch)
+                    texts = part.column(place).to_pylist()
+                    known = iter(each([t for t in texts if t is not None]) if any(t is not None for t in texts) else [])
+                    found = [(None, None) if t is None else next(known) for t in texts]
+                    columns = [pa.array([v for v, _ in found], pa.list_(pa.float64())), pa.array([e for _, e in found], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
+
+        return rows.select(*schema.names[:-2]).mapInArrow(run, schema)
+
+    return embedder
+
+
 def embed(texts: DataFrame, column: str = "text", dim: int = 256, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``embedding``, by an embedder that is plugged in, or else by one that is fitted on these texts."""
     return (embedder or fit_embedder(texts, column, dim))(texts)
@@ -71,58 +128,15 @@ def top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int | str
     """The nearest items of the same tenant by cosine: query_id, the item's key, score = (1 + cos) / 2, rank.
 
     Both sides are made unit vectors once and meet by the tenant's key; the window keeps k for each query in
-    every task before the shuffle.  ``k`` may be a column of the queries.  Ties in the rounded score go to the
+    every task before the shuffle.  ``k`` may be a column of the queries, up to ``MOST_RESULTS``.  Ties in the rounded score go to the
     smaller key; zero vectors take no part.
     """
     q = queries.withColumn("_q", unit(F.col("embedding"))).where("_q is not null").drop("embedding")
     x = items.withColumn("_x", unit(F.col("embedding"))).where("_x is not null").select(*tenant, key, "_x")
     scored = q.join(x, tenant).withColumn("score", F.round((F.lit(1.0) + dot(F.col("_q"), F.col("_x"))) / 2, digits)).drop("_q", "_x")
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    limit = F.col(k) if isinstance(k, str) else F.lit(k)
-    return scored.withColumn("rank", n).where(F.col("rank") <= limit)
-
-
-def sketch(vector: Column, dim: int, words: int = 4, seed: int = 7) -> list[Column]:
-    """``words`` longs of the signs of a vector's products with planes through the origin.
-
-    The planes are the same for all vectors of a dimension; each run of ``dim`` of them is orthogonal, which makes the
-    number of differing bits a better measure of the angle.
-    """
-    import json
-
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    planes = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-64 * words // dim))])[: 64 * words]
-    # One constant for all planes keeps the plan small.
-    constant = F.from_json(F.lit(json.dumps(planes.reshape(words, 64, dim).round(6).tolist())), "array<array<array<double>>>")
-    sign = lambda bits, p: F.shiftleft(bits, 1).bitwiseOR(F.when(dot(vector, p) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return [F.aggregate(F.get(constant, F.lit(w)), F.lit(0).cast("long"), sign) for w in range(words)]
-
-
-def approximate_top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int = 5, *, key: str = "id", share: float = 0.1, least: int = 64, words: int = 4) -> tuple[DataFrame, DataFrame]:
-    """As ``top_k``, but only the items whose sketch is nearest to the query's are scored exactly.
-
-    Every item has a sketch of ``64 * words`` signs.  A query compares sketches (a few machine words) with all items
-    of its tenant, and the nearest ``share`` of them, ``least`` at least, are ranked by their vectors.
-    Returns the ranked rows and the pairs that were scored.
-    """
-    dim = items.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
-    names = [f"_s{w}" for w in range(words)]
-    side = lambda df, name, to: df.where(F.size("embedding") == dim).select(name, *tenant, *[c.alias(to + n) for c, n in zip(sketch(F.col("embedding"), dim, words), names)])
-    sizes = items.groupBy(*tenant).agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share))).alias("_keep"))
-    apart = sum((F.bit_count(F.col("q" + n).bitwiseXOR(F.col("x" + n))) for n in names), F.lit(0))
-    near = side(queries, "query_id", "q").join(sizes, tenant).join(side(items, key, "x"), tenant).select("query_id", key, *tenant, "_keep", apart.alias("_apart"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("_apart", key))
-    pairs = near.withColumn("_n", nth).where(F.col("_n") <= F.col("_keep")).select("query_id", key, *tenant)
-    return rank_pairs(pairs, queries, items, k, key), pairs
-
-
-def rank_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, key: str) -> DataFrame:
-    q = queries.select("query_id", unit(F.col("embedding")).alias("_q")).where("_q is not null")
-    x = items.select(key, unit(F.col("embedding")).alias("_x")).where("_x is not null")
-    scored = pairs.join(q, "query_id").join(x, key).withColumn("score", F.round((F.lit(1.0) + dot(F.col("_q"), F.col("_x"))) / 2, 6)).drop("_q", "_x")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
+    # A constant bound lets every task keep that many rows of a query before the shuffle.
+    return ranked.where((F.col("rank") <= MOST_RESULTS) & (F.col("rank") <= F.col(k))) if isinstance(k, str) else ranked.where(F.col("rank") <= k)
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:

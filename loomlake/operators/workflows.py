@@ -46,10 +46,11 @@ def agent_ids(steps: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(steps, lambda s: (s["type"] == "agent") & (s["agent_id"] != "")), lambda s: s["agent_id"]))
 
 
-def step_errors(steps: DataFrame, max_steps: int = 25, max_code: int = 64 * 1024) -> DataFrame:
-    """The first thing wrong with each workflow (null: nothing): workflow_id, position, error.
+def step_errors(steps: DataFrame, workflows: DataFrame | None = None, max_steps: int = 25, max_code: int = 64 * 1024) -> DataFrame:
+    """The first thing wrong with each workflow (null: nothing): workflow_id, error.
 
-    ``steps``: workflow_id, position (from 1), name, type, agent_id, prompt, code; blanks are empty strings.
+    ``steps``: workflow_id, position (from 1), name, type, agent_id, prompt, code; blanks are empty strings.  ``workflows``
+    (workflow_id) names those that there are, so that one without steps is found.
     """
     w = Window.partitionBy("workflow_id")
     same = Window.partitionBy("workflow_id", "name").orderBy("position")
@@ -68,7 +69,11 @@ def step_errors(steps: DataFrame, max_steps: int = 25, max_code: int = 64 * 1024
         .when((kind == "code") & (~blank("agent_id") | ~blank("prompt")), "code step with agent")
         .when(~F.coalesce(kind, F.lit("")).isin("agent", "code"), "unknown type")
     )
-    return steps.withColumn("error", error).groupBy("workflow_id").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("position", "error")))["error"].alias("error"))
+    found = steps.withColumn("error", error).groupBy("workflow_id").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("position", "error")))["error"].alias("error"))
+    if workflows is None:
+        return found
+    some = found.withColumn("_some", F.lit(True))
+    return workflows.select("workflow_id").distinct().join(some, "workflow_id", "left").select("workflow_id", F.when(F.col("_some").isNull(), "no steps").otherwise(F.col("error")).alias("error"))
 
 
 def render(template: str, context: Column) -> tuple[Column, Column]:

@@ -95,7 +95,7 @@ def _calls(spark, sf_dir):
     UNION ALL SELECT conv_id, position, CAST(o AS INTEGER), 1, 'user', '', head || 'result","arguments":"' || CASE WHEN o = 3 THEN 'true' ELSE 'false' END || '"}]' FROM j
     UNION ALL SELECT conv_id, position, 1073741824, 0, role, content, NULL FROM chat_messages m WHERE content <> '' OR NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = m.conv_id AND c.position = m.position)""")
 def w6(spark, sf_dir):
-    bindings = spark.createDataFrame([("s0", "find", "s0__find"), ("s1", "find", "s1__find")], "server_id string, tool string, advertised string")
+    bindings = spark.sql("select server_id, 'find' as tool, server_id || '__find' as advertised from values ('s0'), ('s1') v(server_id)")
     return op.replay(load(spark, sf_dir, "chat_messages"), _calls(spark, sf_dir), bindings)
 
 
@@ -106,10 +106,27 @@ def w6(spark, sf_dir):
       WHEN content = '' THEN '4 empty' WHEN strlen(content) > 4500000 THEN '5 too large' END AS reason FROM n JOIN u USING (conv_id))
     SELECT conv_id, min_by(reason, position) FILTER (WHERE reason IS NOT NULL) AS reason FROM e GROUP BY conv_id""".replace("\\\\", "\\"))
 def c4(spark, sf_dir):
+    return op.refused_attachments(*_attachments(spark, sf_dir))
+
+
+def _attachments(spark, sf_dir):
     m = load(spark, sf_dir, "chat_messages")
     extra = m.where("role = 'assistant'").select("conv_id", "position", F.when(F.col("position") == 1, "x.exe").when(F.col("conv_id") % 3 == 0, "y.TXT").otherwise("z.md").alias("filename"), F.base64(F.encode(F.when(F.col("position") == 3, "").otherwise(F.col("content")), "UTF-8")).alias("data"))
     files = m.where("attachment is not null").select("conv_id", "position", F.col("attachment").alias("filename"), F.base64(F.encode("content", "UTF-8")).alias("data")).unionAll(extra)
-    return op.refused_attachments(files, m)
+    return files, m
+
+
+@query("c4_admitted_documents", cte("chat_messages") + """, f AS (SELECT conv_id, position, '/up/' || CASE conv_id % 4 WHEN 0 THEN '..' WHEN 1 THEN 'a__b. c(' || position || ')é' WHEN 2 THEN '_' ELSE 'file-' || conv_id END || '.pdf' AS filename, content,
+      row_number() OVER (PARTITION BY conv_id ORDER BY position) AS place FROM chat_messages WHERE attachment IS NOT NULL AND content <> '')
+    SELECT conv_id, position, CASE conv_id % 4 WHEN 1 THEN 'a b c(' || position || ')' WHEN 3 THEN 'file-' || conv_id ELSE 'document-' || place END AS name, 'pdf' AS format, strlen(content) AS bytes FROM f
+    WHERE conv_id NOT IN (SELECT conv_id FROM f GROUP BY conv_id HAVING count(*) > 5 OR max(strlen(content)) > 4500000)""")
+def c4_documents(spark, sf_dir):
+    """Files that come through, with the names and formats that they go on with."""
+    m = load(spark, sf_dir, "chat_messages")
+    k = F.col("conv_id") % 4
+    name = F.when(k == 0, "..").when(k == 1, F.concat(F.lit("a__b. c("), F.col("position").cast("string"), F.lit(")é"))).when(k == 2, "_").otherwise(F.concat(F.lit("file-"), F.col("conv_id").cast("string")))
+    files = m.where("attachment is not null and content <> ''").select("conv_id", "position", F.concat(F.lit("/up/"), name, F.lit(".pdf")).alias("filename"), F.base64(F.encode("content", "UTF-8")).alias("data"))
+    return op.admitted_documents(files, op.refused_attachments(files, m))
 
 
 @query("c5_reply_normalization", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'json' ELSE 'text' END AS kind, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '"' || user_id || '"' WHEN 2 THEN '"' || replace(props, '"', '\\"') || ' x"' WHEN 3 THEN '"[' || event_type || '"' ELSE '"' || event_type || '."' END AS value FROM events""")

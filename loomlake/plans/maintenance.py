@@ -10,6 +10,7 @@ from loomlake.operators import maintenance as op
 from loomlake.plans.tables import cte, load
 from loomlake.registry import query
 from loomlake.sinks import KeyedTable, newest
+from loomlake.sources import uploads
 from loomlake.storage import new_folder
 
 _KIND = "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'agent_rag' WHEN 2 THEN 'delete_kb_document' WHEN 3 THEN 'other' WHEN 4 THEN NULL ELSE 'kb_context' END"
@@ -41,6 +42,21 @@ def s4(spark, sf_dir):
     return op.upload_gate(batches, files, "batch_id", "text")
 
 
+@query("s4_accepted_files", """WITH f AS (SELECT doc_id // 10 AS batch_id, doc_id, CASE WHEN doc_id % 47 = 0 THEN '' ELSE text END AS text FROM documents)
+    SELECT batch_id, doc_id, strlen(text) AS n_bytes FROM f WHERE batch_id NOT IN (SELECT batch_id FROM f GROUP BY 1 HAVING min(strlen(text)) = 0 OR sum(strlen(text)) > 52428800)""")
+def s4_files(spark, sf_dir):
+    """Batches of files in folders, read as they lie there; those of the batches that are let through."""
+    at, k = new_folder(spark, "uploads"), F.col("doc_id")
+    docs = load(spark, sf_dir, "documents").select(F.floor(k / 10).alias("batch_id"), k, F.when(k % 47 == 0, "").otherwise(F.col("text")).alias("text"))
+    # A file for each document; the writer puts a line end behind the text, which isn't the document's.
+    docs.repartition("batch_id").write.partitionBy("batch_id", "doc_id").text(at)
+    files = uploads(spark, at, "*.txt")
+    place = lambda name: F.regexp_extract("path", rf"/{name}=(-?\d+)/", 1).cast("long").alias(name)
+    files = files.select(place("batch_id"), place("doc_id"), F.substring("content", 1, F.col("length").cast("int") - 1).alias("content"))
+    good = op.accepted(files, op.upload_gate(files, files, "batch_id", "content"), "batch_id")
+    return good.select("batch_id", "doc_id", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
 _CHANGES = "SELECT doc_id % 300 AS document_id, doc_id AS version, 'new-' || source AS filename FROM documents WHERE doc_id % 3 = 0"
 
 
@@ -126,6 +142,18 @@ def m1_report(spark, sf_dir):
     return _backfilled(spark, sf_dir)[1]
 
 
+@query("m1_backfill_applied", cte("resources", "memberships") + "SELECT r.id, CASE WHEN r.id % 4 = 0 THEN r.organization_id ELSE m.organization_id END AS organization_id FROM resources r LEFT JOIN memberships m USING (user_id)")
+def m1_applied(spark, sf_dir):
+    """The backfill as a job on a table: what it stamps is written, once however often the job is run."""
+    records = load(spark, sf_dir, "resources").withColumn("organization_id", F.when(F.col("id") % 4 == 0, F.col("organization_id")))
+    kept = KeyedTable(spark, new_folder(spark, "m1"), records.schema, ["id"], 16)
+    kept.insert(0, records)
+    for _ in range(2):
+        stamped, _report = op.backfill(kept.rows(), load(spark, sf_dir, "memberships"), "user_id", "organization_id")
+        op.apply_rows(kept, 1, stamped, ["organization_id"])
+    return kept.rows().select("id", "organization_id")
+
+
 @query("m2_rekey", "SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN s_name ELSE CAST(s_nationkey AS VARCHAR) || ':' || s_name END AS key FROM supplier")
 def m2(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 != 0, F.col("s_nationkey")).alias("org"), "s_nationkey", "s_name")

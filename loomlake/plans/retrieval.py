@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as tx
 from loomlake.operators import retrieval as op
+from loomlake.operators.vector_index import build_index
 from loomlake.plans.tables import cte, load
 from loomlake.registry import query
 
@@ -54,22 +55,43 @@ def v1(spark, sf_dir):
     return op.embed(pieces).select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(F.sqrt(op.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
+_LETTERS = "len(regexp_extract_all(lower(text), '[a-z]'))"
+
+
+@query("v1_batch_embedding", f"SELECT doc_id, CASE WHEN {_LETTERS} = 0 THEN NULL ELSE [CAST({_LETTERS} AS DOUBLE), CAST(length(text) AS DOUBLE)] END AS embedding, CASE WHEN {_LETTERS} = 0 THEN 'empty vector' END AS embedding_error FROM documents")
+def v1_batches(spark, sf_dir):
+    """Documents by a model that is plugged in; it has nothing to say of texts without letters."""
+
+    def model(texts: list[str]) -> list[list[float]]:
+        counts = [sum("a" <= c <= "z" for c in t.lower()) for t in texts]
+        return [[n, len(t)] if n else [] for n, t in zip(counts, texts)]
+
+    return op.batch_embedder(model)(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "embedding", "embedding_error")
+
+
 @query("v2_exact_top_k", f"WITH {_SCORED} SELECT query_id, id, agent_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def v2(spark, sf_dir):
     queries, items = _vectors(spark, sf_dir)
     return op.top_k(queries.drop("k"), items, ["agent_id"], 5).select("query_id", "id", "agent_id", "score", "rank")
 
 
-@query("v3_approximate_top_k")
+# A search reads 128 items of each tenant at least, so over small tenants it is exact.
+@query("v3_approximate_top_k", f"WITH {_SCORED} SELECT query_id, id, agent_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def v3(spark, sf_dir):
-    """Recall against the exact result and the share of pairs whose vectors were read, for each agent."""
+    """An index of cells, built and searched."""
+    queries, items = _vectors(spark, sf_dir)
+    return build_index(items, ["agent_id"]).search(queries.drop("k"), 5).select("query_id", "id", "agent_id", "score", "rank")
+
+
+@query("v3_index_recall", "SELECT DISTINCT label AS agent_id, true AS found_nine_of_ten, true AS read_in_part FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 25 = 0)")
+def v3_recall(spark, sf_dir):
+    """For each agent: whether the index finds nine of ten of the exact results, and no more vectors than there are were read."""
     queries, items = _vectors(spark, sf_dir)
-    got, pairs = op.approximate_top_k(queries.drop("k"), items, ["agent_id"])
+    index = build_index(items, ["agent_id"])
+    got = index.search(queries.drop("k"), 5).select("query_id", "id", F.lit(1).alias("hit"))
     exact = op.top_k(queries.drop("k"), items, ["agent_id"], 5).select("query_id", "id", "agent_id")
-    hit = exact.join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("agent_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    size = items.groupBy("agent_id").agg(F.count("*").alias("n")).join(queries.groupBy("agent_id").agg(F.count("*").alias("q")), "agent_id")
-    share = pairs.groupBy("agent_id").agg(F.count("*").alias("pairs")).join(size, "agent_id").select("agent_id", (F.col("pairs") / (F.col("n") * F.col("q"))).alias("scored_share"))
-    return hit.join(share, "agent_id", "left")
+    recall = exact.join(got, ["query_id", "id"], "left").groupBy("agent_id").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("found_nine_of_ten"))
+    return recall.join(index.read_share(queries), "agent_id").select("agent_id", "found_nine_of_ten", (F.col("scored_share") <= 1).alias("read_in_part"))
 
 
 @query("v4_top_k_bounds", f"WITH {_SCORED} SELECT query_id, count(*) AS results, k FROM r WHERE k BETWEEN 1 AND 50 AND rank <= k GROUP BY query_id, k UNION ALL SELECT DISTINCT query_id, 0, k FROM r WHERE k NOT BETWEEN 1 AND 50")
@@ -80,22 +102,25 @@ def v4(spark, sf_dir):
     return found.select("query_id", "results", "k").unionAll(queries.where(~good).select("query_id", F.lit(0).cast("long"), "k"))
 
 
-@query("a12_prompt_assembly", f"""{cte("kb_documents")}, {_SCORED}, c AS (SELECT query_id, 'These passages were found for the question. Rely on them where they help, and add nothing that they don''t say.' || chr(10) || chr(10)
-      || string_agg('[Context ' || rank || ']' || chr(10) || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 5 GROUP BY query_id),
+@query("a12_prompt_assembly", f"""{cte("kb_documents")}, {_SCORED}, t AS (SELECT doc_id AS id, regexp_replace(substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1000), '^\\s+|\\s+$', '', 'g') AS text FROM documents),
+    c AS (SELECT query_id, 'These passages were found for the question. Rely on them where they help, and add nothing that they don''t say.' || chr(10) || chr(10)
+      || rtrim(string_agg('[Context ' || rank || ']' || chr(10) || t.text, chr(10) || chr(10) ORDER BY rank), chr(10)) AS block FROM r JOIN t USING (id) WHERE rank <= 5 GROUP BY query_id),
     n AS (SELECT kb_id, row_number() OVER (PARTITION BY kb_id ORDER BY uploaded_at, document_id) AS n, CASE WHEN document_id % 3 = 0 THEN '' ELSE filename END AS name, text FROM kb_documents),
     f AS (SELECT kb_id, 'These are the files that belong to this assistant. Rely on them where the question is about them, and add nothing that they don''t say.' || chr(10) || chr(10)
-      || rtrim(string_agg('[File: ' || CASE WHEN name = '' THEN 'file-' || n ELSE name END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n), chr(10)) AS block FROM n WHERE n <= 3 GROUP BY kb_id)
+      || rtrim(string_agg('[File: ' || CASE WHEN name = '' THEN 'file-' || n ELSE name END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n), chr(10)) AS block FROM n GROUP BY kb_id)
     SELECT query_id, concat_ws(chr(10) || chr(10), f.block, c.block, CASE WHEN query_id % 2 = 0 THEN 'Agent prompt.' END) AS prompt FROM c LEFT JOIN f ON f.kb_id = query_id % 17""")
 def a12(spark, sf_dir):
-    """Files of a collection (the first three; some without a name), passages found, and the agent's own prompt, each where there is any."""
+    """All files of a collection (some without a name), the passages found, and the agent's own prompt, each where there is any."""
     queries, items = _vectors(spark, sf_dir)
-    hits = op.top_k(queries.drop("k"), items, ["agent_id"], 5)
-    found = op.listed(hits, ["query_id"], op.context_block(F.col("rank"), F.concat(F.lit("vector "), F.col("id").cast("string"))), ["rank"], op.CONTEXT, "found")
-    docs = op.numbered(load(spark, sf_dir, "kb_documents"), ["kb_id"], ["uploaded_at", "document_id"]).where("n <= 3")
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    passages = op.chunk_table(docs).where("chunk_index = 0").select("id", "text")  # a vector stands for the start of its document
+    hits = op.top_k(queries.drop("k"), items, ["agent_id"], 5).join(passages, "id")
+    found = op.listed(hits, ["query_id"], op.context_block(F.col("rank"), F.col("text")), ["rank"], op.CONTEXT, "found")
+    files = op.numbered(load(spark, sf_dir, "kb_documents"), ["kb_id"], ["uploaded_at", "document_id"])
     name = F.when(F.col("document_id") % 3 == 0, "").otherwise(F.col("filename"))
-    files = op.listed(docs, ["kb_id"], op.file_block(F.col("n"), name, F.col("text")), ["n"], op.FILES, "files")
+    listed = op.listed(files, ["kb_id"], op.file_block(F.col("n"), name, F.col("text")), ["n"], op.FILES, "files")
     system = F.when(F.col("query_id") % 2 == 0, "Agent prompt.").otherwise("")
-    return found.withColumn("kb_id", F.col("query_id") % 17).join(files, "kb_id", "left").select("query_id", op.prompt(F.col("files"), F.col("found"), system).alias("prompt"))
+    return found.withColumn("kb_id", F.col("query_id") % 17).join(listed, "kb_id", "left").select("query_id", op.prompt(F.col("files"), F.col("found"), system).alias("prompt"))
 
 
 @query("f8_collections_with_chunks", cte("agents", "kb_documents") + "SELECT id FROM agents WHERE id % 15 IN (SELECT kb_id FROM kb_documents WHERE text <> '')")

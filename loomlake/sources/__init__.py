@@ -24,6 +24,6 @@ def messages(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn("m", m).withColumn("ok", F.col("m").isNotNull() & F.col("m._bad").isNull())
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (path, length, content)."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+def uploads(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """Files in a folder and those below it, with names of a pattern, as (path, length, content); listed by the cluster where there are many."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path).select("path", "length", "content")
