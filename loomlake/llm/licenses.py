@@ -9,6 +9,7 @@ in one pass over the documents, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect
 from collections import defaultdict
 from heapq import heappop, heappush
@@ -30,6 +31,8 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -53,6 +56,11 @@ TEMPLATES = {
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
 
+# Words that make a licence another one.  They have to be the same in a template and in a place of it.
+DECIDING = "nc nd sa noncommercial noderivatives noderivs sharealike lesser affero"
+# A number behind one of these, or behind another such number, is a version, which a place has to hold.
+BEFORE_VERSIONS = "version v license licence by nc nd sa attribution noncommercial noderivatives sharealike"
+
 #: Bytes of templates that one index may hold; it is broadcast.
 MOST_BYTES = 64 << 20
 
@@ -109,6 +117,20 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int) -> tuple
     return -(-top[0] // gain), top[1], top[2]
 
 
+def versions(template: str) -> list[np.ndarray]:
+    """Hashes of a template's version numbers: runs of numbers behind a word of ``BEFORE_VERSIONS``."""
+    names = [w.decode(errors="replace").lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", template.encode())]
+    hashes = words([template.encode()], ALNUM).hashes
+    before, out, run = set(BEFORE_VERSIONS.split()), [], []
+    for i in range(len(names) + 1):
+        if i < len(names) and names[i].isdigit() and i and (run or names[i - 1] in before):
+            run.append(hashes[i])
+        elif run:
+            out.append(np.array(run))
+            run = []
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], gram: int, window: int, band: int, least: float):
         self.names, self.gram, self.window, self.band, self.least = sorted(templates), gram, window, band, least
@@ -126,6 +148,21 @@ class Scanner:
                     index[int(g[p])].append(p)
             if index:
                 self.levels.append((k, w, dict(index), np.array(sorted(index), np.uint64)))
+        self.deciding = np.unique(words([DECIDING.encode()], ALNUM).hashes)
+        self.versions = [versions(templates[n]) for n in self.names]
+        self.named = [self.decided(self.template(n)) for n in range(len(self.names))]
+
+    def template(self, n: int) -> np.ndarray:
+        return self.words.hashes[self.words.bounds[n] : self.words.bounds[n + 1]]
+
+    def decided(self, doc: np.ndarray) -> list[int]:
+        return doc[found(self.deciding, doc)[0]].tolist()
+
+    def same_licence(self, n: int, doc: np.ndarray) -> bool:
+        """Whether a place has the template's deciding words, in order and no others, and its version numbers."""
+        held = doc.tolist()
+        runs = [[int(h) for h in r] for r in self.versions[n]]
+        return self.decided(doc) == self.named[n] and all(any(held[i : i + len(r)] == r for i in range(len(held) - len(r) + 1)) for r in runs)
 
     def scan(self, doc: Words):
         """(text of the slice, template, words in common, template words, first word, end) of each match."""
@@ -140,18 +177,41 @@ class Scanner:
                     shifts[int(doc.text[p]), n].add(p - q + int(self.words.bounds[n]))
         found_in: dict[int, list[tuple]] = defaultdict(list)
         for (t, n), all_shifts in sorted(shifts.items()):
-            template = self.words.hashes[self.words.bounds[n] : self.words.bounds[n + 1]]
+            template = self.template(n)
             first, end = int(doc.bounds[t]), int(doc.bounds[t + 1])
             find = self.apart if self.short[n] else self.spread
-            for same, a, b in find(template, doc.hashes, first, end, sorted(all_shifts)):
-                found_in[t].append((same, len(template), a - first, b - first, n))
+            for same, a, b in find(template, doc.hashes, first, end, self.likely(template, doc.hashes, first, end, all_shifts)):
+                if self.same_licence(n, doc.hashes[a:b]):
+                    found_in[t].append((same, len(template), a - first, b - first, n))
         for t, places in sorted(found_in.items()):
             for same, size, a, b, n in self.outermost(places):
                 yield t, n, same, size, a, b
 
+    def likely(self, template: np.ndarray, doc: np.ndarray, first: int, end: int, shifts: set[int]) -> list[int]:
+        """The diagonals, in order, in whose band enough of the text's words are words of the template at all.
+
+        Pairs of plain words are in every text; this passes over most of them without an alignment.
+        """
+        band = max(self.band, len(template))
+        ours = np.append(0, np.cumsum(np.isin(doc[first:end], template)))
+        at = np.array(sorted(shifts), np.int64) - first
+        lo, hi = np.clip(at - band, 0, end - first), np.clip(at + len(template) + band, 0, end - first)
+        return (at[ours[hi] - ours[lo] >= self.least * len(template)] + first).tolist()
+
     def outermost(self, places: list[tuple]) -> list[tuple]:
         """Without those that lie within the place of another template that has more words in common there."""
-        return [x for x in places if not any(y[0] > x[0] and y[4] != x[4] and y[2] <= x[2] and x[3] <= y[3] for y in places)]
+        places, out, open_ = sorted(places, key=lambda x: (x[2], -x[3])), [], []
+        for i, x in enumerate(places):
+            # Places that begin at or before this one and end at or after it can hold it; few reach so far.
+            open_ = [y for y in open_ if y[3] > x[2]] + [x]
+            same_start = []
+            for y in places[i + 1 :]:
+                if y[2] != x[2]:
+                    break
+                same_start.append(y)
+            if not any(y[0] > x[0] and y[4] != x[4] and y[2] <= x[2] and x[3] <= y[3] for y in (*open_, *same_start)):
+                out.append(x)
+        return out
 
     def spread(self, template: np.ndarray, doc: np.ndarray, first: int, end: int, shifts: list[int]) -> list[tuple[int, int, int]]:
         """(words in common, first word, end) of a long template's places, best first, none overlapping another."""
@@ -213,7 +273,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, g
     and those may shift it by ``band`` words.  Candidates of a shorter template are all shared pairs of
     neighbouring words (of a single word, that word), and words put in between may shift the others by
     ``band`` words or the template's length, whichever is more.  Places of one template don't overlap; the one
-    with most words in common goes first.  A place within that of another template with more words in common there
+    with most words in common goes first.  Words that make a licence another one (``DECIDING``) have to be the same in a
+    place and its template, and a template's version numbers have to be there, whatever the coverage.  A place within that of another template with more words in common there
     (a notice that is part of a licence) isn't reported.  Null and empty texts give no rows; repeated rows give
     their own; other columns are dropped.
     """

@@ -223,6 +223,41 @@ def best_place(template, words, more):
     return max((longest_common(template, words[a : a + len(template) + more]) for a in range(len(words))), default=0)
 
 
+NEAR_MISSES = [
+    ("licensed under cc by 4.0", ["CC-BY-4.0-notice"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-notice"]), ("licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0-notice"]), ("licensed under CC BY-NC-SA 4.0", []), ("Licensed under CC BY-NC 3.0.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", []), ("This work is licensed under the GNU Lesser General Public License, version 3.", []), ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-notice"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", []), ("This work is licensed under a Creative Commons Attribution 3.0 International License.", []),
+    ("Licensed under the Apache License 2.0", ["Apache-2.0-notice"]), ("Licensed under the Apache License, Version 1.1.", []), ("This code is licensed under the terms of the Eclipse licence of 2.0", []),
+]
+
+
+def test_licenses_that_differ_in_a_word(spark):
+    """Words that make a licence another one decide, whatever else is in common; so do versions."""
+    df = spark.createDataFrame([(i, f"Some words before it. {t} And some after it.") for i, (t, _) in enumerate(NEAR_MISSES)], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in licenses.scan_licenses(df).collect():
+        got[r.doc_id].add(r.license)
+    assert {t: sorted(got[i]) for i, (t, _) in enumerate(NEAR_MISSES)} == dict(NEAR_MISSES)
+    long = {n: t for n, t in licenses.TEMPLATES.items() if "or-later" in n}
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(long.values())], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in rows} == dict(enumerate(long)) and len(rows) == len(long)
+
+
+def test_license_scan_of_plain_pairs(spark):
+    """A text full of word pairs that templates have too takes time in proportion to its length."""
+    import time
+
+    took = {}
+    for n in (2000, 2000, 8000):
+        df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("it is licensed to go under the hill of the general public and so on "), F.lit(n)).alias("text")).cache()
+        df.count()
+        began = time.time()
+        assert licenses.scan_licenses(df).count() == 0
+        took[n] = time.time() - began
+    assert took[8000] < 8 * took[2000] + 1, took
+
+
 def test_license_scan_against_brute_force(spark):
     """Which templates a document holds, against alignments everywhere; words are left out, changed and put in."""
     r = random.Random(7)
