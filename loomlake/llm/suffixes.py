@@ -25,12 +25,18 @@ copies of whole texts are known from their hash; texts travel only if a repeated
 Passages of so many words are found in the same way: the places of a text are then its words, named by
 their hashes, instead of its bytes.
 
+Long texts are looked at in overlapping pieces.  A cut through a family makes two of it, whose windows then go
+on by their own names.
+
 Strings and texts are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil, log
 
 import numpy as np
@@ -39,7 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bit_set, durable, packs, tidy
+from loomlake.llm.common import bit_set, durable, tidy
+from loomlake.llm.mixing import words as count_words
 from loomlake.llm.words import U, Words, mix, words
 
 _POST = np.dtype([("core", "<u8"), ("reach", "<u8"), ("text", "<i8"), ("at", "<i8"), ("kind", "<i4"), ("hi", "<i4")])
@@ -54,7 +61,7 @@ _PART, _RANGE = 100_000, 200_000
 
 #: Words between ASCII white space, as they are written.
 _AS_WRITTEN = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
-_WORD = r"[^\x20\x09-\x0d]+"
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: First words of a passage that name its initial bucket.
 _WORD_GRAM = 8
 
@@ -67,6 +74,62 @@ def _words(texts: list[bytes]) -> Words:
 _SLICE = 1 << 16
 
 
+#: Bytes of a long text that are looked at together; it is cut into such pieces, which overlap by a string less one place.
+_PIECE = 1 << 18
+
+
+@dataclass
+class Piece:
+    """A part of a text: the text's index, the part's first place and byte, the place at which no string of it begins any more, and its bytes."""
+
+    text: int
+    base: int
+    at: int
+    stop: int
+    data: bytes
+
+
+def pieces(texts: list[bytes], length: int, in_words: bool = False) -> Iterator[Piece]:
+    """The texts, the long ones cut so that each string of ``length`` places begins in one piece and lies in it whole."""
+    for i, t in enumerate(texts):
+        if len(t) <= 2 * _PIECE:
+            yield Piece(i, 0, 0, 1 << 62, t)
+        elif not in_words:
+            for a in range(0, len(t) - length + 1, _PIECE):
+                yield Piece(i, a, a, a + _PIECE, t[a : a + _PIECE + length - 1])
+        else:
+            yield from _pieces_of_words(i, t, length)
+
+
+def _pieces_of_words(i: int, t: bytes, length: int) -> Iterator[Piece]:
+    at, base, size = 0, 0, _PIECE
+    while True:
+        blank = _BLANK.search(t, at + size)
+        data = t[at : blank.start()] if blank else t[at:]
+        starts = _words([data]).starts
+        if blank and len(starts) < 2 * length:
+            size *= 2  # words are long here
+            continue
+        more = len(starts) - length + 1
+        yield Piece(i, base, at, base + more if blank else 1 << 62, data)
+        if not blank:
+            return
+        at, base, size = at + int(starts[more]) if more < len(starts) else blank.start(), base + more, _PIECE
+
+
+def slices(texts: list[bytes], length: int, in_words: bool = False) -> Iterator[list[Piece]]:
+    """Pieces of about ``_SLICE`` bytes together."""
+    now, total = [], 0
+    for piece in pieces(texts, length, in_words):
+        now.append(piece)
+        total += len(piece.data)
+        if total >= _SLICE:
+            yield now
+            now, total = [], 0
+    if now:
+        yield now
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The bucket name of a string from the names of its two parts."""
     return mix(a * U(0x9E3779B97F4A7C15) + b)
@@ -256,10 +319,11 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
         for batch in batches:
             new = pa.array(_unseen(batch, seen), pa.int64())
             names, texts = batch.column(0).take(new).to_numpy(), batch.column(1).take(new).to_pylist()
-            for lo, hi in packs(texts, _SLICE):
-                text, core, reach, first, last = r.families(texts[lo:hi])
+            for group in slices(texts, length, in_words):
+                text, core, reach, first, last = r.families([x.data for x in group])
                 rows = np.zeros(len(core), _POST)
-                rows["core"], rows["reach"], rows["text"], rows["at"] = core, reach, names[lo:hi][text], first
+                rows["core"], rows["reach"], rows["text"] = core, reach, names[[x.text for x in group]][text]
+                rows["at"] = first + np.array([x.base for x in group])[text]
                 rows["hi"] = last - first
                 parts.append(rows)
                 size += len(rows)
@@ -302,15 +366,15 @@ def repeated_spans(named: DataFrame, total_bytes: int, length: int = 400, gram:
         for batch in batches:
             new = pa.array(_unseen(batch, seen), pa.int64())
             ids, texts, windows = batch.column(0).take(new).to_numpy(), batch.column(1).take(new).to_pylist(), batch.column(2).take(new).to_pylist()
-            for lo, hi in packs(texts, _SLICE):
-                ladder = Ladder(texts[lo:hi], gram, in_words)
-                places = [np.unique(np.concatenate([np.arange(w["s"], w["e"] + 1) for w in x])) for x in windows[lo:hi]]
-                text = np.repeat(np.arange(hi - lo), [len(x) for x in places])
+            for group in slices(texts, length, in_words):
+                ladder = Ladder([x.data for x in group], gram, in_words)
+                places = [np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(max(w["s"], x.base), min(w["e"] + 1, x.stop)) for w in windows[x.text])])) for x in group]
+                text = np.repeat(np.arange(len(group)), [len(x) for x in places])
                 at = np.concatenate(places)
                 rows = np.zeros(len(at), _NAME)
                 with np.errstate(over="ignore"):
-                    rows["name"] = ladder.names(at + ladder.bounds[text], length)
-                rows["text"], rows["at"] = ids[lo:hi][text], at
+                    rows["name"] = ladder.names(at - np.array([x.base for x in group])[text] + ladder.bounds[text], length)
+                rows["text"], rows["at"] = ids[[x.text for x in group]][text], at
                 parts.append(rows)
                 size += len(rows)
                 if size > _PART:
@@ -405,7 +469,7 @@ def digest(docs: DataFrame, length: int = 400, gram: int = 32, passage: int | No
     start anywhere else too, however few bytes those have; it says nothing of what is removed.
     """
     named = _named(docs.select("doc_id", "text"))
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long") if passage is not None else F.lit(0).cast("long")
+    n_words = count_words(F.col("text")) if passage is not None else F.lit(0).cast("long")
     light = durable(named.select("doc_id", "_name", F.sha2("_data", 256).alias("sha"), F.octet_length("_data").cast("long").alias("n_bytes"), n_words.alias("n_words")))
     whole, spans = _found(light, named, length, gram, passage)
     of_bytes = durable(spans.withColumn("_spans", F.filter("_spans", lambda x: ~x["in_words"])).where(F.size("_spans") > 0))
@@ -444,8 +508,16 @@ def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict]:
     passages = [x for x in spans or [] if x["in_words"]]
     if not passages:
         return spans or []
-    w = _words([data])
-    found = [{"s": int(w.starts[s]), "e": int(w.ends[e - 1])} for s, e in merged(passages, len(w.starts))]
+    # The places of the first words and of the ends of passages, piece by piece.
+    wanted = sorted({x["s"] for x in passages} | {x["e"] - 1 for x in passages})
+    begin, end, n = {}, {}, 0
+    for piece in pieces([data], 1, in_words=True):
+        w = _words([piece.data])
+        stop = min(piece.stop, piece.base + len(w.starts))
+        while n < len(wanted) and wanted[n] < stop:
+            k = wanted[n] - piece.base
+            begin[wanted[n]], end[wanted[n]], n = piece.at + int(w.starts[k]), piece.at + int(w.ends[k]), n + 1
+    found = [{"s": begin[x["s"]], "e": end[x["e"] - 1]} for x in passages]
     return [x for x in spans if not x["in_words"]] + found
 
 
@@ -464,7 +536,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, passage:
     named = _named(docs)
     size = F.octet_length("_data").cast("long")
     # Only texts that are too short as bytes are asked for their words.
-    n_words = F.when(size < length, F.regexp_count("text", F.lit(_WORD))).otherwise(F.lit(0)) if passage is not None else F.lit(0)
+    n_words = F.when(size < length, count_words(F.col("text"))).otherwise(F.lit(0)) if passage is not None else F.lit(0)
     light = durable(named.select("_name", F.sha2("_data", 256).alias("sha"), size.alias("n_bytes"), n_words.alias("n_words")))
     whole, spans = _found(light, named, length, gram, passage)
     every = durable(spans.unionAll(whole.select("_name", F.expr("array(named_struct('s', 0L, 'e', 1099511627776L, 'in_words', false))"))))
