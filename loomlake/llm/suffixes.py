@@ -505,11 +505,11 @@ def digest(docs: DataFrame, length: int = 400, gram: int = 32, passage: int | No
 
 def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict]:
     """Spans of bytes, from those of bytes and of words; the blanks between words of a span go with them."""
-    passages = [x for x in spans or [] if x["in_words"]]
+    passages = merged([x for x in spans or [] if x["in_words"]], 1 << 62)
     if not passages:
         return spans or []
     # The places of the first words and of the ends of passages, piece by piece.
-    wanted = sorted({x["s"] for x in passages} | {x["e"] - 1 for x in passages})
+    wanted = sorted({s for s, _ in passages} | {e - 1 for _, e in passages})
     begin, end, n = {}, {}, 0
     for piece in pieces([data], 1, in_words=True):
         w = _words([piece.data])
@@ -517,7 +517,7 @@ def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict]:
         while n < len(wanted) and wanted[n] < stop:
             k = wanted[n] - piece.base
             begin[wanted[n]], end[wanted[n]], n = piece.at + int(w.starts[k]), piece.at + int(w.ends[k]), n + 1
-    found = [{"s": begin[x["s"]], "e": end[x["e"] - 1]} for x in passages]
+    found = [{"s": begin[s], "e": end[e - 1]} for s, e in passages]
     return [x for x in spans if not x["in_words"]] + found
 
 
