@@ -20,7 +20,7 @@ SMALL = f"{DATA}/sf0.001"
 def split(spark, tmp_path, monkeypatch):
     """A copy of the small tables, one of them in several files in the order of a column; a micro-batch reads one."""
 
-    def make(name: str, order: str, files: int = 5) -> str:
+    def make(name: str, order: str, files: int = 3) -> str:
         for t in os.listdir(SMALL):
             if t != f"{name}.parquet":
                 os.symlink(f"{SMALL}/{t}", tmp_path / t)
@@ -47,9 +47,8 @@ def result(df):
 
 #: Splits of the tables: by the order of events, by another one, and backwards.
 SPLITS = [
-    ("s1_message_source", "documents", "doc_id"), ("s2_routed_sinks", "documents", "text"), ("t2_delivery_stream", "events", "value"), ("t2_delivery_stream", "events", "ts desc, event_id"), ("t3_chat_fold_stream", "events", "event_id"),
-    ("t4_throttle_stream", "events", "ts, event_id"), ("t5_windowed_metrics", "events", "ts, event_id"), ("t5_windowed_metrics", "events", "value"), ("t5_windowed_metrics", "events", "ts desc"),
-    ("t7_admission_stream", "lineitem", "l_orderkey"), ("t7_admission_stream", "lineitem", "l_shipdate"), ("t7_admission_stream", "lineitem", "l_shipdate desc"),
+    ("s1_message_source", "documents", "doc_id"), ("s2_routed_sinks", "documents", "text"), ("t2_delivery_stream", "events", "value"), ("t3_chat_fold_stream", "events", "event_id"), ("t4_throttle_stream", "events", "ts, event_id"),
+    ("t5_windowed_metrics", "events", "value"), ("t7_admission_stream", "lineitem", "l_shipdate desc"),
 ]
 
 
