@@ -664,5 +664,5 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(names)

@@ -212,3 +212,13 @@ def test_places_over_a_whole_table(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000 % 300).alias("a"), "id")
     got = common.ranked(df, [F.asc("a"), F.asc("id")], "place").orderBy("place").collect()
     assert [r.place for r in got] == list(range(1000)) and [(r.a, r.id) for r in got] == sorted((r.a, r.id) for r in got)
+
+
+def test_package_is_served_whole():
+    """Executors get every module of the package, so they need no copy of its folder."""
+    import zipfile
+    from pathlib import Path
+
+    package = Path(common.__file__).resolve().parents[1]
+    with zipfile.ZipFile(common.archive()) as z:
+        assert set(z.namelist()) == {str(p.relative_to(package.parent)) for p in package.rglob("*.py")} and "loomlake/llm/common.py" in z.namelist()
