@@ -5,7 +5,7 @@ taken as often as the ratio's whole part says; the rest is a chance of one more
 chances: words of chance move at random from one to the other, as many as leave both within 0 and 1, so that one of
 them is settled; chances stay right on average, and the words of the source stay what they were.  Pairing goes on in a
 reduction tree: groups of some hundred documents each leave one open chance, these form the next level's
-groups, and the last one of a source is drawn.  So a source misses its target by less than one document.
+groups, and the last one of a source goes to the nearer side.  So a source misses its target by half a document at most.
 """
 
 from __future__ import annotations
@@ -110,8 +110,8 @@ def settle(pool: DataFrame, most_leaves: int, fan: int = FAN) -> DataFrame:
             break
         # A source that had one group has one open document left, which waits for the others.
         most_leaves, level = -(-most_leaves // fan), level + 1
-    drawn = chance("last", F.col("doc_id"), F.col("size")) < F.col("open") * F.lit(float(1 << 52))
-    last = pool.withColumn("open", F.when(drawn, 1.0).otherwise(0.0)).select("_source", *_ITEM)
+    # The last one of a source has no partner: it goes where the source's words come nearer to the target.
+    last = pool.withColumn("open", F.when(F.col("open") >= 0.5, 1.0).otherwise(0.0)).select("_source", *_ITEM)
     for more in settled:
         last = last.unionAll(more)
     return last
@@ -167,5 +167,5 @@ ORACLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract
     r AS (SELECT d.doc_id, d.size, t.s, t.source_size, t.target, greatest(CAST(ceil(t.items / {FAN}.0) AS BIGINT), 1) AS leaves, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
     o0 AS (SELECT s, leaves, doc_id, size, CAST(floor(ratio) AS BIGINT) AS base, ratio - floor(ratio) AS q FROM r WHERE size > 0 AND ratio > floor(ratio)){"".join(_level(k) for k in range(3))},
     u AS (SELECT d AS doc_id, d_up AS up FROM f0 WHERE d IS NOT NULL UNION ALL SELECT d, d_up FROM f1 WHERE d IS NOT NULL UNION ALL SELECT d, d_up FROM f2 WHERE d IS NOT NULL
-      UNION ALL SELECT doc_id, CASE WHEN ('0x' || substr(md5('last|' || doc_id || '|' || size), 1, 13))::BIGINT < q * 4503599627370496.0::DOUBLE THEN 1 ELSE 0 END FROM o3)
+      UNION ALL SELECT doc_id, CASE WHEN q >= 0.5 THEN 1 ELSE 0 END FROM o3)
     SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (floor(r.ratio) + coalesce(u.up, 0)) AS BIGINT) AS taken FROM r LEFT JOIN u ON u.doc_id = r.doc_id"""
