@@ -222,6 +222,57 @@ def test_top_k_of_repeated_rows(spark):
     assert got == [(1, 1, 2, 65536), (2, 1, 1, 327680), (2, 2, 1, 65536)]
 
 
+def clusters(n: int, per: int, dim: int, seed: int) -> list[tuple[int, list[float]]]:
+    """n tight groups of vectors of about one length, in directions of their own."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(n, dim))
+    middle *= 4 / np.linalg.norm(middle, axis=1)[:, None]
+    points = (middle[:, None, :] + rng.normal(size=(n, per, dim)) * 0.02).reshape(-1, dim)
+    return [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+
+
+def test_top_k_looks_at_near_cells_only(spark):
+    """Blocks meet the shards of cells that can reach their scores, on one and on two levels of cells, not all blocks all shards.
+
+    Blocks are about as large as a group's queries; one over several groups has a wide ball and passes over less.
+    """
+    df = spark.createDataFrame(clusters(40, 60, 16, 5), "vec_id long, embedding array<float>")
+    v = balltree.quantised(df).repartition(4).cache()
+    exact = {r.vec_id: r.v for r in v.collect()}
+    want = brute_top(list(exact), exact, [i for i in exact if i % 6 == 0], 5)
+    for how in ({"most_cells": 64}, {"most_cells": 8}):  # the latter: cells of several groups, with centres of their own
+        counts: dict[str, int] = {}
+        got = balltree.top_k(v, v.where("vec_id % 6 = 0"), 5, shard_rows=40, block_rows=8, leaf=8, counts=counts, **how)
+        assert {tuple(r) for r in got.collect()} == want
+        assert counts["shards"] > 30 and counts["blocks"] > 20
+        every = counts["blocks"] * counts["shards"]
+        assert counts["block_cell_pairs"] <= counts["blocks"] * counts["cells"]
+        assert counts["block_shard_pairs"] < every / 3 and counts["searched"] < every / 3
+
+
+def test_shards_that_blocks_reach(spark):
+    """Both levels of bounds against all pairs, with cells sent to all tasks and dealt."""
+    rng = np.random.default_rng(2)
+    at = lambda n: [[float(x) for x in v] for v in rng.normal(size=(n, 4)) * 10]
+    middles = at(6)
+    shards = [(4, j % 6, 100 + j, c, 0.5, middles[j % 6], float(np.linalg.norm(np.array(c) - middles[j % 6])) + 0.5) for j, c in enumerate(at(60))]
+    blocks = [(4, i, c, 0.3, None if i == 0 else int(40 * (i % 7))) for i, c in enumerate(at(20))] + [(5, 99, [1.0] * 5, 0.0, None)]
+    s = spark.createDataFrame(shards, "dim int, cell int, shard long, c array<double>, r double, middle array<double>, far double")
+    b = spark.createDataFrame(blocks, "dim int, block long, qc array<double>, qr double, least long")
+    norm = lambda x: float(np.linalg.norm(x))
+    want = {(i, j) for _, i, qc, qr, least in blocks[:-1] for _, _, j, c, r, _, _ in shards if least is None or np.dot(qc, c) + norm(qc) * r + norm(c) * qr + qr * r >= least}
+    before = balltree._BROADCAST_NUMBERS, balltree._SHARDS_A_KEY
+    try:
+        for limits in (before, (0, 3)):
+            balltree._BROADCAST_NUMBERS, balltree._SHARDS_A_KEY = limits
+            cells = balltree.cell_balls(s)
+            got = balltree.near_shards(balltree.near_cells(b, cells, 3), s, cells).collect()
+            assert len(got) == len(want) and {(r.block, r.shard) for r in got} == want
+    finally:
+        balltree._BROADCAST_NUMBERS, balltree._SHARDS_A_KEY = before
+    assert 20 < len(want) < 1000
+
+
 def test_top_k_query_against_brute_force(spark):
     """The registered query over the whole small table."""
     got = {tuple(r) for r in queries.op6_exact_top_k(spark, f"{DATA}/sf0.001").select("query_id", "rank", "vec_id", "score").collect()}
