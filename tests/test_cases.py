@@ -339,3 +339,15 @@ def test_sketches_of_any_grouping(spark):
 def test_messages(spark):
     lines = values(spark, [('{"type":"a","document_id":"1"}',), ("{broken",), ("",), ('{"type":5}',)], "value string")
     assert [r.ok for r in messages(lines).collect()][:2] == [True, False]
+
+
+def test_numbers_of_lists_without_sorting_pairs(spark):
+    """Collections are numbered once; a parent with two collections at one place is numbered pair by pair."""
+    links = values(spark, [(1, 0, 7), (1, 1, 8), (1, 2, 99), (2, 5, 8), (2, 6, 7), (3, 0, 7), (3, 0, 8), (4, 0, 7), (4, 1, 7)], "a int, p int, c int")
+    docs = values(spark, [(7, 3), (7, 1), (8, 2), (8, 4), (9, 5)], "c int, d int")
+    got = retrieval.numbered_of_lists(links, docs, "a", "p", "c", ["d"])
+    want = retrieval.numbered(links.join(docs, "c"), ["a"], ["p", "d"])
+    key = lambda df: sorted(map(tuple, df.select("a", "p", "c", "d", "n").collect()))
+    assert key(got) == key(want) and len(key(got)) == 16 and dict(got.dtypes)["n"] == "int"
+    before = got.where("a = 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_before" in before
