@@ -78,7 +78,12 @@ def upload_gate(batches: DataFrame, files: DataFrame, batch: str, content: str,
 
     One bad file refuses its whole batch; a null content is empty.  ``batches`` may name batches without files.
     """
-    size = F.coalesce(F.octet_length(content), F.lit(0))
+    return sized_gate(batches, files, batch, F.octet_length(content), most_bytes)
+
+
+def sized_gate(batches: DataFrame, files: DataFrame, batch: str, size: Column, most_bytes: int = 50 << 20) -> DataFrame:
+    """``upload_gate`` of files by their sizes in bytes, where these are known already."""
+    size = F.coalesce(size, F.lit(0))
     held = files.groupBy(batch).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.bool_or(size == 0).alias("_empty"))
     n = F.coalesce("files", F.lit(0).cast("long"))
     verdict = F.when(n == 0, "no files").when(F.col("_empty"), "empty file").when(F.col("total") > most_bytes, "too large").otherwise("ok")

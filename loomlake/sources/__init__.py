@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +31,26 @@ def messages(lines: DataFrame, column: str = "value") -> DataFrame:
 def uploads(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """Files in a folder and those below it, with names of a pattern, as (path, length, content); listed by the cluster where there are many."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path).select("path", "length", "content")
+
+
+def write_files(rows: DataFrame, at: str) -> int:
+    """Writes a file for each row (name, content) into a folder that exists for driver and executors, and returns their number.
+
+    Tasks write through Arrow's file systems (local, HDFS, S3, GCS), as Spark's writers rename and chmod every single file, which takes many times as long.
+    ``name`` may begin with folders; a task that is run again writes the same files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(at)
+        made = set()
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                folder = f"{root}/{name}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("name", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

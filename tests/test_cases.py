@@ -351,3 +351,15 @@ def test_numbers_of_lists_without_sorting_pairs(spark):
     assert key(got) == key(want) and len(key(got)) == 16 and dict(got.dtypes)["n"] == "int"
     before = got.where("a = 1")._jdf.queryExecution().optimizedPlan().toString()
     assert "_before" in before
+
+
+def test_files_are_written_in_tasks(spark, tmp_path):
+    from loomlake.sources import uploads, write_files
+
+    rows = values(spark, [("a=1/b=2.txt", "x\ny"), ("a=1/b=3.txt", ""), ("a=-2/b=4.txt", None), ("a=-2/b=5.txt", "é")], "name string, content string")
+    for at in (f"{tmp_path}/plain", f"file://{tmp_path}/named"):
+        assert write_files(rows, at) == 4 and write_files(rows, at) == 4
+        got = uploads(spark, at, "*.txt").collect()
+        assert sorted((r.path.split("/a=")[1], r.length, bytes(r.content)) for r in got) == [("-2/b=5.txt", 2, "é".encode()), ("1/b=2.txt", 3, b"x\ny")]  # the reader passes over empty ones
+        assert {f.name: f.stat().st_size for f in tmp_path.rglob("b=*.txt") if at.endswith(f.parts[-3])} == {"b=2.txt": 3, "b=3.txt": 0, "b=4.txt": 0, "b=5.txt": 2}
+    assert write_files(rows.limit(0), f"{tmp_path}/none") == 0
