@@ -363,3 +363,12 @@ def test_files_are_written_in_tasks(spark, tmp_path):
         assert sorted((r.path.split("/a=")[1], r.length, bytes(r.content)) for r in got) == [("-2/b=5.txt", 2, "é".encode()), ("1/b=2.txt", 3, b"x\ny")]  # the reader passes over empty ones
         assert {f.name: f.stat().st_size for f in tmp_path.rglob("b=*.txt") if at.endswith(f.parts[-3])} == {"b=2.txt": 3, "b=3.txt": 0, "b=4.txt": 0, "b=5.txt": 2}
     assert write_files(rows.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_chunks_take_no_pattern_to_trim(spark):
+    """A pattern looked at every character of every window, behind it too, and a text was trimmed for each use."""
+    spaces = "\t\n\x0b\f\r \x85\xa0        　"
+    df = values(spark, [(spaces + "a 　b" + spaces,), (spaces,), (None,), ("​x",)], "t string")
+    assert [r.t for r in df.select(tx.trimmed(F.col("t")).alias("t")).collect()] == ["a 　b", "", None, "​x"]
+    plan = df.select(tx.chunks(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("trim(t#") == 1
