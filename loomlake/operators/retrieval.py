@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,8 @@ CONTEXT = "These passages were found for the question. Rely on them where they h
 
 #: Results that a query may ask for.
 MOST_RESULTS = 50
+#: Vectors of a block that one task holds, about, and scores that it computes at a time.
+BLOCK, SCORES = 8192, 1 << 22
 
 
 def chunk_table(documents: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -125,20 +129,86 @@ def unit(vector: Column) -> Column:
 
 
 def top_k(queries: DataFrame, items: DataFrame, tenant: list[str], k: int | str = 5, key: str = "id", digits: int = 6) -> DataFrame:
-    """The nearest items of the same tenant by cosine: query_id, the item's key, score = (1 + cos) / 2, rank.
+    """The nearest items of the same tenant by cosine: the queries' columns, the item's key, score = (1 + cos) / 2, rank.
 
-    Both sides are made unit vectors once and meet by the tenant's key; the window keeps k for each query in
-    every task before the shuffle.  ``k`` may be a column of the queries, up to ``MOST_RESULTS``.  Ties in the rounded score go to the
-    smaller key; zero vectors take no part.
+    Both sides are dealt into blocks of about ``BLOCK`` rows of a tenant; every block of queries meets every
+    block of items, as a product of two matrices, and only a query's best go on.  ``k`` may be a column of the queries, up to
+    ``MOST_RESULTS``.  Ties in the rounded score go to the smaller key; zero vectors take no part, and vectors of different length don't meet.
     """
-    q = queries.withColumn("_q", unit(F.col("embedding"))).where("_q is not null").drop("embedding")
-    x = items.withColumn("_x", unit(F.col("embedding"))).where("_x is not null").select(*tenant, key, "_x")
-    scored = q.join(x, tenant).withColumn("score", F.round((F.lit(1.0) + dot(F.col("_q"), F.col("_x"))) / 2, digits)).drop("_q", "_x")
+    # No condition on the vectors stands here: it would be pushed below an embedder, and every text be embedded once more for it.
+    q = queries.withColumnRenamed("embedding", "_q")
+    x = items.select(*tenant, key, F.col("embedding").alias("_x"))
+    # Rows are counted without their vectors.
+    blocks = lambda rows, name: rows.groupBy(*tenant).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    dealt = blocks(queries, "_queries").join(blocks(items, "_items"), tenant)
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = q.join(dealt, tenant).withColumn("_a", place("query_id", "_queries")).withColumn("_b", each("_items")).drop("_queries", "_items")
+    held = x.join(dealt, tenant).withColumn("_b", place(key, "_items")).withColumn("_a", each("_queries")).drop("_queries", "_items")
+    kept = [c for c in q.columns if c != "_q"]
+    schema = StructType([q.schema[c] for c in kept]).add(key, x.schema[key].dataType).add("_dot", DoubleType())
+    meet = block_best(kept, key, MOST_RESULTS if isinstance(k, str) else k, digits)
+    pair = [*tenant, "_a", "_b"]
+    # Queries and items may come of one table: new columns can't be mistaken for it.
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])
+    best = asked.groupBy(*pair).cogroup(held.groupBy(*pair)).applyInArrow(meet, schema)
+    scored = best.withColumn("score", F.round((F.lit(1.0) + F.col("_dot")) / 2, digits)).drop("_dot")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     # A constant bound lets every task keep that many rows of a query before the shuffle.
     return ranked.where((F.col("rank") <= MOST_RESULTS) & (F.col("rank") <= F.col(k))) if isinstance(k, str) else ranked.where(F.col("rank") <= k)
 
 
+def block_best(kept: list[str], key: str, k: int, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of queries (``kept``, ``_q``) and one of items (key, ``_x``): whatever may be among a query's first ``k`` by rounded score and key."""
+
+    def vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Rows and matrix of the unit vectors of each length; null and zero vectors, and those that hold a null, are left out."""
+        flat = column.combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False)
+        out = {}
+        for d in np.unique(lengths[lengths > 0]):
+            rows = np.flatnonzero(lengths == d)
+            entries = flat.take(pa.array(rows)).flatten()
+            whole = ~np.asarray(entries.is_null()).reshape(-1, d).any(axis=1)
+            matrix = entries.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+            norm = np.sqrt((matrix * matrix).sum(axis=1))
+            good = whole & (norm != 0)
+            if good.any():
+                out[int(d)] = rows[good], matrix[good] / norm[good, None]
+        return out
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, held = [], []
+        dots = [np.empty(0)]
+        if left.num_rows and right.num_rows and k > 0:
+            # Items in the order of their keys, so that of equal ones the first come first.
+            right = right.take(pc.sort_indices(right, sort_keys=[(key, "ascending")]))
+            x = vectors(right.column("_x"))
+            for d, (rows, q) in vectors(left.column("_q")).items():
+                if d in x:
+                    places, matrix = x[d]
+                    step = max(1, SCORES // len(places))
+                    for start in range(0, len(rows), step):
+                        for row, dot in zip(rows[start : start + step], q[start : start + step] @ matrix.T):
+                            size = np.where(np.isnan(dot), np.inf, dot)
+                            # All that the rounding of (1 + dot) / 2 may put level with the k-th one.
+                            least = np.partition(size, len(size) - k)[len(size) - k] - 4 * 10.0**-digits if len(size) > k else -np.inf
+                            at = np.flatnonzero(size >= least)
+                            at = at[np.argsort(-size[at], kind="stable")]
+                            # Of copies of one vector only the first k.
+                            fresh = np.append(True, size[at][1:] != size[at][:-1])
+                            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                            at = at[nth < k]
+                            asked.append(np.full(len(at), row))
+                            held.append(places[at])
+                            dots.append(dot[at])
+        a, h = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (asked, held))
+        columns = [*left.select(kept).take(pa.array(a, pa.int64())).columns, right.column(key).take(pa.array(h, pa.int64())), pa.array(np.concatenate(dots))]
+        return pa.table(columns, names=[*kept, key, "_dot"])
+
+    return meet
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Adds ``n``, from 1 within each group."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

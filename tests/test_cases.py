@@ -372,3 +372,26 @@ def test_chunks_take_no_pattern_to_trim(spark):
     assert [r.t for r in df.select(tx.trimmed(F.col("t")).alias("t")).collect()] == ["a 　b", "", None, "​x"]
     plan = df.select(tx.chunks(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan and plan.count("trim(t#") == 1
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Blocks of three rows, copies, a row of another length, nulls: the same as by brute force, and no row for each pair."""
+    import random
+
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    draw = random.Random(1)
+    rows = [(i, i % 2, [float(draw.randint(-3, 3)) for _ in range(4)] if i % 5 else [1.0, 2.0, 0.0, 1.0]) for i in range(60)]
+    odd = [(100, 0, [1.0]), (101, 0, None), (102, 1, [None, 1.0, 1.0, 1.0]), (103, None, [1.0, 2.0, 0.0, 1.0])]
+    items = values(spark, rows + odd, "id int, t int, embedding array<float>")
+    queries = items.where("id % 4 < 2 and id < 60").selectExpr("id as query_id", "t", "embedding", "id % 7 as k")
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] if any(v) else None for i, _, v in rows}
+    score = lambda a, b: round((1 + sum(x * y for x, y in zip(unit[a], unit[b]))) / 2, 6)
+    for k in (5, "k"):
+        want = {}
+        for q, t, _ in rows:
+            if q % 4 < 2 and unit[q]:
+                near = sorted((-score(q, i), i) for i, u, _ in rows if u == t and unit[i])
+                want |= {(q, n + 1): i for n, (_, i) in enumerate(near[: k if k == 5 else q % 7])}
+        got = retrieval.top_k(queries, items, ["t"], k)
+        assert {(r.query_id, r["rank"]): r.id for r in got.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
