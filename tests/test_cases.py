@@ -395,3 +395,15 @@ def test_top_k_in_blocks(spark, monkeypatch):
         got = retrieval.top_k(queries, items, ["t"], k)
         assert {(r.query_id, r["rank"]): r.id for r in got.collect()} == want
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_dealt_out(spark, monkeypatch):
+    """Rows of a key were in one task with a copy of its text each; keys without a text stay."""
+    monkeypatch.setattr(retrieval, "SHARE_BYTES", 40)
+    rows = values(spark, [(i, i % 3) for i in range(90)], "q int, k int")
+    texts = values(spark, [(0, "x" * 10), (1, "y" * 100), (5, "z")], "k int, t string")
+    sizes = values(spark, [(0, 30, 10), (1, 30, 100), (5, 1, 1)], "k int, n long, bytes long")
+    got = retrieval.with_long_text(rows, texts, sizes, "k", "q")
+    assert sorted((r.q, r.k, r.t) for r in got.collect()) == [(i, i % 3, {0: "x" * 10, 1: "y" * 100}.get(i % 3)) for i in range(90)]
+    held = got.where("t is not null").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) > 20 and max(r["count"] for r in held) <= 20  # 8 shares of four rows and 30 of one
