@@ -8,9 +8,9 @@ class from the start; a class is known by a digest of its set.
    frequent list is bounded because it is broadcast, and shingles beyond it merely sort as ordinary.
    Blocks are many times the partitions, so that they spread evenly whatever the corpus.
 2. Candidates share a shingle of their prefixes in that order (a linked pair must).  Length, position and
-   a parity signature (differing bits never exceed differing shingles) drop pairs that can't link.  Linked
-   sets of two or more share even two shingles of prefixes that are longer by one, the first of them in the plain
-   prefixes; a shingle with many members is split by that second one wherever that makes fewer rows.
+   a parity signature (differing bits never exceed differing shingles) drop pairs that can't link.  The members
+   of a shingle with many of them are dealt into blocks, and every two blocks meet in a task, which gives
+   out only pairs that pass: rows are blocks and candidates, never all pairs of a group.
 3. Verification cuts that order at pivots into fragments: the ordinary shingles into equal hash ranges, and
    the frequent ones, which are its end, into the last.  Each candidate pair's overlap is counted for each
    fragment apart and summed for each pair; whole sets never meet in one row.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bit_set, durable, packs, tidy, utf8
+from loomlake.llm.common import MOST_BROADCAST, bit_set, durable, packs, tidy, utf8
 from loomlake.llm.words import SPACED, U, grams, mix, words
 
 _SIGN = 512  # bits of a parity signature
@@ -41,6 +41,8 @@ _SIGN = 512  # bits of a parity signature
 _PART = 500_000
 #: Entries of a block, on average; a corpus has 2**9 blocks or more.
 _BLOCK, _LEAST_BITS = 200_000, 9
+#: Members of a shingle whose pairs Spark joins as rows, and of a block where there are more.
+_FEW, _MEMBERS = 32, 1024
 
 
 def sets(texts: list[bytes | None], k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,13 +64,24 @@ def digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))]))[0].astype(np.int64))
 
 
-def counted(s: np.ndarray, bits: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often each shingle occurs if it is on the frequent list (sorted keys), else 0."""
-    if not len(keys):
-        return np.zeros(len(s), np.int64)
-    short = s >> U(32 - bits)
-    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-    return np.where(keys[at] == short, counts[at], 0)
+class Frequent:
+    """The frequent list: sorted keys, which are a hash's upper 32 + ``bits`` bits, and their counts."""
+
+    def __init__(self, bits: int, keys: np.ndarray, counts: np.ndarray):
+        self.drop, self.keys, self.counts = U(32 - bits), keys, counts
+        # Most shingles aren't on the list; a look at one place tells so without a search.
+        self.mask = U((1 << max(10, min(23, (8 * len(keys)).bit_length()))) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[keys & self.mask] = True
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        """How often each shingle occurs if it is on the list, else 0."""
+        short, out = s >> self.drop, np.zeros(len(s), np.int64)
+        ask = np.flatnonzero(self.maybe[short & self.mask])
+        if len(ask):
+            at = np.minimum(np.searchsorted(self.keys, short[ask]), len(self.keys) - 1)
+            out[ask] = np.where(self.keys[at] == short[ask], self.counts[at], 0)
+        return out
 
 
 def least_overlap(n: Column, t: int) -> Column:
@@ -156,7 +169,7 @@ class Join:
         return bits, rows["key"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
 
     def postings(self) -> DataFrame:
-        """(shingle, node, n, pos) of prefixes longer by one, of shingles that several nodes have there."""
+        """(shingle, node, n, pos) of prefixes, of shingles that several nodes have there."""
         k, t, bits, shared = self.k, self.t, self.bits, self.order
         deal = max(_LEAST_BITS, ceil(log(self.total * (100 - t) / 100 / _BLOCK + 1, 2)))
         kind = np.dtype([("s", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -170,16 +183,18 @@ class Join:
             return _batches([(int(bucket[a]), rows[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])], schema)
 
         def prefixes(batches):
-            keys, counts = shared.value
+            frequent = Frequent(bits, *shared.value)
             seen, parts, buckets, size, turn = set(), [], [], 0, 0
             for batch in batches:
                 for _, s in sets(utf8(batch.column(0)), k):
                     if (name := digest(s)) in seen:
                         continue
                     seen.add(name)
-                    n, often = len(s), counted(s, bits, keys, counts)
-                    pl = min(n, n - (t * n + 99) // 100 + 2)  # the prefix, and one more
-                    order = np.argsort(often, kind="stable")[:pl]  # s is sorted by hash
+                    n, often = len(s), frequent.count(s)
+                    pl = n - (t * n + 99) // 100 + 1
+                    order = np.flatnonzero(often == 0)[:pl]  # s is sorted by hash
+                    if len(order) < pl:
+                        order = np.argsort(often, kind="stable")[:pl]
                     rows = np.zeros(pl, kind)
                     rows["s"], rows["node"], rows["n"], rows["pos"] = s[order], name, n, np.arange(pl)
                     turn = turn % (1 << deal) + 1
@@ -206,10 +221,6 @@ class Join:
         rows = self.docs.select("text").mapInArrow(tidy(prefixes), "bucket long, rows binary").groupBy("bucket").applyInPandas(several, "shingle long, node long, n int, pos int")
         return durable(rows.distinct())
 
-    def in_prefix(self) -> Column:
-        """Whether a posting is in its set's plain prefix."""
-        return F.col("pos") < F.col("n") - F.ceil(F.lit(self.t) * F.col("n") / F.lit(100)) + 1
-
     def could_link(self, a: str, b: str, place: bool = True) -> Column:
         """Length and, for a shared prefix shingle, position."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -222,27 +233,32 @@ class Join:
 
     def segments(self, nodes: DataFrame) -> DataFrame:
         """(node, fragment, set members of that fragment) of the nodes, perhaps of some others, perhaps twice."""
-        wanted = bit_set(nodes.join(self.classes.select("node", "rep"), "node"), "rep")
-        place, wanted = wanted.place("doc_id"), self.context.broadcast(wanted)
+        reps = nodes.join(self.classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
+        docs, few = self.docs.where("doc_id is not null"), nodes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        if few:  # the other texts don't go to Python
+            docs, wanted = docs.join(F.broadcast(reps), "doc_id", "left_semi").select("text", F.lit(0).alias("place")), None
+        else:
+            wanted = bit_set(reps, "doc_id")
+            docs, wanted = docs.select("text", wanted.place("doc_id").alias("place")), self.context.broadcast(wanted)
         k, bits, last, shared = self.k, self.bits, self.fragments - 1, self.order
         schema = pa.schema([("node", pa.int64()), ("fragment", pa.int64()), ("members", pa.binary())])
 
         def run(batches):
-            seen, (keys, counts) = set(), shared.value
+            seen, frequent = set(), Frequent(bits, *shared.value)
             for batch in batches:
-                take = np.flatnonzero(wanted.value.has(batch.column(1)))
-                rows = []
-                for _, s in sets(utf8(batch.column(0).take(pa.array(take))), k):
+                texts, rows = batch.column(0), []
+                if wanted is not None:
+                    texts = texts.take(pa.array(np.flatnonzero(wanted.value.has(batch.column(1)))))
+                for _, s in sets(utf8(texts), k):
                     if (name := digest(s)) in seen:
                         continue
                     seen.add(name)
                     # Pivots: equal hash ranges of the ordinary shingles, then the frequent ones.
-                    part = np.where(counted(s, bits, keys, counts) > 0, last, ((s >> U(32)) * U(last) >> U(32)).astype(np.int64))
+                    part = np.where(frequent.count(s) > 0, last, ((s >> U(32)) * U(last) >> U(32)).astype(np.int64))
                     for f in np.unique(part).tolist():
                         rows.append((name, f, s[part == f].tobytes()))
                 yield _batches(rows, schema)
 
-        docs = self.docs.where("doc_id is not null").select("text", place.alias("place"))
         return docs.mapInArrow(tidy(run), "node long, fragment long, members binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -266,7 +282,7 @@ class Join:
         """Pairs of nodes that link, enough of them to give the components of all links."""
         posts = self.postings()
         band = F.floor(F.log(F.col("n")) / F.lit(log(100 / self.t)))
-        banded = posts.where(self.in_prefix()).withColumn("band", band)
+        banded = posts.withColumn("band", band)
         # Round 1: everyone with one of its shingle and length band, that with the fewest rarer shingles,
         # which is nearest to what the group has in common.
         heads = durable(banded.groupBy("shingle", "band").agg(F.min(F.struct("pos", "node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").select("shingle", "band", "head.*"))
@@ -283,25 +299,51 @@ class Join:
         posts = durable(posts.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = posts.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
         posts = durable(posts.join(mixed, "shingle", "left_semi").join(self.classes.select("node", "sign"), "node"))
-        # Rows that a shingle makes: pairs of its members, or else its members' other shingles.
-        plain = posts.where(self.in_prefix())
-        of_node = posts.groupBy("node").agg(F.count("*").alias("others"))
-        cost = plain.select("shingle", "node").join(of_node, "node").groupBy("shingle").agg(F.count("*").alias("m"), F.sum("others").alias("others"))
-        split = durable(cost.where((F.col("m") * F.col("m") / 2 > F.col("others")) & F.lit(self.t > 50)).select("shingle"))
-
-        def pairs(rows: DataFrame, key: list[str]) -> DataFrame:
-            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key]
-            apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-            on = apart & self.could_link("x", "y") & self.signs_allow("x.sign", "y.sign", F.col("x.n"), F.col("y.n"))
-            for c in same:
-                on = c & on
-            return rows.alias("x").join(rows.alias("y"), on).select(*self.ends("x", "y"))
-
-        later = posts.select("node", F.col("shingle").alias("then"), F.col("pos").alias("at"))
-        deep = plain.join(split, "shingle", "left_semi").join(later, "node").where("at > pos").drop("at")
-        both = deep.groupBy("shingle", "then").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "then")
-        deep = deep.join(both, ["shingle", "then"], "left_semi")
-        return pairs(plain.join(split, "shingle", "left_anti"), ["shingle"]).unionAll(pairs(deep, ["shingle", "then"])).distinct()
+        size = posts.groupBy("shingle").agg(F.count("*").alias("m"))
+        few = posts.join(size.where(F.col("m") <= _FEW), "shingle", "left_semi")
+        apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+        on = apart & self.could_link("x", "y") & self.signs_allow("x.sign", "y.sign", F.col("x.n"), F.col("y.n"))
+        pairs = few.alias("x").join(few.alias("y"), on).select(*self.ends("x", "y"))
+        return pairs.unionAll(self.in_blocks(posts.join(size.where(F.col("m") > _FEW), "shingle"))).distinct()
+
+    def in_blocks(self, posts: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b, na, nb) of members of a shingle in different components; ``posts`` have m, its members."""
+        t = self.t
+        posts = posts.withColumn("blocks", F.ceil(F.col("m") / _MEMBERS)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        blocks = durable(posts.groupBy("shingle", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n", "pos", "sign")).alias("rows")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        place = ["shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+        met = blocks.withColumn("other", every).select(*place, "block", "rows")
+        left, right = met.where("block = i").select("shingle", "i", "j", F.col("rows").alias("x")), met.where("block = j").select("shingle", "i", "j", F.col("rows").alias("y"))
+        schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb")])
+
+        def members(column: pa.ListArray, r: int) -> list[np.ndarray]:
+            rows = column[r].values
+            node, component, n, pos = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "component", "n", "pos"))
+            return [node, component, n, pos, rows.field("sign").flatten().to_numpy(zero_copy_only=False).view(U).reshape(len(node), -1)]
+
+        def meet(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    x, y = members(batch.column(1), r), members(batch.column(2), r)
+                    found = [np.zeros((0, 4), np.int64)]
+                    for lo in range(0, len(x[0]), 128):
+                        node, component, n, pos, sign = (c[lo : lo + 128, None] for c in x)
+                        # As in could_link and signs_allow.
+                        least = -(-t * (n + y[2]) // (100 + t))
+                        ok = (component != y[1]) & (100 * np.minimum(n, y[2]) >= t * np.maximum(n, y[2])) & (np.minimum(n - pos, y[2] - y[3]) >= least)
+                        if batch.column(0)[r].as_py():  # a block with itself
+                            ok &= node < y[0]
+                        i, j = np.nonzero(ok)
+                        differ = np.bitwise_count(sign[i, 0] ^ y[4][j]).sum(axis=1, dtype=np.int64)
+                        near = differ <= n[i, 0] + y[2][j] - 2 * least[i, j]
+                        i, j = i[near], j[near]
+                        ends = np.stack([node[i, 0], y[0][j], n[i, 0], y[2][j]], axis=1)
+                        found.append(np.where((ends[:, 0] < ends[:, 1])[:, None], ends, ends[:, [1, 0, 3, 2]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found), axis=0).T], schema=schema)
+
+        both = left.join(right, ["shingle", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "x", "y")
+        return both.mapInArrow(tidy(meet), "a long, b long, na long, nb long")
 
     def ends(self, x: str, y: str) -> list[Column]:
         """Both ends in order, with their sizes."""

@@ -391,6 +391,36 @@ def test_jaccard_hot_shingles(spark, how):
     assert len({v[1] for v in want.values()}) > 3
 
 
+def test_jaccard_shared_lines_in_blocks(spark, monkeypatch):
+    """Texts that don't link share rare words: rows are blocks and candidates, not a member's words times its words."""
+    monkeypatch.setattr(jaccard, "_MEMBERS", 64)
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(90)]
+    texts = []
+    for i in range(300):
+        words = common[:]
+        for at in r.sample(range(90), 3):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    texts += [texts[7] + " more", texts[11] + " more"]
+    rows = list(enumerate(texts))
+    made, out = [], type(spark.range(0))
+    checkpoint = out.checkpoint
+
+    def counted(self, eager=True):
+        made.append((tuple(self.columns), (df := checkpoint(self, eager)).count()))
+        return df
+
+    monkeypatch.setattr(out, "checkpoint", counted)
+    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = join.result().collect()
+    want = components(rows)
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, *v) for i, v in want.items()}
+    assert want[300][1] == 7 and want[301][1] == 11
+    blocks = [n for c, n in made if "blocks" in c]
+    assert blocks and 1 < sum(blocks) < 1000
+
+
 def test_jaccard_chain_and_empty(spark):
     r = random.Random(4)
     words = [f"w{r.randrange(10**6)}" for _ in range(200)]
