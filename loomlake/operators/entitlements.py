@@ -5,6 +5,8 @@ Rules meet permissions by user first (an equi-join), then segment by segment; th
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,19 @@ def visible_roles(roles: DataFrame) -> DataFrame:
     return roles.where(~F.coalesce("hidden", F.lit(False)))
 
 
-def user_rules(memberships: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
+#: Asks of a task; a session's own number of partitions holds where they are fewer.
+ASKS = 200_000
+
+
+def _dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The rows dealt by key into so many partitions, if that is more than the session's number."""
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def user_rules(memberships: DataFrame, members: DataFrame, rules: DataFrame, parts: int = 0) -> DataFrame:
     """user_id, organization_id, owner, name, hidden, rule, resource_id: rules of roles of the user's own organization."""
     mine = members.select("user_id", "organization_id", "name").join(memberships, ["user_id", "organization_id"])
-    return mine.join(rules, ["organization_id", "name"])
+    return _dealt(mine, parts, "organization_id", "name").join(_dealt(rules, parts, "organization_id", "name"), ["organization_id", "name"])
 
 
 def effective(memberships: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
@@ -42,16 +53,20 @@ def decide(asks: DataFrame, resources: DataFrame, memberships: DataFrame, member
 
     An owner of the resource's organization may do everything in it; else some rule of the caller's roles
     must match, in the same organization.  Rules that name a resource meet only asks for it, so a user
-    with very many of those costs one equi-join; the others are few for each user.
+    with very many of those costs one equi-join; the others are few for each user.  Partitions grow
+    with the asks, so a task's memory doesn't.
     """
+    parts = ceil(asks.count() / ASKS)
     who = memberships.select(F.col("user_id").alias("caller"), F.col("organization_id").alias("_org"), "owner")
-    wanted = asks.join(resources.select("id", "resource", "organization_id"), "id").join(who, "caller", "left").withColumn("_same", F.col("organization_id").eqNullSafe(F.col("_org")))
-    granted = user_rules(memberships, members, rules).select(F.col("user_id").alias("caller"), "rule", F.col("resource_id").alias("_rid"))
-    general = wanted.where("_same").join(granted.where("_rid is null").drop("_rid").distinct(), "caller")
-    own = wanted.where("_same").join(granted.where("_rid is not null").withColumnRenamed("_rid", "id").distinct(), ["caller", "id"])
+    wanted = _dealt(asks, parts, "id").join(_dealt(resources.select("id", "resource", "organization_id"), parts, "id"), "id")
+    wanted = _dealt(wanted, parts, "caller").join(who, "caller", "left").withColumn("_same", F.col("organization_id").eqNullSafe(F.col("_org")))
+    granted = user_rules(memberships, members, rules, parts).select(F.col("user_id").alias("caller"), "rule", F.col("resource_id").alias("_rid"))
+    general = wanted.where("_same").join(_dealt(granted.where("_rid is null").drop("_rid"), parts, "caller").distinct(), "caller")
+    wanted = _dealt(wanted, parts, "caller", "id")
+    own = wanted.where("_same").join(_dealt(granted.where("_rid is not null").withColumnRenamed("_rid", "id"), parts, "caller", "id").distinct(), ["caller", "id"])
     permission = lambda a: F.concat_ws(":", F.lit(namespace), "resource", F.lit(a), F.col("id").cast("string"))
     columns = ["caller", "id", "rule", "resource"]
-    flags = general.select(columns).unionAll(own.select(columns)).groupBy("caller", "id").agg(*[F.bool_or(matches(F.col("rule"), permission(a))).alias(f"_{a}") for a in actions])
+    flags = _dealt(general.select(columns).unionAll(own.select(columns)), parts, "caller", "id").groupBy("caller", "id").agg(*[F.bool_or(matches(F.col("rule"), permission(a))).alias(f"_{a}") for a in actions])
     return wanted.join(flags, ["caller", "id"], "left").select("caller", "id", "resource", "organization_id", *[F.coalesce(F.col("_same") & (F.col("owner") | F.coalesce(f"_{a}", F.lit(False))), F.lit(False)).alias(a) for a in actions])
 
 

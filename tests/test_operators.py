@@ -136,6 +136,20 @@ def test_one_space_for_all_tables(spark):
     assert part["the dog"] == whole["the dog"] and not any(whole[""]) and abs(sum(x * x for x in part["the dog"]) - 1) < 1e-9
 
 
+def test_partitions_grow_with_the_asks(spark, monkeypatch):
+    memberships = df(spark, [(u, u % 3, u % 7 == 0) for u in range(40)], "user_id long, organization_id long, owner boolean")
+    members = df(spark, [(u % 3, f"r{u}", u) for u in range(40)] + [(o, "all", u) for o in range(3) for u in range(40)], "organization_id long, name string, user_id long")
+    rules = df(spark, [(u % 3, f"r{u}", False, i, f"p:kb:*:{i}") for i in range(300) for u in [i % 40]] + [(0, "all", False, None, "p:kb:view")], "organization_id long, name string, hidden boolean, resource_id long, rule string")
+    resources = df(spark, [("kb", i, i % 40 % 3) for i in range(300)], "resource string, id long, organization_id long")
+    asks = df(spark, [((i + d) % 41, i) for i in range(300) for d in (0, 1, 3)], "caller long, id long")
+    decided = lambda: entitlements.decide(asks, resources, memberships, members, rules, ["view", "edit"], "p")
+    want = sorted(decided().collect())
+    assert {r["view"] for r in want} == {r["edit"] for r in want} == {True, False}
+    monkeypatch.setattr(entitlements, "ASKS", 30)
+    assert sorted((got := decided()).collect()) == want
+    assert got.rdd.getNumPartitions() == 30 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_details_and_ownership(spark):
     got = entitlements.decorated(df(spark, [(1,), (2,), (None,)], "k int"), df(spark, [(1, "a"), (1, "a")], "id int, n string"), "k", "id", ["n"])
     assert rows(got) == sorted([(1, "a"), (2, None), (None, None)], key=repr)
