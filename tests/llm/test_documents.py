@@ -391,7 +391,8 @@ def test_jaccard_hot_shingles(spark, how):
     assert len({v[1] for v in want.values()}) > 3
 
 
-def test_jaccard_shared_lines_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("how", [{}, {"k": 5, "percent": 80}])
+def test_jaccard_shared_lines_in_blocks(spark, monkeypatch, how):
     """Texts that don't link share rare words: rows are blocks and candidates, not a member's words times its words."""
     monkeypatch.setattr(jaccard, "_MEMBERS", 64)
     r = random.Random(8)
@@ -412,9 +413,9 @@ def test_jaccard_shared_lines_in_blocks(spark, monkeypatch):
         return df
 
     monkeypatch.setattr(out, "checkpoint", counted)
-    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"))
+    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"), **how)
     got = join.result().collect()
-    want = components(rows)
+    want = components(rows, how.get("k", 4), how.get("percent", 85))
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, *v) for i, v in want.items()}
     assert want[300][1] == 7 and want[301][1] == 11
     blocks = [n for c, n in made if "blocks" in c]
