@@ -409,6 +409,34 @@ def test_long_texts_are_dealt_out(spark, monkeypatch):
     assert len(held) > 20 and max(r["count"] for r in held) <= 20  # 8 shares of four rows and 30 of one
 
 
+def test_long_lists_lie_in_files(spark, monkeypatch, tmp_path):
+    """Texts longer than a share: one in a task at most, made as the row is given out; the same texts as by ``listed``."""
+    monkeypatch.setattr(retrieval, "SHARE_BYTES", 300)
+    docs = values(spark, [(i, i % 3, None if i % 7 == 0 else f"é{i}\n" * (i % 5)) for i in range(60)] + [(70, 5, None), (71, 6, ""), (72, None, "x")], "d int, k int, t string")
+    block = lambda n: retrieval.file_block(n, F.lit(""), F.col("t"))
+    files = retrieval.listed_in_files(docs, "k", ["d"], block, f"file://{tmp_path}/texts")
+    assert sorted(r.k for r in files.collect()) == [0, 1, 2, 6]
+    rows = values(spark, [(i, i % 9 if i % 10 else None, None if i % 4 == 0 else "" if i % 4 == 1 else f"own{i}") for i in range(80)], "q int, k int, own string")
+    want = {r.k: r.t for r in retrieval.listed(retrieval.numbered(docs.where("k < 5 or k = 6"), ["k"], ["d"]), ["k"], block(F.col("n")), ["n"], "intro", "t").collect()}
+    got = retrieval.with_listed(rows, files, "k", "q", "intro", "own", "text")
+    text = lambda k, own: "\n\n".join(x for x in (want.get(k), own) if x)
+    assert sorted((r.q, r.text) for r in got.collect()) == [(r.q, text(r.k, r.own)) for r in rows.orderBy("q").collect()]
+    held = got.where(F.length("text") > 400).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) > 20 and {r["count"] for r in held} == {1}
+    none = retrieval.with_listed(rows, files.where("k > 99"), "k", "q", "intro", "own", "text")
+    assert sorted((r.q, r.text) for r in none.collect()) == [(r.q, r.own or "") for r in rows.orderBy("q").collect()]
+
+
+def test_prompts_are_not_moved(spark, monkeypatch):
+    """Repeated files went through a shuffle, and a few prompts came to one task by chance."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(retrieval, "SHARE_BYTES", 1000)
+    got = entry.queries()["a12_prompt_assembly"](spark, "/root/testdata/sf0.01")
+    held = got.where(F.length("prompt") > 20_000).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) > 5 and {r["count"] for r in held} == {1}
+
+
 def test_index_with_an_exact_check(spark):
     """What near cells miss is found; vectors without structure are missed by a search of one cell."""
     import random
