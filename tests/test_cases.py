@@ -353,6 +353,19 @@ def test_numbers_of_lists_without_sorting_pairs(spark):
     assert "_before" in before
 
 
+def test_lists_of_many_are_written_small(spark, monkeypatch, tmp_path):
+    """Pairs of links and documents come in runs that Parquet packs: they had over a byte each."""
+    links = spark.range(1000).selectExpr("id as a", "cast(0 as int) as p", "7L as c", "id * 3 as more").unionAll(spark.range(400).selectExpr("id", "1", "8L", "id"))
+    docs = spark.range(1000).selectExpr("7L as c", "id * 17 % 1009 as d").unionAll(spark.range(10).selectExpr("8L", "id"))
+    retrieval.numbered_of_lists(links, docs, "a", "p", "c", ["d"]).write.parquet(f"{tmp_path}/pairs")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.4 * 1_004_000
+    rows = lambda df: sorted(map(tuple, df.select("a", "p", "c", "d", "more", "n").collect()))
+    want = rows(retrieval.numbered(links.where("a < 50").join(docs, "c"), ["a"], ["p", "d"]))
+    monkeypatch.setattr(retrieval, "LINKS", 8)
+    monkeypatch.setattr(retrieval, "PAIRS", 100)
+    assert rows(retrieval.numbered_of_lists(links.where("a < 50"), docs, "a", "p", "c", ["d"])) == want and len(want) == 50_500
+
+
 def test_files_are_written_in_tasks(spark, tmp_path):
     from loomlake.sources import uploads, write_files
 
